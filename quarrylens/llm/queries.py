@@ -35,3 +35,17 @@ SELECT doc_id,
 FROM t
 WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 """
+
+
+@_query
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
