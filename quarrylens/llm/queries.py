@@ -49,3 +49,10 @@ def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify
 
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
