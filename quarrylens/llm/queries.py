@@ -56,3 +56,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_strings
 
     return repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op8_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import round_trip_digests
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
