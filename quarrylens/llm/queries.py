@@ -66,3 +66,66 @@ def op8_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+@_query
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent_lm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .length_packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+ORACLES["op6_warc_zip"] = """
+WITH t AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT t.page_id, t.payload_bytes, t.payload_digest,
+       CASE WHEN f.first_id IS NOT NULL AND t.page_id IS DISTINCT FROM f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id IS NOT NULL AND t.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM t LEFT JOIN f USING (payload_digest)
+"""
+
+
+@_query
+def op2_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_diff import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@_query
+def op1_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .kdtree_search import integer_vectors, top_k
+
+    return top_k(integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), F.col("id") % 50 == 0)
+
+
+ORACLES["op1_kdtree"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
