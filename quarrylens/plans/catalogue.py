@@ -2,5 +2,543 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.semantics import jsround
+from ..operators import columns as C
+from ..operators import quality as Q
+from ..operators import series as S
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def r(x: str, digits: int = 4) -> str:
+    """SQL of rounding half up."""
+    return f"(floor(({x}) * {10**digits}.0::DOUBLE + 0.5) / {10**digits}.0::DOUBLE)"
+
+
+def each(parts, glue: str = "\nUNION ALL\n") -> str:
+    return glue.join(parts)
+
+
+# ---- numbers ----------------------------------------------------------------------------------
+
+
+def _stats_sql(source: str, columns: list[str]) -> str:
+    one = """
+    SELECT '{c}' AS "column", any_value(n) AS n, any_value(total - n) AS non_numeric, {sum} AS sum, {mean} AS mean, {median} AS median, {min} AS min, {max} AS max,
+      {range} AS range, {sd} AS std_dev, {var} AS variance, {q1} AS q1, {q3} AS q3, {iqr} AS iqr,
+      CASE WHEN any_value(s) = 0 THEN 0.0 ELSE {skew} END AS skewness, CASE WHEN any_value(m) = 0 THEN NULL ELSE {cv} END AS cv,
+      {lo} AS lower_fence, {hi} AS upper_fence,
+      count(CASE WHEN s > 0 AND abs(x - m) / s > 3 THEN 1 END) AS z_outliers, min(CASE WHEN s > 0 AND abs(x - m) / s > 3 THEN x END) AS z_min, max(CASE WHEN s > 0 AND abs(x - m) / s > 3 THEN x END) AS z_max,
+      count(CASE WHEN x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a) THEN 1 END) AS iqr_outliers,
+      min(CASE WHEN x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a) THEN x END) AS iqr_min, max(CASE WHEN x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a) THEN x END) AS iqr_max
+    FROM (SELECT CAST("{c}" AS DOUBLE) AS x FROM ({source})),
+         (SELECT count(*) AS total, count(v) AS n, sum(v) AS t, avg(v) AS m, median(v) AS d, min(v) AS mn, max(v) AS mx, stddev_pop(v) AS s, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b
+          FROM (SELECT CAST("{c}" AS DOUBLE) AS v FROM ({source})))
+    HAVING any_value(n) >= 2"""
+    v = lambda x: f"any_value({x})"
+    return each(
+        one.format(
+            c=c, source=source, sum=r(v("t")), mean=r(v("m")), median=r(v("d")), min=r(v("mn")), max=r(v("mx")), range=r(v("mx - mn")), sd=r(v("s")), var=r(v("s * s")), q1=r(v("a")), q3=r(v("b")),
+            iqr=r(v("b - a")), skew=r(v("3 * (m - d) / nullif(s, 0)")), cv=r(v("abs(s / nullif(m, 0)) * 100"), 2), lo=r(v("a - 1.5 * (b - a)")), hi=r(v("b + 1.5 * (b - a)")),
+        )
+        for c in columns
+    )
+
+
+@query(_stats_sql("SELECT * FROM lineitem", MEASURES))
+def numeric_profile(spark, sf_dir):
+    return C.numeric_stats(load(spark, sf_dir, "lineitem"), MEASURES)
+
+
+def _with_nulls(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(F.expr("nullif(l_quantity, 1D)").alias("l_quantity"), F.expr("CASE WHEN l_discount > 0.05D THEN l_tax END").alias("l_tax"))
+
+
+_WITH_NULLS = "SELECT nullif(l_quantity, 1) AS l_quantity, CASE WHEN l_discount > 0.05 THEN l_tax END AS l_tax FROM lineitem"
+
+
+@query(_stats_sql(_WITH_NULLS, ["l_quantity", "l_tax"]))
+def numeric_profile_with_nulls(spark, sf_dir):
+    return C.numeric_stats(_with_nulls(spark, sf_dir))
+
+
+@query(_stats_sql("SELECT * FROM orders", ["o_totalprice"]))
+def orders_outliers(spark, sf_dir):
+    return C.numeric_stats(load(spark, sf_dir, "orders"), ["o_totalprice"])
+
+
+_OUT = _stats_sql("SELECT * FROM events", ["value"]) + "\nUNION ALL\n" + _stats_sql("SELECT * FROM events", ["user_id"])
+
+
+@query(f'SELECT "column", z_outliers, iqr_outliers, greatest(z_outliers, iqr_outliers) > 0 AND abs(z_outliers - iqr_outliers) > 0.5 * greatest(z_outliers, iqr_outliers) AS disagree FROM ({_OUT})')
+def outlier_disagreement(spark, sf_dir):
+    return C.outlier_disagreement(C.numeric_stats(load(spark, sf_dir, "events"), ["value", "user_id"]))
+
+
+@query(f'SELECT "column" AS primary_column, variance FROM ({_stats_sql("SELECT * FROM lineitem", MEASURES)}) ORDER BY variance DESC, "column" LIMIT 1')
+def primary_column(spark, sf_dir):
+    return C.primary_column(C.numeric_stats(load(spark, sf_dir, "lineitem"), MEASURES))
+
+
+@query(
+    f"""SELECT "column", skewness, CASE WHEN skewness > 0.5 THEN 'right-skewed' WHEN skewness < -0.5 THEN 'left-skewed' ELSE 'symmetric' END AS direction
+    FROM ({_stats_sql("SELECT * FROM events", ["value"])} UNION ALL {_stats_sql("SELECT * FROM lineitem", MEASURES)})"""
+)
+def skew_direction(spark, sf_dir):
+    stats = C.numeric_stats(load(spark, sf_dir, "events"), ["value"]).unionByName(C.numeric_stats(load(spark, sf_dir, "lineitem"), MEASURES))
+    return C.skew_direction(stats)
+
+
+@query(f"""SELECT "column", std_dev, std_dev = 0 AS constant FROM ({_stats_sql("SELECT l_tax, 7.5 AS fixed FROM lineitem", ["l_tax", "fixed"])})""")
+def constant_columns(spark, sf_dir):
+    return Q.constant_columns(C.numeric_stats(load(spark, sf_dir, "lineitem").select("l_tax", F.lit(7.5).alias("fixed"))))
+
+
+def _histogram_sql(source: str, columns: list[str]) -> str:
+    one = """SELECT '{c}' AS "column", bin, lo, hi, k FROM (
+      SELECT g.bin, any_value(lo) AS lo, any_value(hi) AS hi, count(x) AS k
+      FROM (SELECT unnest(range(7)) AS bin) g CROSS JOIN (SELECT min("{c}") AS lo, max("{c}") AS hi FROM ({s})) e
+      LEFT JOIN (SELECT CAST("{c}" AS DOUBLE) AS x, least(6, floor(("{c}" - mn) / ((mx - mn) / 7.0))) AS b FROM ({s}), (SELECT min("{c}") AS mn, max("{c}") AS mx FROM ({s})) WHERE "{c}" IS NOT NULL) v ON v.b = g.bin
+      GROUP BY g.bin)"""
+    body = each(one.format(c=c, s=source) for c in columns)
+    return f"""SELECT "column", CAST(bin AS INTEGER) AS bin, {r("lo + bin * ((hi - lo) / 7)")} AS low, {r("lo + (bin + 1) * ((hi - lo) / 7)")} AS high, k AS count,
+      bin = min(CASE WHEN k = most THEN bin END) OVER (PARTITION BY "column") AS is_mode
+      FROM (SELECT *, max(k) OVER (PARTITION BY "column") AS most FROM ({body}))"""
+
+
+@query(_histogram_sql("SELECT * FROM lineitem", ["l_quantity", "l_extendedprice"]))
+def histogram7(spark, sf_dir):
+    return C.histogram(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
+
+
+@query(f'SELECT "column", bin, low, high, count FROM ({_histogram_sql("SELECT * FROM orders", ["o_totalprice"])}) WHERE is_mode')
+def histogram_mode_bin(spark, sf_dir):
+    return C.histogram(load(spark, sf_dir, "orders"), ["o_totalprice"]).where("is_mode").drop("is_mode")
+
+
+# ---- types and basics -------------------------------------------------------------------------
+
+_TEXT_DATE = r"regexp_matches(v, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$')"
+_TEXT_NUMBER = r"regexp_matches(v, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$')"
+
+
+def _types_sql(source: str, columns: dict[str, str]) -> str:
+    """columns: number, text or date by name."""
+    from ..operators.columns import _hints_id
+
+    one = """SELECT {i} AS ordinal, '{c}' AS "column", {hint} AS id_name, count(*) AS n_rows, count(v) AS n_present, {num} AS n_numeric, {date} AS n_date, count(DISTINCT v) AS dv, count(DISTINCT lower(v)) AS dl
+    FROM (SELECT nullif(CAST("{c}" AS VARCHAR), '') AS v FROM ({s}))"""
+    num = {"number": "count(v)", "text": f"count(CASE WHEN {_TEXT_NUMBER} THEN 1 END)", "date": "0"}
+    date = {"number": "0", "text": f"count(CASE WHEN {_TEXT_DATE} THEN 1 END)", "date": "count(v)"}
+    body = each(one.format(i=i, c=c, s=source, hint=str(_hints_id(c)).lower(), num=num[k], date=date[k]) for i, (c, k) in enumerate(columns.items()))
+    return f"""SELECT CAST(ordinal AS INTEGER) AS ordinal, "column",
+      CASE WHEN n_present = 0 THEN 'text' WHEN n_date / n_present > 0.7 THEN 'date'
+           WHEN n_numeric / n_present > 0.7 AND id_name AND dv / n_rows > 0.9 THEN 'id' WHEN n_numeric / n_present > 0.7 THEN 'numeric'
+           WHEN n_numeric / n_present < 0.3 AND dl / n_rows > 0.9 THEN 'text' WHEN n_numeric / n_present < 0.3 THEN 'categorical' ELSE 'text' END AS type,
+      n_rows, n_present, CAST(n_numeric AS BIGINT) AS n_numeric, CAST(n_date AS BIGINT) AS n_date
+      FROM ({body})"""
+
+
+_ORDERS = {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date", "o_orderpriority": "text"}
+
+
+@query(_types_sql("SELECT * FROM orders", _ORDERS))
+def type_inference_orders(spark, sf_dir):
+    return C.infer_types(load(spark, sf_dir, "orders"), list(_ORDERS))
+
+
+_CUSTOMER = {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"}
+
+
+@query(_types_sql("SELECT * FROM customer", _CUSTOMER))
+def type_inference_customer(spark, sf_dir):
+    return C.infer_types(load(spark, sf_dir, "customer"), list(_CUSTOMER))
+
+
+_PART = {"p_partkey": "number", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"}
+
+
+@query(_types_sql("SELECT * FROM part", _PART))
+def type_inference_part(spark, sf_dir):
+    return C.infer_types(load(spark, sf_dir, "part"), list(_PART))
+
+
+_RAW = {"order_id": "text", "day": "text", "amount": "text", "half": "text", "none": "text"}
+_RAW_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS order_id, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '12.5' END AS amount,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '7' END AS half, CAST(NULL AS VARCHAR) AS none FROM orders"""
+
+
+@query(_types_sql(_RAW_SQL, _RAW))
+def type_inference_raw_text(spark, sf_dir):
+    raw = load(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS order_id", "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '12.5' END AS amount",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '7' END AS half", "CAST(NULL AS STRING) AS none",
+    )
+    return C.infer_types(raw, list(_RAW))
+
+
+def _basics_sql(source: str, columns: list[str]) -> str:
+    one = """SELECT '{c}' AS "column", count(*) AS n_rows, count(v) AS non_null, count(*) - count(v) AS null_count, {pct} AS null_pct, count(DISTINCT v) AS distinct_count, {uniq} AS uniqueness_pct,
+    CASE WHEN count(*) = count(v) THEN 'complete' WHEN {pct} > 20 THEN 'many missing' ELSE 'some missing' END AS quality FROM (SELECT nullif(CAST("{c}" AS VARCHAR), '') AS v FROM ({s}))"""
+    return each(one.format(c=c, s=source, pct=r("(count(*) - count(v)) / count(*) * 100", 2), uniq=r("count(DISTINCT v) / count(*) * 100", 2)) for c in columns)
+
+
+_PART_COLUMNS = ["p_name", "p_brand", "p_size", "gap"]
+
+
+@query(_basics_sql("SELECT *, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 7 = 0 THEN '' ELSE p_brand END AS gap FROM part", _PART_COLUMNS))
+def column_basics(spark, sf_dir):
+    part = load(spark, sf_dir, "part").withColumn("gap", F.expr("CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 7 = 0 THEN '' ELSE p_brand END"))
+    return C.column_basics(part, _PART_COLUMNS)
+
+
+# ---- categories and texts ---------------------------------------------------------------------
+
+
+def _counts_sql(source: str, columns: list[str]) -> str:
+    body = each(f"""SELECT '{c}' AS "column", CAST("{c}" AS VARCHAR) AS value, count(*) AS n FROM ({source}) WHERE "{c}" IS NOT NULL AND CAST("{c}" AS VARCHAR) <> '' GROUP BY ALL""" for c in columns)
+    return f'SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank, sum(n) OVER (PARTITION BY "column") AS total, count(*) OVER (PARTITION BY "column") AS cardinality FROM ({body})'
+
+
+@query(f'SELECT "column", CAST(rank AS INTEGER) AS rank, value, n, {r("n / total * 100", 2)} AS pct FROM ({_counts_sql("SELECT * FROM part", ["p_brand", "p_type"])}) WHERE rank <= 5')
+def category_top5(spark, sf_dir):
+    return C.category_counts(load(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+@query(
+    f"""SELECT "column", CAST(least(rank, 11) AS INTEGER) AS rank, CASE WHEN rank <= 10 THEN value ELSE 'Other' END AS value, CAST(sum(n) AS BIGINT) AS n
+    FROM ({_counts_sql("SELECT p_brand, p_type FROM part", ["p_brand", "p_type"])}) GROUP BY ALL"""
+)
+def category_top10_other(spark, sf_dir):
+    return C.category_rollup(load(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+@query(
+    f"""SELECT "column", value AS mode, n AS mode_count, cardinality, {r("n / (SELECT count(*) FROM events) * 100", 2)} AS concentration_pct
+    FROM ({_counts_sql("SELECT * FROM events", ["event_type", "user_id"])}) WHERE rank = 1"""
+)
+def category_mode(spark, sf_dir):
+    return C.category_modes(load(spark, sf_dir, "events"), ["event_type", "user_id"])
+
+
+def _totals_sql(source: str, category: str, measure: str) -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY total DESC, label) AS rank, sum(total) OVER () AS everything
+      FROM (SELECT coalesce(CAST("{category}" AS VARCHAR), 'null') AS label, count(*) AS k, sum(coalesce(CAST("{measure}" AS DOUBLE), 0)) AS total FROM ({source}) GROUP BY ALL)"""
+
+
+_GAPPY = "SELECT nullif(o_orderpriority, '5-LOW') AS priority, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders"
+
+
+def _gappy(spark, sf_dir):
+    return load(spark, sf_dir, "orders").selectExpr("nullif(o_orderpriority, '5-LOW') AS priority", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price")
+
+
+_TOP_SQL = f"""SELECT CAST(rank AS INTEGER) AS rank, label, k AS count, {r("total", 2)} AS sum, {r("total / k", 2)} AS mean, CASE WHEN everything > 0 THEN {r("total / everything * 100", 2)} ELSE 0.0 END AS pct_of_total
+  FROM ({_totals_sql(_GAPPY, "priority", "price")}) WHERE rank <= 5"""
+
+
+@query(_TOP_SQL)
+def category_by_primary(spark, sf_dir):
+    return C.category_totals(_gappy(spark, sf_dir), "priority", "price")
+
+
+@query(
+    f"""SELECT CAST(rank AS INTEGER) AS rank, label, {r("value", 2)} AS value, {r("value / sum(value) OVER () * 100", 0)} AS share
+    FROM (SELECT least(rank, 6) AS rank, CASE WHEN rank <= 5 THEN label ELSE 'Other' END AS label, sum(total) AS value FROM ({_totals_sql("SELECT * FROM part", "p_brand", "p_retailprice")}) GROUP BY ALL)
+    WHERE rank <= 5 OR value > 0"""
+)
+def donut(spark, sf_dir):
+    return C.donut(load(spark, sf_dir, "part"), "p_brand", "p_retailprice")
+
+
+@query(f"SELECT min_by(label, rank) AS top_by_sum, arg_max(label, mean * 1000 - rank) AS top_by_mean, min_by(label, rank) <> arg_max(label, mean * 1000 - rank) AS differ FROM ({_TOP_SQL})")
+def comparative(spark, sf_dir):
+    return C.comparative(C.category_totals(_gappy(spark, sf_dir), "priority", "price"))
+
+
+@query(
+    f"""SELECT 'text' AS "column", count(t) AS n, {r("avg(length(t))", 1)} AS avg_length, {r(r"avg(len(regexp_extract_all(t, '\S+')))", 1)} AS avg_words, max(length(t)) AS max_length,
+    count(CASE WHEN regexp_matches(t, '[<>{{}}\\[\\]\\\\]') THEN 1 END) AS special_rows, count(CASE WHEN regexp_matches(t, '^\\s|\\s$|\\s{{2,}}') THEN 1 END) AS space_rows
+    FROM (SELECT CASE WHEN text NOT IN ('', 'null') THEN text END AS t FROM conversations)"""
+)
+def text_stats(spark, sf_dir):
+    return C.text_stats(load(spark, sf_dir, "conversations"), ["text"])
+
+
+# ---- dates and series -------------------------------------------------------------------------
+
+
+@query("""SELECT (SELECT count(o_orderdate) FROM orders) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS earliest, strftime(max(o_orderdate), '%Y-%m-%d') AS latest,
+  CAST(floor((epoch_ms(max(o_orderdate)) - epoch_ms(min(o_orderdate))) / 86400000.0 + 0.5) AS BIGINT) AS range_days,
+  (SELECT d FROM (SELECT CAST(dayofweek(o_orderdate) AS INTEGER) AS d, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)) AS mode_weekday,
+  (SELECT m FROM (SELECT CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)) AS mode_month FROM orders""")
+def date_profile(spark, sf_dir):
+    return S.date_profile(load(spark, sf_dir, "orders"), "o_orderdate")
+
+
+@query("SELECT CAST(dayofweek(l_shipdate) AS INTEGER) AS weekday, count(*) AS n FROM lineitem GROUP BY 1")
+def weekday_hist(spark, sf_dir):
+    return S.weekday_counts(load(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+@query("SELECT CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS n FROM lineitem GROUP BY 1")
+def month_hist(spark, sf_dir):
+    return S.month_counts(load(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+@query(
+    f"""SELECT {r("max(g)", 1)} AS largest_gap_days, {r("median(g)", 1)} AS median_gap_days, max(g) > 2 * median(g) AND median(g) > 0 AS gap_anomaly
+    FROM (SELECT (epoch_ms(ts) - epoch_ms(lag(ts) OVER (ORDER BY ts))) / 86400000.0 AS g FROM events) WHERE g IS NOT NULL"""
+)
+def date_gaps(spark, sf_dir):
+    return S.date_gaps(load(spark, sf_dir, "events"), "ts")
+
+
+_MONTHLY = f"""SELECT CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS idx, month, value, n,
+  CASE WHEN before <> 0 THEN {r("(value - before) / abs(before) * 100", 2)} END AS mom_change, {r("ic + sl * (row_number() OVER (ORDER BY month) - 1)", 2)} AS trend
+  FROM (SELECT *, lag(value) OVER (ORDER BY month) AS before FROM (
+    SELECT strftime(o_orderdate, '%Y-%m') AS month, {r("coalesce(sum(price), 0)", 2)} AS value, count(*) AS n FROM (SELECT o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders) GROUP BY 1)),
+  (SELECT regr_slope(value, i) AS sl, regr_intercept(value, i) AS ic FROM (
+    SELECT value, row_number() OVER (ORDER BY month) - 1 AS i FROM (
+      SELECT strftime(o_orderdate, '%Y-%m') AS month, {r("coalesce(sum(price), 0)", 2)} AS value FROM (SELECT o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders) GROUP BY 1)))"""
+
+
+def _series(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").selectExpr("o_orderdate", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price")
+    return S.monthly_series(rows, "o_orderdate", "price")
+
+
+@query(_MONTHLY)
+def monthly_series(spark, sf_dir):
+    return _series(spark, sf_dir)
+
+
+@query(
+    f"""SELECT count(*) AS periods, {r("regr_slope(value, idx)")} AS slope,
+    CASE WHEN regr_slope(value, idx) / abs(avg(value)) > 0.02 THEN 'Upward trend' WHEN regr_slope(value, idx) / abs(avg(value)) < -0.02 THEN 'Downward trend' ELSE 'Flat' END AS direction,
+    (SELECT month FROM ({_MONTHLY}) ORDER BY value DESC, idx LIMIT 1) AS peak_month, max(value) AS peak_value, (SELECT month FROM ({_MONTHLY}) ORDER BY value, idx LIMIT 1) AS trough_month, min(value) AS trough_value,
+    {r("max(value) / nullif(min(value), 0)", 2)} AS peak_to_trough FROM ({_MONTHLY})"""
+)
+def trend_peak_trough(spark, sf_dir):
+    return S.series_summary(_series(spark, sf_dir))
+
+
+_SEASON = "SELECT o_orderdate, CASE WHEN month(o_orderdate) = 12 THEN 3.0 * o_totalprice ELSE o_totalprice END AS price FROM orders"
+
+
+@query(
+    f"""WITH b AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, {r("sum(price)", 2)} AS value FROM ({_SEASON}) GROUP BY 1),
+    m AS (SELECT CAST(substr(month, 6, 2) AS INTEGER) AS m, avg(value) AS mean, count(*) AS k FROM b GROUP BY 1),
+    t AS (SELECT * FROM m ORDER BY mean DESC, m LIMIT 1), l AS (SELECT * FROM m ORDER BY mean, m LIMIT 1)
+    SELECT ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][t.m] AS top_month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][l.m] AS bottom_month,
+    {r("(t.mean / l.mean - 1) * 100", 0)} AS excess_pct FROM t, l WHERE (SELECT sum(k) FROM m) > 12 AND l.mean > 0 AND t.mean > 1.5 * l.mean"""
+)
+def seasonality(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").selectExpr("o_orderdate", "CASE WHEN month(o_orderdate) = 12 THEN 3.0D * o_totalprice ELSE o_totalprice END AS price")
+    return S.seasonality(S.monthly_series(rows, "o_orderdate", "price"))
+
+
+# ---- correlations -----------------------------------------------------------------------------
+
+_STRENGTH = """CASE WHEN r IS NULL THEN NULL WHEN abs(r) < 0.3 THEN 'Negligible' ELSE
+  (CASE WHEN abs(r) >= 0.9 THEN 'Very strong' WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.5 THEN 'Moderate' ELSE 'Weak' END) || (CASE WHEN r >= 0 THEN ' positive' ELSE ' negative' END) END"""
+_LINES = """SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice AS DOUBLE) AS price, CASE WHEN l_linenumber > 1 THEN CAST(l_tax AS DOUBLE) END AS tax,
+  -CAST(l_quantity AS DOUBLE) + 100 * CAST(l_discount AS DOUBLE) AS opposed FROM lineitem"""
+_LINE_COLUMNS = ["quantity", "price", "tax", "opposed"]
+
+
+def _lines(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").selectExpr("l_quantity AS quantity", "l_extendedprice AS price", "CASE WHEN l_linenumber > 1 THEN l_tax END AS tax", "-l_quantity + 100 * l_discount AS opposed")
+
+
+def _pairs_sql() -> str:
+    raw = each(f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, {r(f'corr({a}, {b})')} AS r FROM ({_LINES})" for a, b in combinations(_LINE_COLUMNS, 2))
+    return f"SELECT col_a, col_b, n, r, abs(r) AS abs_r, {_STRENGTH} AS strength FROM ({raw})"
+
+
+@query(_pairs_sql())
+def correlation_pairs(spark, sf_dir):
+    return S.correlations(_lines(spark, sf_dir))
+
+
+@query(f"""WITH p AS ({_pairs_sql()}) SELECT col_a, col_b, r FROM p UNION ALL SELECT col_b AS col_a, col_a AS col_b, r FROM p UNION ALL {each((f"SELECT '{c}', '{c}', 1.0::DOUBLE" for c in _LINE_COLUMNS), " UNION ALL ")}""")
+def correlation_matrix(spark, sf_dir):
+    return S.correlation_matrix(_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH k AS (SELECT *, row_number() OVER (ORDER BY abs_r DESC, col_a, col_b) AS rank, row_number() OVER (ORDER BY r, col_a, col_b) AS low FROM ({_pairs_sql()}) WHERE r IS NOT NULL)
+    SELECT CASE WHEN rank <= 2 THEN 'strongest' ELSE 'most negative' END AS kind, CAST(rank AS INTEGER) AS rank, col_a, col_b, r, strength FROM k WHERE rank <= 2 OR (low = 1 AND r < -0.2)"""
+)
+def correlation_highlights(spark, sf_dir):
+    return S.correlation_highlights(S.correlations(_lines(spark, sf_dir)), top=2)
+
+
+# ---- anomalies --------------------------------------------------------------------------------
+
+_FLAT = "SELECT CASE WHEN l_linenumber = 7 AND l_orderkey % 3 = 0 THEN 'b' ELSE 'a' END AS flat, l_returnflag FROM lineitem"
+
+
+@query(
+    f"""SELECT "column", n AS top_count, (SELECT count(*) FROM lineitem) AS n_rows, {r("n / (SELECT count(*) FROM lineitem)")} AS top_share, n / (SELECT count(*) FROM lineitem) > 0.95 AS near_constant
+    FROM ({_counts_sql(_FLAT, ["flat", "l_returnflag"])}) WHERE rank = 1"""
+)
+def near_constant(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").selectExpr("CASE WHEN l_linenumber = 7 AND l_orderkey % 3 = 0 THEN 'b' ELSE 'a' END AS flat", "l_returnflag")
+    return Q.near_constant(rows, ["flat", "l_returnflag"])
+
+
+_ROUND = {"price": "floor(p_retailprice / 10) * 10", "size": "CAST(p_size AS DOUBLE)"}
+
+
+@query(each(f"""SELECT '{c}' AS "column", count(x) AS n, count(CASE WHEN x <> 0 AND x % 10 = 0 THEN 1 END) AS n_round, {r("count(CASE WHEN x <> 0 AND x % 10 = 0 THEN 1 END) / count(x)")} AS round_share,
+  count(CASE WHEN x <> 0 AND x % 10 = 0 THEN 1 END) / count(x) > 0.8 AS suspicious FROM (SELECT {e} AS x FROM part)""" for c, e in _ROUND.items()))
+def suspicious_rounding(spark, sf_dir):
+    return Q.suspicious_rounding(load(spark, sf_dir, "part").selectExpr("CAST(floor(p_retailprice / 10) * 10 AS DOUBLE) AS price", "CAST(p_size AS DOUBLE) AS size"))
+
+
+@query("""SELECT 'event_id' AS "column", count(*) AS n, 'increasing' AS direction FROM events UNION ALL SELECT 'fall' AS "column", count(*) AS n, 'decreasing' AS direction FROM events""")
+def monotonic(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").selectExpr("event_id", "-event_id AS fall", "value", "event_id AS at")
+    return Q.monotonic(rows, ["event_id", "fall", "value"], "at")
+
+
+_DIGIT = each(f"""SELECT '{c}' AS "column", CAST(regexp_extract(CAST(abs({c}) AS VARCHAR), '[1-9]') AS VARCHAR) AS d, CAST({c} AS DOUBLE) AS x FROM {t}""" for c, t in (("o_totalprice", "orders"),))
+
+
+@query(
+    f"""SELECT "column", digits, {r("mad")} AS mad, mad > 0.04 AS deviates FROM (
+      SELECT "column", count(CASE WHEN d <> '' THEN 1 END) AS digits, count(*) AS n, max(x) > min(x) AS varies,
+        ({" + ".join(f"abs(count(CASE WHEN d = '{i}' THEN 1 END) / count(CASE WHEN d <> '' THEN 1 END) - {b})" for i, b in enumerate(Q.BENFORD, 1))}) / 9 AS mad
+      FROM ({_DIGIT}) GROUP BY 1) WHERE n > 50 AND digits > 50 AND varies"""
+)
+def benford(spark, sf_dir):
+    return Q.benford(load(spark, sf_dir, "orders"), ["o_totalprice"])
+
+
+_FUZZY = "SELECT CASE p_size % 4 WHEN 0 THEN upper(p_brand) WHEN 1 THEN lower(p_brand) WHEN 2 THEN replace(p_brand, '#', '-') ELSE p_brand END AS brand FROM part"
+
+
+@query(
+    f"""SELECT "column", key, "values", n_values FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY key) AS nth FROM (
+      SELECT "column", regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS key, string_agg(value, ' | ' ORDER BY value) AS "values", count(*) AS n_values FROM ({_counts_sql(_FUZZY, ["brand"])})
+      WHERE cardinality BETWEEN 2 AND 199 GROUP BY ALL HAVING count(*) > 1 AND length(regexp_replace(lower(any_value(value)), '[^a-z0-9]', '', 'g')) > 2)) WHERE nth <= 3"""
+)
+def fuzzy_duplicates(spark, sf_dir):
+    rows = load(spark, sf_dir, "part").selectExpr("CASE p_size % 4 WHEN 0 THEN upper(p_brand) WHEN 1 THEN lower(p_brand) WHEN 2 THEN replace(p_brand, '#', '-') ELSE p_brand END AS brand")
+    return Q.fuzzy_duplicates(rows, ["brand"])
+
+
+# ---- quality ----------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT CAST(sum(k) AS BIGINT) AS n_rows, CAST(sum(k - 1) AS BIGINT) AS duplicates, {r("sum(k - 1) / sum(k) * 100", 2)} AS duplicate_pct
+    FROM (SELECT l_suppkey, l_linenumber, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL)"""
+)
+def duplicate_rows(spark, sf_dir):
+    return Q.duplicate_rows(load(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag"))
+
+
+_MESSY = """SELECT o_orderkey AS _row_id,
+  CASE o_orderkey % 8 WHEN 0 THEN '$' || CAST(o_orderkey AS VARCHAR) || ',500' WHEN 1 THEN CAST(o_orderkey % 90 AS VARCHAR) || '%' WHEN 2 THEN '(' || CAST(o_orderkey AS VARCHAR) || ')' WHEN 3 THEN 'N/A' ELSE CAST(o_orderkey * 3 AS VARCHAR) END AS amount,
+  CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '15-%m-%Y') WHEN 3 THEN 'missing' ELSE strftime(o_orderdate, '20/%m/%Y') END AS day,
+  CASE o_orderkey % 4 WHEN 0 THEN '  ' || o_orderpriority WHEN 1 THEN 'null' WHEN 2 THEN NULL ELSE o_orderstatus END AS note FROM orders"""
+_MESSY_TYPES = {"amount": "numeric", "day": "date", "note": "categorical"}
+
+
+def _messy(spark, sf_dir):
+    return load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS _row_id",
+        "CASE o_orderkey % 8 WHEN 0 THEN '$' || o_orderkey || ',500' WHEN 1 THEN o_orderkey % 90 || '%' WHEN 2 THEN '(' || o_orderkey || ')' WHEN 3 THEN 'N/A' ELSE CAST(o_orderkey * 3 AS STRING) END AS amount",
+        "CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy/MM/dd') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 2 THEN '15-' || date_format(o_orderdate, 'MM-yyyy') WHEN 3 THEN 'missing' ELSE '20/' || date_format(o_orderdate, 'MM/yyyy') END AS day",
+        "CASE o_orderkey % 4 WHEN 0 THEN '  ' || o_orderpriority WHEN 1 THEN 'null' WHEN 2 THEN NULL ELSE o_orderstatus END AS note",
+    )
+
+
+_CLEAN_AMOUNT = """CASE o_orderkey % 8 WHEN 0 THEN CAST(CAST(o_orderkey AS VARCHAR) || '500' AS DOUBLE) WHEN 1 THEN (o_orderkey % 90) / 100.0 WHEN 2 THEN -o_orderkey WHEN 3 THEN NULL ELSE o_orderkey * 3 END"""
+_CLEAN = f"""SELECT o_orderkey AS _row_id, CAST({_CLEAN_AMOUNT} AS DOUBLE) AS amount,
+  CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-15') WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-20') END AS day,
+  CASE o_orderkey % 4 WHEN 0 THEN trim(o_orderpriority) WHEN 3 THEN o_orderstatus END AS note FROM orders"""
+
+
+@query(_CLEAN)
+def cleanse(spark, sf_dir):
+    return Q.cleanse(_messy(spark, sf_dir), _MESSY_TYPES, "_row_id")
+
+
+@query(
+    """SELECT 'amount' AS "column", count(CASE WHEN o_orderkey % 8 < 4 THEN 1 END) AS changed, count(CASE WHEN o_orderkey % 8 = 3 THEN 1 END) AS nulled FROM orders
+    UNION ALL SELECT 'day', count(CASE WHEN o_orderkey % 5 <> 1 THEN 1 END), count(CASE WHEN o_orderkey % 5 = 3 THEN 1 END) FROM orders
+    UNION ALL SELECT 'note', count(CASE WHEN o_orderkey % 4 = 1 THEN 1 END), count(CASE WHEN o_orderkey % 4 = 1 THEN 1 END) FROM orders"""
+)
+def cleaning_report(spark, sf_dir):
+    return Q.cleaning_report(_messy(spark, sf_dir), _MESSY_TYPES, "_row_id").drop("samples")
+
+
+@query(
+    f"""SELECT missing, cells, {r("missing / cells * 100", 2)} AS missing_pct, 0::BIGINT AS empty_rows
+    FROM (SELECT CAST(sum(CASE WHEN note IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, count(*) * 3 AS cells FROM ({_MESSY}))"""
+)
+def missing_cells(spark, sf_dir):
+    return Q.missing_cells(_messy(spark, sf_dir), list(_MESSY_TYPES))
+
+
+@query(
+    f"""SELECT 'amount' AS "column", count(CASE WHEN _row_id % 8 >= 4 THEN 1 END) AS n_numeric, count(CASE WHEN _row_id % 8 < 4 THEN 1 END) AS n_text, TRUE AS mixed FROM ({_MESSY})
+    UNION ALL SELECT 'day', 0, count(day), FALSE FROM ({_MESSY}) UNION ALL SELECT 'note', 0, count(note), FALSE FROM ({_MESSY})"""
+)
+def mixed_types(spark, sf_dir):
+    return Q.mixed_types(_messy(spark, sf_dir), list(_MESSY_TYPES))
+
+
+_DIRTY = f"""SELECT 'amount' AS "column", count(*) AS n_seen, count(CASE WHEN _row_id % 8 = 3 THEN 1 END) AS null_tokens, count(CASE WHEN _row_id % 8 = 0 THEN 1 END) AS money, count(CASE WHEN _row_id % 8 IN (1, 2) THEN 1 END) AS not_numeric FROM ({_MESSY}) WHERE _row_id < 500
+  UNION ALL SELECT 'day', count(*), count(CASE WHEN _row_id % 5 = 3 THEN 1 END), 0, 0 FROM ({_MESSY}) WHERE _row_id < 500
+  UNION ALL SELECT 'note', count(*), count(CASE WHEN _row_id % 4 = 1 THEN 1 END), 0, 0 FROM ({_MESSY}) WHERE _row_id < 500"""
+
+
+@query(_DIRTY)
+def dirty_cells(spark, sf_dir):
+    return Q.dirty_cells(_messy(spark, sf_dir), _MESSY_TYPES)
+
+
+@query(f"""SELECT "column", null_tokens + money + not_numeric AS dirty, CAST(floor((null_tokens + money + not_numeric) / n_seen * 100 + 0.5) AS INTEGER) AS dirty_pct FROM ({_DIRTY}) WHERE null_tokens + money + not_numeric > 0""")
+def dirty_columns(spark, sf_dir):
+    return Q.dirty_columns(_messy(spark, sf_dir), _MESSY_TYPES)
+
+
+@query(
+    f"""WITH m AS ({_MESSY}), k AS (SELECT count(*) AS n FROM m),
+    p AS (SELECT (SELECT count(*) FROM m WHERE note IS NULL) / (n * 3) * 100 AS mi, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM m GROUP BY amount, day, note)) / n * 100 AS du, 1 / 3 * 100 AS mx,
+      (SELECT sum(null_tokens + money + not_numeric) FROM ({_DIRTY})) * (CASE WHEN n > 500 THEN n / 500.0 ELSE 1 END) / (n * 3) * 100 AS di FROM k)
+    SELECT {r("mi", 2)} AS missing_pct, {r("du", 2)} AS duplicate_pct, {r("mx", 2)} AS mixed_pct, {r("di", 2)} AS dirty_pct,
+      CAST(floor(greatest(0, least(100, 100 - 1.2 * mi - du - 4 * mx - 2 * di)) + 0.5) AS INTEGER) AS score FROM p"""
+)
+def quality_score(spark, sf_dir):
+    return Q.quality_score(_messy(spark, sf_dir), _MESSY_TYPES)
+
+
+__all__ = ["ORACLES", "QUERIES", "jsround", "load"]
