@@ -19,10 +19,9 @@ CLEAN_NULLS = [
 SCORE_NULLS = ["n/a", "na", "null", "none", "-", "--", "missing", "undefined", "nan"]
 CURRENCY = r"[$€£¥₹]"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
-# Date layouts in the order in which they are tried: month first where both would do.
-DATE_LAYOUTS = ["yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "M/d/yyyy", "MMMM d yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy"]
+_MONTH_NAME = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 
 #: Sharing of numeric cells above which a column is numeric, below which it is not; and the distinct share of identifiers.
 MOSTLY, HARDLY, MOSTLY_DISTINCT = 0.7, 0.3, 0.9
@@ -78,12 +77,20 @@ def number(c: Column, kind: T.DataType) -> Column:
 
 
 def text_date(c: Column) -> Column:
-    """The day that a text spells in one of the known layouts, else null."""
-    t = F.regexp_replace(F.trim(c), r"(\d)[T ]\d{1,2}:\d{2}.*$", "$1")
-    # Only texts of a date's shape go to the parsers.
-    shaped = t.rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$|^[A-Za-z]{3,9} \d{1,2},? \d{4}$|^\d{1,2} [A-Za-z]{3,9} \d{4}$")
-    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(x)) for x in DATE_LAYOUTS]).cast("date")
-    return F.when(shaped, F.when(F.year(parsed).between(1901, 2099), parsed))
+    """The day that a text spells in one of the known layouts, else null.
+
+    The layouts are rewritten to year-month-day by pattern, so one cast decides;
+    a time of day is left out. Where day and month could be either, the month
+    comes first.
+    """
+    t = F.regexp_replace(F.trim(c), r"[T ]\d{1,2}:\d{2}\S*( ?[AaPp][Mm])?$", "")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(t, _MONTH_NAME, 1))).cast("string")
+    numbers = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
+    numbers = F.regexp_replace(numbers, r"^(0?[1-9]|1[0-2])([-/])(\d{1,2})\2(\d{4})$", "$4-$1-$3")
+    numbers = F.regexp_replace(numbers, r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "$4-$3-$1")
+    named = F.concat_ws("-", F.regexp_extract(t, r"(\d{4})$", 1), month, F.regexp_extract(t, r"\b(\d{1,2})\b", 1))
+    iso = F.when(t.rlike(rf"^{_MONTH_NAME} \d{{1,2}},? \d{{4}}$|^\d{{1,2}} {_MONTH_NAME} \d{{4}}$"), named).otherwise(numbers)
+    return F.regexp_extract(iso, r"^((?:190[1-9]|19[1-9]\d|20\d\d)-\d{1,2}-\d{1,2})$", 1).try_cast("date")
 
 
 def moment(c: Column, kind: T.DataType) -> Column:
@@ -99,18 +106,13 @@ def clean_number(c: Column, legacy_european: bool = False) -> Column:
     ``95,000`` is ninety-five thousand; with ``legacy_european`` it is 95.
     """
     t = F.trim(c)
-    percent = t.endswith("%")
-    t1 = F.when(percent, F.substring(t, 1, F.length(t) - 1)).otherwise(t)
-    negative = t1.rlike(r"^\([\d,.\s$€£¥₹]+\)$")
-    t2 = F.regexp_replace(F.when(negative, F.regexp_replace(t1, "[()]", "")).otherwise(t1), r"[$€£¥₹\s]", "")
-    european = t2.rlike(r"^\d{1,3}(\.\d{3})*(,\d+)?$")
-    if not legacy_european:  # a lone comma before three digits parts thousands
-        european = european & ~t2.rlike(r"^\d{1,3}(,\d{3})?$") & t2.contains(",")
-    plain = F.when(european, F.replace(F.replace(t2, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t2, F.lit(","), F.lit("")))
-    value = text_number(F.when(plain != "", plain))
-    value = F.when(percent, value / 100).otherwise(value)
-    value = F.when(negative, -F.abs(value)).otherwise(value)
-    return F.when(~t.isin(CLEAN_NULLS), F.coalesce(text_number(t), value))
+    bare = F.regexp_replace(F.regexp_replace(t, r"^\(([\d,.\s$€£¥₹]+)\)(%?)$", "$1$2"), r"[$€£¥₹\s]|%$", "")
+    # A comma after dotted thousands, or before other than three digits, is a decimal comma.
+    european = r"^\d{1,3}(\.\d{3})*,\d+$" if legacy_european else r"^\d{1,3}((\.\d{3})+,\d+|,(\d{1,2}|\d{4,}))$"
+    dotted = r"^\d{1,3}(\.\d{3})+$"  # digits alone in dotted thousands: only where the text is no number already
+    plain = F.when(bare.rlike(european), F.translate(bare, ",.", ".")).when(bare.rlike(dotted), F.translate(bare, ".", "")).otherwise(F.translate(bare, ",", ""))
+    size = F.when(t.endswith("%"), 100.0).otherwise(1.0) * F.when(t.startswith("("), -1.0).otherwise(1.0)
+    return F.when(~t.isin(CLEAN_NULLS), F.when(t.rlike(DECIMAL), t.try_cast("double")).otherwise(text_number(plain) / size))
 
 
 def clean_date(c: Column) -> Column:

@@ -226,14 +226,17 @@ def cleaning_report(df: DataFrame, types: dict[str, str], row_id: str | None = N
     A number in a column of texts keeps its spelling and does not count.
     """
     effective = _effective(df, types, row_id)
+    columns = _text_columns(df, types)
+    # The clean values are columns of their own first, so each is computed once.
+    both = df.select(*[F.col(f"`{c}`").alias(f"old{i}") for i, c in enumerate(columns)], *[_cleaned(df, c, effective[c]).alias(f"new{i}") for i, c in enumerate(columns)])
     cells = []
-    for c in _text_columns(df, types):
-        x, new = F.col(f"`{c}`"), _cleaned(df, c, effective[c])
+    for i, c in enumerate(columns):
+        x, new = F.col(f"old{i}"), F.col(f"new{i}")
         same = (text_number(x) == new) if effective[c] in ("numeric", "id") else (F.trim(x) == new)
         changed = F.coalesce((x != "") & ~F.coalesce(same, F.lit(False)), F.lit(False))
         sample = F.concat_ws(" -> ", x, F.coalesce(new.cast("string"), F.lit("null")))
         cells.append(F.struct(F.lit(c).alias("column"), changed.alias("changed"), new.isNull().alias("nulled"), sample.alias("sample")))
-    long = df.select(F.inline(F.array(*cells)))
+    long = both.select(F.inline(F.array(*cells)))
     counts = long.groupBy("column").agg(F.count(F.when(F.col("changed"), 1)).alias("changed"), F.count(F.when(F.col("changed") & F.col("nulled"), 1)).alias("nulled"))
     distinct = long.where("changed").select("column", "sample").distinct()
     shown = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("sample"))).where("nth <= 3")

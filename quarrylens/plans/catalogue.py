@@ -541,4 +541,65 @@ def quality_score(spark, sf_dir):
     return Q.quality_score(_messy(spark, sf_dir), _MESSY_TYPES)
 
 
+
+# ---- repair and narrative ---------------------------------------------------------------------
+
+_BROKEN_HEADER = ["id", "amount", "day", "status"]
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN '1' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS amount,
+    strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status FROM orders"""
+)
+def csv_repair(spark, sf_dir):
+    from ..sources.delimited import repair_lines
+
+    lines = load(spark, sf_dir, "orders").selectExpr(
+        """o_orderkey || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '1,' || lpad(o_orderkey % 1000, 3, '0') ELSE CAST(o_orderkey % 1000 AS STRING) END || ',' || date_format(o_orderdate, 'yyyy-MM-dd')
+        || CASE WHEN o_orderkey % 4 <> 0 THEN ',' || o_orderstatus ELSE '' END AS value"""
+    )
+    return repair_lines(lines, _BROKEN_HEADER, ["number", "number", "date", "text"], ",".join(_BROKEN_HEADER)).drop("_row_id")
+
+
+def _profiled(spark, sf_dir):
+    from .profile import profile
+
+    return profile(load(spark, sf_dir, "orders").drop("o_custkey"), "orders")
+
+
+@query()
+def insights(spark, sf_dir):
+    return _profiled(spark, sf_dir).insights()
+
+
+@query()
+def stories(spark, sf_dir):
+    return _profiled(spark, sf_dir).stories()
+
+
+@query()
+def quality_flags(spark, sf_dir):
+    return _profiled(spark, sf_dir).flags()
+
+
+@query()
+def answers(spark, sf_dir):
+    from .profile import TOPICS
+
+    p = _profiled(spark, sf_dir)
+    rows = [(topic, i, line) for topic in TOPICS for i, line in enumerate(p.ask(topic))]
+    return spark.createDataFrame(rows, "topic string, ord int, line string")
+
+
+@query(
+    '''SELECT regexp_replace(line, '^.*?,', '') AS rest, count(*) AS n FROM (
+      SELECT CAST(p_partkey AS VARCHAR) || ',' || CASE WHEN p_size % 2 = 0 THEN '"' || p_brand || ', ""' || p_type || '"""' ELSE p_type END || ',' || coalesce(CAST(nullif(p_size, 1) AS VARCHAR), '') AS line FROM part) GROUP BY 1'''
+)
+def csv_export(spark, sf_dir):
+    from ..sources.sinks import csv_lines
+
+    rows = load(spark, sf_dir, "part").selectExpr("p_partkey", """CASE WHEN p_size % 2 = 0 THEN p_brand || ', "' || p_type || '"' ELSE p_type END AS kind""", "nullif(p_size, 1) AS size")
+    return csv_lines(rows).select(F.regexp_replace("value", "^.*?,", "").alias("rest")).groupBy("rest").agg(F.count(F.lit(1)).alias("n"))
+
+
 __all__ = ["ORACLES", "QUERIES", "jsround", "load"]
