@@ -74,17 +74,18 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[Da
     """The distinct labels that need names, and those alone under (length, first block)."""
     rows = _normalised(docs, id_col, text_col, block).groupBy(*_LABEL, "_len", "_first").agg(F.count(F.lit(1)).alias("copies"))
     rows = cut(rows, "op10-labels")
-    heads = rows.groupBy("_len", "_first").agg(F.count(F.lit(1)).alias("labels"))
-    marked = rows.join(heads, ["_len", "_first"]).select(*_LABEL, "_len", "copies", "labels")
-    shared = cut(marked.where("labels > 1").drop("labels").withColumn("rid", F.monotonically_increasing_id()), "op10-shared")
-    return shared, marked.where("labels = 1").drop("labels")
+    # Heads are written so that the join below can split a head that very many rows share.
+    heads = cut(rows.groupBy("_len", "_first").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1"), "op10-heads")
+    marked = rows.join(heads.hint("merge"), ["_len", "_first"], "left").select(*_LABEL, "_len", "copies", "labels")
+    shared = cut(marked.where("labels IS NOT NULL").drop("labels").withColumn("rid", F.monotonically_increasing_id()), "op10-shared")
+    return shared, marked.where("labels IS NULL").drop("labels")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
     """Per label: copies, the group's size, and the id and length of the row that stays."""
     shared, alone = _labels(docs, id_col, text_col, block)
     texts = _normalised(docs, id_col, text_col, block).select(*_LABEL, "_norm")
-    wanted = shared.select(*_LABEL, "_len", "rid")
+    wanted = shared.select(*_LABEL, "_len", "rid").hint("merge")  # one plan at every size
     # Blocks cover every character: whole blocks by the pattern, an empty text as one empty block.
     cutting = F.when(F.col("_len") > 0, F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
     blocks = texts.join(wanted, _same_label(texts, wanted)).select("rid", cutting.alias("all"))
@@ -93,7 +94,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFram
     members = shared.join(identity, "rid")
     # The longest original text first, then the smallest id, null ids last.
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("u"), F.col("_id").alias("i")))
-    sizes = members.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), best.alias("best"))
+    sizes = cut(members.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), best.alias("best")), "op10-sizes")
     grouped = members.join(sizes, ["level", "name"]).select(*_LABEL, "copies", "group_size", F.col("best.i").alias("keep_id"), (-F.col("best.c")).alias("keep_chars"))
     single = alone.select(*_LABEL, "copies", F.col("copies").alias("group_size"), F.col("_id").alias("keep_id"), F.col("_chars").alias("keep_chars"))
     return grouped.unionByName(single).withColumn("stays", F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("keep_chars")))
