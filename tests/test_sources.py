@@ -1,0 +1,106 @@
+import io
+import zipfile
+
+import pytest
+
+from quarrylens.plans.profile import TOPICS, find_topics, profile
+from quarrylens.sources import dataset, delimited, sinks, spreadsheet
+from quarrylens.streaming.monthly import windowed_totals
+
+LINES = """id,weight,day,cost,city
+A1,1,500,2023/05/12,4,500,Rome
+A2,700,15-06-2023,900,Oslo
+A3,2,100,March 10 2023,,Bonn
+A4,820,2023-07-01,1,250,Paris
+A5,90,01/02/2023,N/A,Kyiv
+A6,640,2023-08-11,75,"Lyon, France"
+A7,55,2023-09-01,80
+"""
+
+
+def test_split_line():
+    assert delimited.split_line('a,"b,c",d') == ["a", "b,c", "d"]
+    assert delimited.split_line('"x""y",z') == ['x"y', "z"]
+    assert delimited.split_line(",,") == ["", "", ""]
+
+
+def test_repair(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(LINES)
+    df = dataset.read_dataset(spark, str(tmp_path / "t.csv"))
+    got = {r["id"]: (r["weight"], r["day"], r["cost"], r["city"]) for r in df.collect()}
+    assert got["A1"] == ("1500", "2023/05/12", "4500", "Rome")
+    assert got["A2"] == ("700", "15-06-2023", "900", "Oslo")
+    assert got["A3"] == ("2100", "March 10 2023", None, "Bonn")
+    assert got["A4"] == ("820", "2023-07-01", "1250", "Paris")
+    assert got["A6"][3] == "Lyon, France" and got["A7"][3] is None
+
+
+def test_repair_leaves_aligned_rows():
+    assert delimited.realign(["a", "1"], ["text", "number"]) == ["a", "1"]
+
+
+def test_unreadable(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("only,a,header\n")
+    with pytest.raises(ValueError):
+        dataset.read_dataset(spark, str(tmp_path / "t.csv"))
+    with pytest.raises(ValueError):
+        dataset.read_dataset(spark, "old.xls")
+
+
+def _workbook() -> bytes:
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>day</t></si><si><t>Ann</t></si></sst>")
+        z.writestr(
+            "xl/worksheets/sheet1.xml",
+            f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="B2" s="1"><v>45000</v></c></row>'
+            '<row><c r="A3" t="inlineStr"><is><t> </t></is></c></row><row><c r="B4"><v>1.5</v></c></row></sheetData></worksheet>',
+        )
+    return out.getvalue()
+
+
+def test_workbook(spark, tmp_path):
+    (tmp_path / "b.xlsx").write_bytes(_workbook())
+    rows = spreadsheet.read_workbook(spark, str(tmp_path / "b.xlsx")).orderBy("_row_id").collect()
+    assert [(r["name"], r["day"]) for r in rows] == [("Ann", "2023-03-15"), (None, "1.5")]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, "x")], "i int, t string")
+    assert [r[0] for r in sinks.csv_lines(df).collect()] == ['1,"a ""b"", c"', "2,", "3,x"]
+    sinks.export_csv(df, str(tmp_path / "out"), single_file=True)
+    back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"').collect()
+    assert [(r["i"], r["t"]) for r in back] == [("1", 'a "b", c'), ("2", None), ("3", "x")]
+
+
+def test_profile(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(LINES)
+    p = profile(dataset.read_dataset(spark, str(tmp_path / "t.csv")), "t", "_row_id")
+    assert p.types["weight"] == "numeric" and p.types["day"] == "date"
+    assert 0 <= p.facts["score"] <= 100
+    assert p.insights().count() >= 3 and p.stories().count() >= 2
+    assert all(p.ask(t) for t in TOPICS)
+    assert "# t" in sinks.report("t", {"Columns": p.basics, "Flags": p.flags()})
+
+
+def test_topics():
+    assert find_topics("TREND") == ["trends"] and "quality" in find_topics("null")
+
+
+def test_pages(spark):
+    df = spark.range(25).withColumnRenamed("id", "_row_id")
+    assert [r[0] for r in dataset.page(df, 3).collect()] == [20, 21, 22, 23, 24] and dataset.page_count(df) == 3
+    assert dataset.page_window(7, 9) == [5, 6, 7, 8, 9] and dataset.page_window(1, 2) == [1, 2]
+
+
+def test_streaming_totals(spark, tmp_path):
+    spark.range(100).selectExpr("timestamp_seconds(id * 86400) AS t", "1.0D AS x").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, x double").parquet(str(tmp_path / "in"))
+    q = windowed_totals(stream, "t", "x").writeStream.format("memory").queryName("totals").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["n"] for r in spark.table("totals").collect()} <= set(range(1, 31))
