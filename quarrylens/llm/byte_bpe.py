@@ -2,9 +2,9 @@
 
 A pre-token starts as a linked list of its bytes. Each adjacent pair that the
 vocabulary can merge is put in the bucket of its rank; a bitmap over the ranks
-marks the buckets in use, with a second and third level that mark its non-empty
-words, so the next rank is found by find-first-set on three words however many
-ranks there are. A bucket holds list positions; entries whose pair has changed
+marks the buckets in use, with an upper level that marks its non-empty words, so
+the next rank is found by find-first-set on two words however many ranks there
+are. A bucket holds list positions; entries whose pair has changed
 since are skipped. Each merge is constant work, so very long pre-tokens take
 time linear in their length, plus the order of positions within a bucket.
 
@@ -28,46 +28,49 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_of
 
-#: Pre-tokens whose ids each Python worker remembers, and the longest such (in characters).
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
+#: Pre-tokens whose ids each Python worker remembers (twice as many at most), and the longest such (in characters).
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 48
+#: Ranks of one word of the bitmap's lower level; bytes of pre-tokens that are merged together; and the id between them.
+WORD, MERGED, APART = 9, 1 << 17, 1 << 31
 
 
 class RankQueue:
-    """Positions by merge rank; the least rank is found through three levels of 64-bit words."""
+    """Positions by merge rank; a word of the upper level marks the non-empty words of the lower one."""
 
     def __init__(self, ranks: int):
-        words = (ranks + 63) >> 6
-        self.low, self.mid, self.top = [0] * words, [0] * ((words + 63) >> 6), 0
+        self.low, self.top = [0] * ((ranks >> WORD) + 1), 0
         self.bucket: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        held = self.bucket.get(rank)
-        if held is None:
-            self.bucket[rank] = [position]
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
-        else:
-            held.append(position)
-
-    def least(self) -> int:
-        """The least rank in use, -1 if none."""
-        if not self.top:
-            return -1
-        t = (self.top & -self.top).bit_length() - 1
-        m = (t << 6) + (self.mid[t] & -self.mid[t]).bit_length() - 1
-        return (m << 6) + (self.low[m] & -self.low[m]).bit_length() - 1
-
-    def take(self, rank: int) -> list[int]:
-        """Empty the bucket of a rank."""
-        word = rank >> 6
-        self.low[word] &= ~(1 << (rank & 63))
-        if not self.low[word]:
-            self.mid[word >> 6] &= ~(1 << (word & 63))
-            if not self.mid[word >> 6]:
-                self.top &= ~(1 << (word >> 6))
-        return self.bucket.pop(rank)
+    def fill(self, ranks: list[int]) -> None:
+        """Queue every position whose rank is not negative, in order."""
+        bucket = self.bucket
+        for i, r in enumerate(ranks):
+            if r >= 0:
+                held = bucket.get(r)
+                if held is None:
+                    self.open(r, i)
+                else:
+                    held.append(i)
+
+    def open(self, rank: int, position: int) -> None:
+        """Start the bucket of a rank."""
+        self.bucket[rank] = [position]
+        word = rank >> WORD
+        self.low[word] |= 1 << (rank & ((1 << WORD) - 1))
+        self.top |= 1 << word
+
+    def take(self) -> tuple[int, list[int]]:
+        """The least rank in use and its positions, in order; the bucket is emptied."""
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.low[word]
+        rank = (word << WORD) + (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        self.low[word] = bits
+        if not bits:
+            self.top &= self.top - 1
+        held = self.bucket.pop(rank)
+        held.sort()
+        return rank, held
 
 
 class Codec:
@@ -78,72 +81,112 @@ class Codec:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {v: k for k, v in self.rank.items()}
         self.size = max(self.token) + 1
+        self.byte = [self.rank.get(bytes([b]), -1) for b in range(256)]
+        #: The id that two ids make together, by both in one key.
+        self.joined = {x << 32 | y: r for t, r in self.rank.items() for i in range(1, len(t)) if (x := self.rank.get(t[:i])) is not None and (y := self.rank.get(t[i:])) is not None}
         self.text = {v: str(v) for v in self.token}
         self.pretokens = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.queue = RankQueue(self.size)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the leftmost pair of the least rank is merged next."""
-        rank = self.rank
-        whole = rank.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens, which share one list and one queue: always the leftmost pair of the least rank is merged next.
+
+        Pre-tokens are apart by an id that joins with none, so the order within
+        each is what it would be alone.
+        """
+        ids, pair, ends = [APART], [-1], []
+        joined, byte = self.joined.get, self.byte
+        for p in pieces:
+            own = [byte[b] for b in p]
+            ids += own
+            ids.append(APART)
+            pair += [joined(x << 32 | y, -1) for x, y in zip(own, own[1:])]
+            pair += (-1, -1) if own else (-1,)
+            ends.append(len(ids) - 1)
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         queue = self.queue  # empty again when the merges are done
-        pair = [-1] * n  # rank of the pair that starts at a position now
-        for i in range(n - 1):
-            r = rank.get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (r := queue.least()) >= 0:
-            held = queue.take(r)
-            held.sort()
+        queue.fill(pair)
+        bucket, start = queue.bucket.get, queue.open
+        while queue.top:
+            r, held = queue.take()
             for at, i in enumerate(held):
                 if pair[i] != r:
                     continue  # stale
                 j = after[i]
-                part[i], part[j] = part[i] + part[j], None
-                pair[j] = -1
                 k, h, lowest = after[j], before[i], r
+                ids[i], ids[j], pair[j] = r, -1, -1
                 after[i] = k
-                pair[i] = -1
-                if k < n:
-                    before[k] = i
-                    q = rank.get(part[i] + part[k])
-                    if q is not None:
-                        pair[i] = q
-                        queue.push(q, i)
-                        lowest = min(lowest, q)
-                if h >= 0:
-                    q = rank.get(part[h] + part[i])
-                    pair[h] = -1 if q is None else q
-                    if q is not None:
-                        queue.push(q, h)
-                        lowest = min(lowest, q)
+                before[k] = i
+                q = pair[i] = joined(r << 32 | ids[k], -1)
+                if q >= 0:
+                    found = bucket(q)
+                    if found is None:
+                        start(q, i)
+                    else:
+                        found.append(i)
+                    if q < lowest:
+                        lowest = q
+                q = pair[h] = joined(ids[h] << 32 | r, -1)
+                if q >= 0:
+                    found = bucket(q)
+                    if found is None:
+                        start(q, h)
+                    else:
+                        found.append(h)
+                    if q < lowest:
+                        lowest = q
                 if lowest < r:  # that rank goes first; the rest of this bucket waits
                     for x in held[at + 1 :]:
                         if pair[x] == r:
-                            queue.push(r, x)
+                            queue.bucket[r].append(x) if r in queue.bucket else start(r, x)
                     break
-        return [rank[p] for p in part if p is not None]
-
-    def ids_of(self, pretoken: str) -> tuple[int, ...]:
-        ids = self.known.get(pretoken)
-        if ids is None:
-            ids = tuple(self.merge(pretoken.encode("utf-8", "surrogatepass")))
-            if len(pretoken) <= REMEMBERED_LENGTH:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[pretoken] = ids
-        return ids
+        out, begin = [], 1
+        for end in ends:
+            out.append([x for x in ids[begin:end] if x >= 0])
+            begin = end + 1
+        return out
+
+    def learn(self, pretokens: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of the pre-tokens of some texts; short ones stay known."""
+        known, older, rank, found, unknown = self.known, self.older, self.rank, {}, []
+        for p in pretokens:
+            ids = known.get(p)
+            if ids is None:
+                ids = older.get(p)
+                if ids is None:
+                    whole = rank.get(p.encode("utf-8", "surrogatepass"))
+                    if whole is None:
+                        unknown.append(p)
+                        continue
+                    ids = (whole,)
+                known[p] = ids
+            found[p] = ids
+        at = 0
+        while at < len(unknown):
+            part, size = [], 0
+            while at < len(unknown) and size < MERGED:
+                part.append(unknown[at])
+                size += len(unknown[at])
+                at += 1
+            for p, ids in zip(part, self.merge([p.encode("utf-8", "surrogatepass") for p in part])):
+                found[p] = tuple(ids)
+                if len(p) <= REMEMBERED_LENGTH:
+                    known[p] = found[p]
+        if len(known) >= REMEMBERED:  # what has been used since the last turn stays
+            self.known, self.older = {}, known
+        return found
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        split = [self.pretokens(t) for t in texts]
+        found = self.learn(set(chain.from_iterable(split)))
+        for pretokens in split:
+            yield list(chain.from_iterable(map(found.__getitem__, pretokens)))
 
     def encode(self, text: str) -> list[int]:
-        known, found = self.known, self.pretokens(text)
-        return list(chain.from_iterable([known.get(p) or self.ids_of(p) for p in found]))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -166,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(bpe.encode_all(b.column(1).to_pylist())), pa.list_(pa.int32()))], [id_col, "ids"])
 
     return docs.select(F.col(id_col), text_of(docs, text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -193,8 +236,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         bpe = codec(path, pattern)
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for t in b.column(1):
-                ids = bpe.encode(t.as_py())
+            for ids in bpe.encode_all(b.column(1).to_pylist()):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(bpe.decimals(ids).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

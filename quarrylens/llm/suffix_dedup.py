@@ -46,8 +46,8 @@ from .suffix_sort import BASE, Ends, padded
 LENGTH, GRAM = 200, 40
 #: The most bytes before an anchor, and from its start on, that its windows cover.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
-#: Distinct contexts of an anchor that one task compares.
-HOT = 1500
+#: Distinct contexts of an anchor that one task compares, some 12 MB.
+HOT = 32_768
 #: Bytes hashed at a time (small enough for the processor's cache), and text rows sorted at a time.
 CHUNK, SLAB = 1 << 17, 4096
 
@@ -350,9 +350,10 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _settled(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Repeated extents (t1, t2, found) of the anchors of each text."""
-    many = found.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g")
+    # Written first, small tables leave both sides of a join free to be split where a key is hot.
+    many = cut(found.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"), "op9-many", "lz4")
     repeated = cut(found.join(many, "g"), "op9-repeated", "lz4")
-    mixed = repeated.groupBy("g").agg((F.min("c") != F.max("c")).alias("mixed"))
+    mixed = cut(repeated.groupBy("g").agg((F.min("c") != F.max("c")).alias("mixed")), "op9-mixed", "lz4")
     marked = repeated.join(mixed, "g")
     contexts = marked.where("mixed").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("t1", "t2", "pos")))
     contexts = cut(contexts, "op9-contexts", "lz4")
@@ -398,7 +399,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     is set to the characters of the new text.
     """
     kept = _repeats(docs, text_col).select("t1", "t2", "z", "copies", "found").mapInArrow(_kept_texts, "t1 long, t2 long, kept string")
+    kept = kept.toDF("_k1", "_k2", "_kept")  # names that no column of docs is likely to have
     keyed = docs.withColumns({"_t1": F.xxhash64(text_of(docs, text_col)), "_t2": F.crc32(text_of(docs, text_col).cast("binary"))})
-    joined = keyed.drop(text_col).join(kept, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")))
-    out = {text_col: F.col("kept")} | ({length_col: F.length("kept").cast(docs.schema[length_col].dataType)} if length_col else {})
+    joined = keyed.drop(text_col).join(kept, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")))
+    out = {text_col: F.col("_kept")} | ({length_col: F.length("_kept").cast(docs.schema[length_col].dataType)} if length_col else {})
     return joined.withColumns(out).select(*docs.columns)
