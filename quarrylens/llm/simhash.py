@@ -15,6 +15,16 @@ Defined results: a null text counts as empty; a text without words has the
 fingerprint zero and is linked like any other; an empty table gives an empty
 result; rows with a null id keep a row, and take a component like others (null
 only if no id in the component is known); repeated rows give repeated rows.
+
+:func:`keep_one` removes near copies by what their texts share: links are pairs
+whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of
+``SIMILARITY`` or more, counted exactly. Such pairs differ in some 12 of 128
+fingerprint bits, so they are searched with wider errors: four segments of 23
+bits each give the codeword indices near them, and a bucket is one index in each
+of two segments. Pairs within ``SEARCH_BITS`` of a bucket are verified; a bucket
+that one group of near copies crowds links its members to its most central ones
+instead of all to all. In it, rows with a null id have no name to be dropped by
+and stay, and rows that share the smallest id of a group all stay.
 """
 
 from __future__ import annotations
@@ -38,24 +48,51 @@ SEED = 42
 #: A larger bucket is linked by shared one-bit variants instead of a distance matrix.
 MATRIX = 512
 
+#: What makes two texts near copies for :func:`keep_one`.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Bits (of 128) at which such texts are compared; random texts differ in 64, near copies in 26 at most as measured.
+SEARCH_BITS = 26
+#: The four segments: (half of the fingerprint, first bit), each a whole Golay word.
+WIDE = ((0, 0), (0, 23), (1, 0), (1, 23))
+WIDE_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+#: Members of a bucket that are compared all with all, if they make few pairs for each member.
+CROWD, FEW = 256, 4
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of the word shingles of a text, repeats included, as a signed 64-bit integer."""
+
+def _majority(text: bytes, words: int, digest, size: int) -> bytes:
+    """Bits set in over half the digests (of ``size`` bytes) of a text's word shingles, repeats included."""
     tokens = text.lower().split()  # for bytes: A-Z and the six white-space characters only
     if not tokens:
-        return 0
+        return bytes(size)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[:n]
     stops = ends[min(words, len(tokens)) - 1 :] - 1
-    digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())])
-    ones = np.zeros(64, np.int64)
-    bits = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+    ones = np.zeros(8 * size, np.int64)
+    bits = np.frombuffer(hashes, np.uint8).reshape(n, size)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(bits[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of the word shingles of a text, repeats included, as a signed 64-bit integer."""
+    return int.from_bytes(_majority(text, words, xxhash.xxh64_digest, 8), "big", signed=True)
+
+
+def wide_fingerprint(text: bytes, words: int = 3) -> tuple[int, int]:
+    """SimHash of 128 bits, as two signed integers."""
+    bits = _majority(text, words, xxhash.xxh3_128_digest, 16)
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+
+
+def shingle_set(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Hashes of the distinct word shingles of a text."""
+    tokens = text.lower().split()
+    found = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in found], np.uint64)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -173,8 +210,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component."""
-    found = near_duplicates(docs, id_col, text_col, words, max_bits)
-    drop = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]), "left_anti")
+# ---- near copies by shared shingles -----------------------------------------------------------
+
+
+def _wide_words(f: np.ndarray, segment: int) -> np.ndarray:
+    """A segment of fingerprints (rows of two integers)."""
+    half, at = WIDE[segment]
+    return ((f[:, half].view(np.uint64) >> np.uint64(at)) & np.uint64((1 << 23) - 1)).astype(np.int64)
+
+
+def _wide_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of all buckets of each fingerprint."""
+    lists = []
+    for s in range(len(WIDE)):
+        rows, index = near_indices(_wide_words(f, s), 23)
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        table = np.full((len(f), int(nth.max()) + 1), -1, np.int64)
+        table[rows, nth] = index
+        lists.append(table)
+    keys, whose = [], []
+    for p, (i, j) in enumerate(WIDE_PAIRS):
+        a, b = lists[i][:, :, None], lists[j][:, None, :]
+        row, _, _ = np.nonzero((a >= 0) & (b >= 0))
+        keys.append((np.int64(p) << 24 | a << 12 | b)[(a >= 0) & (b >= 0)])
+        whose.append(row)
+    return np.concatenate(keys), np.concatenate(whose)
+
+
+def _emit_wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            f = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            key, row = _wide_keys(f)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(f[row, 0]), pa.array(f[row, 1])], ["key", "f1", "f2"])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, the last axis holding their two integers."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def _bucket_pairs(key: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (member, other) of a bucket's distinct fingerprints to verify."""
+    n = len(f)
+    if n <= CROWD:
+        a, b = np.nonzero(np.triu(_apart(f[:, None], f[None, :]) <= SEARCH_BITS, 1))
+        if len(a) <= FEW * n:
+            return a, b
+    # Crowded: members meet the central ones, in the bucket of their own nearest codewords only.
+    i, j = WIDE_PAIRS[key >> 24]
+    own = (decode(_wide_words(f, i)) == key >> 12 & 4095) & (decode(_wide_words(f, j)) == key & 4095)
+    bits = np.unpackbits(f.view(np.uint8).reshape(n, 16), axis=1)
+    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).view(np.int64)
+    left, a, b = np.ones(n, bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.argsort(_apart(f, middle[None, :]), kind="stable").tolist():
+        if left[c]:
+            near = _apart(f, f[c][None, :]) <= SEARCH_BITS
+            left[near] = False
+            near &= own
+            near[c] = False
+            a.append(np.flatnonzero(near))
+            b.append(np.full(len(a[-1]), c))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify of rows dealt and sorted by bucket, each once for some ten thousand rows."""
+
+    def solve(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([at, [len(key)]]))
+        two = at[size == 2]
+        two = two[_apart(f[two], f[two + 1]) <= SEARCH_BITS]
+        a, b = [two], [two + 1]
+        for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
+            x, y = _bucket_pairs(int(key[s]), np.ascontiguousarray(f[s : s + n]))
+            a.append(x + s)
+            b.append(y + s)
+        pairs = np.concatenate([f[np.concatenate(a)], f[np.concatenate(b)]], axis=1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a1", "a2", "b1", "b2"])
+
+    held, rows = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3)]
+        return cols[0].astype(np.int64), np.stack(cols[1:], axis=1)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 50_000:
+            key, f = joined()
+            whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if whole:
+                yield solve(key[:whole], f[:whole])
+                rest = [key[whole:].astype(np.int32), f[whole:, 0], f[whole:, 1]]
+                held, rows = [pa.RecordBatch.from_arrays([pa.array(x) for x in rest], ["key", "f1", "f2"])], len(rest[0])
+    if rows:
+        yield solve(*joined())
+
+
+def _similar_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): least ids of fingerprints whose texts are near copies. fps: id, f1, f2."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    keys = fps.select("f1", "f2").distinct().mapInArrow(_emit_wide_keys, "key int, f1 long, f2 long")
+    pairs = keys.repartition("key").sortWithinPartitions("key", "f1", "f2").mapInArrow(_wide_candidates, "a1 long, a2 long, b1 long, b2 long")
+    pairs = cut(pairs.distinct(), "op7-candidates")
+    small_batches(spark)
+    asked = pairs.selectExpr("a1 AS f1", "a2 AS f2").unionByName(pairs.selectExpr("b1 AS f1", "b2 AS f2")).distinct()
+    ids = fps.where("id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("id"))
+    asked = cut(asked.join(ids, ["f1", "f2"]), "op7-asked")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column("t")]
+            # An id may have further rows with other texts.
+            own = [wide_fingerprint(t) == (x, y) for t, x, y in zip(texts, b.column("f1").to_pylist(), b.column("f2").to_pylist())]
+            held = [shingle_set(t) if ok else None for t, ok in zip(texts, own)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("f1"), b.column("f2"), pa.array(held, pa.list_(pa.int64()))], ["id", "f1", "f2", "s"])
+
+    texts = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t")).join(asked, "id").select("id", "f1", "f2", "t")
+    found = texts.mapInArrow(sets, f"id {kind}, f1 long, f2 long, s array<bigint>").where("s IS NOT NULL")
+    found = cut(found.dropDuplicates(["f1", "f2"]), "op7-shingles")
+    left, right = (found.toDF(f"{x}", f"{x}1", f"{x}2", f"s{x}") for x in "ab")
+    # First the side that many pairs may share, while the pairs are thin.
+    both = pairs.join(right, ["b1", "b2"]).select("a1", "a2", "b", "sb").join(left, ["a1", "a2"])
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb")).alias("of"))
+    return links.where(F.col("n") >= SIMILARITY * (F.col("of") - F.col("n"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near copies."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_fingerprint(t.as_py()) for t in b.column(1)]
+            halves = [pa.array([x[i] for x in found], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *halves], ["id", "f1", "f2"])
+
+    rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t"))
+    fps = cut(rows.mapInArrow(run, f"id {kind}, f1 long, f2 long"), "op7-wide")
+    groups = connected_components(_similar_links(docs, fps, id_col, text_col), "op7-similar")
+    least = fps.groupBy("f1", "f2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    rooted = least.join(groups, least["least"] == groups["node"], "left").where("n > 1 OR node <> component")
+    rooted = cut(rooted.select("f1", "f2", F.coalesce("component", "least").alias("keep")), "op7-rooted")
+    drop = fps.join(rooted, ["f1", "f2"]).where("id <> keep").select(F.col("id").alias("_drop")).distinct()
+    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")

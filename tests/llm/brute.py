@@ -65,3 +65,21 @@ def components(ids: list, fps: list[int], bits: int = 2):
         r = find(i)
         least[r] = min(least.get(r, ids[i]), ids[i])
     return [least[find(i)] for i in range(len(fps))]
+
+
+def similar_components(rows, words, similarity):
+    """Smallest id reached from each row over pairs whose shingle sets are similar."""
+    sets = []
+    for _, text in rows:
+        t = (text or "").encode().lower().split()
+        sets.append({tuple(t[i : i + words]) for i in range(max(1, len(t) - words + 1))})
+    label = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if label[i] != label[j] and len(a & b) >= similarity * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label

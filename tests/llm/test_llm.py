@@ -98,11 +98,46 @@ def test_near_duplicates(spark):
     fps = [brute.fingerprint(t or "") for _, t in rows]
     expected = [(i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute.components([i for i, _ in rows], fps))]
     assert _rows(got, "doc_id", "fingerprint", "component_id") == sorted(expected, key=repr)
-    kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
-    assert kept == {c for _, _, c in expected}
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def _similar_rows():
+    r = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    for g in range(12):
+        base = [r.choice(["oak", "elm", "fir", "ash"]) + str(r.randint(0, 400)) for _ in range(r.randint(120, 500))]
+        for v in range(6):
+            text = list(base)
+            for _ in range(v * len(base) // 250 if g else 3 * v):
+                text[r.randrange(len(text))] = f"new{r.randint(0, 9999)}"
+            rows.append((100 + 10 * g + v, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("crowd", "few"), [(256, 4), (256, 0), (0, 0)])
+def test_keep_one_of_near_copies(spark, monkeypatch, crowd, few):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "FEW", few)
+    rows = _similar_rows()
+    kept = simhash.keep_one(spark.createDataFrame([(*x, "n", 1) for x in rows], DOCS + ", id string, f1 int"))
+    assert kept.columns == ["doc_id", "text", "id", "f1"]
+    got = {x["doc_id"] for x in kept.collect()}
+    expected = brute.similar_components(rows, 5, 0.8)
+    groups: dict = {}
+    for (i, _), c in zip(rows, expected):
+        groups.setdefault(c, set()).add(i)
+    assert got >= set(groups)  # none is dropped that is like no other
+    assert len(got - set(groups)) <= (1 if few else 3)  # the search is not exact
+
+
+def test_keep_one_with_odd_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (None, "a lone text"), (None, None), (5, "other")]
+    got = _rows(simhash.keep_one(spark.createDataFrame(rows, DOCS)), "doc_id", "text")
+    assert got == sorted([(1, long), (1, long), (None, long), (None, "a lone text"), (None, None), (5, "other")], key=repr)
+    assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # ---- 9 repeated strings -----------------------------------------------------------------------
 
 
