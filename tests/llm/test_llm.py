@@ -348,6 +348,14 @@ def test_language_model(spark):
     assert sum(g["score"] for g in out) > sum(g["base_score"] for g in out)
 
 
+def test_most_frequent_words(spark):
+    r = random.Random(3)
+    rows = [(f"w{i}".encode(), r.choice([1, 2, 3, 50, 1000 + i])) for i in range(500)]
+    counts = spark.createDataFrame(rows, "w binary, c long")
+    for n in (1, 90, 250, 480, 900):
+        assert [bytes(x["w"]) for x in maxent_lm._most_frequent(counts, n)] == [w for w, _ in sorted(rows, key=lambda x: (-x[1], x[0]))][:n]
+
+
 def test_language_model_sums_to_one(spark):
     texts = spark.createDataFrame([(t or "",) for _, t in _lm_rows()], "t string").select(F.col("t").cast("binary").alias("t"))
     model, counts = maxent_lm.train(texts, updates=5)
