@@ -121,7 +121,10 @@ def correlations(df: DataFrame, columns: list[str] | None = None, least: int = 5
     def measure(a: str, b: str) -> Column:
         x, y = cells[a], cells[b]
         both = x.isNotNull() & y.isNotNull()
-        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.count(F.when(both, 1)).alias("n"), F.corr(F.when(both, x), F.when(both, y)).alias("raw"))
+        x, y = F.when(both, x), F.when(both, y)
+        # corr() itself fails on a constant column where ANSI mode is on.
+        raw = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.count(F.when(both, 1)).alias("n"), raw.alias("raw"))
 
     rows = df.agg(F.array(*[measure(a, b) for a, b in pairs]).alias("a")).select(F.inline("a"))
     r = F.when((F.col("n") >= least) & ~F.isnan("raw"), jsround(F.col("raw")))
