@@ -21,7 +21,8 @@ whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of
 ``SIMILARITY`` or more, counted exactly. Such pairs differ in some 12 of 128
 fingerprint bits, so they are searched with wider errors: four segments of 23
 bits each give the codeword indices near them, and a bucket is one index in each
-of two segments. Pairs within ``SEARCH_BITS`` of a bucket are verified; a bucket
+of two segments. Texts are one only if their shingle sets are equal (by a hash of
+128 bits); texts of one fingerprint are verified like any other pair. Pairs within ``SEARCH_BITS`` of a bucket are verified; a bucket
 that one group of near copies crowds links its members to its most central ones
 instead of all to all. In it, rows with a null id have no name to be dropped by
 and stay, and rows that share the smallest id of a group all stay.
@@ -95,6 +96,12 @@ def shingle_set(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in found], np.uint64)).view(np.int64)
 
 
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """Hash of a shingle set, as two signed integers."""
+    name = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp) of each row, whole texts."""
     small_batches(docs.sparkSession)
@@ -213,6 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- near copies by shared shingles -----------------------------------------------------------
 
 
+#: A row of a bucket: its key, a set's name and size, and the fingerprint.
+_BUCKET = ["key", "h1", "h2", "n", "f1", "f2"]
+_BUCKET_SCHEMA = "key long, h1 long, h2 long, n int, f1 long, f2 long"
+
+
 def _wide_words(f: np.ndarray, segment: int) -> np.ndarray:
     """A segment of fingerprints (rows of two integers)."""
     half, at = WIDE[segment]
@@ -240,9 +252,9 @@ def _wide_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _emit_wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            f = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
-            key, row = _wide_keys(f)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(f[row, 0]), pa.array(f[row, 1])], ["key", "f1", "f2"])
+            h1, h2, n, f1, f2 = (c.to_numpy() for c in b.columns)
+            key, row = _wide_keys(np.stack([f1, f2], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[row], h2[row], n[row], f1[row], f2[row])], _BUCKET)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -274,12 +286,33 @@ def _bucket_pairs(key: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify of rows dealt and sorted by bucket, each once for some ten thousand rows."""
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows dealt and sorted by their first column, some ten thousand rows of whole buckets at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= 50_000:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+            if whole:
+                yield [x[:whole] for x in cols]
+                held, rows = [[x[whole:] for x in cols]], rows - whole
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held)]
+
 
-    def solve(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([at, [len(key)]]))
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the buckets of a sorted column start, and their sizes."""
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return at, np.diff(np.concatenate([at, [len(key)]]))
+
+
+def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of set names to verify."""
+    for key, h1, h2, _, f1, f2 in _buckets_of(batches):
+        h, f = np.stack([h1, h2], axis=1), np.stack([f1, f2], axis=1)
+        at, size = _starts(key)
         two = at[size == 2]
         two = two[_apart(f[two], f[two + 1]) <= SEARCH_BITS]
         a, b = [two], [two + 1]
@@ -287,54 +320,34 @@ def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             x, y = _bucket_pairs(int(key[s]), np.ascontiguousarray(f[s : s + n]))
             a.append(x + s)
             b.append(y + s)
-        pairs = np.concatenate([f[np.concatenate(a)], f[np.concatenate(b)]], axis=1)
+        pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a1", "a2", "b1", "b2"])
-
-    held, rows = [], 0
-
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3)]
-        return cols[0].astype(np.int64), np.stack(cols[1:], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a1", "a2", "b1", "b2"])
 
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 50_000:
-            key, f = joined()
-            whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if whole:
-                yield solve(key[:whole], f[:whole])
-                rest = [key[whole:].astype(np.int32), f[whole:, 0], f[whole:, 1]]
-                held, rows = [pa.RecordBatch.from_arrays([pa.array(x) for x in rest], ["key", "f1", "f2"])], len(rest[0])
-    if rows:
-        yield solve(*joined())
 
+def _shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, id, s): the shingles of the sets of ``asked`` (h1, h2, id)."""
+    small_batches(docs.sparkSession)
 
-def _similar_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): least ids of fingerprints whose texts are near copies. fps: id, f1, f2."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    keys = fps.select("f1", "f2").distinct().mapInArrow(_emit_wide_keys, "key int, f1 long, f2 long")
-    pairs = keys.repartition("key").sortWithinPartitions("key", "f1", "f2").mapInArrow(_wide_candidates, "a1 long, a2 long, b1 long, b2 long")
-    pairs = cut(pairs.distinct(), "op7-candidates")
-    small_batches(spark)
-    asked = pairs.selectExpr("a1 AS f1", "a2 AS f2").unionByName(pairs.selectExpr("b1 AS f1", "b2 AS f2")).distinct()
-    ids = fps.where("id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("id"))
-    asked = cut(asked.join(ids, ["f1", "f2"]), "op7-asked")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column("t")]
+            held = [shingle_set(t.as_py()) for t in b.column("t")]
             # An id may have further rows with other texts.
-            own = [wide_fingerprint(t) == (x, y) for t, x, y in zip(texts, b.column("f1").to_pylist(), b.column("f2").to_pylist())]
-            held = [shingle_set(t) if ok else None for t, ok in zip(texts, own)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("f1"), b.column("f2"), pa.array(held, pa.list_(pa.int64()))], ["id", "f1", "f2", "s"])
-
-    texts = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t")).join(asked, "id").select("id", "f1", "f2", "t")
-    found = texts.mapInArrow(sets, f"id {kind}, f1 long, f2 long, s array<bigint>").where("s IS NOT NULL")
-    found = cut(found.dropDuplicates(["f1", "f2"]), "op7-shingles")
-    left, right = (found.toDF(f"{x}", f"{x}1", f"{x}2", f"s{x}") for x in "ab")
+            own = [set_name(s) == x for s, x in zip(held, zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))]
+            held = pa.array([s if ok else None for s, ok in zip(held, own)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("id"), held], ["h1", "h2", "id", "s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t")).join(asked, "id").select("h1", "h2", "id", "t")
+    found = texts.mapInArrow(run, f"h1 long, h2 long, id {kind}, s array<bigint>").where("s IS NOT NULL")
+    return cut(found.dropDuplicates(["h1", "h2"]), "op7-shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs whose sets are similar, as (id, h1, h2)."""
+    node = F.struct("id", "h1", "h2")
+    right = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), node.alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), node.alias("a"), F.col("s").alias("sa"))
     # First the side that many pairs may share, while the pairs are thin.
     both = pairs.join(right, ["b1", "b2"]).select("a1", "a2", "b", "sb").join(left, ["a1", "a2"])
     common = F.size(F.array_intersect("sa", "sb"))
@@ -342,6 +355,16 @@ def _similar_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str)
     return links.where(F.col("n") >= SIMILARITY * (F.col("of") - F.col("n"))).select("a", "b")
 
 
+def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2."""
+    keys = sets.select("h1", "h2", "n", "f1", "f2").mapInArrow(_emit_wide_keys, _BUCKET_SCHEMA)
+    dealt = keys.repartition("key").sortWithinPartitions("key", "h1", "h2")
+    pairs = cut(dealt.mapInArrow(_wide_candidates, "a1 long, a2 long, b1 long, b2 long").distinct(), "op7-candidates")
+    asked = pairs.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pairs.selectExpr("b1 AS h1", "b2 AS h2")).distinct()
+    asked = cut(sets.select("h1", "h2", "id").join(asked, ["h1", "h2"]), "op7-asked")
+    return connected_components(_verified(pairs, _shingle_sets(docs, asked, id_col, text_col)), "op7-similar")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group of near copies."""
     small_batches(docs.sparkSession)
@@ -349,15 +372,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t.as_py()) for t in b.column(1)]
-            halves = [pa.array([x[i] for x in found], pa.int64()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *halves], ["id", "f1", "f2"])
+            texts = [t.as_py() for t in b.column(1)]
+            shingles = [shingle_set(t) for t in texts]
+            names, marks = [set_name(s) for s in shingles], [wide_fingerprint(t) for t in texts]
+            halves = [pa.array([x[i] for x in v], pa.int64()) for v in (names, marks) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], pa.array([len(s) for s in shingles], pa.int32()), *halves[2:]], ["id", "h1", "h2", "n", "f1", "f2"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t"))
-    fps = cut(rows.mapInArrow(run, f"id {kind}, f1 long, f2 long"), "op7-wide")
-    groups = connected_components(_similar_links(docs, fps, id_col, text_col), "op7-similar")
-    least = fps.groupBy("f1", "f2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    rooted = least.join(groups, least["least"] == groups["node"], "left").where("n > 1 OR node <> component")
-    rooted = cut(rooted.select("f1", "f2", F.coalesce("component", "least").alias("keep")), "op7-rooted")
-    drop = fps.join(rooted, ["f1", "f2"]).where("id <> keep").select(F.col("id").alias("_drop")).distinct()
+    held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long"), "op7-wide")
+    first = [F.first(x).alias(x) for x in ("n", "f1", "f2")]
+    sets = cut(held.where("id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *first), "op7-sets")
+    groups = _similar_groups(docs, sets, id_col, text_col).select("node.h1", "node.h2", F.col("component.id").alias("root"))
+    rooted = sets.join(groups, ["h1", "h2"], "left").select("h1", "h2", "id", "rows", F.coalesce("root", "id").alias("keep"))
+    rooted = cut(rooted.where("rows > 1 OR id <> keep").select("h1", "h2", "keep"), "op7-rooted")
+    drop = held.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).where("id <> keep").select(F.col("id").alias("_drop")).distinct()
     return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")

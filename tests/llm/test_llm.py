@@ -138,6 +138,15 @@ def test_keep_one_with_odd_ids(spark):
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_keep_one_looks_into_equal_fingerprints(spark):
+    line = " ".join(f"line{i}" for i in range(7))
+    rows = [(i, " ".join([line] * 60 + [f"u{i}x{k}" for k in range(100)])) for i in range(6)]
+    rows.append((9, rows[0][1]))
+    assert len({simhash.wide_fingerprint(t.encode()) for _, t in rows}) == 1
+    got = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == set(range(6))  # 9 is a copy of 0; the others share one line
+
+
 # ---- 9 repeated strings -----------------------------------------------------------------------
 
 
