@@ -23,8 +23,9 @@ fingerprint bits, so they are searched with wider errors: four segments of 23
 bits each give the codeword indices near them, and a bucket is one index in each
 of two segments. Texts are one only if their shingle sets are equal (by a hash of
 128 bits); texts of one fingerprint are verified like any other pair. Pairs within ``SEARCH_BITS`` of a bucket are verified; a bucket
-that one group of near copies crowds links its members to its most central ones
-instead of all to all. In it, rows with a null id have no name to be dropped by
+that one group of near copies crowds is settled in rounds: its members meet some
+of them as centres, then more, except where both are of one verified group by
+then. In it, rows with a null id have no name to be dropped by
 and stay, and rows that share the smallest id of a group all stay.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, text_of
-from .golay import decode, near_indices
+from .golay import near_indices
 from .graph import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -262,28 +263,18 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _bucket_pairs(key: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (member, other) of a bucket's distinct fingerprints to verify."""
-    n = len(f)
-    if n <= CROWD:
-        a, b = np.nonzero(np.triu(_apart(f[:, None], f[None, :]) <= SEARCH_BITS, 1))
-        if len(a) <= FEW * n:
-            return a, b
-    # Crowded: members meet the central ones, in the bucket of their own nearest codewords only.
-    i, j = WIDE_PAIRS[key >> 24]
-    own = (decode(_wide_words(f, i)) == key >> 12 & 4095) & (decode(_wide_words(f, j)) == key & 4095)
-    bits = np.unpackbits(f.view(np.uint8).reshape(n, 16), axis=1)
-    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).view(np.int64)
-    left, a, b = np.ones(n, bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for c in np.argsort(_apart(f, middle[None, :]), kind="stable").tolist():
-        if left[c]:
-            near = _apart(f, f[c][None, :]) <= SEARCH_BITS
-            left[near] = False
-            near &= own
-            near[c] = False
-            a.append(np.flatnonzero(near))
-            b.append(np.full(len(a[-1]), c))
-    return np.concatenate(a), np.concatenate(b)
+def _near(n: np.ndarray, f: np.ndarray, x, y) -> np.ndarray:
+    """Whether sets x and y are to be verified: by their sizes, which is exact, and by their fingerprints."""
+    return (np.minimum(n[x], n[y]) >= SIMILARITY * np.maximum(n[x], n[y])) & (_apart(f[x], f[y]) <= SEARCH_BITS)
+
+
+def _all_pairs(n: np.ndarray, f: np.ndarray, crowd: int, few: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs to verify of a bucket, or None if they are too many to take at once."""
+    if len(n) > crowd:
+        return None
+    x, y = np.triu_indices(len(n), 1)
+    near = _near(n, f, x, y)
+    return (x[near], y[near]) if near.sum() <= few * len(n) else None
 
 
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -308,21 +299,72 @@ def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate([at, [len(key)]]))
 
 
-def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of set names to verify."""
-    for key, h1, h2, _, f1, f2 in _buckets_of(batches):
-        h, f = np.stack([h1, h2], axis=1), np.stack([f1, f2], axis=1)
-        at, size = _starts(key)
-        two = at[size == 2]
-        two = two[_apart(f[two], f[two + 1]) <= SEARCH_BITS]
-        a, b = [two], [two + 1]
-        for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = _bucket_pairs(int(key[s]), np.ascontiguousarray(f[s : s + n]))
-            a.append(x + s)
-            b.append(y + s)
-        pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a1", "a2", "b1", "b2"])
+#: What a pass over buckets gives: pairs (a, b) of set names to verify (key null), and rows of crowded buckets.
+_PASS = ["key", "a1", "a2", "b1", "b2", "n", "rank"]
+_PASS_SCHEMA = "key long, a1 long, a2 long, b1 long, b2 long, n int, rank long"
+
+
+def _passed(pairs: np.ndarray, rows: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs (rows of four integers), and of bucket rows (key, h1, h2, n, f1, f2, rank)."""
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    none = pa.nulls(len(pairs), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, *(pa.array(pairs[:, i]) for i in range(4)), none.cast(pa.int32()), none], _PASS)
+    if rows is not None and len(rows[0]):
+        key, h1, h2, n, f1, f2, rank = rows
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1, h2, f1, f2, n.astype(np.int32), rank)], _PASS)
+
+
+def _wide_candidates(crowd: int, few: int):
+    """Pairs of buckets with few; the rows of all others, ranked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h1, h2, n, f1, f2 in _buckets_of(batches):
+            h, f = np.stack([h1, h2], axis=1), np.stack([f1, f2], axis=1)
+            at, size = _starts(key)
+            two = at[size == 2]
+            two = two[_near(n, f, two, two + 1)]
+            a, b, crowded = [two], [two + 1], [np.zeros(0, np.int64)]
+            for s, m in zip(at[size > 2].tolist(), size[size > 2].tolist()):
+                found = _all_pairs(n[s : s + m], f[s : s + m], crowd, few)
+                if found is None:
+                    crowded.append(np.arange(s, s + m))
+                else:
+                    a.append(found[0] + s)
+                    b.append(found[1] + s)
+            rest = np.concatenate(crowded)
+            rank = rest - np.repeat(at, size)[rest]
+            pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
+            yield from _passed(pairs, [key[rest], h1[rest], h2[rest], n[rest], f1[rest], f2[rest], rank])
+
+    return run
+
+
+def _meet_centres(last: int):
+    """Members of crowded buckets meet those left that rank below ``last``, unless they are of one group already.
+
+    Rows whose buckets are all met, or all of one group, are given back no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h1, h2, n, f1, f2, rank, g1, g2 in _buckets_of(batches):
+            h, f, g = (np.stack(x, axis=1) for x in ((h1, h2), (f1, f2), (g1, g2)))
+            a, b, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, m in zip(*(x.tolist() for x in _starts(key))):
+                if (g[s : s + m] == g[s]).all():
+                    continue
+                here = np.arange(s, s + m)
+                for c in here[rank[s : s + m] < last].tolist():  # earlier centres are gone
+                    x = here[c - s + 1 :]
+                    x = x[(g[x] != g[c]).any(axis=1)]
+                    x = x[_near(n, f, x, np.full(len(x), c))]
+                    a.append(x)
+                    b.append(np.full(len(x), c))
+                left.append(here[rank[s : s + m] >= last])
+            rest = np.concatenate(left)
+            pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
+            yield from _passed(pairs, [key[rest], h1[rest], h2[rest], n[rest], f1[rest], f2[rest], rank[rest]])
+
+    return run
 
 
 def _shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,13 +398,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2."""
+    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2.
+
+    Each round takes centres of the crowded buckets, four times as many as before
+    in all, until every two members of a bucket are of one group or have met.
+    """
     keys = sets.select("h1", "h2", "n", "f1", "f2").mapInArrow(_emit_wide_keys, _BUCKET_SCHEMA)
     dealt = keys.repartition("key").sortWithinPartitions("key", "h1", "h2")
-    pairs = cut(dealt.mapInArrow(_wide_candidates, "a1 long, a2 long, b1 long, b2 long").distinct(), "op7-candidates")
-    asked = pairs.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pairs.selectExpr("b1 AS h1", "b2 AS h2")).distinct()
+    found = cut(dealt.mapInArrow(_wide_candidates(CROWD, FEW), _PASS_SCHEMA), "op7-candidates")
+    pair = found.where("key IS NULL")
+    asked = found.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pair.selectExpr("b1 AS h1", "b2 AS h2")).distinct()
     asked = cut(sets.select("h1", "h2", "id").join(asked, ["h1", "h2"]), "op7-asked")
-    return connected_components(_verified(pairs, _shingle_sets(docs, asked, id_col, text_col)), "op7-similar")
+    shingles = _shingle_sets(docs, asked, id_col, text_col)
+    groups = connected_components(_verified(pair.select("a1", "a2", "b1", "b2").distinct(), shingles), "op7-similar")
+    last = 1
+    while not found.where("key IS NOT NULL").isEmpty():
+        rows = found.where("key IS NOT NULL").selectExpr("key", "a1 AS h1", "a2 AS h2", "n", "b1 AS f1", "b2 AS f2", "rank")
+        known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
+        rows = rows.join(known, ["h1", "h2"], "left").select("key", "h1", "h2", "n", "f1", "f2", "rank", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
+        dealt = rows.repartition("key").sortWithinPartitions("key", "rank")
+        found = cut(dealt.mapInArrow(_meet_centres(last), _PASS_SCHEMA), "op7-candidates")
+        links = _verified(found.where("key IS NULL").select("a1", "a2", "b1", "b2").distinct(), shingles)
+        groups = connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
+        last *= 4
+    return groups
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

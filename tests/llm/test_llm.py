@@ -5,6 +5,8 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,26 @@ def test_keep_one_looks_into_equal_fingerprints(spark):
     assert got == set(range(6))  # 9 is a copy of 0; the others share one line
 
 
+@pytest.mark.parametrize("similar", [False, True])
+def test_crowded_buckets_are_settled(similar):
+    """Members near one centre meet each other too, unless they are of one group by then."""
+    n = 20
+    cols = [np.zeros(n, np.int64), np.arange(n), np.arange(n), np.full(n, 100, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in cols], simhash._BUCKET)
+    found, met, last, rounds = list(simhash._wide_candidates(256, 4)([batch])), set(), 1, 0
+    while True:
+        pairs, rows = (pa.Table.from_batches(found).filter(x).to_pylist() for x in (pc.field("key").is_null(), pc.field("key").is_valid()))
+        met |= {frozenset((x["a1"], x["b1"])) for x in pairs}
+        if not rows:
+            break
+        group = [0 if similar and met else x["a1"] for x in rows]
+        cols = [[x[c] for x in rows] for c in ("key", "a1", "a2", "n", "b1", "b2", "rank")] + [group, group]
+        found = list(simhash._meet_centres(last)([pa.RecordBatch.from_arrays([pa.array(x) for x in cols], list("abcdefghi"))]))
+        last, rounds = 4 * last, rounds + 1
+        found = found or [pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("a1", pa.int64()), ("b1", pa.int64())]))]
+    assert len(met) == (n - 1 if similar else n * (n - 1) // 2) and rounds <= 4
+
+
 # ---- 9 repeated strings -----------------------------------------------------------------------
 
 
