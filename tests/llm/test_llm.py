@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -144,7 +145,7 @@ def test_keep_one_looks_into_equal_fingerprints(spark):
     line = " ".join(f"line{i}" for i in range(7))
     rows = [(i, " ".join([line] * 60 + [f"u{i}x{k}" for k in range(100)])) for i in range(6)]
     rows.append((9, rows[0][1]))
-    assert len({simhash.wide_fingerprint(t.encode()) for _, t in rows}) == 1
+    assert len({simhash._majority(t.encode(), 3, xxhash.xxh3_128_digest, 16) for _, t in rows}) == 1
     got = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == set(range(6))  # 9 is a copy of 0; the others share one line
 
@@ -169,6 +170,28 @@ def test_crowded_buckets_are_settled(similar):
     assert len(met) == (n - 1 if similar else n * (n - 1) // 2) and rounds <= 4
 
 
+@pytest.mark.parametrize("kind", ["appended", "block", "scattered"])
+def test_search_finds_pairs_at_the_threshold(kind):
+    """Single pairs of similarity 0.80 to 0.81 share a bucket and are verified."""
+    rng, missed, n = np.random.default_rng(5), 0, 400
+    for _ in range(300):
+        a = [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+        b = list(a)
+        if kind == "appended":
+            b += [f"x{x}" for x in rng.integers(0, 1 << 30, n // 4 - 2)]
+        elif kind == "block":
+            b[100:140] = [f"x{x}" for x in rng.integers(0, 1 << 30, 40)]
+        else:
+            for at in range(20, 400, 46):
+                b[at] = f"x{rng.integers(0, 1 << 30)}"
+        sets = [simhash.shingle_set(" ".join(t).encode()) for t in (a, b)]
+        same = len(np.intersect1d(*sets))
+        assert 0.795 < same / (len(sets[0]) + len(sets[1]) - same) < 0.83
+        (k, *f), (m, *g) = (simhash.band_keys(s) for s in sets)
+        missed += not set(k) & set(m) or simhash._apart(np.array(f), np.array(g)) > simhash.SEARCH_BITS
+    assert missed == 0
+
+
 # ---- 9 repeated strings -----------------------------------------------------------------------
 
 
