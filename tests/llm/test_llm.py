@@ -484,6 +484,14 @@ def test_pages(spark):
     assert text[5] == "Another text of this page, long enough to matter too"
 
 
+def test_text_divided_over_articles():
+    page = "<body><article><p>First part, the longer one</p></article><article><p>Second part</p></article><article class='{}'><p>Other</p></article></body>"
+    lines = page_diff.main_lines(page_diff.lines_of(page.format("teaser")))
+    assert lines == [("First part, the longer one", True), ("Second part", False)]
+    first, second = ([("Long text of page %d, long enough to matter" % i, True), ("Shared", False)] for i in (1, 2))
+    assert page_diff.without_shared(first, second) == ["Long text of page 1, long enough to matter"]
+
+
 def test_common_lines():
     r = random.Random(7)
 
