@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,20 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 _own_dirs: dict[str, str] = {}
+_cut_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only where the session names none and runs on this machine alone (local tests)
+    a temporary folder is made; on a cluster a missing name is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
@@ -35,12 +40,37 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _cut_paths[id(back)] = path
+    weakref.finalize(back, _cut_paths.pop, id(back), None)
+    return back
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the Arrow batches handed to Python, whose rows are whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(*frames: DataFrame) -> None:
+    """Remove tables that :func:`cut` wrote, once nothing that is still to run reads them."""
+    for df in frames:
+        path = _cut_paths.pop(id(df), None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Bound the Arrow batches handed to Python, whose rows are whole texts, by rows and by bytes.
+
+    Plans read the setting when they run, which for a returned frame is later, so it
+    stays with the session; a smaller bound of the user's own is left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     current = cut(edges.where("a <> b").distinct(), name)
     mark = _mark(current)
-    while True:
-        current = cut(_small_star(cut(_large_star(current), name)), name)
+    while mark[0]:
+        large = cut(_large_star(current), name)
+        before, current = current, cut(_small_star(large), name)
+        forget(large, before)
         now = _mark(current)
         if now == mark:
             break
