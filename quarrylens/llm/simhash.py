@@ -23,11 +23,16 @@ fingerprint bits, too many for Golay keys at any bearable number of them. So a
 set is searched by bands of its min-hashes, ``BANDS`` keys of ``BAND_ROWS`` each;
 two sets of one bucket are verified if their sizes allow the similarity and one
 bit of each of 128 min-hashes differs in ``SEARCH_BITS`` at most. Texts are one
-only if their shingle sets are equal (by a hash of 128 bits). A bucket
-that one group of near copies crowds is settled in rounds: its members meet some
-of them as centres, then more, except where both are of one verified group by
-then. In it, rows with a null id have no name to be dropped by
-and stay, and rows that share the smallest id of a group all stay.
+only if their shingle sets are equal (by a hash of 128 bits).
+
+A bucket of up to ``FEW`` sets is compared within a task. Any larger one is met
+by joins: some of its members are centres, which meet all members of other groups
+whose hash is larger; verified links make groups; then there are ``STEP`` times as
+many centres, until a bucket is of one group or every member has been a centre.
+So no task holds a bucket, a group of copies makes some rows for each of its
+members, and any two members of a bucket have met or are of one group. In the
+result, rows with a null id have no name to be dropped by and stay, and rows that
+share the smallest id of a group all stay.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_of
+from .common import cut, forget, small_batches, text_of
 from .golay import near_indices
 from .graph import connected_components
 
@@ -48,8 +53,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Differing bits at which fingerprints link; the segments are made for two.
 MAX_BITS = 2
 SEED = 42
-#: A larger bucket is linked by shared one-bit variants instead of a distance matrix.
-MATRIX = 512
+#: A larger bucket is linked by shared one-bit variants instead of a distance matrix, so many of them at a time.
+MATRIX, VARIANTS = 512, 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: What makes two texts near copies for :func:`keep_one`.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
@@ -57,8 +63,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Bits (of 128, one of each of as many min-hashes) at which sets are verified: at similarity 0.8 some 13 differ, with a deviation of 3.4.
 SEARCH_BITS = 34
-#: Members of a bucket that are compared all with all, if they make few pairs for each member.
-CROWD, FEW = 256, 4
+#: Members of a bucket that a task compares all with all; the growth of the number of centres of a larger one.
+FEW, STEP = 8, 16
 
 
 def _majority(text: bytes, words: int, digest, size: int) -> bytes:
@@ -145,27 +151,46 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _spanning_links(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smallest member it reaches) within a bucket of distinct fingerprints."""
+    """Links (member, smallest member it reaches) within a bucket of distinct fingerprints.
+
+    A large bucket is settled by shared one-bit variants, dealt into parts by a hash
+    of the variant, so beside the bucket itself some ``VARIANTS`` of them are held.
+    """
     word = fp.view(np.uint64)
     if len(fp) <= MATRIX:
         a, b = np.nonzero(np.triu(np.bitwise_count(word[:, None] ^ word[None, :]) <= max_bits, 1))
+        label = _local_components(len(fp), a, b)
     else:  # two bits apart is one bit each from a common variant
-        flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-        variants = (word[:, None] ^ flips[None, :]).ravel()
-        order = np.argsort(variants, kind="stable")
-        owner = order // 65
-        same = variants[order][1:] == variants[order][:-1]
-        a, b = owner[1:][same], owner[:-1][same]
-    label = _local_components(len(fp), a, b)
+        flips = [np.uint64(0), *(np.uint64(1) << np.arange(64, dtype=np.uint64))] if max_bits > 1 else [np.uint64(0)]
+        parts = -(-len(fp) * len(flips) // VARIANTS)
+        label = np.arange(len(fp))
+        for part in range(parts):
+            held, owner = [], []
+            for flip in flips:
+                variant = word ^ flip
+                mine = np.flatnonzero((variant * _MIX >> np.uint64(32)) % np.uint64(parts) == part)
+                held.append(variant[mine])
+                owner.append(mine)
+            variants, whose = np.concatenate(held), np.concatenate(owner)
+            order = np.argsort(variants, kind="stable")
+            same = variants[order][1:] == variants[order][:-1]
+            a, b = label[whose[order][1:][same]], label[whose[order][:-1][same]]
+            label = _local_components(len(fp), a, b)[label]
+        if max_bits == 1:  # one bit apart: one is a variant of the other
+            at = np.argsort(word)
+            for bit in range(64):
+                found = np.searchsorted(word[at], word ^ (np.uint64(1) << np.uint64(bit)))
+                found[found == len(at)] = 0
+                hit = np.flatnonzero(word[at][found] == word ^ (np.uint64(1) << np.uint64(bit)))
+                label = _local_components(len(fp), label[hit], label[at[found[hit]]])[label]
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return fp[moved], fp[label[moved]]
 
 
 def _link_buckets(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([at, [len(key)]]))
+        for key, fp in _buckets_of(batches):
+            at, size = _starts(key)
             two = at[size == 2]
             near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= max_bits
             a, b = [fp[two[near]]], [fp[two[near] + 1]]
@@ -174,18 +199,7 @@ def _link_buckets(max_bits: int):
                 a.append(x)
                 b.append(y)
             edges = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-            if whole >= 20_000:
-                yield solve(key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
-        if len(key):
-            yield solve(key, fp)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return run
 
@@ -215,25 +229,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- near copies by shared shingles -----------------------------------------------------------
 
 
-_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-_XOR, _ODD = _DRAWS[0], _DRAWS[1] | np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
 #: A row of a bucket: its key, a set's name and size, and the bits of its min-hashes.
 _BUCKET = ["key", "h1", "h2", "n", "f1", "f2"]
-_BUCKET_SCHEMA = "key long, h1 long, h2 long, n int, f1 long, f2 long"
 
+_ROUNDS = 8
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, _ROUNDS + BANDS * BAND_ROWS), np.uint64)
+_XOR, _ODD = _DRAWS[0], _DRAWS[1] | np.uint64(1)
+_SLOTS = BANDS * BAND_ROWS
+_EDGES = np.array([(s << 64) // _SLOTS + (s > 0) for s in range(_SLOTS)], np.uint64)
+_FOLD = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
-def band_keys(shingles: np.ndarray) -> tuple[list[int], int, int]:
-    """Keys of the bands of a shingle set's min-hashes, and a bit of each of 128 of them as two signed integers."""
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Min-hashes of a sorted shingle set: two sets agree in each with their similarity's probability.
+
+    Every shingle is thrown into one slot by its hash, which is enough to fill the
+    slots of a long text; slots still empty are filled by the next throws, and the
+    last by min-hashes of their own. A slot's throw depends on the union of two sets
+    only, so both agree in it just as in min-hashes of separate functions.
+    """
     x = shingles.view(np.uint64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(x), 1024):
-        np.minimum(least, ((x[at : at + 1024, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    keys = [xxhash.xxh3_64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
-    bits = np.packbits((least[:128] * _MIX >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-    return keys, int(bits[0]), int(bits[1])
+    at = np.searchsorted(x, _EDGES)
+    held = np.append(x, np.uint64(0))[at]
+    empty = np.append(at[1:], len(x)) == at
+    if empty.any():
+        thrown = (x[:, None] ^ _XOR[:_ROUNDS]) * _ODD[:_ROUNDS]
+        slot = (thrown >> np.uint64(32)) * np.uint64(_SLOTS) >> np.uint64(32)
+        least = np.full((_ROUNDS, _SLOTS), np.iinfo(np.uint64).max)
+        np.minimum.at(least, (np.broadcast_to(np.arange(_ROUNDS), slot.shape), slot.astype(np.int64)), thrown)
+        for row in least:
+            fill = empty & (row != np.iinfo(np.uint64).max)
+            held[fill] = row[fill]
+            empty &= ~fill
+        rest = np.flatnonzero(empty)
+        if len(rest):
+            held[rest] = ((x[:, None] ^ _XOR[_ROUNDS + rest]) * _ODD[_ROUNDS + rest]).min(axis=0)
+    return held
+
+
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Keys of the bands of a shingle set's min-hashes, and a bit of each of 128 of them as two signed integers."""
+    least = min_hashes(shingles)
+    mixed = least * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    keys = (mixed.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
+    bits = np.packbits((mixed[:128] * _MIX >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64), int(bits[0]), int(bits[1])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,15 +287,6 @@ def _near(n: np.ndarray, f: np.ndarray, x, y) -> np.ndarray:
     return (np.minimum(n[x], n[y]) >= SIMILARITY * np.maximum(n[x], n[y])) & (_apart(f[x], f[y]) <= SEARCH_BITS)
 
 
-def _all_pairs(n: np.ndarray, f: np.ndarray, crowd: int, few: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs to verify of a bucket, or None if they are too many to take at once."""
-    if len(n) > crowd:
-        return None
-    x, y = np.triu_indices(len(n), 1)
-    near = _near(n, f, x, y)
-    return (x[near], y[near]) if near.sum() <= few * len(n) else None
-
-
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows dealt and sorted by their first column, some ten thousand rows of whole buckets at a time."""
     held, rows = [], 0
@@ -277,72 +309,36 @@ def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate([at, [len(key)]]))
 
 
-#: What a pass over buckets gives: pairs (a, b) of set names to verify (key null), and rows of crowded buckets.
-_PASS = ["key", "a1", "a2", "b1", "b2", "n", "rank"]
-_PASS_SCHEMA = "key long, a1 long, a2 long, b1 long, b2 long, n int, rank long"
+_PAIR = ["a1", "a2", "b1", "b2"]
 
 
-def _passed(pairs: np.ndarray, rows: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Batches of pairs (rows of four integers), and of bucket rows (key, h1, h2, n, f1, f2, rank)."""
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    none = pa.nulls(len(pairs), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, *(pa.array(pairs[:, i]) for i in range(4)), none.cast(pa.int32()), none], _PASS)
-    if rows is not None and len(rows[0]):
-        key, h1, h2, n, f1, f2, rank = rows
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1, h2, f1, f2, n.astype(np.int32), rank)], _PASS)
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify within buckets of at most ``FEW`` sets."""
+    for key, h1, h2, n, f1, f2 in _buckets_of(batches):
+        h, f = np.stack([h1, h2], axis=1), np.stack([f1, f2], axis=1)
+        at, size = _starts(key)
+        for gap in range(1, FEW):  # each member and the one ``gap`` places on, of all buckets at once
+            x = np.flatnonzero(np.arange(len(key)) + gap < np.repeat(at + size, size))
+            x = x[_near(n, f, x, x + gap)]
+            if len(x):
+                pairs = np.unique(np.concatenate([h[x], h[x + gap]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], _PAIR)
 
 
-def _wide_candidates(crowd: int, few: int):
-    """Pairs of buckets with few; the rows of all others, ranked."""
+def _meetings(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """(a1, a2, b1, b2): members of crowded buckets and the centres, of other groups and smaller hash, that they meet.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, h1, h2, n, f1, f2 in _buckets_of(batches):
-            h, f = np.stack([h1, h2], axis=1), np.stack([f1, f2], axis=1)
-            at, size = _starts(key)
-            two = at[size == 2]
-            two = two[_near(n, f, two, two + 1)]
-            a, b, crowded = [two], [two + 1], [np.zeros(0, np.int64)]
-            for s, m in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-                found = _all_pairs(n[s : s + m], f[s : s + m], crowd, few)
-                if found is None:
-                    crowded.append(np.arange(s, s + m))
-                else:
-                    a.append(found[0] + s)
-                    b.append(found[1] + s)
-            rest = np.concatenate(crowded)
-            rank = rest - np.repeat(at, size)[rest]
-            pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
-            yield from _passed(pairs, [key[rest], h1[rest], h2[rest], n[rest], f1[rest], f2[rest], rank])
-
-    return run
-
-
-def _meet_centres(last: int):
-    """Members of crowded buckets meet those left that rank below ``last``, unless they are of one group already.
-
-    Rows whose buckets are all met, or all of one group, are given back no more.
+    rows: key, h1, h2, n, f1, f2, size, at (a hash of the member), g1, g2. Centres
+    are the members whose hash modulo the bucket's size lies in [low, high).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, h1, h2, n, f1, f2, rank, g1, g2 in _buckets_of(batches):
-            h, f, g = (np.stack(x, axis=1) for x in ((h1, h2), (f1, f2), (g1, g2)))
-            a, b, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, m in zip(*(x.tolist() for x in _starts(key))):
-                if (g[s : s + m] == g[s]).all():
-                    continue
-                here = np.arange(s, s + m)
-                for c in here[rank[s : s + m] < last].tolist():  # earlier centres are gone
-                    x = here[c - s + 1 :]
-                    x = x[(g[x] != g[c]).any(axis=1)]
-                    x = x[_near(n, f, x, np.full(len(x), c))]
-                    a.append(x)
-                    b.append(np.full(len(x), c))
-                left.append(here[rank[s : s + m] >= last])
-            rest = np.concatenate(left)
-            pairs = np.concatenate([h[np.concatenate(a)], h[np.concatenate(b)]], axis=1)
-            yield from _passed(pairs, [key[rest], h1[rest], h2[rest], n[rest], f1[rest], f2[rest], rank[rest]])
-
-    return run
+    centre = rows.where((F.pmod("at", "size") >= low) & (F.pmod("at", "size") < high))
+    centre = centre.select("key", *(F.col(c).alias(f"c_{c}") for c in ("h1", "h2", "n", "f1", "f2", "at", "size", "g1", "g2")))
+    met = rows.join(centre, "key").where("g1 <> c_g1 OR g2 <> c_g2")
+    # A pair meets once: where both are centres of this round at the one with the smaller place, and never after.
+    place, other = F.struct(F.pmod("at", "size"), F.col("h1"), F.col("h2")), F.struct(F.pmod("c_at", "c_size"), F.col("c_h1"), F.col("c_h2"))
+    fits = F.least("n", "c_n") >= SIMILARITY * F.greatest("n", "c_n")
+    near = F.bit_count(F.col("f1").bitwiseXOR(F.col("c_f1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("c_f2"))) <= SEARCH_BITS
+    return met.where((place > other) & fits & near).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c_h1").alias("b1"), F.col("c_h2").alias("b2")).distinct()
 
 
 def _shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -376,29 +372,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, keys.
-
-    Each round takes centres of the crowded buckets, four times as many as before
-    in all, until every two members of a bucket are of one group or have met.
-    """
+    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, keys."""
     keys = sets.select(F.explode("keys").alias("key"), "h1", "h2", "n", "f1", "f2")
-    dealt = keys.repartition("key").sortWithinPartitions("key", "h1", "h2")
-    found = cut(dealt.mapInArrow(_wide_candidates(CROWD, FEW), _PASS_SCHEMA), "op7-candidates")
-    pair = found.where("key IS NULL")
-    asked = found.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pair.selectExpr("b1 AS h1", "b2 AS h2")).distinct()
+    # Written first, so that the join can split a key that very many sets share.
+    sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "op7-sizes", "lz4")
+    sized = cut(keys.join(sizes, "key"), "op7-sized", "lz4")
+    forget(sizes)
+    dealt = sized.where(F.col("size") <= FEW).select(*_BUCKET).repartition("key").sortWithinPartitions("key")
+    pairs = cut(dealt.mapInArrow(_bucket_pairs, "a1 long, a2 long, b1 long, b2 long"), "op7-pairs")
+    crowded = sized.where(F.col("size") > FEW)
+    members = crowded.select("h1", "h2")
+    asked = pairs.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pairs.selectExpr("b1 AS h1", "b2 AS h2")).unionByName(members).distinct()
     asked = cut(sets.select("h1", "h2", "id").join(asked, ["h1", "h2"]), "op7-asked")
     shingles = _shingle_sets(docs, asked, id_col, text_col)
-    groups = connected_components(_verified(pair.select("a1", "a2", "b1", "b2").distinct(), shingles), "op7-similar")
-    last = 1
-    while not found.where("key IS NOT NULL").isEmpty():
-        rows = found.where("key IS NOT NULL").selectExpr("key", "a1 AS h1", "a2 AS h2", "n", "b1 AS f1", "b2 AS f2", "rank")
+    groups = connected_components(_verified(pairs.distinct(), shingles), "op7-similar")
+    most = crowded.agg(F.max("size")).first()[0] or 0
+    low, high = 0, 1
+    rows = crowded.withColumn("at", F.xxhash64("h1", "h2", "key"))
+    while low < most:
         known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
-        rows = rows.join(known, ["h1", "h2"], "left").select("key", "h1", "h2", "n", "f1", "f2", "rank", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
-        dealt = rows.repartition("key").sortWithinPartitions("key", "rank")
-        found = cut(dealt.mapInArrow(_meet_centres(last), _PASS_SCHEMA), "op7-candidates")
-        links = _verified(found.where("key IS NULL").select("a1", "a2", "b1", "b2").distinct(), shingles)
-        groups = connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
-        last *= 4
+        rows = rows.join(known, ["h1", "h2"], "left").withColumns({"g1": F.coalesce("g1", "h1"), "g2": F.coalesce("g2", "h2")})
+        # Buckets of one group are done, and so are those whose members have all been centres.
+        mixed = rows.groupBy("key").agg(F.min("g1").alias("x1"), F.max("g1").alias("y1"), F.min("g2").alias("x2"), F.max("g2").alias("y2")).where("x1 <> y1 OR x2 <> y2").select("key")
+        rows = cut(rows.where(F.col("size") > low).join(mixed, "key"), "op7-crowded", "lz4")
+        if rows.isEmpty():
+            break
+        met = cut(_meetings(rows, low, high), "op7-met", "lz4")
+        links = cut(_verified(met, shingles), "op7-links")
+        forget(met)
+        if not links.isEmpty():
+            groups = connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
+        rows = rows.drop("g1", "g2")
+        low, high = high, high * STEP
     return groups
 
 
