@@ -15,11 +15,12 @@ each offset, and a window repeats where two contexts share a block in both.
 Found windows are verified byte by byte.
 
 An anchor with over ``HOT`` distinct contexts (a line that very many texts
-share) would put them all in one task. Its windows are instead counted one by
-one, combined before the shuffle: the exact way for the rest.
+share) would put them all in one task. Its windows are instead grouped by their
+own bytes and counted, combined before the shuffle: the exact way for the rest.
 
-Texts are identified by 96 bits of two hashes, anchors by 128 bits of two
-hashes. Equal texts are handled once.
+Texts are identified by 96 bits of two hashes; contexts are taken as copies of one
+another by 128 bits, the hash of the anchor and that of the context. All other
+windows are compared byte by byte. Equal texts are handled once.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
 lose nothing; a text that occurs more than once loses all its bytes if it is
@@ -40,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_of
+from .common import cut, forget, small_batches, text_of
 from .suffix_sort import BASE, Ends, padded
 
 LENGTH, GRAM = 200, 40
@@ -175,10 +176,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of listed anchors; of hot ones their windows. (route, g, c, n, d, before, data)"""
+    """Contexts of listed anchors (d: -1); of hot ones their windows. (g, c, n, d, before, data)"""
     unpack = zstandard.ZstdDecompressor().decompress
-    names = ["route", "g", "c", "n", "d", "before", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["g", "c", "n", "d", "before", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(zip(*rows), kinds)], names)
@@ -192,11 +193,10 @@ def _fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 before = min(BEFORE, p)
                 data = text[p - before : p + AFTER]
                 if not a["hot"]:
-                    rows.append((a["g"], a["g"], a["c"], n, -1, before, data))
+                    rows.append((a["g"], a["c"], n, -1, before, data))
                 else:
                     for d in _own_windows(data, before).tolist():
-                        window = data[before - d : before - d + LENGTH]
-                        rows.append((xxhash.xxh3_64_intdigest(window) - (1 << 63), a["g"], a["c"], n, d, before, b""))
+                        rows.append((a["g"], a["c"], n, d, before, data[before - d : before - d + LENGTH]))
             if len(rows) >= 5000:
                 yield emit(rows)
                 rows = []
@@ -351,10 +351,10 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def _settled(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Repeated extents (t1, t2, found) of the anchors of each text."""
     # Written first, small tables leave both sides of a join free to be split where a key is hot.
-    many = cut(found.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g"), "op9-many", "lz4")
-    repeated = cut(found.join(many, "g"), "op9-repeated", "lz4")
-    mixed = cut(repeated.groupBy("g").agg((F.min("c") != F.max("c")).alias("mixed")), "op9-mixed", "lz4")
-    marked = repeated.join(mixed, "g")
+    extent = found.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1")
+    many = cut(extent.select("g", (F.col("c1") != F.col("c2")).alias("mixed")), "op9-many", "lz4")
+    marked = cut(found.join(many, "g"), "op9-repeated", "lz4")
+    forget(found, many)
     contexts = marked.where("mixed").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("t1", "t2", "pos")))
     contexts = cut(contexts, "op9-contexts", "lz4")
     hot = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("g", F.lit(True).alias("hot"))
@@ -363,17 +363,19 @@ def _settled(texts: DataFrame, found: DataFrame) -> DataFrame:
     def fetched(rows: DataFrame) -> DataFrame:
         # At most the anchors of one text; the exchange of the texts is one for all uses in the plan.
         wanted = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "g", "c", "n", "hot")).alias("wanted"))
-        return texts.join(wanted, ["t1", "t2"]).mapInArrow(_fetch_contexts, "route long, g long, c long, n long, d int, before int, data binary")
+        return texts.join(wanted, ["t1", "t2"]).mapInArrow(_fetch_contexts, "g long, c long, n long, d int, before int, data binary")
 
     whole = fetched(listed.where("NOT hot")).repartition("g").sortWithinPartitions("g", "c").mapInArrow(_settle, "g long, c long, b int, a int")
-    windows = fetched(listed.where("hot")).select("route", "g", "c", "d", "n")
-    again = windows.groupBy("g", "route").agg(F.sum("n").alias("times")).where("times > 1").select("g", "route")
-    counted = windows.join(again, ["g", "route"]).groupBy("g", "c").agg(F.max("d").alias("b"), (F.lit(LENGTH) - F.min("d")).cast("int").alias("a"))
+    windows = fetched(listed.where("hot")).select("g", "c", "d", "n", "data")
+    again = windows.groupBy("g", "data").agg(F.sum("n").alias("times")).where("times > 1").select("g", "data")
+    counted = windows.join(again, ["g", "data"]).groupBy("g", "c").agg(F.max("d").alias("b"), (F.lit(LENGTH) - F.min("d")).cast("int").alias("a"))
     places = marked.where("mixed").join(whole.unionByName(counted), ["g", "c"]).select("t1", "t2", "pos", "b", "a")
     same = marked.where("NOT mixed").select("t1", "t2", "pos", F.lit(BEFORE).alias("b"), F.lit(AFTER).alias("a"))
     # Copies of a text have the same places: one of each goes on.
     once = places.unionByName(same).groupBy("t1", "t2", "pos").agg(F.max("b").alias("b"), F.max("a").alias("a"))
-    return cut(once.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "b", "a")).alias("found")), "op9-spans")
+    spans = cut(once.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "b", "a")).alias("found")), "op9-spans")
+    forget(marked, contexts)
+    return spans
 
 
 def _repeats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -399,8 +401,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     is set to the characters of the new text.
     """
     kept = _repeats(docs, text_col).select("t1", "t2", "z", "copies", "found").mapInArrow(_kept_texts, "t1 long, t2 long, kept string")
-    kept = kept.toDF("_k1", "_k2", "_kept")  # names that no column of docs is likely to have
-    keyed = docs.withColumns({"_t1": F.xxhash64(text_of(docs, text_col)), "_t2": F.crc32(text_of(docs, text_col).cast("binary"))})
-    joined = keyed.drop(text_col).join(kept, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")))
-    out = {text_col: F.col("_kept")} | ({length_col: F.length("_kept").cast(docs.schema[length_col].dataType)} if length_col else {})
-    return joined.withColumns(out).select(*docs.columns)
+    # The columns of docs travel as one struct, so that none can clash with a name used here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text_of(docs, text_col)).alias("t1"), F.crc32(text_of(docs, text_col).cast("binary")).alias("t2"))
+    rows = rows.withColumn("row", F.col("row").dropFields(text_col)) if len(docs.columns) > 1 else rows
+    joined = rows.join(kept, ["t1", "t2"])
+    new = {text_col: F.col("kept")} | ({length_col: F.length("kept").cast(docs.schema[length_col].dataType)} if length_col else {})
+    return joined.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
