@@ -4,11 +4,11 @@ A normalised text is cut into blocks of ``block`` characters. The distinct
 blocks are sorted and numbered, so equal blocks and only they share an integer
 name. Adjacent names are then paired, the distinct pairs sorted and numbered in
 turn, until one name is left for each document: its identity. No hash decides
-anything, so two texts share an identity exactly when they are equal.
+which texts are equal: two share an identity exactly when they are.
 
 A row that is alone under (length, first block) has its identity already, so
-only the others go on to the naming. Rows with the same id, length and text are
-one *label* with a multiplicity.
+only the others go on to the naming. Rows with the same id, length and SHA-256 of
+the text are one *label* with a multiplicity; there alone a hash stands for a text.
 
 Defined results: a null text counts as empty, empty texts are equal to each
 other; an empty table gives an empty result; of rows equal in id and text
@@ -113,8 +113,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay, with all their columns."""
     kept = cut(_groups(docs, id_col, text_col, block).where("stays").select(*_LABEL, "copies"), "op10-kept")
     norm = F.regexp_replace(text_of(docs, text_col), SPACE + "+", "")
-    rows = docs.select("*", F.length(text_of(docs, text_col)).cast("long").alias("_chars"), F.sha2(norm, 256).alias("_sha"))
-    on = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_chars"] == kept["_chars"]) & (rows["_sha"] == kept["_sha"])
-    once = rows.join(kept.where("copies = 1"), on, "left_semi").select(*docs.columns)
-    again = rows.join(kept.where("copies > 1"), on, "left_semi").dropDuplicates([id_col, "_chars", "_sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    # The columns of docs travel as one struct, so that none can clash with a name used here.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(row, F.col(id_col).alias("_rid"), F.length(text_of(docs, text_col)).cast("long").alias("_rchars"), F.sha2(norm, 256).alias("_rsha"))
+    on = rows["_rid"].eqNullSafe(kept["_id"]) & (rows["_rchars"] == kept["_chars"]) & (rows["_rsha"] == kept["_sha"])
+    once = rows.join(kept.where("copies = 1"), on, "left_semi").select("_row")
+    again = rows.join(kept.where("copies > 1"), on, "left_semi").dropDuplicates(["_rid", "_rchars", "_rsha"]).select("_row")
+    return once.unionByName(again).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
