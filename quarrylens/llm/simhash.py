@@ -21,9 +21,10 @@ whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of
 ``SIMILARITY`` or more, counted exactly. Such sets differ in some 19 of 128
 fingerprint bits, too many for Golay keys at any bearable number of them. So a
 set is searched by bands of its min-hashes, ``BANDS`` keys of ``BAND_ROWS`` each;
-two sets of one bucket are verified if their sizes allow the similarity and one
-bit of each of 128 min-hashes differs in ``SEARCH_BITS`` at most. Texts are one
-only if their shingle sets are equal (by a hash of 128 bits).
+two sets of one bucket are verified if their sizes allow the similarity and their
+min-hashes do: one bit of each of 128 differs in ``SEARCH_BITS`` at most, and in
+crowded buckets ``SEARCH_WIDE`` of twelve bits of each of 160. Texts are one only if their
+shingle sets are equal (by a hash of 128 bits).
 
 A bucket of up to ``FEW`` sets is compared within a task. Any larger one is met
 by joins: some of its members are centres, which meet all members of other groups
@@ -38,6 +39,8 @@ share the smallest id of a group all stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,10 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Bits (of 128, one of each of as many min-hashes) at which sets are verified: at similarity 0.8 some 13 differ, with a deviation of 3.4.
 SEARCH_BITS = 34
+#: Bits (of 1,920, twelve of each of 160 min-hashes) at which members of crowded buckets are verified: at similarity 0.8 some 192 differ, with a deviation of 32.
+SEARCH_WIDE = 288
+#: Bits that are kept of each min-hash, five to an integer.
+LANE = 12
 #: Members of a bucket that a task compares all with all; the growth of the number of centres of a larger one.
 FEW, STEP = 8, 16
 
@@ -237,7 +244,6 @@ _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, _ROUNDS + BANDS *
 _XOR, _ODD = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 _SLOTS = BANDS * BAND_ROWS
 _EDGES = np.array([(s << 64) // _SLOTS + (s > 0) for s in range(_SLOTS)], np.uint64)
-_FOLD = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -268,13 +274,13 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Keys of the bands of a shingle set's min-hashes, and a bit of each of 128 of them as two signed integers."""
-    least = min_hashes(shingles)
-    mixed = least * _MIX
+    """The bands of a shingle set's min-hashes, ``LANE`` bits of each, and a bit of each of 128 of them as two signed integers."""
+    mixed = min_hashes(shingles) * _MIX
     mixed ^= mixed >> np.uint64(29)
-    keys = (mixed.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
-    bits = np.packbits((mixed[:128] * _MIX >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-    return keys.view(np.int64), int(bits[0]), int(bits[1])
+    lanes = (mixed * _MIX >> np.uint64(64 - LANE)).reshape(BANDS, BAND_ROWS)
+    bands = (lanes << (np.arange(BAND_ROWS, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64)
+    bits = np.packbits((mixed[:128] >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+    return bands.view(np.int64), int(bits[0]), int(bits[1])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -325,20 +331,33 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], _PAIR)
 
 
+def _differing(a: str, b: str):
+    """How many bits of the bands of two sets differ, and the first band in which none does, as columns."""
+    apart = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(BANDS)]
+    first = F.when(apart[0] == 0, 0)
+    for i, x in enumerate(apart[1:], 1):
+        first = first.when(x == 0, i)
+    return reduce(add, map(F.bit_count, apart)), first
+
+
 def _meetings(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """(a1, a2, b1, b2): members of crowded buckets and the centres, of other groups and smaller hash, that they meet.
+    """(a1, a2, b1, b2): members of crowded buckets and the centres, of other groups and smaller place, that they meet.
 
-    rows: key, h1, h2, n, f1, f2, size, at (a hash of the member), g1, g2. Centres
-    are the members whose hash modulo the bucket's size lies in [low, high).
+    rows: key, band, h1, h2, n, f1, f2, bands, size, at (a hash of the member), g1, g2.
+    A member's place is its hash modulo the bucket's size; centres are the members
+    whose place lies in [low, high). Two members meet at the one with the smaller
+    place, in the first bucket that both are in.
     """
-    centre = rows.where((F.pmod("at", "size") >= low) & (F.pmod("at", "size") < high))
-    centre = centre.select("key", *(F.col(c).alias(f"c_{c}") for c in ("h1", "h2", "n", "f1", "f2", "at", "size", "g1", "g2")))
-    met = rows.join(centre, "key").where("g1 <> c_g1 OR g2 <> c_g2")
-    # A pair meets once: where both are centres of this round at the one with the smaller place, and never after.
-    place, other = F.struct(F.pmod("at", "size"), F.col("h1"), F.col("h2")), F.struct(F.pmod("c_at", "c_size"), F.col("c_h1"), F.col("c_h2"))
+    columns = ("h1", "h2", "n", "f1", "f2", "bands", "at", "place", "g1", "g2")
+    placed = rows.select("key", "band", *columns[:7], F.pmod("at", "size").alias("place"), "g1", "g2")
+    centre = placed.where((F.col("place") >= low) & (F.col("place") < high)).select("key", *(F.col(c).alias(f"c_{c}") for c in columns))
+    wide, first = _differing("bands", "c_bands")
+    later = (F.col("place") > F.col("c_place")) | ((F.col("place") == F.col("c_place")) & (F.col("at") > F.col("c_at")))
     fits = F.least("n", "c_n") >= SIMILARITY * F.greatest("n", "c_n")
-    near = F.bit_count(F.col("f1").bitwiseXOR(F.col("c_f1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("c_f2"))) <= SEARCH_BITS
-    return met.where((place > other) & fits & near).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c_h1").alias("b1"), F.col("c_h2").alias("b2")).distinct()
+    bits = F.bit_count(F.col("f1").bitwiseXOR(F.col("c_f1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("c_f2"))) <= SEARCH_BITS
+    other = (F.col("g1") != F.col("c_g1")) | (F.col("g2") != F.col("c_g2"))
+    met = placed.join(centre, (placed["key"] == centre["key"]) & later & bits & fits & other & (wide <= SEARCH_WIDE) & (first == F.col("band")))
+    return met.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c_h1").alias("b1"), F.col("c_h2").alias("b2")).distinct()
 
 
 def _shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -372,8 +391,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, keys."""
-    keys = sets.select(F.explode("keys").alias("key"), "h1", "h2", "n", "f1", "f2")
+    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, bands."""
+    keys = sets.select(F.posexplode("bands").alias("band", "lanes"), "h1", "h2", "n", "f1", "f2")
+    keys = keys.select(F.xxhash64("band", "lanes").alias("key"), "band", "h1", "h2", "n", "f1", "f2")
     # Written first, so that the join can split a key that very many sets share.
     sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "op7-sizes", "lz4")
     sized = cut(keys.join(sizes, "key"), "op7-sized", "lz4")
@@ -388,7 +408,7 @@ def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str
     groups = connected_components(_verified(pairs.distinct(), shingles), "op7-similar")
     most = crowded.agg(F.max("size")).first()[0] or 0
     low, high = 0, 1
-    rows = crowded.withColumn("at", F.xxhash64("h1", "h2", "key"))
+    rows = crowded.join(sets.select("h1", "h2", "bands"), ["h1", "h2"]).withColumn("at", F.xxhash64("h1", "h2", "key"))
     while low < most:
         known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
         rows = rows.join(known, ["h1", "h2"], "left").withColumns({"g1": F.coalesce("g1", "h1"), "g2": F.coalesce("g2", "h2")})
@@ -418,12 +438,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             shingles = [shingle_set(t) for t in texts]
             names, bands = [set_name(s) for s in shingles], [band_keys(s) for s in shingles]
             halves = [pa.array([x[i] for x in v], pa.int64()) for v, i in ((names, 0), (names, 1), (bands, 1), (bands, 2))]
-            sizes, keys = pa.array([len(s) for s in shingles], pa.int32()), pa.array([x[0] for x in bands], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], sizes, *halves[2:], keys], ["id", "h1", "h2", "n", "f1", "f2", "keys"])
+            sizes, lanes = pa.array([len(s) for s in shingles], pa.int32()), pa.array([x[0] for x in bands], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], sizes, *halves[2:], lanes], ["id", "h1", "h2", "n", "f1", "f2", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t"))
-    held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long, keys array<bigint>"), "op7-wide")
-    first = [F.first(x).alias(x) for x in ("n", "f1", "f2", "keys")]
+    held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long, bands array<bigint>"), "op7-wide")
+    first = [F.first(x).alias(x) for x in ("n", "f1", "f2", "bands")]
     sets = cut(held.where("id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *first), "op7-sets")
     groups = _similar_groups(docs, sets, id_col, text_col).select("node.h1", "node.h2", F.col("component.id").alias("root"))
     rooted = sets.join(groups, ["h1", "h2"], "left").select("h1", "h2", "id", "rows", F.coalesce("root", "id").alias("keep"))

@@ -152,13 +152,25 @@ def test_members_of_crowded_buckets_meet(spark, similar):
     n, met, low, high = 30, [], 0, 1
     while low < n:
         group = 0 if similar and met else None
-        rows = [(k, i, i, 100, 0, 0, n, 7 * i + k, i if group is None else 0, i if group is None else 0) for k in range(2) for i in range(n)]
-        frame = spark.createDataFrame(rows, "key long, h1 long, h2 long, n int, f1 long, f2 long, size long, at long, g1 long, g2 long")
-        met += [frozenset((x["a1"], x["b1"])) for x in simhash._meetings(frame.where("key = 0"), low, high).collect()]
+        rows = [(k, k, i, i, 100, 0, 0, [0] * simhash.BANDS, n, 7 * i + k, i if group is None else 0, i if group is None else 0) for k in range(2) for i in range(n)]
+        frame = spark.createDataFrame(rows, "key long, band int, h1 long, h2 long, n int, f1 long, f2 long, bands array<long>, size long, at long, g1 long, g2 long")
+        met += [frozenset((x["a1"], x["b1"])) for x in simhash._meetings(frame, low, high).collect()]
         low, high = high, high * simhash.STEP
     assert len(met) == len(set(met)) == (n - 1 if similar else n * (n - 1) // 2)
 
 
+def test_differing_bits(spark):
+    rng = np.random.default_rng(4)
+    rows, expected = [], []
+    for _ in range(50):
+        a = rng.integers(0, 1 << simhash.LANE, (simhash.BANDS, simhash.BAND_ROWS))
+        b = np.where(rng.random(a.shape) < 0.3, rng.integers(0, 1 << simhash.LANE, a.shape), a)
+        rows.append([(v << (simhash.LANE * np.arange(simhash.BAND_ROWS))).sum(axis=1).tolist() for v in (a, b)])
+        expected.append((int(np.bitwise_count(a ^ b).sum()), next((i for i, x in enumerate((a == b).all(axis=1)) if x), None)))
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>").select(*simhash._differing("x", "y"))
+    assert [tuple(r) for r in frame.collect()] == expected
+
+
 def test_min_hashes_agree_like_the_sets():
     rng = np.random.default_rng(2)
     for n in (1, 5, 40, 300, 3000):
