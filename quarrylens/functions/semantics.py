@@ -25,6 +25,7 @@ _MONTH_NAME = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 
 #: Sharing of numeric cells above which a column is numeric, below which it is not; and the distinct share of identifiers.
 MOSTLY, HARDLY, MOSTLY_DISTINCT = 0.7, 0.3, 0.9
+# Fixed value: names of identifiers.
 ID_NAME = r"(?i)id$|_id|^id|index|code|key|no$|number"
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -63,7 +64,10 @@ def present(c: Column, kind: T.DataType) -> Column:
 def text_number(c: Column) -> Column:
     """The number that a text spells, else null."""
     t = F.trim(c)
-    return F.when(t.rlike(DECIMAL), t.try_cast("double")).when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(t, 3, 16), 16, 10).cast("double"))
+    out = F.when(t.rlike(DECIMAL), t.try_cast("double"))
+    for letter, digits, base, most in (("xX", "0-9a-fA-F", 16, 15), ("oO", "0-7", 8, 21), ("bB", "01", 2, 63)):
+        out = out.when(t.rlike(f"^0[{letter}][{digits}]{{1,{most}}}$"), F.conv(F.substring(t, 3, most), base, 10).cast("double"))
+    return out
 
 
 def number(c: Column, kind: T.DataType) -> Column:

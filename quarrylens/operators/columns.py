@@ -8,6 +8,7 @@ the shuffle.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,44 +122,80 @@ def column_basics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _moments(df: DataFrame, columns: list[str], approximate: bool) -> DataFrame:
-    """n, sum, extremes, quartiles and population deviation of each column, unrounded."""
+    """n, sum, extremes and population deviation of each column, unrounded; approximate quartiles if asked."""
 
     def measures(c: str) -> list[Column]:
         x = number(F.col(f"`{c}`"), _kind(df, c))
-        quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).cast("array<double>").alias("q")] if approximate else []
         return [
-            F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.stddev_pop(x).alias("sd"), quartiles.cast("array<double>").alias("q"),
+            F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("sd"), *quartiles,
         ]
 
     return _per_column(df, columns, measures)
 
 
+def exact_quantiles(df: DataFrame, sizes: dict[str, int], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of the numbers of columns, ``sizes`` numbers in each.
+
+    Distinct values are counted, combined before the shuffle, and sorted by range;
+    counts of the ranges, a row for each range and column, tell which range holds
+    which rank. So no task holds a column, and only the values at the asked ranks
+    come to the driver.
+    """
+    columns = [c for c in sizes if sizes[c]]
+    if not columns:
+        return {}
+    cells = df.select(*[number(F.col(f"`{c}`"), _kind(df, c)).alias(c) for c in columns])
+    long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "x").where("x IS NOT NULL")
+    dealt = long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        before, offsets = {c: 0 for c in columns}, []
+        for r in dealt.groupBy("column", "part").agg(F.sum("n").alias("n")).orderBy("column", "part").collect():
+            offsets.append((r["column"], r["part"], before[r["column"]]))
+            before[r["column"]] += r["n"]
+        wanted = [(c, int(k)) for c in columns for p in shares for k in {math.floor((sizes[c] - 1) * p), math.ceil((sizes[c] - 1) * p)}]
+        spark = df.sparkSession
+        starts = spark.createDataFrame(offsets, "column string, part int, offset long")
+        ranks = spark.createDataFrame(sorted(set(wanted)), "column string, place long")
+        running = Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        placed = dealt.join(F.broadcast(starts), ["column", "part"]).withColumn("upto", F.col("offset") + F.sum("n").over(running))
+        found = placed.join(F.broadcast(ranks), "column").where("place < upto AND place >= upto - n")
+        at = {(r["column"], r["place"]): r["x"] for r in found.select("column", "place", "x").collect()}
+    finally:
+        dealt.unpersist()
+
+    def value(c: str, p: float) -> float:
+        place = (sizes[c] - 1) * p
+        low, high = at[c, math.floor(place)], at[c, math.ceil(place)]
+        return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
+
+    return {c: [value(c, p) for p in shares] for c in columns}
+
+
 def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """Descriptive statistics and both kinds of outliers of each numeric column with at least two numbers.
 
-    Two scans: moments, then outliers against the fences of the first, which are
-    one small row for each column. ``approximate`` takes quartiles from sketches
-    of bounded size, for columns of very many distinct values.
+    Moments come from one scan, quartiles from sorted counts of the values, outliers
+    from a scan against the fences, one small row for each column. ``approximate``
+    takes quartiles from sketches of bounded size within the first scan.
     """
     columns = columns or numeric_columns(df)
     first = {r["column"]: r for r in _moments(df, columns, approximate).collect()}
     spark = df.sparkSession
     kept = [c for c in columns if first[c]["n"] >= 2]
+    quartiles = {c: first[c]["q"] for c in kept} if approximate else exact_quantiles(df, {c: first[c]["n"] for c in kept})
     schema = (
         "ordinal int, column string, n long, non_numeric long, sum double, mean double, median double, min double, max double, range double, std_dev double, variance double, q1 double, q3 double, "
         "iqr double, skewness double, cv double, lower_fence double, upper_fence double"
     )
 
     def half_up(x: float, digits: int) -> float:
-        import math
-
         return math.floor(x * 10**digits + 0.5) / 10**digits if abs(x) < 1e15 / 10**digits else x
 
     rows, fences = [], {}
     for i, c in enumerate(kept):
         r = first[c]
-        q1, median, q3 = r["q"]
+        q1, median, q3 = quartiles[c]
         iqr = q3 - q1
         low, high = q1 - 1.5 * iqr, q3 + 1.5 * iqr
         fences[c] = (r["mean"], r["sd"], low, high)
@@ -187,9 +224,10 @@ def outlier_disagreement(stats: DataFrame) -> DataFrame:
     return stats.select("column", "z_outliers", "iqr_outliers", ((most > 0) & (gap > 0.5 * most)).alias("disagree"))
 
 
-def primary_column(stats: DataFrame) -> DataFrame:
-    """The column of the largest variance (the first of equals) as a one-row frame."""
-    return stats.orderBy(F.desc("variance"), "column").limit(1).select(F.col("column").alias("primary_column"), "variance")
+def primary_column(stats: DataFrame, order: list[str]) -> DataFrame:
+    """The column of the largest variance as a one-row frame; of equals the first in ``order``, that of the table."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("column"))
+    return stats.orderBy(F.desc("variance"), place).limit(1).select(F.col("column").alias("primary_column"), "variance")
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 7) -> DataFrame:
@@ -221,29 +259,53 @@ def skew_direction(stats: DataFrame) -> DataFrame:
     return stats.select("column", "skewness", label.alias("direction"))
 
 
+def _leaders(counts: DataFrame, top: int) -> DataFrame:
+    """The most frequent values of each column, ranked, ties by value; every task sends on its own leaders only."""
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    """(column, total, cardinality): a row for each column."""
+    return counts.groupBy("column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cardinality"))
+
+
 def category_counts(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """(column, rank, value, n, pct) of the most frequent values; ties by value."""
-    w = Window.partitionBy("column")
     counts = value_counts(df, columns)
-    ranked = counts.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "value")), "total": F.sum("n").over(w)})
-    return ranked.where(F.col("rank") <= top).select("column", "rank", "value", "n", jsround(F.col("n") / F.col("total") * 100, 2).alias("pct"))
+    ranked = _leaders(counts, top).join(F.broadcast(_totals(counts)), "column")
+    return ranked.select("column", "rank", "value", "n", jsround(F.col("n") / F.col("total") * 100, 2).alias("pct"))
 
 
 def category_rollup(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
     """(column, rank, value, n): the most frequent values and an ``Other`` row of the rest, if any."""
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
-    best = F.col("rank") <= top
-    return ranked.groupBy("column", F.when(best, F.col("rank")).otherwise(top + 1).alias("rank"), F.when(best, F.col("value")).otherwise("Other").alias("value")).agg(F.sum("n").alias("n"))
+    counts = value_counts(df, columns)
+    best = _leaders(counts, top).select("column", "rank", "value", "n")
+    held = best.groupBy("column").agg(F.sum("n").alias("held"))
+    rest = _totals(counts).join(F.broadcast(held), "column").where("total > held")
+    return best.unionByName(rest.select("column", F.lit(top + 1).alias("rank"), F.lit("Other").alias("value"), (F.col("total") - F.col("held")).alias("n")))
 
 
 def category_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mode, mode_count, cardinality, concentration_pct): the share is of all rows."""
     total = df.count()
-    w = Window.partitionBy("column")
-    ranked = value_counts(df, columns).withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "value")), "cardinality": F.count(F.lit(1)).over(w)})
-    return ranked.where("rank = 1").select(
-        "column", F.col("value").alias("mode"), F.col("n").alias("mode_count"), "cardinality", jsround(F.col("n") / F.lit(float(total)) * 100, 2).alias("concentration_pct")
-    )
+    counts = value_counts(df, columns)
+    ranked = _leaders(counts, 1).join(F.broadcast(_totals(counts)), "column")
+    return ranked.select("column", F.col("value").alias("mode"), F.col("n").alias("mode_count"), "cardinality", jsround(F.col("n") / F.lit(float(total)) * 100, 2).alias("concentration_pct"))
+
+
+def distribution(df: DataFrame, column: str, top: int = 10, bins: int = 7) -> DataFrame:
+    """(place, label, n) of one column: its histogram where it has one, else its leading values."""
+    if is_numeric(_kind(df, column)):
+        bars = range_labels(histogram(df, [column], bins)).select(F.col("bin").alias("place"), "label", F.col("count").alias("n"))
+        if not bars.isEmpty():
+            return bars
+    return category_rollup(df, [column], top).select((F.col("rank") - 1).alias("place"), F.col("value").alias("label"), "n")
+
+
+def range_labels(bars: DataFrame, money: bool = False) -> DataFrame:
+    """A histogram with the label of each bin's range; amounts of money have a dollar sign and two decimals."""
+    shown = (lambda c: F.concat(F.lit("$"), F.format_number(c, 2))) if money else (lambda c: jsround(F.col(c), 2).cast("string"))
+    return bars.withColumn("label", F.concat_ws(" \u2013 ", shown("low"), shown("high")))
 
 
 def text_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -273,20 +335,26 @@ def category_totals(df: DataFrame, category: str, measure: str, top: int = 5) ->
     x = F.coalesce(number(F.col(f"`{measure}`"), _kind(df, measure)), F.lit(0.0))
     label = F.coalesce(F.col(f"`{category}`").cast("string"), F.lit("null"))
     sums = df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("total"))
-    w = Window.orderBy(F.desc("total"), "label")  # one row for each category
-    shared = sums.withColumns({"rank": F.row_number().over(w), "all": F.sum("total").over(Window.partitionBy())})
     pct = F.when(F.col("all") > 0, jsround(F.col("total") / F.col("all") * 100, 2)).otherwise(0.0)
-    return shared.where(F.col("rank") <= top).select("rank", "label", "count", jsround(F.col("total"), 2).alias("sum"), jsround(F.col("total") / F.col("count"), 2).alias("mean"), pct.alias("pct_of_total"))
+    whole = sums.agg(F.sum("total").alias("all"))  # a single row
+    shared = _first_labels(sums, top).crossJoin(F.broadcast(whole))
+    return shared.select("rank", "label", "count", jsround(F.col("total"), 2).alias("sum"), jsround(F.col("total") / F.col("count"), 2).alias("mean"), pct.alias("pct_of_total"))
+
+
+def _first_labels(sums: DataFrame, top: int) -> DataFrame:
+    """The labels of the largest totals, ranked: tasks send on their own leaders, then one orders these few."""
+    return sums.orderBy(F.desc("total"), "label").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "label")))
 
 
 def donut(df: DataFrame, category: str, measure: str, top: int = 5) -> DataFrame:
     """(rank, label, value, share): the largest sums, and ``Other`` if the rest is positive; shares in whole per cent."""
     x = F.coalesce(number(F.col(f"`{measure}`"), _kind(df, measure)), F.lit(0.0))
     sums = df.groupBy(F.coalesce(F.col(f"`{category}`").cast("string"), F.lit("null")).alias("label")).agg(F.sum(x).alias("total"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "label")))
-    best = F.col("rank") <= top
-    parts = ranked.groupBy(F.when(best, F.col("rank")).otherwise(top + 1).alias("rank"), F.when(best, F.col("label")).otherwise("Other").alias("label")).agg(F.sum("total").alias("value"))
-    parts = parts.where((F.col("rank") <= top) | (F.col("value") > 0))
+    best = _first_labels(sums, top).select("rank", "label", F.col("total").alias("value"))
+    whole = sums.agg(F.sum("total").alias("all"))  # a single row, as is the sum of the leaders
+    rest = whole.crossJoin(best.agg(F.sum("value").alias("held"))).select(F.lit(top + 1).alias("rank"), F.lit("Other").alias("label"), (F.col("all") - F.col("held")).alias("value"))
+    others = sums.agg(F.count(F.lit(1)).alias("labels")).where(F.col("labels") > top)
+    parts = best.unionByName(rest.join(F.broadcast(others), F.lit(True)).where(F.col("value") > 0).drop("labels"))
     return parts.select("rank", "label", jsround(F.col("value"), 2).alias("value"), jsround(F.col("value") / F.sum("value").over(Window.partitionBy()) * 100, 0).alias("share"))
 
 

@@ -98,9 +98,17 @@ def outlier_disagreement(spark, sf_dir):
     return C.outlier_disagreement(C.numeric_stats(load(spark, sf_dir, "events"), ["value", "user_id"]))
 
 
-@query(f'SELECT "column" AS primary_column, variance FROM ({_stats_sql("SELECT * FROM lineitem", MEASURES)}) ORDER BY variance DESC, "column" LIMIT 1')
+_TIED = "SELECT l_tax, l_extendedprice, -l_extendedprice AS a_refund FROM lineitem"
+
+
+@query(
+    f"""SELECT "column" AS primary_column, variance FROM ({_stats_sql(_TIED, ["l_tax", "l_extendedprice", "a_refund"])})
+    ORDER BY variance DESC, list_position(['l_tax', 'l_extendedprice', 'a_refund'], "column") LIMIT 1"""
+)
 def primary_column(spark, sf_dir):
-    return C.primary_column(C.numeric_stats(load(spark, sf_dir, "lineitem"), MEASURES))
+    columns = ["l_tax", "l_extendedprice", "a_refund"]  # the last two tie
+    df = load(spark, sf_dir, "lineitem").select("l_tax", "l_extendedprice", (-F.col("l_extendedprice")).alias("a_refund"))
+    return C.primary_column(C.numeric_stats(df, columns), columns)
 
 
 @query(
@@ -139,6 +147,25 @@ def histogram_mode_bin(spark, sf_dir):
     return C.histogram(load(spark, sf_dir, "orders"), ["o_totalprice"]).where("is_mode").drop("is_mode")
 
 
+@query(
+    f"""SELECT "column", bin, low, high, count, is_mode, CAST({r("low", 2)} AS VARCHAR) || ' \u2013 ' || CAST({r("high", 2)} AS VARCHAR) AS label
+    FROM ({_histogram_sql("SELECT * FROM lineitem", ["l_quantity"])})"""
+)
+def histogram_labels(spark, sf_dir):
+    return C.range_labels(C.histogram(load(spark, sf_dir, "lineitem"), ["l_quantity"]))
+
+
+@query(
+    f"""SELECT 'l_discount' AS source, CAST(bin AS INTEGER) AS place, CAST({r("low", 2)} AS VARCHAR) || ' \u2013 ' || CAST({r("high", 2)} AS VARCHAR) AS label, count AS n
+    FROM ({_histogram_sql("SELECT * FROM lineitem", ["l_discount"])})
+    UNION ALL
+    SELECT 'l_returnflag', CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS INTEGER), l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag"""
+)
+def distribution_source(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem")
+    return C.distribution(df, "l_discount").select(F.lit("l_discount").alias("source"), "*").unionByName(C.distribution(df, "l_returnflag").select(F.lit("l_returnflag").alias("source"), "*"))
+
+
 # ---- types and basics -------------------------------------------------------------------------
 
 _TEXT_DATE = r"regexp_matches(v, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$')"
@@ -591,6 +618,20 @@ def answers(spark, sf_dir):
     return spark.createDataFrame(rows, "topic string, ord int, line string")
 
 
+@query()
+def kpi_row(spark, sf_dir):
+    from . import profile as P
+
+    return P.kpis(_profiled(spark, sf_dir))
+
+
+@query()
+def column_details(spark, sf_dir):
+    from . import profile as P
+
+    return P.column_details(_profiled(spark, sf_dir))
+
+
 @query(
     '''SELECT regexp_replace(line, '^.*?,', '') AS rest, count(*) AS n FROM (
       SELECT CAST(p_partkey AS VARCHAR) || ',' || CASE WHEN p_size % 2 = 0 THEN '"' || p_brand || ', ""' || p_type || '"""' ELSE p_type END || ',' || coalesce(CAST(nullif(p_size, 1) AS VARCHAR), '') AS line FROM part) GROUP BY 1'''

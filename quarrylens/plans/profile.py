@@ -1,12 +1,13 @@
 """A whole profile of a table, and what is said about it: insights, stories and answers.
 
 Types come first, since they decide which sections a column has; every section
-is then a lazy frame over one cached table. Sentences are made from the small
-result frames.
+is then a lazy frame over one cached table (:meth:`Profile.close` frees it).
+Sentences are made from the small result frames.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import quality as Q
 from ..operators import series as S
+from ..sources.sinks import report
 
 #: Insights shown; categories broken down; answers list so many lines.
 INSIGHTS, CATEGORIES = 6, 5
@@ -30,6 +32,9 @@ TOPICS = {
     "columns": ("Column profiles", ["column", "field", "profile", "types"]),
 }
 
+#: Fixed value: names of columns that no chart offers.
+IGNORED = re.compile(r"(s\.?no\.?|id|serial\s*no|uuid)", re.I)
+
 
 def show(x) -> str:
     """A number with thousands separators and at most three decimals."""
@@ -40,6 +45,24 @@ def show(x) -> str:
     return f"{x:,.3f}".rstrip("0").rstrip(".")
 
 
+def show_short(x: float) -> str:
+    """A number in compact form: 1.2K, 3.4M, 5.6B."""
+    for least, letter in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
+        if abs(x) >= least:
+            return f"{x / least:.1f}".rstrip("0").rstrip(".") + letter
+    return show(x)
+
+
+def show_bytes(n: int) -> str:
+    """A size in bytes, KB or MB."""
+    return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB"
+
+
+def chart_columns(names: list[str]) -> list[str]:
+    """Columns worth a chart: serial numbers and bare identifiers are left out, each name comes once."""
+    return [n for n in dict.fromkeys(names) if not IGNORED.fullmatch(n)]
+
+
 def _rows(df: DataFrame | None) -> list[dict]:
     return [r.asDict() for r in df.collect()] if df is not None else []
 
@@ -62,7 +85,11 @@ class Profile:
 
     @cached_property
     def body(self) -> DataFrame:
-        return self.df.select(*[F.col(f"`{c}`") for c in self.types])
+        return self.df.select(*[F.col(f"`{c}`") for c in self.types]).persist()
+
+    def close(self) -> None:
+        """Free what the profile holds."""
+        self.body.unpersist()
 
     @cached_property
     def basics(self) -> DataFrame:
@@ -91,7 +118,7 @@ class Profile:
 
     @cached_property
     def primary(self) -> str | None:
-        found = _first(C.primary_column(self.numeric)) if self.of("numeric") else None
+        found = _first(C.primary_column(self.numeric, self.of("numeric"))) if self.of("numeric") else None
         return found["primary_column"] if found else None
 
     @cached_property
@@ -277,6 +304,64 @@ class Profile:
         raise KeyError(topic)
 
 
+def ask_all(p: Profile, topics: list[str]) -> dict[str, list[str]]:
+    """Answers to topics, each asked once, in the order of the first asking."""
+    return {t: p.ask(t) for t in dict.fromkeys(topics)}
+
+
+def charts(p: Profile) -> list[str]:
+    """Columns that charts offer: numbers and categories, without serial numbers."""
+    return chart_columns(p.of("numeric") + p.of("categorical"))
+
+
+def kpis(p: Profile) -> DataFrame:
+    """(ord, name, value): rows, columns, score, and the trend, or empty cells where there is none."""
+    f = p.facts
+    last = ("Trend", f["summary"]["direction"]) if f["summary"] else ("Empty cells", show(f["missing"]["missing"]))
+    rows = [("Rows", show(f["rows"])), ("Columns", show(len(p.types))), ("Quality score", str(f["score"])), last]
+    return p.df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, name string, value string")
+
+
+def column_details(p: Profile) -> DataFrame:
+    """(ord, column, type, detail): what matters of each column by its type."""
+    stats = {r["column"]: r for r in p.facts["numeric"]}
+    tops = {r["column"]: r for r in _rows(p.categories) if r["rank"] == 1}
+    out = []
+    for i, (c, kind) in enumerate(p.types.items()):
+        b = p.facts["basics"][c]
+        if c in stats:
+            detail = f"{show(stats[c]['min'])} to {show(stats[c]['max'])}, mean {show(stats[c]['mean'])}"
+        elif c in tops:
+            detail = f"{show(b['distinct_count'])} values, most often {tops[c]['value']} ({show(tops[c]['pct'])}%)"
+        else:
+            detail = f"{show(b['distinct_count'])} distinct values"
+        out.append((i, c, kind, detail + (f", {show(b['null_pct'])}% empty" if b["null_count"] else "")))
+    return p.df.sparkSession.createDataFrame(out, "ord int, column string, type string, detail string")
+
+
+def executive_summary(p: Profile) -> str:
+    """One sentence on size and integrity, whose label breaks at 80 and 50."""
+    f = p.facts
+    label = "high" if f["score"] >= 80 else "moderate" if f["score"] >= 50 else "low"
+    return f"{p.name} holds {show(f['rows'])} rows in {len(p.types)} columns; its integrity is {label} (score {f['score']} of 100, {show(f['missing']['missing'])} empty cells, {show(f['duplicates']['duplicates'])} repeated rows)."
+
+
+def full_report(p: Profile) -> str:
+    """Markdown with the summary, the insights, and tables of the schema, the numbers, the texts and the quality."""
+    sections = {
+        "Insights": p.insights().select("rank", "text"), "Schema": p.basics.select("column", "null_pct", "distinct_count"), "Columns": column_details(p).select("column", "type", "detail"),
+        "Numbers": p.numeric.select("column", *[F.round(c, 2).alias(c) for c in ("mean", "min", "max", "std_dev", "skewness")]) if p.of("numeric") else None,
+        "Texts": p.texts, "Quality": p.flags().select("severity", "type", "column", "detail"),
+    }
+    return report(p.name, {k: v for k, v in sections.items() if v is not None}, [executive_summary(p)])
+
+
+def overview(catalog, row_id: str | None = None) -> DataFrame | None:
+    """Key figures of the newest dataset that is ready, or None without any."""
+    names = catalog.names(ready=True)
+    return kpis(profile(catalog.load(names[0]), names[0], row_id)) if names else None
+
+
 def find_topics(text: str) -> list[str]:
     """Topics whose label or keywords hold a text, in any case."""
     t = text.lower()

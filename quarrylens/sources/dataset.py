@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,17 +52,25 @@ class Catalog:
     database: str = "default"
 
     def save(self, name: str, df: DataFrame, **facts: str) -> None:
+        """Store rows as a table; its state, time and facts become properties of the table."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
-        writer = df.write.mode("overwrite")
-        writer.saveAsTable(f"{self.database}.{name}")
-        pairs = ", ".join(f"'{k}' = '{v}'" for k, v in {"quarrylens.status": "ready", **facts}.items())
-        self.spark.sql(f"ALTER TABLE {self.database}.{name} SET TBLPROPERTIES ({pairs})")
+        df.write.mode("overwrite").saveAsTable(f"{self.database}.{name}")
+        held = {"quarrylens.status": "ready", "quarrylens.created_at": str(time.time_ns()), **{k: str(v) for k, v in facts.items()}}
+        quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        self.spark.sql(f"ALTER TABLE {self.database}.{name} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in held.items())})")
 
     def load(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{name}")
 
-    def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
+    def facts(self, name: str) -> dict[str, str]:
+        """The properties that a dataset was stored with."""
+        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.{name}").collect()}
+
+    def names(self, ready: bool = False) -> list[str]:
+        """Stored datasets, newest first; only those that are ready, if asked."""
+        held = {t.name: self.facts(t.name) for t in self.spark.catalog.listTables(self.database) if not t.isTemporary}
+        kept = [n for n, f in held.items() if not ready or f.get("quarrylens.status") == "ready"]
+        return sorted(kept, key=lambda n: (-int(held[n].get("quarrylens.created_at", 0)), n))
 
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")

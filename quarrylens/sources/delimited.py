@@ -29,7 +29,9 @@ _HEAD, _TAIL = re.compile(r"\d{1,4}"), re.compile(r"\d{3}(?:[a-zA-Z%]+|\.\d+)?")
 
 
 def split_line(line: str) -> list[str]:
-    """Fields of one line; quotes may hold commas and doubled quotes, not line breaks."""
+    """Fields of one line, of any length; quotes may hold commas and doubled quotes, not line breaks."""
+    if len(line) > csv.field_size_limit():
+        csv.field_size_limit(len(line))
     return [x.strip() for x in next(csv.reader([line], strict=False), [""])]
 
 
@@ -100,7 +102,10 @@ def repair_lines(lines: DataFrame, header: list[str], kinds: list[str], header_l
             out.insert(0, "_row_id", b["_row_id"].to_numpy())
             yield out
 
-    numbered = lines.withColumn("_row_id", F.monotonically_increasing_id() - 1).where(F.col("value") != header_line)
+    # The header is the first of the lines of a file that equal it: a later one is data.
+    numbered = lines.select("value", F.input_file_name().alias("file"), (F.monotonically_increasing_id() - 1).alias("_row_id"))
+    heads = numbered.where(F.col("value") == header_line).groupBy("file").agg(F.min("_row_id").alias("_row_id"))  # a row for each file
+    numbered = numbered.join(F.broadcast(heads.select("_row_id")), "_row_id", "left_anti").select("value", "_row_id")
     fixed = numbered.mapInPandas(run, "_row_id long, " + ", ".join(f"{n} string" for n in names))
     present = fixed.where(" OR ".join(f"{n} IS NOT NULL" for n in names))
     return present.select("_row_id", *[F.col(n).alias(h) for n, h in zip(names, header)])

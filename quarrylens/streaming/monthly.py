@@ -1,4 +1,4 @@
-"""The monthly series over a stream: the same sums by window, late rows up to a watermark."""
+"""Totals of a stream by windows of fixed width, late rows up to a watermark."""
 
 from __future__ import annotations
 

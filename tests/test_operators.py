@@ -74,3 +74,24 @@ def test_date_gaps(spark):
     df = spark.createDataFrame([("2023-01-01",), ("2023-01-02",), ("2023-01-02",), ("2023-02-20",), (None,)], "d string")
     r = S.date_gaps(df, "d").first()
     assert (r["largest_gap_days"], r["median_gap_days"]) == (49.0, 1.0) and r["gap_anomaly"]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = np.round(rng.normal(0, 50, 3000), 1), rng.integers(0, 4, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)], "x double, y double, z double").repartition(5)
+    got = C.exact_quantiles(df, {"x": 3000, "y": 3000, "z": 0})
+    assert got["x"] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75])) and got["y"] == pytest.approx(np.quantile(y, [0.25, 0.5, 0.75])) and "z" not in got
+
+
+def test_primary_of_equals_is_the_first_column(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 5.0), (2.0, 9.0, 9.0)], "c double, z double, a double")
+    assert C.primary_column(C.numeric_stats(df), df.columns).first()["primary_column"] == "z"
+
+
+def test_distribution_falls_back_to_values(spark):
+    df = spark.createDataFrame([(1.0, "a")] * 3, "same double, name string")
+    assert [r["label"] for r in C.distribution(df, "same").collect()] == ["1.0"]
+    assert [tuple(r) for r in C.distribution(df, "name").collect()] == [(0, "a", 3)]

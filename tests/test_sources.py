@@ -104,3 +104,27 @@ def test_streaming_totals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["n"] for r in spark.table("totals").collect()} <= set(range(1, 31))
+
+
+def test_lines_equal_to_the_header_are_data(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("x,y\n1,2\nx,y\n3," + "z" * 200_000 + "\n")
+    got = delimited.read_delimited(spark, str(tmp_path)).collect()
+    assert sorted((r["x"], r["y"][:1]) for r in got) == [("1", "2")] * 2 + [("3", "z")] * 2 + [("x", "y")] * 2
+
+
+def test_catalog_is_newest_first(spark, tmp_path):
+    c = dataset.Catalog(spark, "shelf")
+    for name in ("old", "new"):
+        c.save(name, spark.range(3), note="it's \\ fine")
+    try:
+        assert c.names(ready=True)[:2] == ["new", "old"] and c.facts("new")["note"] == "it's \\ fine"
+    finally:
+        c.drop("old"), c.drop("new")
+
+
+def test_names_and_sizes():
+    from quarrylens.plans import profile as P
+
+    assert P.chart_columns(["S.No", "a", "ID", "b", "a", "serial no"]) == ["a", "b"]
+    assert [P.show_bytes(n) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"] and P.show_short(1234) == "1.2K"
