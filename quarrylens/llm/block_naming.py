@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_of
+from .common import SPACE, cut, scratch, text_of
 
 #: Characters of a block.
 BLOCK = 512
@@ -89,8 +89,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFram
     # Blocks cover every character: whole blocks by the pattern, an empty text as one empty block.
     cutting = F.when(F.col("_len") > 0, F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
     blocks = texts.join(wanted, _same_label(texts, wanted)).select("rid", cutting.alias("all"))
-    blocks = cut(blocks.select("rid", F.size("all").alias("n"), F.posexplode("all").alias("idx", "block")), "op10-blocks")
-    identity = cut(_identities(blocks), "op10-identities")
+    with scratch(docs.sparkSession):
+        blocks = cut(blocks.select("rid", F.size("all").alias("n"), F.posexplode("all").alias("idx", "block")), "op10-blocks")
+        identity = cut(_identities(blocks), "op10-identities", keep=True)
     members = shared.join(identity, "rid")
     # The longest original text first, then the smallest id, null ids last.
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("u"), F.col("_id").alias("i")))
@@ -111,7 +112,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = cut(_groups(docs, id_col, text_col, block).where("stays").select(*_LABEL, "copies"), "op10-kept")
+    with scratch(docs.sparkSession):
+        kept = cut(_groups(docs, id_col, text_col, block).where("stays").select(*_LABEL, "copies"), "op10-kept", keep=True)
     norm = F.regexp_replace(text_of(docs, text_col), SPACE + "+", "")
     # The columns of docs travel as one struct, so that none can clash with a name used here.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")

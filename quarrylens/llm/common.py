@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _own_dirs: dict[str, str] = {}
 _cut_paths: dict[int, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,19 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: an executor lost later recomputes nothing before it.
+    A table that is to outlast the :func:`scratch` it is written in has ``keep``.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _cut_paths[id(back)] = path
     weakref.finalize(back, _cut_paths.pop, id(back), None)
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are cut within the block when it ends; what is read later must have been kept."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove(spark, path)
+        free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are gone: its cleaner waits for the driver's garbage collection."""
+    spark._jvm.System.gc()
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove tables that :func:`cut` wrote, once nothing that is still to run reads them."""
     for df in frames:

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small_batches, text_of
+from .common import cut, forget, free_shuffles, scratch, small_batches, text_of
 from .golay import near_indices
 from .graph import connected_components
 
@@ -407,14 +407,16 @@ def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str
     shingles = _shingle_sets(docs, asked, id_col, text_col)
     groups = connected_components(_verified(pairs.distinct(), shingles), "op7-similar")
     most = crowded.agg(F.max("size")).first()[0] or 0
-    low, high = 0, 1
+    low, high, held = 0, 1, []
     rows = crowded.join(sets.select("h1", "h2", "bands"), ["h1", "h2"]).withColumn("at", F.xxhash64("h1", "h2", "key"))
     while low < most:
         known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
         rows = rows.join(known, ["h1", "h2"], "left").withColumns({"g1": F.coalesce("g1", "h1"), "g2": F.coalesce("g2", "h2")})
         # Buckets of one group are done, and so are those whose members have all been centres.
         mixed = rows.groupBy("key").agg(F.min("g1").alias("x1"), F.max("g1").alias("y1"), F.min("g2").alias("x2"), F.max("g2").alias("y2")).where("x1 <> y1 OR x2 <> y2").select("key")
-        rows = cut(rows.where(F.col("size") > low).join(mixed, "key"), "op7-crowded", "lz4")
+        before, held = held, cut(rows.where(F.col("size") > low).join(mixed, "key"), "op7-crowded", "lz4")
+        forget(*before[:1])
+        rows, held = held, [held]
         if rows.isEmpty():
             break
         met = cut(_meetings(rows, low, high), "op7-met", "lz4")
@@ -422,6 +424,7 @@ def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str
         forget(met)
         if not links.isEmpty():
             groups = connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
+        free_shuffles(docs.sparkSession)
         rows = rows.drop("g1", "g2")
         low, high = high, high * STEP
     return groups
@@ -443,10 +446,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t"))
     held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long, bands array<bigint>"), "op7-wide")
-    first = [F.first(x).alias(x) for x in ("n", "f1", "f2", "bands")]
-    sets = cut(held.where("id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *first), "op7-sets")
-    groups = _similar_groups(docs, sets, id_col, text_col).select("node.h1", "node.h2", F.col("component.id").alias("root"))
-    rooted = sets.join(groups, ["h1", "h2"], "left").select("h1", "h2", "id", "rows", F.coalesce("root", "id").alias("keep"))
-    rooted = cut(rooted.where("rows > 1 OR id <> keep").select("h1", "h2", "keep"), "op7-rooted")
+    with scratch(docs.sparkSession):
+        first = [F.first(x).alias(x) for x in ("n", "f1", "f2", "bands")]
+        sets = cut(held.where("id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *first), "op7-sets")
+        groups = _similar_groups(docs, sets, id_col, text_col).select("node.h1", "node.h2", F.col("component.id").alias("root"))
+        rooted = sets.join(groups, ["h1", "h2"], "left").select("h1", "h2", "id", "rows", F.coalesce("root", "id").alias("keep"))
+        rooted = cut(rooted.where("rows > 1 OR id <> keep").select("h1", "h2", "keep"), "op7-rooted", keep=True)
     drop = held.select("id", "h1", "h2").join(rooted, ["h1", "h2"]).where("id <> keep").select(F.col("id").alias("_drop")).distinct()
     return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small_batches, text_of
+from .common import cut, forget, scratch, small_batches, text_of
 from .suffix_sort import BASE, Ends, padded
 
 LENGTH, GRAM = 200, 40
@@ -373,17 +373,17 @@ def _settled(texts: DataFrame, found: DataFrame) -> DataFrame:
     same = marked.where("NOT mixed").select("t1", "t2", "pos", F.lit(BEFORE).alias("b"), F.lit(AFTER).alias("a"))
     # Copies of a text have the same places: one of each goes on.
     once = places.unionByName(same).groupBy("t1", "t2", "pos").agg(F.max("b").alias("b"), F.max("a").alias("a"))
-    spans = cut(once.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "b", "a")).alias("found")), "op9-spans")
-    forget(marked, contexts)
-    return spans
+    return cut(once.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "b", "a")).alias("found")), "op9-spans", keep=True)
 
 
 def _repeats(docs: DataFrame, text_col: str) -> DataFrame:
     """(t1, t2, z, copies, found) of the distinct texts."""
     small_batches(docs.sparkSession)
-    found = cut(_keyed(docs, text_col).mapInArrow(_find_anchors, "g long, c long, t1 long, t2 long, pos int"), "op9-anchors", "lz4")
     texts = _distinct_texts(docs, text_col)
-    return texts.join(_settled(texts, found), ["t1", "t2"], "left")
+    with scratch(docs.sparkSession):
+        found = cut(_keyed(docs, text_col).mapInArrow(_find_anchors, "g long, c long, t1 long, t2 long, pos int"), "op9-anchors", "lz4")
+        spans = _settled(texts, found)
+    return texts.join(spans, ["t1", "t2"], "left")
 
 
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
