@@ -1,4 +1,8 @@
-"""Connected components of an edge list by alternating star contractions."""
+"""Connected components of an edge list by alternating star contractions.
+
+Edges point from the larger node (a) to the smaller (b) throughout, so a step
+needs no edges both ways: what is smaller than a node is where its edges point.
+"""
 
 from __future__ import annotations
 
@@ -8,45 +12,43 @@ from pyspark.sql import functions as F
 from .common import cut, forget
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, m): the smallest node that each node points to."""
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each larger neighbour of a node to the smallest node it sees."""
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    """Link each larger neighbour of a node to the smallest node it sees. Never more rows than ``edges``."""
+    least = _least(edges)
+    return edges.join(least, edges["b"] == least["node"], "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    least = _least(edges)
+    joined = edges.join(least, edges["a"] == least["node"])
+    # Each node has an edge to its smallest neighbour, which stays as it is; the ends of others move.
+    return joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node that points points to one node only, which itself points nowhere: no step changes such edges."""
+    down = edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(False).alias("met"))
+    ends = down.unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast(edges.schema["b"].dataType).alias("to"), F.lit(True).alias("met")))
+    nodes = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("met").alias("met"))
+    return nodes.where("low IS NOT NULL AND (met OR low <> high)").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): component is the smallest node reached.
 
-    Each round writes its edges to the shared folder; only a row count and a
-    checksum come to the driver.
+    Each round writes its edges to the shared folder; only a row count comes to the driver.
     """
-    current = cut(edges.where("a <> b").distinct(), name)
-    mark = _mark(current)
-    while mark[0]:
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while not _all_stars(current):
         large = cut(_large_star(current), name)
         before, current = current, cut(_small_star(large), name)
         forget(large, before)
-        now = _mark(current)
-        if now == mark:
-            break
-        mark = now
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)

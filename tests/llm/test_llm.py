@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from quarrylens.llm import block_naming, byte_bpe, golay, kdtree_search, length_packing, maxent_lm, page_diff, queries, simhash, suffix_dedup, suffix_sort, toxicity, warc_zip
+from quarrylens.llm import block_naming, byte_bpe, golay, graph, kdtree_search, length_packing, maxent_lm, page_diff, queries, simhash, suffix_dedup, suffix_sort, toxicity, warc_zip
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -54,6 +54,26 @@ def test_exact_empty(spark):
 # ---- 7 near duplicates ------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "loops", "empty"])
+def test_connected_components(spark, shape):
+    rng = random.Random(3)
+    edges = {
+        "chain": [(i + 1, i) if i % 3 else (i, i + 1) for i in range(60)],
+        "star": [(50, i) for i in range(100)] + [(i, 50) for i in range(0, 100, 2)],
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(220)],
+        "loops": [(5, 5), (7, 8), (8, 7), (7, 8)],
+        "empty": [],
+    }[shape]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+
+
+
 def test_golay_corrects_three_errors():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 3000)
