@@ -45,10 +45,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Each round writes its edges to the shared folder; only a row count comes to the driver.
     """
     current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while not _all_stars(current):
+    done = False
+    while not done:  # what comes in is seldom all stars
         large = cut(_large_star(current), name)
         before, current = current, cut(_small_star(large), name)
         forget(large, before)
+        done = _all_stars(current)
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)
