@@ -16,7 +16,7 @@ Python integers beyond (a score beyond 64 bits is held at the largest long).
 Defined results: vectors that are null or have null or non-finite components,
 and rows with a null id, take no part; vectors meet only vectors of their own
 length; a query's candidates are the rows with other ids; several query rows of
-one id count once; ties go to the smaller id; a query without candidates has no
+one id count once, with the least of their vectors; ties go to the smaller id; a query without candidates has no
 rows; an empty table gives an empty result.
 """
 
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SH
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
     shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
     candidates = rows.select("id", "v", "d", shard.alias("s"))
-    asked_rows = rows.where("q").dropDuplicates(["id"])
+    asked_rows = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     queries = asked_rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("d").alias("qd"), shard.alias("home"), block.alias("qb"))
     near = queries.select("qid", "qv", "qd", "home", F.lit(None).cast("long").alias("least"))
     first = candidates.groupBy("d", "s").cogroup(near.groupBy("qd", "home")).applyInArrow(_search(k), _FOUND)

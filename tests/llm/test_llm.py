@@ -386,6 +386,14 @@ def test_top_k_beyond_doubles(spark):
     assert [r["vec_id"] for r in got] == [1, 2]
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rows = [(50, [3, 0]), (50, [0, 3]), (1, [5, 0]), (2, [0, 5]), (3, [1, 1])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "id long, v array<bigint>").repartition(parts)
+        got = _rows(kdtree_search.top_k(df, F.col("id") == 50, 5), "query_id", "rank", "vec_id", "score")
+        assert got == sorted([(50, 1, 2, 15), (50, 2, 3, 3), (50, 3, 1, 0)], key=repr)  # of [0, 3], the least
+
+
 def test_integer_vectors(spark):
     df = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf"), 0.0])], "vec_id long, embedding array<float>")
     assert {r["id"]: r["v"] for r in kdtree_search.integer_vectors(df).collect()} == {1: [128, -1], 2: None, 3: None, 4: None, 5: None}
