@@ -462,4 +462,5 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     texts = docs.where(crc_mod(id_col, 7) != 2).select(text_of(docs, text_col).cast("binary").alias("t"))
     model, counts = train(texts, updates)
-    return score(docs, model, counts, id_col, text_col).withColumn("held_out", crc_mod(id_col, 7) == 2)
+    scored = score(docs, model, counts, id_col, text_col)
+    return scored.select(id_col, (crc_mod(id_col, 7) == 2).alias("held_out"), *scored.columns[1:])
