@@ -7,9 +7,9 @@ mention count beyond the sum of their parts.
 
 Fitting reads at most ``MAX_ROWS`` labelled rows (those with the smallest hash
 of the id), so the model, the terms kept and the driver's work are bounded
-whatever the size of the input. Term statistics of these rows are counted in
-Spark; only terms that tell the labels apart, ``MAX_TERMS`` at most, reach the
-driver's fit. Scoring runs over whole texts in Arrow batches.
+whatever the size of the input. Statistics of terms and of pairs in these rows
+are counted in Spark; the terms that tell the labels apart, alone or in a pair,
+reach the driver's fit. Scoring runs over whole texts in Arrow batches.
 
 Defined results: a null text counts as empty; empty texts get the score of the
 intercept; without labelled rows of both kinds every score is the share of
@@ -20,6 +20,7 @@ each row it joins.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,16 +28,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, scratch, small_batches, text_of
 
 #: Labelled rows that the fit reads at most.
 MAX_ROWS = 20_000
-#: Terms of the model at most, those with the largest scores against chance, and the least score.
-MAX_TERMS = 2048
-LEAST_Z = 6.0
+#: Rows that a term or a pair must occur in, and deviations from chance that make a term the lead of pairs.
+SUPPORT, LEAD = 3, 3.0
+#: Terms of a chunk of rows in the fit, which bounds its memory.
+CHUNK = 200_000
 SPACE = 1 << 24
 PREFIXES = (4, 5, 6)
 RANK = 6
@@ -77,40 +80,48 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: int = RANK, steps: int = 300, l2: float = 1e-4, seed: int = 7) -> Machine:
-    """Logistic loss by full-batch Adam. rows: places in ``ids`` of each text's terms."""
-    n, m = len(rows), len(ids)
+def fit(start: np.ndarray, term: np.ndarray, labels: np.ndarray, ids: np.ndarray, rank: int = RANK, steps: int = 300, l2: float = 1e-4, seed: int = 7) -> Machine:
+    """Logistic loss by full-batch Adam, gradients summed over chunks of rows.
+
+    Row i has the terms ``term[start[i]:start[i + 1]]``, places in ``ids``.
+    """
+    n, m = len(labels), len(ids)
     rate = float(labels.mean()) if n else 0.0
     base = float(np.log(np.clip(rate, 1e-6, 1 - 1e-6) / (1 - np.clip(rate, 1e-6, 1 - 1e-6))))
     if not n or not m or rate in (0.0, 1.0):
         return Machine(base, ids[:0], np.zeros(0), np.zeros((0, rank)))
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    term = np.concatenate(rows)
-    order = np.argsort(term, kind="stable")  # for sums by term
-    by_term, doc_of = term[order], doc[order]
-    term_at = np.searchsorted(by_term, np.arange(m))
-    present = np.diff(np.concatenate([term_at, [len(by_term)]])) > 0
-    has = np.diff(np.searchsorted(doc, np.arange(n + 1))) > 0
-    doc_at = np.searchsorted(doc, np.arange(n))
-
-    def sums(values: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(mask), *values.shape[1:]))
-        out[mask] = np.add.reduceat(values, at[mask], axis=0)
-        return out
+    chunks = []
+    first_row = 0
+    while first_row < n:  # rows with CHUNK terms together, one row at least
+        last = max(first_row + 1, int(np.searchsorted(start, start[first_row] + CHUNK, side="right")) - 1)
+        here = term[start[first_row] : start[last]]
+        size = np.diff(start[first_row : last + 1])
+        doc = np.repeat(np.arange(last - first_row), size)
+        order = np.argsort(here, kind="stable")  # for sums by term
+        present, at = np.unique(here[order], return_index=True)
+        chunks.append((slice(first_row, last), here, doc, size > 0, (start[first_row:last] - start[first_row])[size > 0], order, present, at))
+        first_row = last
 
     theta = np.concatenate([np.zeros((m, 1)), np.random.default_rng(seed).normal(0, 0.05, (m, rank))], axis=1)
     first, second = np.zeros((m + 1, rank + 1)), np.zeros((m + 1, rank + 1))
     for step in range(1, steps + 1):
-        held = theta[term]
-        total = sums(held, doc_at, has)
-        squares = sums(held[:, 1:] ** 2, doc_at, has).sum(axis=1)
-        z = base + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - squares)
-        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        back = np.ones((len(by_term), rank + 1))
-        back[:, 1:] = total[doc_of, 1:] - theta[by_term, 1:]
         grad = np.zeros((m + 1, rank + 1))
-        grad[:m] = sums(back * wrong[doc_of, None], term_at, present) + l2 * theta / n**0.5
-        grad[m, 0] = wrong.sum()
+        grad[:m] = l2 * theta / n**0.5
+        for rows, here, doc, has, doc_at, order, present, term_at in chunks:
+            y = labels[rows]
+            total, squares = np.zeros((len(y), rank + 1)), np.zeros(len(y))
+            held = theta[here]
+            if len(here):
+                total[has] = np.add.reduceat(held, doc_at, axis=0)
+                squares[has] = np.add.reduceat((held[:, 1:] ** 2).sum(axis=1), doc_at)
+            z = base + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - squares)
+            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+            grad[m, 0] += wrong.sum()
+            if len(here):
+                back = np.ones((len(here), rank + 1))
+                back[:, 1:] = total[doc, 1:] - held[:, 1:]
+                back *= wrong[doc, None]
+                grad[present] += np.add.reduceat(back[order], term_at, axis=0)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -119,8 +130,41 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: int =
     return Machine(base, ids, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fit on at most ``max_rows`` labelled rows of ``labels`` (id, toxic)."""
+def _against_chance(tests: int) -> float:
+    """Deviations that the largest of so many chance results is not likely to pass."""
+    return math.sqrt(2 * math.log(max(tests, 2)))
+
+
+def _deviation(k: Column, n: Column, share: Column) -> Column:
+    return (k - n * share) / F.sqrt(n * share * (1 - share))
+
+
+def telling_terms(rows: DataFrame, share: float) -> DataFrame:
+    """(term) of those that tell the labels of ``rows`` (y, terms) apart, alone or beside another term.
+
+    A term counts alone if its deviation from the ``share`` of toxic rows passes
+    what chance gives among all terms tested. A pair counts if, among the rows of
+    its first term, a lead of ``LEAD`` deviations at least, its second one deviates
+    so from that lead's own share; then both terms are kept, however little the
+    second says alone.
+    """
+    flat = rows.select(F.monotonically_increasing_id().alias("row"), "y", "terms")
+    counted = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("y").alias("n"), F.sum("y").alias("k"))
+    scored = cut(counted.where(F.col("n") >= SUPPORT).withColumn("z", _deviation(F.col("k"), F.col("n"), F.lit(share))), "op3-scored")
+    alone = scored.where(F.abs("z") >= _against_chance(scored.count())).select("term")
+    # All of this is of the sample, which max_rows bounds, so the leads are too.
+    leads = scored.where(F.col("z") >= LEAD).select(F.col("term").alias("lead"), (F.col("k") / F.col("n")).alias("lead_share"))
+    entries = cut(flat.select("row", "y", F.explode("terms").alias("term")).join(scored.select("term"), "term", "left_semi"), "op3-entries")
+    led = entries.join(F.broadcast(leads), F.col("term") == F.col("lead")).where((F.col("lead_share") > 0) & (F.col("lead_share") < 1)).select("row", "lead", "lead_share")
+    beside = led.join(entries, "row").where(F.col("lead") != F.col("term"))
+    pairs = beside.groupBy("lead", "term").agg(F.count("y").alias("n"), F.sum("y").alias("k"), F.first("lead_share").alias("lead_share")).where(F.col("n") >= SUPPORT)
+    pairs = cut(pairs.withColumn("z", _deviation(F.col("k"), F.col("n"), F.col("lead_share"))), "op3-pairs")
+    telling = pairs.where(F.abs("z") >= _against_chance(pairs.count()))
+    return alone.union(telling.select("term")).union(telling.select("lead")).distinct()
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> Machine:
+    """Fit on at most ``max_rows`` labelled rows of ``labels`` (id, toxic); ``rank`` 0 leaves the pairs out."""
     spark = docs.sparkSession
     small_batches(spark)
     with scratch(spark):
@@ -138,18 +182,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
         rows = cut(sample.mapInArrow(run, "y int, terms array<bigint>"), "op3-terms")
         n, toxic = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
         if not n or toxic in (0, n):
-            return fit([np.zeros(0, int)] * n, np.full(n, float(bool(toxic))), np.zeros(0, np.int64))
-        share = toxic / n
-        expected = F.col("n") * share
-        counted = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("y").alias("n"), F.sum("y").alias("k"))
-        scored = counted.where("n >= 3").withColumn("z", (F.col("k") - expected) / F.sqrt(expected * (1 - share)))
-        best = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).select("term")
-        ids = np.array(sorted(r[0] for r in best.collect()), np.int64)
-        kept = rows.withColumn("terms", F.array_intersect("terms", F.array(*[F.lit(int(i)) for i in ids]).cast("array<bigint>"))) if len(ids) else rows
-        data = kept.toArrow().to_pydict() if len(ids) else {"y": [], "terms": []}
-        order = sorted(range(len(data["y"])), key=lambda i: (data["y"][i], data["terms"][i]))  # the fit does not depend on row order
-        places = [np.searchsorted(ids, np.array(sorted(data["terms"][i]), np.int64)) for i in order]
-        return fit(places, np.array([data["y"][i] for i in order], float), ids) if len(ids) else fit([np.zeros(0, int)] * n, np.repeat([0.0, 1.0], [n - toxic, toxic]), ids)
+            return fit(np.zeros(n + 1, int), np.zeros(0, int), np.full(n, float(bool(toxic))), np.zeros(0, np.int64))
+        ids = np.sort(telling_terms(rows, toxic / n).toArrow().column(0).to_numpy())
+        shared = spark.sparkContext.broadcast(ids)  # at most the terms of max_rows rows
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Machine(0.0, shared.value, np.zeros(0), np.zeros(0)).known
+            for b in batches:
+                found = [np.sort(known(np.array(t.as_py(), np.int64))).astype(np.int32) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "at"])
+
+        # The fit does not depend on the order in which rows arrive.
+        data = rows.mapInArrow(places, "y int, at array<int>").orderBy("y", "at").toArrow()
+        shared.destroy()
+        at = data.column("at").combine_chunks()
+        size = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(int)
+        return fit(np.concatenate([[0], np.cumsum(size)]).astype(int), at.flatten().to_numpy(zero_copy_only=False), data.column("y").to_numpy().astype(float), ids, rank)
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

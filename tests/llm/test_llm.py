@@ -492,11 +492,43 @@ def test_machine_learns_a_pair():
         a, b = rng.random(2) < 0.5
         rows.append(np.array([i for i, on in enumerate((a, b)) if on], int))
         labels.append(float(a and b))
-    m = toxicity.fit(rows, np.array(labels), np.array([10, 20]))
+    start = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    m = toxicity.fit(start, np.concatenate(rows), np.array(labels), np.array([10, 20]))
     z = lambda *t: m.base + sum(m.weight[i] for i in t) + (m.vector[0] @ m.vector[1] if len(t) == 2 else 0)
     assert z(0, 1) > 0 > max(z(0), z(1), z())
 
 
+def test_fit_does_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(9, rng.integers(0, 6), replace=False)) for _ in range(80)]
+    labels = np.array([float(0 in x and 3 in x) for x in rows])
+    start = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    whole = toxicity.fit(start, np.concatenate(rows).astype(int), labels, np.arange(9), steps=40)
+    monkeypatch.setattr(toxicity, "CHUNK", 3)
+    parts = toxicity.fit(start, np.concatenate(rows).astype(int), labels, np.arange(9), steps=40)
+    assert np.allclose(whole.weight, parts.weight) and np.allclose(whole.vector, parts.vector)
+
+
+def test_toxicity_of_pairs_alone(spark):
+    """Terms that say nothing of which text is toxic but by their pairs, which no sum of weights can tell."""
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(1200):
+        words = [r.choice(["sun", "rain", "road", "tree", "hill", "lake"]) + str(r.randint(0, 40)) for _ in range(30)]
+        some, a, b = r.random() < 0.5, r.random() < 0.5, r.random() < 0.5
+        words += ["fool" if a else "quack", "gnome" if b else "pilot"] * some
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(some and a == b)))
+    frame, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.classify(frame, marks).where("held_out").collect()}
+    wrong = sum(got[i] != y for i, y in held.items())
+    linear = toxicity.train(frame, toxicity.learning_labels(marks), rank=0)
+    without = sum((linear.score(docs[i][1]) >= 0.3) != y for i, y in held.items())
+    assert wrong <= 0.02 * len(held) and without >= 0.2 * len(held)
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     docs, labels = [], []
@@ -513,6 +545,8 @@ def test_toxicity(spark):
     assert len(got) == len(docs) and all(0 <= x["score"] <= 1 for x in got.values())
     assert all(got[i]["predicted"] == y for i, y in labels)
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    empty = spark.createDataFrame([], DOCS)
+    assert toxicity.classify(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
     none = toxicity.classify(frame, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.where("predicted = 1").count() == 0 and none.count() == len(docs)
 
