@@ -144,22 +144,39 @@ def telling_terms(rows: DataFrame, share: float) -> DataFrame:
 
     A term counts alone if its deviation from the ``share`` of toxic rows passes
     what chance gives among all terms tested. A pair counts if, among the rows of
-    its first term, a lead of ``LEAD`` deviations at least, its second one deviates
-    so from that lead's own share; then both terms are kept, however little the
-    second says alone.
+    its first term, a lead of ``LEAD`` deviations at least, rows with its second
+    one pass that lead's own share by as much; then both terms are kept, however
+    little the second says alone. A pair needs some number of toxic rows to pass,
+    so only pairs that reach it in the toxic rows are counted in all rows.
     """
     flat = rows.select(F.monotonically_increasing_id().alias("row"), "y", "terms")
     counted = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("y").alias("n"), F.sum("y").alias("k"))
     scored = cut(counted.where(F.col("n") >= SUPPORT).withColumn("z", _deviation(F.col("k"), F.col("n"), F.lit(share))), "op3-scored")
-    alone = scored.where(F.abs("z") >= _against_chance(scored.count())).select("term")
-    # All of this is of the sample, which max_rows bounds, so the leads are too.
-    leads = scored.where(F.col("z") >= LEAD).select(F.col("term").alias("lead"), (F.col("k") / F.col("n")).alias("lead_share"))
-    entries = cut(flat.select("row", "y", F.explode("terms").alias("term")).join(scored.select("term"), "term", "left_semi"), "op3-entries")
-    led = entries.join(F.broadcast(leads), F.col("term") == F.col("lead")).where((F.col("lead_share") > 0) & (F.col("lead_share") < 1)).select("row", "lead", "lead_share")
-    beside = led.join(entries, "row").where(F.col("lead") != F.col("term"))
-    pairs = beside.groupBy("lead", "term").agg(F.count("y").alias("n"), F.sum("y").alias("k"), F.first("lead_share").alias("lead_share")).where(F.col("n") >= SUPPORT)
-    pairs = cut(pairs.withColumn("z", _deviation(F.col("k"), F.col("n"), F.col("lead_share"))), "op3-pairs")
-    telling = pairs.where(F.abs("z") >= _against_chance(pairs.count()))
+    tested = scored.count()
+    alone = scored.where(F.abs("z") >= _against_chance(tested)).select("term")
+    lead_share = F.col("k") / F.col("n")
+    leads = scored.where((F.col("z") >= LEAD) & (lead_share < 1)).select(F.col("term").alias("lead"), lead_share.alias("lead_share"))
+    least = _against_chance(tested * leads.count())
+    # k toxic rows of k pass from k (1 - s) >= least sqrt(k s (1 - s)) on; more rows need more.
+    leads = cut(leads.withColumn("needed", F.greatest(F.lit(SUPPORT), F.ceil(least**2 * F.col("lead_share") / (1 - F.col("lead_share")) - 1e-9))), "op3-leads")
+    fewest = leads.agg(F.min("needed")).first()[0]
+    if fewest is None:  # no leads
+        return alone
+    entries = flat.select("row", "y", F.explode("terms").alias("term"))
+    known = scored.select("term", F.col("k").alias("term_k"))
+
+    def beside(found: DataFrame) -> DataFrame:
+        led = found.join(leads, F.col("term") == F.col("lead")).select("row", "lead", "lead_share", "needed")
+        return led.join(found, "row").where((F.col("lead") != F.col("term")) & (F.col("term_k") >= F.col("needed")))
+
+    toxic = cut(entries.where("y = 1").join(known.where(F.col("term_k") >= fewest), "term"), "op3-toxic")
+    likely = beside(toxic).groupBy("lead", "term").agg(F.count("y").alias("k"), F.first("needed").alias("needed")).where("k >= needed")
+    likely = cut(likely.select("lead", "term", "k"), "op3-likely")
+    # A written table has a known size, so Spark joins it to the exploded terms without a shuffle of these if it is small.
+    ends = cut(likely.select("term").union(likely.select("lead")).distinct().join(known, "term"), "op3-ends")
+    both = cut(entries.join(ends, "term"), "op3-both")
+    pairs = beside(both).join(likely, ["lead", "term"]).groupBy("lead", "term").agg(F.count("y").alias("n"), F.first("k").alias("k"), F.first("lead_share").alias("lead_share"))
+    telling = cut(pairs.where(_deviation(F.col("k"), F.col("n"), F.col("lead_share")) >= least).select("lead", "term"), "op3-pairs")
     return alone.union(telling.select("term")).union(telling.select("lead")).distinct()
 
 
