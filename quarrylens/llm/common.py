@@ -8,7 +8,7 @@ import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five control characters tab to carriage return.
@@ -99,6 +99,25 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def numbered(df: DataFrame, order: list, name: str, position: str) -> tuple[DataFrame, int]:
+    """``df`` with each row's place (from 0) in an order, and the number of rows, without one task that orders all.
+
+    Rows are dealt and sorted by range and written with their partition and place in it,
+    so places do not depend on what a lost executor computes again; the partitions' sizes,
+    a row each, give what stands before.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = sizes.select("_part", "_size", before.alias("_before")).collect()  # a row for each partition
+    starts = df.sparkSession.createDataFrame([(r["_part"], r["_before"]) for r in rows], "_part long, _before long")
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = held.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(position, F.col("_before") + nth)
+    return placed.drop("_part", "_before", "_at"), sum(r["_size"] for r in rows)
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column with null as empty."""
     return F.coalesce(df[name], F.lit(""))

@@ -129,3 +129,39 @@ s AS (
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@_query
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve_sharding import assign_documents
+
+    return assign_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's bytes; ``crc_table`` must be in reach."""
+    digits = f"list_transform(string_split(rtrim(regexp_replace(hex({text}), '(..)', '\\1 ', 'g')), ' '), lambda x: coalesce(TRY_CAST('0x' || x AS BIGINT), 0))"
+    return f"(CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295], {digits}), lambda a, x: xor(a >> 8, crc_table[(xor(a, x) & 255) + 1])), 4294967295) END)"
+
+
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc_table)"
+
+
+def _hilbert_sql() -> str:
+    from .curve_sharding import walk_table
+
+    walk = f"{walk_table(3)}"
+    cell = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE (count({c}) OVER (ORDER BY {c} NULLS FIRST RANGE UNBOUNDED PRECEDING) * 64 + count({c}) OVER () - 1) // count({c}) OVER () - 1 END"
+    return f"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32, source, lang, n_chars FROM documents, {_CRC_TABLE}),
+c AS (SELECT doc_id, size, text_crc32, [{cell("source")}, {cell("lang")}, {cell("n_chars")}] AS cells FROM d),
+h AS (SELECT *, list_reduce(list_concat([0::BIGINT], list_transform([5, 4, 3, 2, 1, 0], lambda k: ((cells[1] >> k) & 1) + 2 * ((cells[2] >> k) & 1) + 4 * ((cells[3] >> k) & 1))),
+  lambda w, corner: ((w >> 10) << 13) + {walk}[(w & 1023) * 8 + corner + 1]) >> 10 AS curve FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32) - 1 AS position, count(*) OVER () AS n FROM h)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(position * 24 // n AS INTEGER) AS shard,
+  position - (position * 24 // n * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve, list_transform(cells, lambda x: CAST(x AS INTEGER)) AS cells
+FROM p
+"""
+
+
+ORACLES["op12_hilbert_shards"] = _hilbert_sql()
