@@ -152,10 +152,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SH
     return first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) of each component; null where a component is null or not finite."""
+def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, keep: tuple | list = ()) -> DataFrame:
+    """(id, v) and the columns to keep: floor(scale * x) of each component; null where a component is null or not finite."""
     v = F.col(vector_col)
     limit = F.lit(float("inf"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < limit))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return embeddings.select(F.col(id_col).cast("long").alias("id"), F.when(v.isNotNull() & fine, whole).alias("v"))
+    return embeddings.select(F.col(id_col).cast("long").alias("id"), F.when(v.isNotNull() & fine, whole).alias("v"), *keep)

@@ -165,3 +165,31 @@ FROM p
 
 
 ORACLES["op12_hilbert_shards"] = _hilbert_sql()
+
+
+@_query
+def op13_pq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pq_negatives import hard_negatives, labelled_vectors
+
+    return hard_negatives(labelled_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")), F.col("id") % 100 == 0)
+
+
+ORACLES["op13_pq_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.row AS anchor_row, a.vec_id AS anchor_id, o.row, o.vec_id, o.label = a.label AS same, CAST(list_inner_product(a.e, o.e) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.row <> o.row AND len(a.e) = len(o.e)
+  WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id, row) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_row, p.row ORDER BY s.score DESC, s.vec_id, s.row) AS INTEGER) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_row = s.anchor_row AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
