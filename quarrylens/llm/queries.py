@@ -131,13 +131,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-@_query
-def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .curve_sharding import assign_documents
-
-    return assign_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"))
-
-
 def _crc32_sql(text: str) -> str:
     """CRC-32 of a text's bytes; ``crc_table`` must be in reach."""
     digits = f"list_transform(string_split(rtrim(regexp_replace(hex({text}), '(..)', '\\1 ', 'g')), ' '), lambda x: coalesce(TRY_CAST('0x' || x AS BIGINT), 0))"
@@ -147,6 +140,40 @@ def _crc32_sql(text: str) -> str:
 _CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc_table)"
 
 
+@_query
+def op11_pointer_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLES["op11_pointer_trie"] = rf"""
+WITH raw AS (
+  SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM raw), {_CRC_TABLE}),
+b AS (SELECT c.*, coalesce(n, 0) AS n FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM raw GROUP BY 1) USING (base)),
+t AS (SELECT b.conv_id, pos, digest, words FROM b JOIN raw r ON r.conv_id = base AND pos <= h
+  UNION ALL SELECT b.conv_id, pos - h + least(h, n), digest, words FROM b JOIN raw r ON r.conv_id = b.conv_id AND pos > h),
+l AS (SELECT conv_id, coalesce(ds, []) AS ds, coalesce(ws, []) AS ws FROM c LEFT JOIN (SELECT conv_id, list(digest ORDER BY pos) AS ds, list(words ORDER BY pos) AS ws FROM t GROUP BY 1) USING (conv_id)),
+m AS (SELECT conv_id, ds, ws, unnest(range(len(ds) + 1)) AS depth FROM l),
+n AS (SELECT depth, ds[1:depth] AS key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(max(ws[depth]), 0) AS own,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ds) = depth), '') AS ends FROM m GROUP BY ALL),
+k AS (SELECT key[1:depth - 1] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+s AS (SELECT key[1:up] AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS up FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s ON s.key = v.key LEFT JOIN n p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.key = v.key[1:v.depth - 1]
+"""
+
+
+@_query
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve_sharding import assign_documents
+
+    return assign_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"))
+
+
 def _hilbert_sql() -> str:
     from .curve_sharding import walk_table
 
