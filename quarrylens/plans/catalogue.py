@@ -579,13 +579,14 @@ _BROKEN_HEADER = ["id", "amount", "day", "status"]
     strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey % 3 = 0 THEN o_orderstatus END AS status FROM orders"""
 )
 def csv_repair(spark, sf_dir):
-    from ..sources.delimited import repair_lines
+    from ..sources.delimited import column_types, repaired, split_fields
 
     lines = load(spark, sf_dir, "orders").selectExpr(
         """o_orderkey || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '1,' || lpad(o_orderkey % 1000, 3, '0') ELSE CAST(o_orderkey % 1000 AS STRING) END || ',' || date_format(o_orderdate, 'yyyy-MM-dd')
         || CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey % 3 = 0 THEN ',' || o_orderstatus ELSE '' END AS value"""
     )
-    return repair_lines(lines, _BROKEN_HEADER, ["number", "number", "date", "text"], ",".join(_BROKEN_HEADER)).drop("_row_id")
+    kinds = column_types(lines.limit(30).select(split_fields(F.col("value")).alias("fields")), len(_BROKEN_HEADER))
+    return repaired(lines, _BROKEN_HEADER, kinds)
 
 
 def _profiled(spark, sf_dir):

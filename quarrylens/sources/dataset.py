@@ -9,23 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .delimited import read_delimited
+from .numbering import number_rows
 from .spreadsheet import read_workbook
 
 SUFFIXES = (".csv", ".xlsx", ".parquet", ".json")
 PAGE_ROWS = 10
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a file or folder by its suffix."""
+def read_dataset(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Rows of a file or folder by its suffix.
+
+    Delimited text and workbooks have their row numbers as ``_row_id``; Parquet and JSON
+    have them if asked, which counts the rows first.
+    """
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
         return read_delimited(spark, path)
     if low.endswith(".xlsx"):
         return read_workbook(spark, path)
     if low.endswith(".parquet"):
-        return spark.read.parquet(path)
+        return number_rows(spark.read.parquet(path)) if numbered else spark.read.parquet(path)
     if low.endswith(".json"):
-        return spark.read.json(path)
+        return number_rows(spark.read.json(path)) if numbered else spark.read.json(path)
     raise ValueError(f"unsupported file type: {path} (one of {', '.join(SUFFIXES)})")
 
 
