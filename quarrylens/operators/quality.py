@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import CURRENCY, SCORE_NULLS, clean_date, clean_number, clean_text, jsround, looks_like_date, looks_like_money, number, present, text_number
+from ..functions.semantics import (
+    CLEAN_NULLS, CURRENCY, SCORE_NULLS, clean_date, clean_number, clean_text, jsround, looks_like_date, looks_like_money, number, present, text_date, text_number,
+)
 from .columns import _kind, _per_column, numeric_columns, scalar_columns, value_counts
 
 # Shares of first digits 1 to 9 by Benford's law, and the deviation that counts.
@@ -152,9 +154,15 @@ def mixed_types(df: DataFrame, columns: list[str] | None = None, limit: float =
     return _per_column(df, columns, measures).select("column", "n_numeric", text.alias("n_text"), F.coalesce(share > limit, F.lit(False)).alias("mixed"))
 
 
+def first_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest ids, however the ids are spaced."""
+    last = df.select(F.col(f"`{row_id}`").alias("i")).orderBy("i").limit(n).agg(F.max("i")).first()[0]
+    return df.where(F.col(f"`{row_id}`") <= F.lit(last))
+
+
 def dirty_cells(df: DataFrame, types: dict[str, str], row_id: str = "_row_id", first: int | None = FIRST_ROWS) -> DataFrame:
     """(column, n_seen, null_tokens, money, not_numeric) over the first rows, or over all with ``first=None``."""
-    rows = df if first is None else df.where(F.col(row_id) < first)
+    rows = df if first is None else first_rows(df, row_id, first)
 
     def measures(c: str):
         t = F.trim(F.col(f"`{c}`").cast("string"))
@@ -166,86 +174,190 @@ def dirty_cells(df: DataFrame, types: dict[str, str], row_id: str = "_row_id", f
     return _per_column(rows, list(types), measures).drop("ordinal")
 
 
+# Points that a per cent of missing cells, repeated rows, mixed columns and dirty cells costs.
+WEIGHTS = (1.2, 1.0, 4.0, 2.0)
+
+
 def quality_score(df: DataFrame, types: dict[str, str], row_id: str = "_row_id") -> DataFrame:
     """One row: missing, duplicate, mixed and dirty percentages and the score from 0 to 100."""
     columns = list(types)
     body = df.select(*[F.col(f"`{c}`") for c in columns])
-    k = len(columns)
     one = F.lit(1).alias("one")
     missing = missing_cells(body, columns).select("missing", "cells", one)
     duplicates = duplicate_rows(body).select("duplicates", "n_rows", one)
     mixed = mixed_types(body, columns).agg(F.count(F.when(F.col("mixed"), 1)).alias("mixed")).select("mixed", one)
     dirty = dirty_cells(df, types, row_id).agg(F.sum(F.col("null_tokens") + F.col("money") + F.col("not_numeric")).alias("dirty"), F.max("n_seen").alias("seen")).select("dirty", "seen", one)
-    out = missing.join(duplicates, "one").join(mixed, "one").join(dirty, "one")  # one row each
+    return score_of(missing.join(duplicates, "one").join(mixed, "one").join(dirty, "one"), len(columns))  # one row each
+
+
+def score_of(counts: DataFrame, k: int) -> DataFrame:
+    """The score from counts (missing, cells, duplicates, n_rows, mixed, dirty, seen) of ``k`` columns.
+
+    Dirty cells are those among the rows seen, scaled up to all rows.
+    """
     pct = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b) * 100, F.lit(0.0))
-    whole = F.when(F.col("n_rows") > FIRST_ROWS, F.col("dirty") * F.col("n_rows") / F.lit(float(FIRST_ROWS))).otherwise(F.col("dirty").cast("double"))
-    out = out.select(pct(F.col("missing"), F.col("cells")).alias("m"), pct(F.col("duplicates"), F.col("n_rows")).alias("d"), (F.col("mixed") / k * 100).alias("x"), pct(whole, F.col("cells")).alias("t"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - 1.2 * F.col("m") - 1.0 * F.col("d") - 4.0 * F.col("x") - 2.0 * F.col("t")))
+    whole = F.coalesce(F.try_divide(F.col("dirty").cast("double") * F.col("n_rows"), F.col("seen")), F.lit(0.0))
+    out = counts.select(pct(F.col("missing"), F.col("cells")).alias("m"), pct(F.col("duplicates"), F.col("n_rows")).alias("d"), (F.col("mixed") / k * 100).alias("x"), pct(whole, F.col("cells")).alias("t"))
+    lost = reduce(lambda a, b: a + b, [w * F.col(c) for w, c in zip(WEIGHTS, "mdxt")])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - lost))
     return out.select(jsround(F.col("m"), 2).alias("missing_pct"), jsround(F.col("d"), 2).alias("duplicate_pct"), jsround(F.col("x"), 2).alias("mixed_pct"), jsround(F.col("t"), 2).alias("dirty_pct"), jsround(score, 0).cast("int").alias("score"))
 
 
+# Characters that no clean number holds (the dollar sign is money anyway), and thousands with dots.
+ODD_NUMBER, DOTTED = r"[€£¥₹,()%]", r"^\d{1,3}(\.\d{3})+(,\d+)?$"
+
+
+def dirty_columns(df: DataFrame, types: dict[str, str], row_id: str = "_row_id", first: int = FIRST_ROWS, samples: int = 3) -> DataFrame:
+    """(column, type, dirty, dirty_pct, samples) of columns with messy cells among the first rows, by the cleaner's own rule.
+
+    A cell is messy if it is one of the cleaner's null tokens as written, an amount of
+    money, in a numeric or identifier column a text with other than plain digits, or in a
+    date column a text that is no date. Samples are the first such cells in row order.
+    """
+    rows = first_rows(df, row_id, first)
+
+    def measures(c: str):
+        raw, text = F.col(f"`{c}`"), _kind(df, c).simpleString() == "string"
+        t = F.trim(raw.cast("string"))
+        messy = t.isin(CLEAN_NULLS) | looks_like_money(t)
+        if text and types[c] in ("numeric", "id"):
+            messy = messy | t.rlike(ODD_NUMBER) | t.rlike(DOTTED)
+        elif text and types[c] == "date":
+            messy = messy | (text_date(t).isNull() & text_number(t).isNull())
+        found = F.when(present(raw, _kind(df, c)) & messy, F.struct(F.col(f"`{row_id}`").alias("at"), t.alias("t")))
+        # The rows seen are few, so all their messy cells may be gathered to take the first.
+        shown = F.slice(F.transform(F.array_sort(F.collect_list(found)), lambda x: x["t"]), 1, samples)
+        return [F.count(F.lit(1)).alias("n_seen"), F.count(found).alias("dirty"), F.array_join(shown, "; ").alias("samples")]
+
+    kinds = F.create_map(*[x for c, t in types.items() for x in (F.lit(c), F.lit(t))])
+    found = _per_column(rows, list(types), measures).where("dirty > 0")
+    return found.select("column", kinds[F.col("column")].alias("type"), "dirty", jsround(F.try_divide(F.col("dirty").cast("double"), "n_seen") * 100, 0).cast("int").alias("dirty_pct"), "samples")
+
+
 # ---- cleaning ---------------------------------------------------------------------------------
 
 
+#: What cleaning did to a cell: nothing counted, a number or a date read, a null token dropped, or another text changed.
+KEPT, NUMBER, DATE, NULL, OTHER = "kept", "numbers", "dates", "nulls", "others"
+
+
 def _effective(df: DataFrame, types: dict[str, str], row_id: str | None) -> dict[str, str]:
     """Types, with columns of over 20 % money texts at the start taken as numeric."""
     asked = [c for c, t in types.items() if t not in ("numeric", "id") and _kind(df, c).simpleString() == "string"]
     if not asked:
         return dict(types)
-    rows = df.where(F.col(row_id) < CURRENCY_ROWS) if row_id else df.limit(CURRENCY_ROWS)
-    seen = _per_column(rows, asked, lambda c: [F.count(F.lit(1)).alias("n"), F.count(F.when(looks_like_money(F.col(f"`{c}`")), 1)).alias("k")]).collect()
+    rows = first_rows(df, row_id, CURRENCY_ROWS) if row_id else df.limit(CURRENCY_ROWS)
+    seen = _per_column(rows, asked, lambda c: [F.count(F.when(F.col(f"`{c}`") != "", 1)).alias("n"), F.count(F.when(looks_like_money(F.col(f"`{c}`")), 1)).alias("k")]).collect()
     money = {r["column"] for r in seen if r["n"] and r["k"] > 0.2 * r["n"]}
     return {c: "numeric" if c in money else t for c, t in types.items()}
 
 
-def _cleaned(df: DataFrame, column: str, kind: str, legacy_european: bool = False) -> Column:
-    """The clean value of a text column of a semantic type."""
-    x = F.col(f"`{column}`")
-    if kind in ("numeric", "id"):
-        return clean_number(x, legacy_european)
-    if kind == "date":
-        return clean_date(x)
-    plain = clean_text(x)
-    amount = F.coalesce(clean_number(x, legacy_european).cast("string"), plain)
-    return F.when(text_number(x).isNotNull(), F.trim(x)).when(looks_like_money(x), amount).when(looks_like_date(x), F.coalesce(clean_date(x), plain)).otherwise(plain)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cell(text, number_, change) -> Column:
+    return F.struct(text.cast("string").alias("text"), number_.cast("double").alias("number"), change.alias("change"))
+
+
+def clean_cells(cells: Column, kind: str, legacy_european: bool = False) -> Column:
+    """The clean values of an array of texts of a semantic type: (text, number, change) each.
+
+    One expression serves all columns of a type, and a value that a rule needs twice is
+    bound once, so generated code does not grow with the columns.
+    """
+    none = F.lit(None)
+
+    def change(x: Column, done: Column, same: Column, kept: str) -> Column:
+        dropped = F.when(F.trim(x).isin(CLEAN_NULLS), NULL).otherwise(OTHER)
+        return F.when(x.isNull() | (x == "") | same, KEPT).when(done.isNull(), dropped).otherwise(kept)
+
+    def as_number(x: Column) -> Column:
+        return _let(clean_number(x, legacy_european), lambda n: _cell(none, n, change(x, n, F.coalesce(text_number(x) == n, F.lit(False)), NUMBER)))
+
+    def as_date(x: Column) -> Column:
+        return _let(clean_date(x), lambda d: _cell(d, none, change(x, d, F.coalesce(F.trim(x) == d, F.lit(False)), DATE)))
+
+    def as_text(x: Column) -> Column:
+        plain = lambda: _let(clean_text(x), lambda t: _cell(t, none, change(x, t, F.coalesce(x == t, F.lit(False)), OTHER)))
+        amount = _let(clean_number(x, legacy_european), lambda n: F.when(n.isNotNull(), _cell(n, n, F.lit(NUMBER))).otherwise(plain()))
+        day = _let(clean_date(x), lambda d: F.when(d.isNotNull(), _cell(d, none, change(x, d, F.trim(x) == d, DATE))).otherwise(plain()))
+        spelled = _cell(F.trim(x), none, F.lit(KEPT))  # a number in a column of texts keeps its spelling
+        return F.when(text_number(x).isNotNull(), spelled).when(looks_like_money(x), amount).when(looks_like_date(x), day).otherwise(plain())
+
+    return F.transform(cells, as_number if kind in ("numeric", "id") else as_date if kind == "date" else as_text)
 
 
 def _text_columns(df: DataFrame, types: dict[str, str]) -> list[str]:
     return [c for c in types if _kind(df, c).simpleString() == "string"]
 
 
+def _families(df: DataFrame, effective: dict[str, str]) -> dict[str, list[str]]:
+    """The text columns by the rule that cleans them."""
+    out: dict[str, list[str]] = {}
+    for c in _text_columns(df, effective):
+        out.setdefault({"id": "numeric", "numeric": "numeric", "date": "date"}.get(effective[c], "text"), []).append(c)
+    return out
+
+
+def _with_cells(df: DataFrame, families: dict[str, list[str]], legacy_european: bool) -> DataFrame:
+    """``df`` with an array ``_clean_<rule>`` of clean cells for each rule."""
+    arrays = {f"_clean_{kind}": clean_cells(F.array(*[F.col(f"`{c}`") for c in columns]), kind, legacy_european) for kind, columns in families.items()}
+    return df.withColumns(arrays) if arrays else df
+
+
+def _places(families: dict[str, list[str]]) -> dict[str, Column]:
+    """The clean cell of each column, in the arrays."""
+    return {c: F.get(f"_clean_{kind}", F.lit(i)) for kind, columns in families.items() for i, c in enumerate(columns)}
+
+
+def _finished(df: DataFrame, wide: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    kind = {c: k for k, columns in families.items() for c in columns}
+    places = _places(families)
+    return wide.select(*[places[c]["number" if kind[c] == "numeric" else "text"].alias(c) if c in places else F.col(f"`{c}`") for c in df.columns])
+
+
 def cleanse(df: DataFrame, types: dict[str, str], row_id: str | None = None, legacy_european: bool = False) -> DataFrame:
     """``df`` with its text columns cleaned by type: numbers, ISO dates, or trimmed texts without null tokens."""
-    effective = _effective(df, types, row_id)
-    return df.withColumns({c: _cleaned(df, c, effective[c], legacy_european) for c in _text_columns(df, types)})
+    families = _families(df, _effective(df, types, row_id))
+    return _finished(df, _with_cells(df, families, legacy_european), families)
+
+
+def cleanse_observed(df: DataFrame, types: dict[str, str], row_id: str | None = None, legacy_european: bool = False) -> tuple[DataFrame, Observation]:
+    """The clean rows, and the counts of what changed, which the write or count of these rows fills in the same scan.
+
+    The observation holds ``<kind>/<column>`` for each kind of change and text column.
+    """
+    families = _families(df, _effective(df, types, row_id))
+    wide, seen = _with_cells(df, families, legacy_european), Observation("cleaning")
+    counters = [F.count(F.when(cell["change"] == kind, 1)).alias(f"{kind}/{c}") for c, cell in _places(families).items() for kind in (NUMBER, DATE, NULL, OTHER)]
+    return _finished(df, wide.observe(seen, F.count(F.lit(1)).alias("rows"), *counters), families), seen
 
 
-def cleaning_report(df: DataFrame, types: dict[str, str], row_id: str | None = None) -> DataFrame:
-    """(column, changed, nulled, samples) of each text column: cells that cleaning changes, at most three as from -> to.
+def cleaning_report(df: DataFrame, types: dict[str, str], row_id: str | None = None, samples: int = 3) -> DataFrame:
+    """(column, changed, numbers, dates, nulls, others, samples) of each text column.
 
-    A number in a column of texts keeps its spelling and does not count.
+    Cells that cleaning changes, by what it made of them: numbers and dates read, null
+    tokens dropped, other changes (trimmed texts, and texts that are no value of their
+    column). Samples are the first changed cells, from -> to, in row order (without row
+    ids, the first of the distinct ones by text). A number in a column of texts keeps its
+    spelling and does not count.
     """
-    effective = _effective(df, types, row_id)
-    columns = _text_columns(df, types)
-    # The clean values are columns of their own first, so each is computed once.
-    both = df.select(*[F.col(f"`{c}`").alias(f"old{i}") for i, c in enumerate(columns)], *[_cleaned(df, c, effective[c]).alias(f"new{i}") for i, c in enumerate(columns)])
-    cells = []
-    for i, c in enumerate(columns):
-        x, new = F.col(f"old{i}"), F.col(f"new{i}")
-        same = (text_number(x) == new) if effective[c] in ("numeric", "id") else (F.trim(x) == new)
-        changed = F.coalesce((x != "") & ~F.coalesce(same, F.lit(False)), F.lit(False))
-        sample = F.concat_ws(" -> ", x, F.coalesce(new.cast("string"), F.lit("null")))
-        cells.append(F.struct(F.lit(c).alias("column"), changed.alias("changed"), new.isNull().alias("nulled"), sample.alias("sample")))
-    long = both.select(F.inline(F.array(*cells)))
-    counts = long.groupBy("column").agg(F.count(F.when(F.col("changed"), 1)).alias("changed"), F.count(F.when(F.col("changed") & F.col("nulled"), 1)).alias("nulled"))
-    distinct = long.where("changed").select("column", "sample").distinct()
-    shown = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("sample"))).where("nth <= 3")
-    samples = shown.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("sample")), "; ").alias("samples"))
-    return counts.join(samples, "column", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
-
-
-def dirty_columns(df: DataFrame, types: dict[str, str], row_id: str = "_row_id", first: int = FIRST_ROWS) -> DataFrame:
-    """(column, dirty, dirty_pct, samples) of columns with messy cells among the first rows."""
-    counts = dirty_cells(df, types, row_id, first)
-    dirty = F.col("null_tokens") + F.col("money") + F.col("not_numeric")
-    return counts.select("column", dirty.alias("dirty"), jsround(F.try_divide(dirty.cast("double"), "n_seen") * 100, 0).cast("int").alias("dirty_pct")).where("dirty > 0")
+    families = _families(df, _effective(df, types, row_id))
+    columns = [c for held in families.values() for c in held]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, changed long, numbers long, dates long, nulls long, others long, samples string")
+    wide = _with_cells(df, families, False)
+    at = F.col(f"`{row_id}`").cast("long") if row_id else F.lit(None).cast("long")
+    cell = lambda c, p: F.struct(F.lit(c).alias("column"), at.alias("at"), F.col(f"`{c}`").alias("old"), F.coalesce(p["text"], p["number"].cast("string"), F.lit("null")).alias("new"), p["change"].alias("change"))
+    long = wide.select(F.inline(F.array(*[cell(c, p) for c, p in _places(families).items()]))).where(F.col("change") != KEPT)
+    counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("changed"), *[F.count(F.when(F.col("change") == k, 1)).alias(k) for k in (NUMBER, DATE, NULL, OTHER)])
+    shown = long.select("column", "at", F.concat_ws(" -> ", "old", "new").alias("sample"))
+    shown = shown if row_id else shown.distinct()
+    # Each task sends its own first cells only.
+    shown = shown.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("at", "sample"))).where(F.col("nth") <= samples)
+    texts = shown.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "sample"))), lambda x: x["sample"]), "; ").alias("samples"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = named.join(F.broadcast(counts), "column", "left").join(F.broadcast(texts), "column", "left")  # a row for each column
+    return out.select("column", *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("changed", NUMBER, DATE, NULL, OTHER)], F.coalesce("samples", F.lit("")).alias("samples"))

@@ -517,13 +517,22 @@ def cleanse(spark, sf_dir):
     return Q.cleanse(_messy(spark, sf_dir), _MESSY_TYPES, "_row_id")
 
 
-@query(
-    """SELECT 'amount' AS "column", count(CASE WHEN o_orderkey % 8 < 4 THEN 1 END) AS changed, count(CASE WHEN o_orderkey % 8 = 3 THEN 1 END) AS nulled FROM orders
-    UNION ALL SELECT 'day', count(CASE WHEN o_orderkey % 5 <> 1 THEN 1 END), count(CASE WHEN o_orderkey % 5 = 3 THEN 1 END) FROM orders
-    UNION ALL SELECT 'note', count(CASE WHEN o_orderkey % 4 = 1 THEN 1 END), count(CASE WHEN o_orderkey % 4 = 1 THEN 1 END) FROM orders"""
-)
+def _changes_sql() -> str:
+    """Cells of the messy table that cleaning changes, by kind, with three samples in row order."""
+    number = lambda x: f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 10000000 THEN format('{{:.1f}}', {x}) ELSE CAST({x} AS VARCHAR) END)"
+    amount = f"CAST({_CLEAN_AMOUNT} AS DOUBLE)"
+    changed = f"""
+      SELECT 'amount' AS "column", m._row_id AS place, m.amount AS old, {number(amount)} AS new, CASE o_orderkey % 8 WHEN 3 THEN 'nulls' ELSE 'numbers' END AS change FROM ({_MESSY}) m JOIN orders ON o_orderkey = m._row_id WHERE o_orderkey % 8 < 4
+      UNION ALL SELECT 'day', _row_id, m.day, c.day, CASE WHEN c.day IS NULL THEN 'nulls' ELSE 'dates' END FROM ({_MESSY}) m JOIN ({_CLEAN}) c USING (_row_id) WHERE m.day IS DISTINCT FROM c.day
+      UNION ALL SELECT 'note', _row_id, m.note, c.note, CASE WHEN c.note IS NULL THEN 'nulls' ELSE 'others' END FROM ({_MESSY}) m JOIN ({_CLEAN}) c USING (_row_id) WHERE m.note IS NOT NULL AND m.note IS DISTINCT FROM c.note"""
+    kinds = ", ".join(f"count(CASE WHEN change = '{k}' THEN 1 END) AS {k}" for k in ("numbers", "dates", "nulls", "others"))
+    return f"""SELECT "column", count(*) AS changed, {kinds}, string_agg(CASE WHEN nth <= 3 THEN old || ' -> ' || coalesce(new, 'null') END, '; ' ORDER BY nth) AS samples
+      FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY place) AS nth FROM ({changed})) GROUP BY 1"""
+
+
+@query(_changes_sql())
 def cleaning_report(spark, sf_dir):
-    return Q.cleaning_report(_messy(spark, sf_dir), _MESSY_TYPES, "_row_id").drop("samples")
+    return Q.cleaning_report(_messy(spark, sf_dir), _MESSY_TYPES, "_row_id")
 
 
 @query(
@@ -534,17 +543,36 @@ def missing_cells(spark, sf_dir):
     return Q.missing_cells(_messy(spark, sf_dir), list(_MESSY_TYPES))
 
 
+_SPELLS = r"regexp_matches(trim(v), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$')"
+
+
 @query(
-    f"""SELECT 'amount' AS "column", count(CASE WHEN _row_id % 8 >= 4 THEN 1 END) AS n_numeric, count(CASE WHEN _row_id % 8 < 4 THEN 1 END) AS n_text, TRUE AS mixed FROM ({_MESSY})
-    UNION ALL SELECT 'day', 0, count(day), FALSE FROM ({_MESSY}) UNION ALL SELECT 'note', 0, count(note), FALSE FROM ({_MESSY})"""
+    each(
+        f"""SELECT '{c}' AS "column", count(CASE WHEN {_SPELLS} THEN 1 END) AS n_numeric, count(CASE WHEN NOT {_SPELLS} THEN 1 END) AS n_text,
+        least(count(CASE WHEN {_SPELLS} THEN 1 END), count(CASE WHEN NOT {_SPELLS} THEN 1 END)) / count(v) > 0.05 AS mixed FROM (SELECT nullif({c}, '') AS v FROM ({_MESSY}))"""
+        for c in _MESSY_TYPES
+    )
 )
 def mixed_types(spark, sf_dir):
     return Q.mixed_types(_messy(spark, sf_dir), list(_MESSY_TYPES))
 
 
-_DIRTY = f"""SELECT 'amount' AS "column", count(*) AS n_seen, count(CASE WHEN _row_id % 8 = 3 THEN 1 END) AS null_tokens, count(CASE WHEN _row_id % 8 = 0 THEN 1 END) AS money, count(CASE WHEN _row_id % 8 IN (1, 2) THEN 1 END) AS not_numeric FROM ({_MESSY}) WHERE _row_id < 500
-  UNION ALL SELECT 'day', count(*), count(CASE WHEN _row_id % 5 = 3 THEN 1 END), 0, 0 FROM ({_MESSY}) WHERE _row_id < 500
-  UNION ALL SELECT 'note', count(*), count(CASE WHEN _row_id % 4 = 1 THEN 1 END), 0, 0 FROM ({_MESSY}) WHERE _row_id < 500"""
+def _first_sql(source: str, n: int) -> str:
+    return f"(SELECT * FROM ({source}) ORDER BY _row_id LIMIT {n})"
+
+
+def _dirty_sql(source: str, types: dict[str, str]) -> str:
+    """Counts of messy cells by the score's rule, over the first 500 rows."""
+    from ..functions.semantics import SCORE_NULLS
+
+    token = f"NOT {_SPELLS} AND lower(trim(v)) IN ({', '.join(repr(x) for x in SCORE_NULLS)})"
+    money = f"NOT {_SPELLS} AND regexp_matches(v, '[$€£¥₹]') AND regexp_matches(v, '[0-9]')"
+    one = """SELECT '{c}' AS "column", count(*) AS n_seen, count(CASE WHEN {token} THEN 1 END) AS null_tokens, count(CASE WHEN NOT ({token}) AND {money} THEN 1 END) AS money,
+      count(CASE WHEN {numeric} AND NOT {spells} AND trim(v) <> '' AND NOT ({token}) AND NOT ({money}) THEN 1 END) AS not_numeric FROM (SELECT {c} AS v FROM {rows})"""
+    return each(one.format(c=c, token=token, money=money, spells=_SPELLS, numeric=str(t == "numeric").lower(), rows=_first_sql(source, 500)) for c, t in types.items())
+
+
+_DIRTY = _dirty_sql(_MESSY, _MESSY_TYPES)
 
 
 @query(_DIRTY)
@@ -552,22 +580,64 @@ def dirty_cells(spark, sf_dir):
     return Q.dirty_cells(_messy(spark, sf_dir), _MESSY_TYPES)
 
 
-@query(f"""SELECT "column", null_tokens + money + not_numeric AS dirty, CAST(floor((null_tokens + money + not_numeric) / n_seen * 100 + 0.5) AS INTEGER) AS dirty_pct FROM ({_DIRTY}) WHERE null_tokens + money + not_numeric > 0""")
-def dirty_columns(spark, sf_dir):
-    return Q.dirty_columns(_messy(spark, sf_dir), _MESSY_TYPES)
+_ODD_TYPES = _MESSY_TYPES | {"code": "categorical"}
 
 
-@query(
-    f"""WITH m AS ({_MESSY}), k AS (SELECT count(*) AS n FROM m),
-    p AS (SELECT (SELECT count(*) FROM m WHERE note IS NULL) / (n * 3) * 100 AS mi, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM m GROUP BY amount, day, note)) / n * 100 AS du, 1 / 3 * 100 AS mx,
-      (SELECT sum(null_tokens + money + not_numeric) FROM ({_DIRTY})) * (CASE WHEN n > 500 THEN n / 500.0 ELSE 1 END) / (n * 3) * 100 AS di FROM k)
+def _odd_sql() -> str:
+    """Messy cells by the cleaner's rule."""
+    from ..functions.semantics import CLEAN_NULLS
+
+    token = f"trim(v) IN ({', '.join(repr(x) for x in CLEAN_NULLS)})"
+    money = "(regexp_matches(v, '[$€£¥₹]') AND regexp_matches(v, '[0-9]'))"
+    day = r"(regexp_matches(trim(v), '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$') OR regexp_matches(trim(v), '^\d{1,2}[-/]\d{1,2}[-/]\d{4}$'))"
+    rule = {"numeric": rf"{token} OR {money} OR regexp_matches(trim(v), '[€£¥₹,()%]') OR regexp_matches(trim(v), '^\d{{1,3}}(\.\d{{3}})+(,\d+)?$')", "date": f"{token} OR {money} OR (NOT {day} AND NOT {_SPELLS})", "categorical": f"{token} OR {money}"}
+    one = """SELECT '{c}' AS "column", '{t}' AS type, count(CASE WHEN v <> '' AND ({rule}) THEN 1 END) AS dirty, CAST(floor(count(CASE WHEN v <> '' AND ({rule}) THEN 1 END) / count(*) * 100 + 0.5) AS INTEGER) AS dirty_pct,
+      array_to_string(list(trim(v) ORDER BY _row_id) FILTER (v <> '' AND ({rule}))[1:3], '; ') AS samples FROM (SELECT _row_id, {c} AS v FROM {rows}) HAVING count(CASE WHEN v <> '' AND ({rule}) THEN 1 END) > 0"""
+    return each(one.format(c=c, t=t, rule=rule[t], rows=_first_sql(_ODD, 500)) for c, t in _ODD_TYPES.items())
+
+
+_ODD = f"SELECT 7 * _row_id - 40 AS _row_id, amount, CASE WHEN _row_id % 11 = 0 THEN 'some day' ELSE day END AS day, note, CASE _row_id % 6 WHEN 0 THEN '---' WHEN 1 THEN '#REF!' WHEN 2 THEN 'abc' WHEN 3 THEN 'NONE' WHEN 4 THEN 'nOnE' ELSE '€5' END AS code FROM ({_MESSY})"
+
+
+def _odd(spark, sf_dir):
+    return _messy(spark, sf_dir).selectExpr(
+        "7 * _row_id - 40 AS _row_id", "amount", "CASE WHEN _row_id % 11 = 0 THEN 'some day' ELSE day END AS day", "note",
+        "CASE _row_id % 6 WHEN 0 THEN '---' WHEN 1 THEN '#REF!' WHEN 2 THEN 'abc' WHEN 3 THEN 'NONE' WHEN 4 THEN 'nOnE' ELSE '€5' END AS code",
+    )
+
+
+@query(_odd_sql())
+def dirty_columns(spark, sf_dir):
+    return Q.dirty_columns(_odd(spark, sf_dir), _ODD_TYPES)
+
+
+def _score_sql(source: str, types: dict[str, str]) -> str:
+    """The score of a table whose rows have ids of any spacing."""
+    k = len(types)
+    gone = " + ".join(f"CASE WHEN {c} IS NULL OR {c} = '' THEN 1 ELSE 0 END" for c in types)
+    numbers, held = (lambda c: f"count(CASE WHEN regexp_matches(trim({c}), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN 1 END)"), (lambda c: f"count(nullif({c}, ''))")
+    mixed = " + ".join(f"(SELECT CASE WHEN least({numbers(c)}, {held(c)} - {numbers(c)}) / {held(c)} > 0.05 THEN 1 ELSE 0 END FROM m)" for c in types)
+    return f"""WITH m AS ({source}), d AS ({_dirty_sql(source, types)}),
+    p AS (SELECT (SELECT sum({gone}) FROM m) / (count(*) * {k}) * 100 AS mi, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM m GROUP BY {", ".join(types)})) / count(*) * 100 AS du, ({mixed}) / {k} * 100 AS mx,
+      (SELECT sum(null_tokens + money + not_numeric) FROM d) * (count(*) / (SELECT max(n_seen) FROM d)) / (count(*) * {k}) * 100 AS di FROM m)
     SELECT {r("mi", 2)} AS missing_pct, {r("du", 2)} AS duplicate_pct, {r("mx", 2)} AS mixed_pct, {r("di", 2)} AS dirty_pct,
       CAST(floor(greatest(0, least(100, 100 - 1.2 * mi - du - 4 * mx - 2 * di)) + 0.5) AS INTEGER) AS score FROM p"""
-)
+
+
+@query(_score_sql(_MESSY, _MESSY_TYPES))
 def quality_score(spark, sf_dir):
     return Q.quality_score(_messy(spark, sf_dir), _MESSY_TYPES)
 
 
+_SPARSE = f"SELECT 7 * _row_id + 100 AS _row_id, CASE WHEN _row_id % 2 = 0 THEN amount ELSE CAST(_row_id AS VARCHAR) END AS amount, day FROM ({_MESSY})"
+_SPARSE_TYPES = {"amount": "numeric", "day": "date"}
+
+
+@query(_score_sql(_SPARSE, _SPARSE_TYPES))
+def quality_score_sparse_ids(spark, sf_dir):
+    rows = _messy(spark, sf_dir).selectExpr("7 * _row_id + 100 AS _row_id", "CASE WHEN _row_id % 2 = 0 THEN amount ELSE CAST(_row_id AS STRING) END AS amount", "day")
+    return Q.quality_score(rows, _SPARSE_TYPES)
+
 
 # ---- repair and narrative ---------------------------------------------------------------------
 
