@@ -134,27 +134,37 @@ def _moments(df: DataFrame, columns: list[str], approximate: bool) -> DataFrame:
     return _per_column(df, columns, measures)
 
 
-def exact_quantiles(df: DataFrame, sizes: dict[str, int], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
-    """Exact interpolated quantiles of the numbers of columns, ``sizes`` numbers in each.
+def narrow_columns(df: DataFrame, columns: list[str], most: int) -> list[str]:
+    """The columns that can have at most ``most`` distinct values, by estimates of one scan (far outside their error)."""
+    estimates = [F.approx_count_distinct(F.col(f"`{c}`").cast("string"), 0.02).alias(f"c{i}") for i, c in enumerate(columns)]
+    found = df.agg(*estimates).first() if columns else []
+    return [c for i, c in enumerate(columns) if found[i] <= 1.5 * most + 10]
 
-    Distinct values are counted, combined before the shuffle, and sorted by range;
-    counts of the ranges, a row for each range and column, tell which range holds
-    which rank. So no task holds a column, and only the values at the asked ranks
-    come to the driver.
-    """
-    columns = [c for c in sizes if sizes[c]]
-    if not columns:
-        return {}
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of the numbers of columns; columns without numbers are left out."""
     cells = df.select(*[number(F.col(f"`{c}`"), _kind(df, c)).alias(c) for c in columns])
     long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "x").where("x IS NOT NULL")
-    dealt = long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()).persist()
+    return quantiles_of_counts(long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n")), shares)
+
+
+def quantiles_of_counts(counts: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of each column from counts (column, x, n) of its distinct numbers.
+
+    Distinct values are sorted by range; sums of the ranges, a row for each range and
+    column, tell which range holds which rank. So no task holds a column, and only the
+    values at the asked ranks come to the driver.
+    """
+    dealt = counts.repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()).persist()
     try:
-        before, offsets = {c: 0 for c in columns}, []
+        sizes, offsets = {}, []
         for r in dealt.groupBy("column", "part").agg(F.sum("n").alias("n")).orderBy("column", "part").collect():
-            offsets.append((r["column"], r["part"], before[r["column"]]))
-            before[r["column"]] += r["n"]
-        wanted = [(c, int(k)) for c in columns for p in shares for k in {math.floor((sizes[c] - 1) * p), math.ceil((sizes[c] - 1) * p)}]
-        spark = df.sparkSession
+            offsets.append((r["column"], r["part"], sizes.get(r["column"], 0)))
+            sizes[r["column"]] = sizes.get(r["column"], 0) + r["n"]
+        if not sizes:
+            return {}
+        wanted = [(c, int(k)) for c in sizes for p in shares for k in {math.floor((sizes[c] - 1) * p), math.ceil((sizes[c] - 1) * p)}]
+        spark = counts.sparkSession
         starts = spark.createDataFrame(offsets, "column string, part int, offset long")
         ranks = spark.createDataFrame(sorted(set(wanted)), "column string, place long")
         running = Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -169,7 +179,7 @@ def exact_quantiles(df: DataFrame, sizes: dict[str, int], shares: tuple[float, .
         low, high = at[c, math.floor(place)], at[c, math.ceil(place)]
         return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
 
-    return {c: [value(c, p) for p in shares] for c in columns}
+    return {c: [value(c, p) for p in shares] for c in sizes}
 
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -183,7 +193,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate:
     first = {r["column"]: r for r in _moments(df, columns, approximate).collect()}
     spark = df.sparkSession
     kept = [c for c in columns if first[c]["n"] >= 2]
-    quartiles = {c: first[c]["q"] for c in kept} if approximate else exact_quantiles(df, {c: first[c]["n"] for c in kept})
+    quartiles = {c: first[c]["q"] for c in kept} if approximate else exact_quantiles(df, kept)
     schema = (
         "ordinal int, column string, n long, non_numeric long, sum double, mean double, median double, min double, max double, range double, std_dev double, variance double, q1 double, q3 double, "
         "iqr double, skewness double, cv double, lower_fence double, upper_fence double"

@@ -6,15 +6,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.semantics import (
     CLEAN_NULLS, CURRENCY, SCORE_NULLS, clean_date, clean_number, clean_text, jsround, looks_like_date, looks_like_money, number, present, text_date, text_number,
 )
-from .columns import _kind, _per_column, numeric_columns, scalar_columns, value_counts
+from .columns import WIDE, _kind, _per_column, narrow_columns, numeric_columns, scalar_columns, value_counts
+from .segments import before, levels, order_key
 
 # Shares of first digits 1 to 9 by Benford's law, and the deviation that counts.
 BENFORD = [0.301, 0.176, 0.125, 0.097, 0.079, 0.067, 0.058, 0.051, 0.046]
 BENFORD_LIMIT = 0.04
+# Distinct values of columns whose spellings are compared.
+FUZZY_VALUES = (2, 199)
 #: Rows at the start that the score and the preview look at, and those that decide on currency.
 FIRST_ROWS, CURRENCY_ROWS = 500, 200
 
@@ -66,34 +70,50 @@ def suspicious_rounding(df: DataFrame, columns: list[str] | None = None, limit:
     return _per_column(df, columns, measures).where("n > 0").select("column", "n", "n_round", jsround(share).alias("round_share"), (share > limit).alias("suspicious"))
 
 
-def monotonic(df: DataFrame, columns: list[str], order: str, least: int = 6) -> DataFrame:
+def monotonic(df: DataFrame, columns: list[str], order: str, least: int = 6, tie: str | None = None) -> DataFrame:
     """(column, n, direction) of columns that never fall or never rise in row order, null numbers left out.
 
-    Rows are dealt by range of ``order``; each part says whether it holds by
-    itself and with which numbers it begins and ends, and the parts, a row each,
-    are compared in turn.
+    A segment of rows is summed up by how many numbers it has, whether they rise and
+    fall, and the first and the last of them; neighbouring segments merge by comparing the
+    ends that meet. Order is by exact whole-number (or time) keys; ``tie`` orders the rows
+    of an equal key.
     """
-    cells = df.select(F.col(f"`{order}`").alias("_o"), *[number(F.col(f"`{c}`"), _kind(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    long = cells.unpivot(["_o"], [f"c{i}" for i in range(len(columns))], "column", "x").where("x IS NOT NULL")
-    parts = 64
-    ends = long.agg(F.min("_o").cast("double").alias("lo"), F.max("_o").cast("double").alias("hi")).first()
-    if ends["lo"] is None:
+    keys = ["_o", "_t"] if tie else ["_o"]
+    found = []
+    for start in range(0, len(columns), WIDE):
+        part = columns[start : start + WIDE]
+
+        def one(c: str) -> Column:
+            x = number(F.col(f"`{c}`"), _kind(df, c))
+            return F.struct(x.isNotNull().cast("long").alias("n"), F.lit(True).alias("up"), F.lit(True).alias("down"), x.alias("first"), x.alias("last"))
+
+        ids = [order_key(df, order).alias("_o"), *([order_key(df, tie).alias("_t")] if tie else [])]
+        rows = df.select(*ids, *[one(c).alias(f"s{i}") for i, c in enumerate(part)])
+
+        def merge(rows: DataFrame, group: list[str], at: str) -> DataFrame:
+            told = []
+            for i in range(len(part)):
+                s, prior = F.col(f"s{i}"), before(F.col(f"s{i}.last"), group, at)
+                fine = lambda ok: F.coalesce(ok, F.lit(True))
+                told.append(F.struct(s["n"].alias("n"), (s["up"] & fine(s["first"] >= prior)).alias("up"), (s["down"] & fine(s["first"] <= prior)).alias("down"), s["first"].alias("first"), s["last"].alias("last")).alias(f"s{i}"))
+            held = rows.select(*group, at, *told)
+            sums = []
+            for i in range(len(part)):
+                s = F.col(f"s{i}")
+                here = F.when(s["first"].isNotNull(), F.col(at))
+                sums.append(F.struct(F.sum(s["n"]).alias("n"), F.bool_and(s["up"]).alias("up"), F.bool_and(s["down"]).alias("down"), F.min_by(s["first"], here).alias("first"), F.max_by(s["last"], here).alias("last")).alias(f"s{i}"))
+            return held.groupBy(*group).agg(*sums)
+
+        last = None
+        for placed, group, at in levels(rows, keys, merge):
+            last = (placed, group, at)
+        if last:
+            whole = merge(*last)
+            found.append(whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(part)]))))
+    if not found:
         return df.sparkSession.createDataFrame([], "column string, n long, direction string")
-    width = max((ends["hi"] - ends["lo"]) / parts, 1e-9)
-    part = F.least(F.lit(parts - 1), F.floor((F.col("_o").cast("double") - ends["lo"]) / width)).cast("int")
-    w = Window.partitionBy("column", "part").orderBy("_o")
-    steps = long.withColumn("part", part).withColumn("before", F.lag("x").over(w))
-    inner = steps.groupBy("column", "part").agg(
-        F.count("x").alias("n"), F.coalesce(F.bool_and(F.col("x") >= F.col("before")), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.col("x") <= F.col("before")), F.lit(True)).alias("down"),
-        F.min_by("x", "_o").alias("first"), F.max_by("x", "_o").alias("last"),
-    )
-    last = F.lag("last").over(Window.partitionBy("column").orderBy("part"))  # a row for each part
-    joined = inner.withColumn("prior", last)
-    up = F.bool_and(F.col("up") & F.coalesce(F.col("first") >= F.col("prior"), F.lit(True)))
-    down = F.bool_and(F.col("down") & F.coalesce(F.col("first") <= F.col("prior"), F.lit(True)))
-    found = joined.groupBy("column").agg(F.sum("n").alias("n"), up.alias("up"), down.alias("down"))
-    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"c{i}"), F.lit(c))])
-    return found.where((F.col("n") >= least) & (F.col("up") | F.col("down"))).select(names[F.col("column")].alias("column"), "n", F.when(F.col("up"), "increasing").otherwise("decreasing").alias("direction"))
+    out = reduce(DataFrame.unionByName, found).select("column", "s.n", "s.up", "s.down")
+    return out.where((F.col("n") >= least) & (F.col("up") | F.col("down"))).select("column", "n", F.when(F.col("up"), "increasing").otherwise("decreasing").alias("direction"))
 
 
 def benford(df: DataFrame, columns: list[str] | None = None, least: int = 50) -> DataFrame:
@@ -115,9 +135,19 @@ def fuzzy_duplicates(df: DataFrame, columns: list[str], groups: int = 3) -> Data
     """(column, key, values, n_values) of values that differ in case and punctuation only.
 
     Columns of 2 to 199 distinct values; keys of over two letters or digits; the
-    first ``groups`` keys of a column.
+    first ``groups`` keys of a column. Estimates from one scan tell which columns can have
+    so few values at all; only their values are counted and shuffled.
     """
-    distinct = value_counts(df, columns).withColumn("cardinality", F.count(F.lit(1)).over(Window.partitionBy("column"))).where("cardinality BETWEEN 2 AND 199")
+    held = narrow_columns(df, columns, FUZZY_VALUES[1])
+    if not held:
+        return df.sparkSession.createDataFrame([], "column string, key string, values string, n_values long")
+    return fuzzy_values(value_counts(df, held), groups)
+
+
+def fuzzy_values(counts: DataFrame, groups: int = 3) -> DataFrame:
+    """The same from counts (column, value, n)."""
+    few = counts.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality")).where(F.col("cardinality").between(*FUZZY_VALUES))
+    distinct = counts.join(F.broadcast(few), "column")  # a row for each column
     keyed = distinct.withColumn("key", F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")).where(F.length("key") > 2)
     found = keyed.groupBy("column", "key").agg(F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("values"), F.count(F.lit(1)).alias("n_values")).where("n_values > 1")
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("key"))).where(F.col("nth") <= groups).drop("nth")
@@ -133,6 +163,31 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return out.select("n_rows", "duplicates", F.coalesce(jsround(F.try_divide(F.col("duplicates").cast("double"), F.col("n_rows")) * 100, 2), F.lit(0.0)).alias("duplicate_pct"))
 
 
+def mark_duplicates(df: DataFrame, row_id: str = "_row_id", columns: list[str] | None = None, hashes: int = 2**62) -> DataFrame:
+    """(row_id, is_duplicate, first_id) of every row: whether an earlier row is equal in the columns (all but the id), and the first such row.
+
+    Rows are told apart by two hashes of some 63 bits: a count and the least id of each hash,
+    combined before the shuffle, leave the rows whose hash repeats. Only these are compared
+    whole, with the first row of their hash; a large group joins that one row, so its part
+    may be split. Rows that a hash has by chance are grouped by all they hold.
+    """
+    columns = columns or [c for c in df.columns if c != row_id]
+    # Zero has two signs in floating point.
+    plain = lambda c: F.col(f"`{c}`") + F.lit(0.0) if isinstance(_kind(df, c), (T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
+    # A null changes no hash, so the places of nulls are hashed too.
+    told = [x for c in columns for x in (plain(c), F.col(f"`{c}`").isNull())]
+    rows = df.select(F.col(f"`{row_id}`").alias("_id"), (F.xxhash64(*told) % hashes).alias("_h"), (F.xxhash64(F.lit(1), *told) % hashes).alias("_g"), F.struct(*[plain(c).alias(c) for c in columns]).alias("_body"))
+    groups = rows.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).where("_n > 1").drop("_n")
+    again = rows.join(groups, ["_h", "_g"])
+    firsts = again.where("_id = _first").select("_h", "_g", F.col("_body").alias("_kept"))
+    judged = again.join(firsts, ["_h", "_g"]).withColumn("_same", F.col("_body").eqNullSafe(F.col("_kept")))
+    same = judged.where("_same AND _id <> _first").select("_id", "_first")
+    by_body = Window.partitionBy("_body")
+    odd = judged.where("NOT _same").select("_id", F.min("_id").over(by_body).alias("_first")).where("_id <> _first")
+    marked = rows.select("_id").join(same.unionByName(odd), "_id", "left")
+    return marked.select(F.col("_id").alias(row_id), F.col("_first").isNotNull().alias("is_duplicate"), F.coalesce("_first", "_id").alias("first_id"))
+
+
 def missing_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: missing cells, all cells, missing_pct, empty_rows."""
     columns = columns or scalar_columns(df)
@@ -327,7 +382,9 @@ def cleanse(df: DataFrame, types: dict[str, str], row_id: str | None = None, leg
 def cleanse_observed(df: DataFrame, types: dict[str, str], row_id: str | None = None, legacy_european: bool = False) -> tuple[DataFrame, Observation]:
     """The clean rows, and the counts of what changed, which the write or count of these rows fills in the same scan.
 
-    The observation holds ``<kind>/<column>`` for each kind of change and text column.
+    The observation holds ``<kind>/<column>`` for each kind of change and text column. It
+    counts rows as they pass, so an action that reads them twice (an order by range, which
+    samples first) counts them twice.
     """
     families = _families(df, _effective(df, types, row_id))
     wide, seen = _with_cells(df, families, legacy_european), Observation("cleaning")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import correlation_strength, jsround, moment, number
-from .columns import _kind, numeric_columns
+from .columns import _kind, numeric_columns, quantiles_of_counts
+from .segments import before, levels
 
 DAY_MS = 86_400_000.0
 SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -28,28 +33,28 @@ def month_counts(df: DataFrame, column: str) -> DataFrame:
     return _moments(df, column).groupBy(F.month("t").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _distinct_gaps(df: DataFrame, column: str) -> DataFrame:
-    """(gap, n) in days between moments in order: the distinct moments are ordered, repeats add gaps of zero.
+def gap_counts(df: DataFrame, column: str) -> DataFrame:
+    """(gap, n): milliseconds between moments in order, counted; repeats of a moment add gaps of zero.
 
-    Distinct moments are far fewer than rows where there are many rows; they are
-    ordered within months, and a month's first takes the last of the month
-    before, so no task orders them all.
+    Distinct moments are told apart by their bits from below: those that agree in all but
+    the lowest bits are neighbours in one group, a group leaves its first and its last
+    moment, and the gaps between groups come in the next round.
     """
-    times = _moments(df, column).groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumn("month", F.trunc("t", "month"))
-    within = times.withColumn("before", F.lag("t").over(Window.partitionBy("month").orderBy("t")))
-    months = times.groupBy("month").agg(F.max("t").alias("last"))
-    # One row for each month.
-    months = months.select("month", F.lag("last").over(Window.orderBy("month")).alias("before_month"))
-    linked = within.join(months, "month").withColumn("before", F.coalesce("before", "before_month"))
-    days = (F.unix_millis("t") - F.unix_millis("before")) / DAY_MS
-    gaps = linked.where("before IS NOT NULL").select(days.alias("gap"), F.lit(1).cast("long").alias("n"))
-    zeros = times.where("n > 1").select(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n"))
-    return gaps.unionByName(zeros).groupBy("gap").agg(F.sum("n").alias("n"))
+    times = _moments(df, column).groupBy(F.unix_millis("t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    rows = times.select("t", F.col("t").alias("first"), F.col("t").alias("last"))
+    merge = lambda held, group, at: held.groupBy(*group).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    gaps = times.where("n > 1").groupBy(F.lit(0).cast("long").alias("gap")).agg(F.sum(F.col("n") - 1).alias("n"))
+    for placed, group, at in levels(rows, ["t"], merge):
+        between = placed.select((F.col("first") - before(F.col("last"), group, at)).alias("gap")).where("gap IS NOT NULL")
+        gaps = gaps.unionByName(between.groupBy("gap").agg(F.count(F.lit(1)).alias("n")))
+    return gaps.groupBy("gap").agg(F.sum("n").alias("n"))
 
 
 def date_gaps(df: DataFrame, column: str) -> DataFrame:
-    """(largest_gap_days, median_gap_days, gap_anomaly)."""
-    out = _distinct_gaps(df, column).agg(F.max("gap").alias("most"), F.percentile("gap", F.lit(0.5), F.col("n")).alias("mid"))
+    """One row (largest_gap_days, median_gap_days, gap_anomaly), nulls under two moments; the median is exact, by ranks among the counted gaps."""
+    counts = gap_counts(df, column).select(F.lit(column).alias("column"), F.col("gap").cast("double").alias("x"), "n")
+    mid, most = quantiles_of_counts(counts, (0.5, 1.0)).get(column, [None, None])
+    out = df.sparkSession.createDataFrame([(most, mid)], "most double, mid double").select((F.col("most") / DAY_MS).alias("most"), (F.col("mid") / DAY_MS).alias("mid"))
     return out.select(jsround(F.col("most"), 1).alias("largest_gap_days"), jsround(F.col("mid"), 1).alias("median_gap_days"), ((F.col("most") > 2 * F.col("mid")) & (F.col("mid") > 0)).alias("gap_anomaly"))
 
 
@@ -109,6 +114,12 @@ def seasonality(series: DataFrame) -> DataFrame:
     )
 
 
+#: Pairs that one generated aggregate takes; more columns go through block products.
+PAIRS = 45
+#: Columns of a block.
+BLOCK = 256
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None, least: int = 5) -> DataFrame:
     """(col_a, col_b, n, r, abs_r, strength) of each pair of columns over the rows that have both; null under ``least`` rows."""
     columns = columns or numeric_columns(df)
@@ -116,7 +127,14 @@ def correlations(df: DataFrame, columns: list[str] | None = None, least: int = 5
     schema = "col_a string, col_b string, n long, r double, abs_r double, strength string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    cells = {c: number(F.col(f"`{c}`"), _kind(df, c)) for c in columns}
+    rows = _pairwise(df, pairs) if len(pairs) <= PAIRS else blocked_moments(df, columns)
+    r = F.when((F.col("n") >= least) & ~F.isnan("raw"), jsround(F.col("raw")))
+    return rows.select("col_a", "col_b", "n", r.alias("r")).select("*", F.abs("r").alias("abs_r"), correlation_strength(F.col("r")).alias("strength"))
+
+
+def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n, raw) by one aggregate with a few sums for each pair."""
+    cells = {c: number(F.col(f"`{c}`"), _kind(df, c)) for p in pairs for c in p}
 
     def measure(a: str, b: str) -> Column:
         x, y = cells[a], cells[b]
@@ -126,9 +144,59 @@ def correlations(df: DataFrame, columns: list[str] | None = None, least: int = 5
         raw = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
         return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.count(F.when(both, 1)).alias("n"), raw.alias("raw"))
 
-    rows = df.agg(F.array(*[measure(a, b) for a, b in pairs]).alias("a")).select(F.inline("a"))
-    r = F.when((F.col("n") >= least) & ~F.isnan("raw"), jsround(F.col("raw")))
-    return rows.select("col_a", "col_b", "n", r.alias("r")).select("*", F.abs("r").alias("abs_r"), correlation_strength(F.col("r")).alias("strength"))
+    return df.agg(F.array(*[measure(a, b) for a, b in pairs]).alias("a")).select(F.inline("a"))
+
+
+def _block_sums(left: list[str], right: list[str]):
+    """Sums over a task's rows for pairs of two blocks of columns: rows with both, of each number, square and product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(left), len(right)))
+        for b in batches:
+            x, y = (np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in held]) for held in (left, right))
+            m, k = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.where(m > 0, x, 0.0), np.where(k > 0, y, 0.0)
+            for i, (u, v) in enumerate(((m, k), (x, k), (m, y), (x * x, k), (m, y * y), (x, y))):
+                sums[i] += u.T @ v
+        rows = {"a": pa.array(left)} | {f"s{i}": pa.array(list(sums[i]), pa.list_(pa.float64())) for i in range(6)}
+        yield pa.RecordBatch.from_pydict(rows)
+
+    return run
+
+
+def _add_arrays(table: pa.Table) -> pa.Table:
+    """The sums of one column's arrays, a row for each task that read rows."""
+    sums = {f"s{i}": [np.sum(np.asarray(table.column(f"s{i}").to_pylist(), float), axis=0).tolist()] for i in range(6)}
+    return pa.table({"a": [table.column("a")[0].as_py()]} | sums, pa.schema([("a", pa.string()), *[(f"s{i}", pa.list_(pa.float64())) for i in range(6)]]))
+
+
+def blocked_moments(df: DataFrame, columns: list[str], block: int | None = None) -> DataFrame:
+    """(col_a, col_b, n, raw) of all pairs by matrix products of blocks of columns, a scan for each pair of blocks.
+
+    A batch's columns, zero where missing, and their masks are multiplied, so each pair
+    sums over the rows that have both. Numbers are shifted by their column's mean, which
+    keeps differences of large sums exact enough. A task sends six sums for each pair.
+    """
+    block = block or BLOCK
+    means = df.agg(*[F.avg(number(F.col(f"`{c}`"), _kind(df, c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shifted = df.select(*[(number(F.col(f"`{c}`"), _kind(df, c)) - F.lit(means[i] if means[i] is not None else 0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    names = [f"c{i}" for i in range(len(columns))]
+    blocks = [names[s : s + block] for s in range(0, len(names), block)]
+    schema = "a string, " + ", ".join(f"s{i} array<double>" for i in range(6))
+    out = []
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            held = shifted.select(*dict.fromkeys([*left, *right]))
+            sums = held.mapInArrow(_block_sums(left, right), schema).groupBy("a").applyInArrow(_add_arrays, schema)
+            each = sums.select("a", F.posexplode(F.arrays_zip(*[f"s{k}" for k in range(6)])).alias("place", "s"))
+            named = each.withColumn("b", F.get(F.lit(right), F.col("place"))).select("a", "b", "s.*")
+            out.append(named.where(F.substring("a", 2, 9).cast("int") < F.substring("b", 2, 9).cast("int")))
+    rows = reduce(DataFrame.unionByName, out)
+    n = F.col("s0")
+    spread = lambda square, total: F.greatest(square / n - (total / n) ** 2, F.lit(0.0))
+    raw = F.try_divide(F.col("s5") / n - (F.col("s1") / n) * (F.col("s2") / n), F.sqrt(spread(F.col("s3"), F.col("s1")) * spread(F.col("s4"), F.col("s2"))))
+    name = lambda c: F.get(F.lit(columns), F.substring(c, 2, 9).cast("int"))
+    return rows.select(name("a").alias("col_a"), name("b").alias("col_b"), n.cast("long").alias("n"), F.when(n > 0, raw).alias("raw"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -416,6 +416,18 @@ def correlation_matrix(spark, sf_dir):
     return S.correlation_matrix(_lines(spark, sf_dir))
 
 
+_WIDE = {f"x{i}": f"CASE WHEN (l_linenumber + {i}) % {i + 3} <> 0 THEN l_{['quantity', 'extendedprice', 'discount', 'tax'][i % 4]} * {1 + i % 5} + {i} * l_linenumber END" for i in range(12)}
+_WIDE_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items())
+
+
+@query(
+    f"""WITH w AS (SELECT {_WIDE_SQL} FROM lineitem) SELECT col_a, col_b, n, r, abs(r) AS abs_r, {_STRENGTH} AS strength FROM (
+      {each(f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, {r(f'corr({a}, {b})')} AS r FROM w" for a, b in combinations(_WIDE, 2))})"""
+)
+def correlation_blocks(spark, sf_dir):
+    return S.correlations(load(spark, sf_dir, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items()]))
+
+
 @query(
     f"""WITH k AS (SELECT *, row_number() OVER (ORDER BY abs_r DESC, col_a, col_b) AS rank, row_number() OVER (ORDER BY r, col_a, col_b) AS low FROM ({_pairs_sql()}) WHERE r IS NOT NULL)
     SELECT CASE WHEN rank <= 2 THEN 'strongest' ELSE 'most negative' END AS kind, CAST(rank AS INTEGER) AS rank, col_a, col_b, r, strength FROM k WHERE rank <= 2 OR (low = 1 AND r < -0.2)"""
@@ -447,10 +459,30 @@ def suspicious_rounding(spark, sf_dir):
     return Q.suspicious_rounding(load(spark, sf_dir, "part").selectExpr("CAST(floor(p_retailprice / 10) * 10 AS DOUBLE) AS price", "CAST(p_size AS DOUBLE) AS size"))
 
 
-@query("""SELECT 'event_id' AS "column", count(*) AS n, 'increasing' AS direction FROM events UNION ALL SELECT 'fall' AS "column", count(*) AS n, 'decreasing' AS direction FROM events""")
+_TRENDS = "SELECT event_id, -event_id AS fall, value, floor(event_id / 100) AS steps, CASE WHEN event_id % 3 = 0 THEN event_id END AS gappy, CASE WHEN event_id % 997 = 5 THEN -1 ELSE event_id END AS broken, event_id * 1000000007 AS place FROM events"
+_TREND_COLUMNS = ["event_id", "fall", "value", "steps", "gappy", "broken"]
+
+
+def _trend_sql(source: str, columns: list[str], order: str) -> str:
+    one = """SELECT '{c}' AS "column", count(*) AS n, bool_and(coalesce(x >= b, TRUE)) AS up, bool_and(coalesce(x <= b, TRUE)) AS down
+      FROM (SELECT x, lag(x) OVER (ORDER BY {order}) AS b FROM (SELECT CAST({c} AS DOUBLE) AS x, {order} FROM ({source})) WHERE x IS NOT NULL)"""
+    body = each(one.format(c=c, source=source, order=order) for c in columns)
+    return f"""SELECT "column", n, CASE WHEN up THEN 'increasing' ELSE 'decreasing' END AS direction FROM ({body}) WHERE n >= 6 AND (up OR down)"""
+
+
+@query(_trend_sql(_TRENDS, _TREND_COLUMNS, "place"))
 def monotonic(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").selectExpr("event_id", "-event_id AS fall", "value", "event_id AS at")
-    return Q.monotonic(rows, ["event_id", "fall", "value"], "at")
+    rows = load(spark, sf_dir, "events").selectExpr(
+        "event_id", "-event_id AS fall", "value", "floor(event_id / 100) AS steps", "CASE WHEN event_id % 3 = 0 THEN event_id END AS gappy", "CASE WHEN event_id % 997 = 5 THEN -1 ELSE event_id END AS broken",
+        "event_id * 1000000007 AS place",
+    )
+    return Q.monotonic(rows, _TREND_COLUMNS, "place")
+
+
+@query(_trend_sql("SELECT o_orderkey, o_totalprice, CAST(epoch_ms(o_orderdate) AS DOUBLE) AS day, o_orderdate, o_orderstatus FROM orders", ["day", "o_totalprice"], "o_orderdate, o_orderkey"))
+def monotonic_with_ties(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double").alias("day"), "o_orderdate")
+    return Q.monotonic(rows, ["day", "o_totalprice"], "o_orderdate", tie="o_orderkey")
 
 
 _DIGIT = each(f"""SELECT '{c}' AS "column", CAST(regexp_extract(CAST(abs({c}) AS VARCHAR), '[1-9]') AS VARCHAR) AS d, CAST({c} AS DOUBLE) AS x FROM {t}""" for c, t in (("o_totalprice", "orders"),))
@@ -490,6 +522,66 @@ def duplicate_rows(spark, sf_dir):
     return Q.duplicate_rows(load(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag"))
 
 
+_REPEATS = ["o_orderkey AS _row_id", "o_orderstatus", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS other", "month(o_orderdate) AS month", "CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 1.5 END AS weight"]
+
+
+@query(f"SELECT _row_id, row_number() OVER w > 1 AS is_duplicate, min(_row_id) OVER w AS first_id FROM (SELECT {', '.join(_REPEATS)} FROM orders) WINDOW w AS (PARTITION BY o_orderstatus, priority, other, month, weight ORDER BY _row_id)")
+def mark_duplicates(spark, sf_dir):
+    return Q.mark_duplicates(load(spark, sf_dir, "orders").selectExpr(*_REPEATS))
+
+
+# ---- sources and datasets ---------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER () - 1 AS _row_id, o_orderkey, o_orderstatus FROM orders")
+def source_row_numbers(spark, sf_dir):
+    from ..sources.numbering import number_rows
+
+    return number_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+
+
+@query("SELECT 7 * o_orderkey - 3 AS id, o_totalprice FROM orders ORDER BY 1 LIMIT 25 OFFSET 1000")
+def page_of_rows(spark, sf_dir):
+    from ..sources.dataset import PageIndex
+
+    return PageIndex.build(load(spark, sf_dir, "orders").selectExpr("7 * o_orderkey - 3 AS id", "o_totalprice"), "id", 100).page(41, 25)
+
+
+_LOG = """'d' || CAST(o_custkey AS STRING) AS name, o_orderkey AS version, 't' || CAST(o_orderkey AS STRING) AS token,
+  CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'dropped' ELSE 'uploading' END ELSE 'failed' END AS state, o_orderkey AS at, CAST(o_totalprice AS STRING) AS path, CAST(NULL AS {kind}) AS facts"""
+
+
+def _log(spark, sf_dir):
+    return load(spark, sf_dir, "orders").selectExpr(*[x.strip() for x in _split_columns(_LOG.format(kind="MAP<STRING, STRING>"))])
+
+
+def _split_columns(text: str) -> list[str]:
+    """Select-list parts, cut at commas outside of parentheses and angles."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c in "(<") - (c in ")>")
+        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
+    return out
+
+
+_STATES_SQL = f"SELECT name, max(version) AS version, arg_max(state, version) AS state FROM (SELECT {_LOG.format(kind='VARCHAR')} FROM orders) GROUP BY 1 HAVING arg_max(state, version) <> 'dropped'"
+
+
+@query(_STATES_SQL)
+def catalog_states(spark, sf_dir):
+    from ..sources.dataset import latest_states
+
+    return latest_states(_log(spark, sf_dir)).select("name", "version", "state")
+
+
+@query(f"SELECT name FROM ({_STATES_SQL}) WHERE state = 'ready' AND name NOT IN (SELECT 'd' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey % 2 = 0)")
+def catalog_sync(spark, sf_dir):
+    from ..sources.dataset import latest_states, missing_names
+
+    here = load(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").selectExpr("'d' || CAST(c_custkey AS STRING) AS name")
+    return missing_names(here, latest_states(_log(spark, sf_dir))).select("name")
+
+
 _MESSY = """SELECT o_orderkey AS _row_id,
   CASE o_orderkey % 8 WHEN 0 THEN '$' || CAST(o_orderkey AS VARCHAR) || ',500' WHEN 1 THEN CAST(o_orderkey % 90 AS VARCHAR) || '%' WHEN 2 THEN '(' || CAST(o_orderkey AS VARCHAR) || ')' WHEN 3 THEN 'N/A' ELSE CAST(o_orderkey * 3 AS VARCHAR) END AS amount,
   CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '15-%m-%Y') WHEN 3 THEN 'missing' ELSE strftime(o_orderdate, '20/%m/%Y') END AS day,
