@@ -82,8 +82,13 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     numbers = F.when(text, F.coalesce("text_numbers", F.lit(0))).otherwise(F.col("native_numbers"))
     dates = F.when(text, F.coalesce("text_dates", F.lit(0))).when(F.col("native") == "date", F.col("n_present")).otherwise(0)
     rows = rows.withColumns({"n_numeric": numbers.cast("long"), "n_date": dates.cast("long")})
+    return rows.select("ordinal", "column", type_of().alias("type"), "n_rows", "n_present", "n_numeric", "n_date")
+
+
+def type_of() -> Column:
+    """The semantic type by counts of a column: n_rows, n_present, n_numeric, n_date, n_distinct, n_lower, and whether its name says identifier."""
     share, dated = F.try_divide("n_numeric", "n_present"), F.try_divide("n_date", "n_present")
-    kind = (
+    return (
         F.when(F.col("n_present") == 0, "text")
         .when(dated > MOSTLY, "date")
         .when((share > MOSTLY) & F.col("id_name") & (F.try_divide("n_distinct", "n_rows") > MOSTLY_DISTINCT), "id")
@@ -92,7 +97,29 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .when(share < HARDLY, "categorical")
         .otherwise("text")
     )
-    return rows.select("ordinal", "column", kind.alias("type"), "n_rows", "n_present", "n_numeric", "n_date")
+
+
+def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of all cells as text, with a row for the cells of a column that hold nothing (a null value)."""
+    cells = df.select(*[F.when(present(F.col(f"`{c}`"), _kind(df, c)), F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
+    return cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summaries_of_counts(df: DataFrame, columns: list[str], counts: DataFrame) -> DataFrame:
+    """(ordinal, column, type, n_rows, n_present, n_numeric, n_date, n_distinct, top_count) from counts of all cells of ``df``."""
+    natives = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(_native(_kind(df, c))))])
+    value, native = F.col("value"), F.col("native")
+    is_number = F.when(native == "text", text_number(value).isNotNull()).otherwise((native == "number") & (value != "NaN"))
+    tested = counts.withColumn("native", natives[F.col("column")]).withColumn("is_number", F.coalesce(is_number, F.lit(False)))
+    tested = tested.withColumn("is_date", F.coalesce(F.when(native == "text", ~F.col("is_number") & text_date(value).isNotNull()).otherwise((native == "date") & value.isNotNull()), F.lit(False)))
+    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    found = tested.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), total(value.isNotNull()).alias("n_present"), total(F.col("is_number")).alias("n_numeric"), total(F.col("is_date")).alias("n_date"), F.count("value").alias("n_distinct"),
+        F.countDistinct(F.when(native == "text", F.lower("value"))).alias("n_lower"), F.coalesce(F.max(F.when(value.isNotNull(), F.col("n"))), F.lit(0)).alias("top_count"),
+    )
+    named = df.sparkSession.createDataFrame([(i, c, _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, id_name boolean")
+    rows = named.join(F.broadcast(found), "column", "left").na.fill(0)  # a row for each column
+    return rows.select("ordinal", "column", type_of().alias("type"), "n_rows", "n_present", "n_numeric", "n_date", "n_distinct", "top_count")
 
 
 def _native(kind: T.DataType) -> str:
@@ -111,6 +138,11 @@ def column_basics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     counts = _per_column(df, columns, lambda c: [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(present(F.col(f"`{c}`"), _kind(df, c)), 1)).alias("non_null")])
     distinct = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
     rows = counts.join(distinct, "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    return basics_of(rows)
+
+
+def basics_of(rows: DataFrame) -> DataFrame:
+    """The basics from (column, n_rows, non_null, distinct_count)."""
     nulls = F.col("n_rows") - F.col("non_null")
     share = nulls / F.nullif(F.col("n_rows"), F.lit(0))
     pct = F.coalesce(jsround(share * 100, 2), F.lit(0.0))
@@ -191,17 +223,49 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate:
     """
     columns = columns or numeric_columns(df)
     first = {r["column"]: r for r in _moments(df, columns, approximate).collect()}
-    spark = df.sparkSession
     kept = [c for c in columns if first[c]["n"] >= 2]
     quartiles = {c: first[c]["q"] for c in kept} if approximate else exact_quantiles(df, kept)
+    stats, fences = _described(df.sparkSession, first, kept, quartiles)
+
+    def outside(c: str) -> list[Column]:
+        x, (mean, sd, low, high) = number(F.col(f"`{c}`"), _kind(df, c)), fences[c]
+        z = F.when(F.abs(x - mean) / sd > 3, x) if sd else F.lit(None).cast("double")
+        q = F.when((x < low) | (x > high), x)
+        return [F.count(z).alias("z_outliers"), F.min(z).alias("z_min"), F.max(z).alias("z_max"), F.count(q).alias("iqr_outliers"), F.min(q).alias("iqr_min"), F.max(q).alias("iqr_max")]
+
+    if not kept:
+        return _without_outliers(stats)
+    return stats.join(F.broadcast(_per_column(df, kept, outside).drop("ordinal")), "column").drop("ordinal")
+
+
+def numeric_stats_of_counts(df: DataFrame, columns: list[str], counts: DataFrame, first: dict) -> DataFrame:
+    """The same from counts (column, x, n) of the distinct numbers and the columns' moments: quartiles and outliers need no scan of the table."""
+    kept = [c for c in columns if first[c]["n"] >= 2]
+    if not kept:
+        return _without_outliers(_described(df.sparkSession, first, [], {})[0])
+    held = counts.where(F.col("column").isin(kept))
+    stats, fences = _described(df.sparkSession, first, kept, quantiles_of_counts(held))
+    limits = df.sparkSession.createDataFrame([(c, *map(float, f)) for c, f in fences.items()], "column string, mean double, sd double, low double, high double")
+    x, n = F.col("x"), F.col("n")
+    z, q = (F.col("sd") > 0) & (F.abs(x - F.col("mean")) / F.col("sd") > 3), (x < F.col("low")) | (x > F.col("high"))
+    of = lambda f, when: f(F.when(when, x))
+    told = held.join(F.broadcast(limits), "column").groupBy("column").agg(  # a row for each column
+        F.sum(F.when(z, n).otherwise(0)).alias("z_outliers"), of(F.min, z).alias("z_min"), of(F.max, z).alias("z_max"), F.sum(F.when(q, n).otherwise(0)).alias("iqr_outliers"), of(F.min, q).alias("iqr_min"), of(F.max, q).alias("iqr_max")
+    )
+    return stats.join(F.broadcast(told), "column").drop("ordinal")
+
+
+def _without_outliers(stats: DataFrame) -> DataFrame:
+    """The columns of outliers for a frame without rows."""
+    return stats.drop("ordinal").withColumns({c: F.lit(None).cast("double" if "m" in c[2:] else "long") for c in ("z_outliers", "z_min", "z_max", "iqr_outliers", "iqr_min", "iqr_max")})
+
+
+def _described(spark, first: dict, kept: list[str], quartiles: dict) -> tuple[DataFrame, dict]:
+    """Statistics of columns from their moments and quartiles, rounded, and the unrounded (mean, deviation, low fence, high fence)."""
     schema = (
         "ordinal int, column string, n long, non_numeric long, sum double, mean double, median double, min double, max double, range double, std_dev double, variance double, q1 double, q3 double, "
         "iqr double, skewness double, cv double, lower_fence double, upper_fence double"
     )
-
-    def half_up(x: float, digits: int) -> float:
-        return math.floor(x * 10**digits + 0.5) / 10**digits if abs(x) < 1e15 / 10**digits else x
-
     rows, fences = [], {}
     for i, c in enumerate(kept):
         r = first[c]
@@ -214,17 +278,11 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate:
             3 * (r["mean"] - median) / r["sd"] if r["sd"] else 0.0, abs(r["sd"] / r["mean"]) * 100 if r["mean"] else None, low, high,
         ))
     rows = [tuple(half_up(x, 2 if j == 16 else 4) if isinstance(x, float) else x for j, x in enumerate(r)) for r in rows]
+    return spark.createDataFrame(rows, schema), fences
 
-    def outside(c: str) -> list[Column]:
-        x, (mean, sd, low, high) = number(F.col(f"`{c}`"), _kind(df, c)), fences[c]
-        z = F.when(F.abs(x - mean) / sd > 3, x) if sd else F.lit(None).cast("double")
-        q = F.when((x < low) | (x > high), x)
-        return [F.count(z).alias("z_outliers"), F.min(z).alias("z_min"), F.max(z).alias("z_max"), F.count(q).alias("iqr_outliers"), F.min(q).alias("iqr_min"), F.max(q).alias("iqr_max")]
 
-    stats = spark.createDataFrame(rows, schema)
-    if not kept:
-        return stats.withColumns({c: F.lit(None).cast("double" if "m" in c[2:] else "long") for c in ("z_outliers", "z_min", "z_max", "iqr_outliers", "iqr_min", "iqr_max")})
-    return stats.join(F.broadcast(_per_column(df, kept, outside).drop("ordinal")), "column").drop("ordinal")
+def half_up(x: float, digits: int) -> float:
+    return math.floor(x * 10**digits + 0.5) / 10**digits if abs(x) < 1e15 / 10**digits else x
 
 
 def outlier_disagreement(stats: DataFrame) -> DataFrame:
@@ -281,7 +339,10 @@ def _totals(counts: DataFrame) -> DataFrame:
 
 def category_counts(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """(column, rank, value, n, pct) of the most frequent values; ties by value."""
-    counts = value_counts(df, columns)
+    return categories_of_counts(value_counts(df, columns), top)
+
+
+def categories_of_counts(counts: DataFrame, top: int = 5) -> DataFrame:
     ranked = _leaders(counts, top).join(F.broadcast(_totals(counts)), "column")
     return ranked.select("column", "rank", "value", "n", jsround(F.col("n") / F.col("total") * 100, 2).alias("pct"))
 

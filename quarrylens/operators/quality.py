@@ -66,8 +66,18 @@ def suspicious_rounding(df: DataFrame, columns: list[str] | None = None, limit:
         x = number(F.col(f"`{c}`"), _kind(df, c))
         return [F.count(x).alias("n"), F.count(F.when((x != 0) & (x % 10 == 0), 1)).alias("n_round")]
 
+    return _rounded(_per_column(df, columns, measures), limit)
+
+
+def rounding_of_counts(numbers: DataFrame, limit: float = 0.8) -> DataFrame:
+    """The same from counts (column, x, n) of numbers."""
+    x, n = F.col("x"), F.col("n")
+    return _rounded(numbers.groupBy("column").agg(F.sum(n).alias("n"), F.sum(F.when((x != 0) & (x % 10 == 0), n).otherwise(0)).alias("n_round")), limit)
+
+
+def _rounded(counts: DataFrame, limit: float) -> DataFrame:
     share = F.col("n_round") / F.col("n")
-    return _per_column(df, columns, measures).where("n > 0").select("column", "n", "n_round", jsround(share).alias("round_share"), (share > limit).alias("suspicious"))
+    return counts.where("n > 0").select("column", "n", "n_round", jsround(share).alias("round_share"), (share > limit).alias("suspicious"))
 
 
 def monotonic(df: DataFrame, columns: list[str], order: str, least: int = 6, tie: str | None = None) -> DataFrame:
@@ -121,8 +131,13 @@ def benford(df: DataFrame, columns: list[str] | None = None, least: int = 50) ->
     columns = columns or numeric_columns(df)
     cells = df.select(*[number(F.col(f"`{c}`"), _kind(df, c)).alias(c) for c in columns])
     long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "x").where("x IS NOT NULL")
+    return benford_of_counts(long.withColumn("n", F.lit(1)), least)
+
+
+def benford_of_counts(numbers: DataFrame, least: int = 50) -> DataFrame:
+    """The same from counts (column, x, n) of numbers."""
     digit = F.regexp_extract(F.abs("x").cast("string"), "[1-9]", 0)
-    counts = long.groupBy("column", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    counts = numbers.groupBy("column", digit.alias("digit")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     by_column = counts.groupBy("column").agg(
         F.sum("n").alias("all"), (F.max("hi") > F.min("lo")).alias("varies"), F.sum(F.when(F.col("digit") != "", F.col("n")).otherwise(0)).alias("digits"),
         *[F.coalesce(F.sum(F.when(F.col("digit") == str(d), F.col("n"))), F.lit(0)).alias(f"d{d}") for d in range(1, 10)],

@@ -731,7 +731,7 @@ def quality_score_sparse_ids(spark, sf_dir):
     return Q.quality_score(rows, _SPARSE_TYPES)
 
 
-# ---- repair and narrative ---------------------------------------------------------------------
+# ---- repair and export ---------------------------------------------------------------------
 
 _BROKEN_HEADER = ["id", "amount", "day", "status"]
 
@@ -751,50 +751,6 @@ def csv_repair(spark, sf_dir):
     return repaired(lines, _BROKEN_HEADER, kinds)
 
 
-def _profiled(spark, sf_dir):
-    from .profile import profile
-
-    return profile(load(spark, sf_dir, "orders").drop("o_custkey"), "orders")
-
-
-@query()
-def insights(spark, sf_dir):
-    return _profiled(spark, sf_dir).insights()
-
-
-@query()
-def stories(spark, sf_dir):
-    return _profiled(spark, sf_dir).stories()
-
-
-@query()
-def quality_flags(spark, sf_dir):
-    return _profiled(spark, sf_dir).flags()
-
-
-@query()
-def answers(spark, sf_dir):
-    from .profile import TOPICS
-
-    p = _profiled(spark, sf_dir)
-    rows = [(topic, i, line) for topic in TOPICS for i, line in enumerate(p.ask(topic))]
-    return spark.createDataFrame(rows, "topic string, ord int, line string")
-
-
-@query()
-def kpi_row(spark, sf_dir):
-    from . import profile as P
-
-    return P.kpis(_profiled(spark, sf_dir))
-
-
-@query()
-def column_details(spark, sf_dir):
-    from . import profile as P
-
-    return P.column_details(_profiled(spark, sf_dir))
-
-
 @query(
     '''SELECT regexp_replace(line, '^.*?,', '') AS rest, count(*) AS n FROM (
       SELECT CAST(p_partkey AS VARCHAR) || ',' || CASE WHEN p_size % 2 = 0 THEN '"' || p_brand || ', ""' || p_type || '"""' ELSE p_type END || ',' || coalesce(CAST(nullif(p_size, 1) AS VARCHAR), '') AS line FROM part) GROUP BY 1'''

@@ -1,8 +1,12 @@
 """A whole profile of a table, and what is said about it: insights, stories and answers.
 
-Types come first, since they decide which sections a column has; every section
-is then a lazy frame over one cached table (:meth:`Profile.close` frees it).
-Sentences are made from the small result frames.
+One scan counts the distinct cells of every column. Types come from these counts, and so do
+all measures that do not depend on where a value stands: basics, mixed types, quartiles,
+outliers, first digits, round numbers, leading values, spellings. A second scan takes the
+moments of the numeric columns. What is left (duplicate rows, correlations, series, gaps,
+trends) is a scan each, and every measure is taken once, when a sentence first asks for it
+(:class:`Facts`). Sentences are made from the small results. :meth:`Profile.close` frees
+the counts.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.semantics import text_number
 from ..operators import columns as C
 from ..operators import quality as Q
 from ..operators import series as S
 from ..sources.sinks import report
 
-#: Insights shown; categories broken down; answers list so many lines.
-INSIGHTS, CATEGORIES = 6, 5
+#: Insights shown; categories broken down; columns of a heat map.
+INSIGHTS, CATEGORIES, HEAT_COLUMNS = 6, 5, 8
+# The topics that may be asked, their titles, and the words that find them.
 TOPICS = {
     "overview": ("Dataset overview", ["overview", "summary", "describe"]),
     "key-metrics": ("Key metrics", ["metrics", "mean", "average", "statistics"]),
@@ -71,37 +77,145 @@ def _first(df: DataFrame | None) -> dict | None:
     return next(iter(_rows(df)), None)
 
 
+class Facts:
+    """The few numbers that sentences are made from, each found when it is first asked for."""
+
+    def __init__(self, p: Profile):
+        self._p = p
+        self._held: dict = {}
+
+    def __getitem__(self, name: str):
+        if name not in self._held:
+            self._held[name] = getattr(self, f"_{name}")()
+        return self._held[name]
+
+    def _rows(self) -> int:
+        return max((r["n_rows"] for r in self._p.counted.values()), default=0)
+
+    def _basics(self) -> dict:
+        return {r["column"]: r for r in _rows(self._p.basics)}
+
+    def _numeric(self) -> list[dict]:
+        return sorted(_rows(self._p.numeric), key=lambda r: list(self._p.types).index(r["column"])) if self._p.of("numeric") else []
+
+    def _duplicates(self) -> dict:
+        return _first(Q.duplicate_rows(self._p.body))
+
+    def _missing(self) -> dict:
+        counted = self._p.counted.values()
+        missing, cells = sum(r["n_rows"] - r["n_present"] for r in counted), sum(r["n_rows"] for r in counted)
+        return {"missing": missing, "cells": cells, "missing_pct": C.half_up(missing / cells * 100, 2) if cells else 0.0}
+
+    def _mixed(self) -> list[str]:
+        least = lambda r: min(r["n_numeric"], r["n_present"] - r["n_numeric"])
+        return [c for c, r in self._p.counted.items() if r["n_present"] and least(r) / r["n_present"] > 0.05]
+
+    def _score(self) -> int:
+        p = self._p
+        rows, first = (p.df, Q.FIRST_ROWS) if p.row_id else (p.df.limit(Q.FIRST_ROWS), None)
+        dirty = _rows(Q.dirty_cells(rows, p.types, p.row_id or "", first))
+        counts = (self["missing"]["missing"], self["missing"]["cells"], self["duplicates"]["duplicates"], self["rows"], len(self["mixed"]), sum(r["null_tokens"] + r["money"] + r["not_numeric"] for r in dirty), max((r["n_seen"] for r in dirty), default=0))
+        frame = p.df.sparkSession.createDataFrame([counts], "missing long, cells long, duplicates long, n_rows long, mixed long, dirty long, seen long")
+        return _first(Q.score_of(frame, max(1, len(p.types))))["score"]
+
+    def _pairs(self) -> list[dict]:
+        return sorted((r for r in _rows(self._p.correlations) if r["r"] is not None), key=lambda r: -r["abs_r"])
+
+    def _summary(self) -> dict | None:
+        return _first(S.series_summary(self._p.series)) if self._p.series is not None else None
+
+    def _leaders(self) -> dict:
+        return {c: _rows(t) for c, t in self._p.totals.items()}
+
+
+class Anomalies(Facts):
+    """What looks odd, kind by kind."""
+
+    def _constant(self) -> list[dict]:
+        return [{"column": r["column"], "std_dev": r["std_dev"]} for r in self._p.facts["numeric"] if r["std_dev"] == 0]
+
+    def _near_constant(self) -> list[dict]:
+        found = ((c, r["top_count"] / r["n_rows"]) for c, r in self._p.counted.items() if r["n_rows"])
+        return [{"column": c, "top_share": C.half_up(share, 4)} for c, share in found if share > 0.95]
+
+    def _rounding(self) -> list[dict]:
+        return [r for r in _rows(Q.rounding_of_counts(self._p.numbers)) if r["suspicious"]] if self._p.of("numeric") else []
+
+    def _monotonic(self) -> list[dict]:
+        p = self._p
+        return _rows(Q.monotonic(p.df, p.of("numeric"), p.row_id)) if p.of("numeric") and p.row_id else []
+
+    def _benford(self) -> list[dict]:
+        return [r for r in _rows(Q.benford_of_counts(self._p.numbers)) if r["deviates"]] if self._p.of("numeric") else []
+
+    def _fuzzy(self) -> list[dict]:
+        groups = self._p.of("categorical")
+        return _rows(Q.fuzzy_values(self._p.values.where(F.col("column").isin(groups)))) if groups else []
+
+    def __getitem__(self, name: str):
+        """In the order of the table's columns."""
+        place = list(self._p.types).index
+        return sorted(super().__getitem__(name), key=lambda r: (place(r["column"]), r.get("key", "")))
+
+
 @dataclass
 class Profile:
-    """Sections of a profile as tidy frames; ``types`` is found when the profile is made."""
+    """Sections of a profile as tidy frames; ``counts`` and ``counted`` are found when the profile is made."""
 
     df: DataFrame
     types: dict[str, str]
     name: str = "dataset"
     row_id: str | None = None
+    counts: DataFrame | None = None  # (column, value, n) of all cells, kept until close()
+    counted: dict[str, dict] | None = None
 
     def of(self, kind: str) -> list[str]:
         return [c for c, t in self.types.items() if t == kind]
 
     @cached_property
     def body(self) -> DataFrame:
-        return self.df.select(*[F.col(f"`{c}`") for c in self.types]).persist()
+        return self.df.select(*[F.col(f"`{c}`") for c in self.types])
+
+    @property
+    def values(self) -> DataFrame:
+        """(column, value, n) of the cells that hold something."""
+        return self.counts.where("value IS NOT NULL")
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """(column, x, n) of the numbers in numeric columns; spellings of one number are one."""
+        x = F.when(F.col("value") != "NaN", F.coalesce(text_number(F.col("value")), F.col("value").try_cast("boolean").cast("int").cast("double")))
+        return self.values.where(F.col("column").isin(self.of("numeric"))).select("column", x.alias("x"), "n").where("x IS NOT NULL").groupBy("column", "x").agg(F.sum("n").alias("n"))
 
     def close(self) -> None:
         """Free what the profile holds."""
-        self.body.unpersist()
+        self.counts.unpersist()
+
+    @cached_property
+    def facts(self) -> Facts:
+        return Facts(self)
+
+    @cached_property
+    def anomalies(self) -> Anomalies:
+        return Anomalies(self)
 
     @cached_property
     def basics(self) -> DataFrame:
-        return C.column_basics(self.body, list(self.types))
+        rows = [(c, r["n_rows"], r["n_present"], r["n_distinct"]) for c, r in self.counted.items()]
+        return C.basics_of(self.df.sparkSession.createDataFrame(rows, "column string, n_rows long, non_null long, distinct_count long"))
+
+    @cached_property
+    def moments(self) -> dict[str, dict]:
+        """n, sum, mean, extremes and deviation of the numeric columns, from one scan."""
+        return {r["column"]: r for r in _rows(C._moments(self.body, self.of("numeric"), False))} if self.of("numeric") else {}
 
     @cached_property
     def numeric(self) -> DataFrame:
-        return C.numeric_stats(self.body, self.of("numeric"))
+        return C.numeric_stats_of_counts(self.body, self.of("numeric"), self.numbers, self.moments)
 
     @cached_property
     def categories(self) -> DataFrame | None:
-        return C.category_counts(self.body, self.of("categorical")) if self.of("categorical") else None
+        return C.categories_of_counts(self.values.where(F.col("column").isin(self.of("categorical")))) if self.of("categorical") else None
 
     @cached_property
     def texts(self) -> DataFrame | None:
@@ -116,10 +230,17 @@ class Profile:
     def correlations(self) -> DataFrame:
         return S.correlations(self.body, self.of("numeric"))
 
+    @property
+    def heat_map(self) -> DataFrame | None:
+        """(col_a, col_b, r) of every ordered pair of the first eight numeric columns; None under two."""
+        shown = self.of("numeric")[:HEAT_COLUMNS]
+        return S.correlation_matrix(self.body, shown) if len(shown) > 1 else None
+
     @cached_property
     def primary(self) -> str | None:
-        found = _first(C.primary_column(self.numeric, self.of("numeric"))) if self.of("numeric") else None
-        return found["primary_column"] if found else None
+        """The numeric column of the largest variance, the first of equals, of those with two numbers."""
+        spread = {c: C.half_up(r["sd"] ** 2, 4) for c, r in self.moments.items() if r["n"] >= 2}
+        return max(spread, key=lambda c: (spread[c], -self.of("numeric").index(c))) if spread else None
 
     @cached_property
     def series(self) -> DataFrame | None:
@@ -133,31 +254,15 @@ class Profile:
     def gaps(self) -> dict[str, dict]:
         return {c: g for c in self.of("date") if (g := _first(S.date_gaps(self.body, c)))}
 
-    @cached_property
-    def facts(self) -> dict:
-        """The few numbers that sentences are made from."""
-        numeric = sorted(_rows(self.numeric), key=lambda r: list(self.types).index(r["column"])) if self.of("numeric") else []
-        duplicates, missing = _first(Q.duplicate_rows(self.body)), _first(Q.missing_cells(self.body, list(self.types)))
-        scored = self.df if self.row_id else self.df.withColumn("_row_id", F.monotonically_increasing_id())
+    def lists(self) -> dict[str, list[str]]:
+        """The columns by what is wrong with them."""
+        f, a = self.facts, self.anomalies
+        basics = f["basics"].values()
         return {
-            "basics": {r["column"]: r for r in _rows(self.basics)}, "numeric": numeric, "duplicates": duplicates, "missing": missing, "rows": duplicates["n_rows"],
-            "score": _first(Q.quality_score(scored, self.types, self.row_id or "_row_id"))["score"], "pairs": sorted((p for p in _rows(self.correlations) if p["r"] is not None), key=lambda p: -p["abs_r"]),
-            "summary": _first(S.series_summary(self.series)) if self.series is not None else None,
-            "leaders": {c: _rows(t) for c, t in self.totals.items()}, "mixed": [r["column"] for r in _rows(Q.mixed_types(self.body, list(self.types))) if r["mixed"]],
+            "all_null": [b["column"] for b in basics if not b["non_null"]], "high_null": [b["column"] for b in basics if b["non_null"] and b["null_pct"] > 20], "mixed_type": f["mixed"],
+            "constant": [r["column"] for r in a["constant"]], "near_constant": [r["column"] for r in a["near_constant"]],
         }
 
-    @cached_property
-    def anomalies(self) -> dict[str, list[dict]]:
-        numeric, groups = self.of("numeric"), self.of("categorical")
-        return {
-            "constant": [r for r in _rows(Q.constant_columns(self.numeric)) if r["constant"]] if numeric else [],
-            "near_constant": [r for r in _rows(Q.near_constant(self.body, list(self.types))) if r["near_constant"]],
-            "rounding": [r for r in _rows(Q.suspicious_rounding(self.body, numeric)) if r["suspicious"]] if numeric else [],
-            "monotonic": _rows(Q.monotonic(self.df, numeric, self.row_id)) if numeric and self.row_id else [],
-            "benford": [r for r in _rows(Q.benford(self.body, numeric)) if r["deviates"]] if numeric else [],
-            "fuzzy": _rows(Q.fuzzy_duplicates(self.body, groups)) if groups else [],
-        }
-
     def flags(self) -> DataFrame:
         """(ord, type, column, severity, detail) in a fixed order of kinds."""
         f, a, out = self.facts, self.anomalies, []
@@ -174,7 +279,7 @@ class Profile:
                 add("All-null column", "danger", "no values at all", c)
         for c in f["mixed"]:
             add("Mixed type column", "warning", "numbers and texts together", c)
-        constant = {r["column"] for r in a["constant"]}
+        constant = [r["column"] for r in a["constant"]]
         for c in constant:
             add("Zero variance column", "info", "a single value", c)
         for r in a["near_constant"]:
@@ -369,7 +474,9 @@ def find_topics(text: str) -> list[str]:
 
 
 def profile(df: DataFrame, name: str = "dataset", row_id: str | None = None) -> Profile:
-    """Find the types of the columns (one small job) and make the profile."""
+    """Count the cells of all columns, find the types from the counts, and make the profile."""
     body = df.drop(row_id) if row_id else df
-    types = {r["column"]: r["type"] for r in C.infer_types(body).orderBy("ordinal").collect()}
-    return Profile(df, types, name, row_id)
+    columns = C.scalar_columns(body)
+    counts = C.cell_counts(body, columns).persist() if columns else df.sparkSession.createDataFrame([], "column string, value string, n long")
+    counted = {r["column"]: r.asDict() for r in C.summaries_of_counts(body, columns, counts).orderBy("ordinal").collect()} if columns else {}
+    return Profile(df, {c: r["type"] for c, r in counted.items()}, name, row_id, counts, counted)
