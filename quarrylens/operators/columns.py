@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import small_frame
 from ..functions.semantics import HARDLY, ID_NAME, MOSTLY, MOSTLY_DISTINCT, is_numeric, is_scalar, is_temporal, jsround, number, present, text_date, text_number
 
 #: Columns of one wide aggregate; wider tables take several.
@@ -59,7 +60,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     numbers are counted only where the name says identifier.
     """
     columns = columns or scalar_columns(df)
-    named = df.sparkSession.createDataFrame([(i, c, _native(_kind(df, c)), _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, native string, id_name boolean")
+    named = small_frame(df.sparkSession, [(i, c, _native(_kind(df, c)), _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, native string, id_name boolean")
     counts = _per_column(
         df, columns, lambda c: [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(present(F.col(f"`{c}`"), _kind(df, c)), 1)).alias("n_present"), F.count(number(F.col(f"`{c}`"), _kind(df, c))).alias("native_numbers")]
     ).drop("ordinal")
@@ -117,7 +118,7 @@ def summaries_of_counts(df: DataFrame, columns: list[str], counts: DataFrame) ->
         F.sum("n").alias("n_rows"), total(value.isNotNull()).alias("n_present"), total(F.col("is_number")).alias("n_numeric"), total(F.col("is_date")).alias("n_date"), F.count("value").alias("n_distinct"),
         F.countDistinct(F.when(native == "text", F.lower("value"))).alias("n_lower"), F.coalesce(F.max(F.when(value.isNotNull(), F.col("n"))), F.lit(0)).alias("top_count"),
     )
-    named = df.sparkSession.createDataFrame([(i, c, _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, id_name boolean")
+    named = small_frame(df.sparkSession, [(i, c, _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, id_name boolean")
     rows = named.join(F.broadcast(found), "column", "left").na.fill(0)  # a row for each column
     return rows.select("ordinal", "column", type_of().alias("type"), "n_rows", "n_present", "n_numeric", "n_date", "n_distinct", "top_count")
 
@@ -181,9 +182,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
 
 
 def quantiles_of_counts(counts: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
-    """Exact interpolated quantiles of each column from counts (column, x, n) of its distinct numbers.
+    """Exact interpolated quantiles of each column from counts (column, x, n) of its numbers.
 
-    Distinct values are sorted by range; sums of the ranges, a row for each range and
+    Values are sorted by range; sums of the ranges, a row for each range and
     column, tell which range holds which rank. So no task holds a column, and only the
     values at the asked ranks come to the driver.
     """
@@ -197,8 +198,8 @@ def quantiles_of_counts(counts: DataFrame, shares: tuple[float, ...] = (0.25, 0.
             return {}
         wanted = [(c, int(k)) for c in sizes for p in shares for k in {math.floor((sizes[c] - 1) * p), math.ceil((sizes[c] - 1) * p)}]
         spark = counts.sparkSession
-        starts = spark.createDataFrame(offsets, "column string, part int, offset long")
-        ranks = spark.createDataFrame(sorted(set(wanted)), "column string, place long")
+        starts = small_frame(spark, offsets, "column string, part int, offset long")
+        ranks = small_frame(spark, sorted(set(wanted)), "column string, place long")
         running = Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
         placed = dealt.join(F.broadcast(starts), ["column", "part"]).withColumn("upto", F.col("offset") + F.sum("n").over(running))
         found = placed.join(F.broadcast(ranks), "column").where("place < upto AND place >= upto - n")
@@ -245,7 +246,7 @@ def numeric_stats_of_counts(df: DataFrame, columns: list[str], counts: DataFrame
         return _without_outliers(_described(df.sparkSession, first, [], {})[0])
     held = counts.where(F.col("column").isin(kept))
     stats, fences = _described(df.sparkSession, first, kept, quantiles_of_counts(held))
-    limits = df.sparkSession.createDataFrame([(c, *map(float, f)) for c, f in fences.items()], "column string, mean double, sd double, low double, high double")
+    limits = small_frame(df.sparkSession, [(c, *map(float, f)) for c, f in fences.items()], "column string, mean double, sd double, low double, high double")
     x, n = F.col("x"), F.col("n")
     z, q = (F.col("sd") > 0) & (F.abs(x - F.col("mean")) / F.col("sd") > 3), (x < F.col("low")) | (x > F.col("high"))
     of = lambda f, when: f(F.when(when, x))
@@ -278,7 +279,7 @@ def _described(spark, first: dict, kept: list[str], quartiles: dict) -> tuple[Da
             3 * (r["mean"] - median) / r["sd"] if r["sd"] else 0.0, abs(r["sd"] / r["mean"]) * 100 if r["mean"] else None, low, high,
         ))
     rows = [tuple(half_up(x, 2 if j == 16 else 4) if isinstance(x, float) else x for j, x in enumerate(r)) for r in rows]
-    return spark.createDataFrame(rows, schema), fences
+    return small_frame(spark, rows, schema), fences
 
 
 def half_up(x: float, digits: int) -> float:

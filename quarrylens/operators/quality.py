@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import small_frame
 from ..functions.semantics import (
     CLEAN_NULLS, CURRENCY, SCORE_NULLS, clean_date, clean_number, clean_text, jsround, looks_like_date, looks_like_money, number, present, text_date, text_number,
 )
@@ -121,7 +122,7 @@ def monotonic(df: DataFrame, columns: list[str], order: str, least: int = 6, tie
             whole = merge(*last)
             found.append(whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(part)]))))
     if not found:
-        return df.sparkSession.createDataFrame([], "column string, n long, direction string")
+        return small_frame(df.sparkSession, [], "column string, n long, direction string")
     out = reduce(DataFrame.unionByName, found).select("column", "s.n", "s.up", "s.down")
     return out.where((F.col("n") >= least) & (F.col("up") | F.col("down"))).select("column", "n", F.when(F.col("up"), "increasing").otherwise("decreasing").alias("direction"))
 
@@ -155,7 +156,7 @@ def fuzzy_duplicates(df: DataFrame, columns: list[str], groups: int = 3) -> Data
     """
     held = narrow_columns(df, columns, FUZZY_VALUES[1])
     if not held:
-        return df.sparkSession.createDataFrame([], "column string, key string, values string, n_values long")
+        return small_frame(df.sparkSession, [], "column string, key string, values string, n_values long")
     return fuzzy_values(value_counts(df, held), groups)
 
 
@@ -419,7 +420,7 @@ def cleaning_report(df: DataFrame, types: dict[str, str], row_id: str | None = N
     families = _families(df, _effective(df, types, row_id))
     columns = [c for held in families.values() for c in held]
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, changed long, numbers long, dates long, nulls long, others long, samples string")
+        return small_frame(df.sparkSession, [], "column string, changed long, numbers long, dates long, nulls long, others long, samples string")
     wide = _with_cells(df, families, False)
     at = F.col(f"`{row_id}`").cast("long") if row_id else F.lit(None).cast("long")
     cell = lambda c, p: F.struct(F.lit(c).alias("column"), at.alias("at"), F.col(f"`{c}`").alias("old"), F.coalesce(p["text"], p["number"].cast("string"), F.lit("null")).alias("new"), p["change"].alias("change"))
@@ -430,6 +431,6 @@ def cleaning_report(df: DataFrame, types: dict[str, str], row_id: str | None = N
     # Each task sends its own first cells only.
     shown = shown.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("at", "sample"))).where(F.col("nth") <= samples)
     texts = shown.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "sample"))), lambda x: x["sample"]), "; ").alias("samples"))
-    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    named = small_frame(df.sparkSession, [(c,) for c in columns], "column string")
     out = named.join(F.broadcast(counts), "column", "left").join(F.broadcast(texts), "column", "left")  # a row for each column
     return out.select("column", *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("changed", NUMBER, DATE, NULL, OTHER)], F.coalesce("samples", F.lit("")).alias("samples"))

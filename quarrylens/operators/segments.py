@@ -2,7 +2,7 @@
 
 Rows are grouped by the high bits of an exact whole-number key. A group's rows are read in
 order in one task, at most ``2 ** BITS`` distinct keys of them, and leave one summary; the
-summaries are grouped by the next higher bits, and so on, so four rounds at most cover all
+summaries are grouped by the next higher bits, and so on, so four rounds cover all
 64-bit keys, and no task orders more than a group. Rows of an equal key are merged first,
 in the same way, by a second key.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct keys of a group are at most ``2 ** BITS``.
-BITS = 16
+BITS = 20
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import small_frame
 from ..functions.semantics import correlation_strength, jsround, moment, number
 from .columns import _kind, numeric_columns, quantiles_of_counts
 from .segments import before, levels
@@ -54,7 +55,7 @@ def date_gaps(df: DataFrame, column: str) -> DataFrame:
     """One row (largest_gap_days, median_gap_days, gap_anomaly), nulls under two moments; the median is exact, by ranks among the counted gaps."""
     counts = gap_counts(df, column).select(F.lit(column).alias("column"), F.col("gap").cast("double").alias("x"), "n")
     mid, most = quantiles_of_counts(counts, (0.5, 1.0)).get(column, [None, None])
-    out = df.sparkSession.createDataFrame([(most, mid)], "most double, mid double").select((F.col("most") / DAY_MS).alias("most"), (F.col("mid") / DAY_MS).alias("mid"))
+    out = small_frame(df.sparkSession, [(most, mid)], "most double, mid double").select((F.col("most") / DAY_MS).alias("most"), (F.col("mid") / DAY_MS).alias("mid"))
     return out.select(jsround(F.col("most"), 1).alias("largest_gap_days"), jsround(F.col("mid"), 1).alias("median_gap_days"), ((F.col("most") > 2 * F.col("mid")) & (F.col("mid") > 0)).alias("gap_anomaly"))
 
 
@@ -126,7 +127,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None, least: int = 5
     pairs = list(combinations(columns, 2))
     schema = "col_a string, col_b string, n long, r double, abs_r double, strength string"
     if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     rows = _pairwise(df, pairs) if len(pairs) <= PAIRS else blocked_moments(df, columns)
     r = F.when((F.col("n") >= least) & ~F.isnan("raw"), jsround(F.col("raw")))
     return rows.select("col_a", "col_b", "n", r.alias("r")).select("*", F.abs("r").alias("abs_r"), correlation_strength(F.col("r")).alias("strength"))
@@ -204,7 +205,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     columns = columns or numeric_columns(df)
     pairs = correlations(df, columns).select("col_a", "col_b", "r")
     mirrored = pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "col_a string, col_b string, r double")
+    diagonal = small_frame(df.sparkSession, [(c, c, 1.0) for c in columns], "col_a string, col_b string, r double")
     return pairs.unionByName(mirrored).unionByName(diagonal)
 
 

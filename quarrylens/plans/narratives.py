@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from ..functions.frames import small_frame
 from ..operators import quality as Q
 from . import profile as P
 from .catalogue import _counts_sql, _score_sql, _stats_sql, _totals_sql, _trend_sql, each, load, query, r
@@ -233,7 +234,7 @@ def _told(make, rows, name: str):
 
 def _answers(p: P.Profile):
     told = P.ask_all(p, list(P.TOPICS))
-    return p.df.sparkSession.createDataFrame([(topic, i, line) for topic, lines in told.items() for i, line in enumerate(lines)], "topic string, ord int, line string")
+    return small_frame(p.df.sparkSession, [(topic, i, line) for topic, lines in told.items() for i, line in enumerate(lines)], "topic string, ord int, line string")
 
 
 def _register() -> None:

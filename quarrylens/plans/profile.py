@@ -18,6 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import small_frame
 from ..functions.semantics import text_number
 from ..operators import columns as C
 from ..operators import quality as Q
@@ -113,9 +114,9 @@ class Facts:
     def _score(self) -> int:
         p = self._p
         rows, first = (p.df, Q.FIRST_ROWS) if p.row_id else (p.df.limit(Q.FIRST_ROWS), None)
-        dirty = _rows(Q.dirty_cells(rows, p.types, p.row_id or "", first))
+        dirty = _rows(Q.dirty_cells(rows, p.types, p.row_id or "", first)) if p.types else []
         counts = (self["missing"]["missing"], self["missing"]["cells"], self["duplicates"]["duplicates"], self["rows"], len(self["mixed"]), sum(r["null_tokens"] + r["money"] + r["not_numeric"] for r in dirty), max((r["n_seen"] for r in dirty), default=0))
-        frame = p.df.sparkSession.createDataFrame([counts], "missing long, cells long, duplicates long, n_rows long, mixed long, dirty long, seen long")
+        frame = small_frame(p.df.sparkSession, [counts], "missing long, cells long, duplicates long, n_rows long, mixed long, dirty long, seen long")
         return _first(Q.score_of(frame, max(1, len(p.types))))["score"]
 
     def _pairs(self) -> list[dict]:
@@ -124,6 +125,11 @@ class Facts:
     def _summary(self) -> dict | None:
         return _first(S.series_summary(self._p.series)) if self._p.series is not None else None
 
+    def _leader(self) -> list[dict]:
+        """The leading values of the first categorical column, with its name."""
+        c = next(iter(self._p.of("categorical")), None)
+        return [r | {"column": c} for r in _rows(self._p.totals.get(c))]
+
     def _leaders(self) -> dict:
         return {c: _rows(t) for c, t in self._p.totals.items()}
 
@@ -183,9 +189,9 @@ class Profile:
 
     @cached_property
     def numbers(self) -> DataFrame:
-        """(column, x, n) of the numbers in numeric columns; spellings of one number are one."""
+        """(column, x, n) of the numbers in numeric columns; one number may come in several spellings."""
         x = F.when(F.col("value") != "NaN", F.coalesce(text_number(F.col("value")), F.col("value").try_cast("boolean").cast("int").cast("double")))
-        return self.values.where(F.col("column").isin(self.of("numeric"))).select("column", x.alias("x"), "n").where("x IS NOT NULL").groupBy("column", "x").agg(F.sum("n").alias("n"))
+        return self.values.where(F.col("column").isin(self.of("numeric"))).select("column", x.alias("x"), "n").where("x IS NOT NULL")
 
     def close(self) -> None:
         """Free what the profile holds."""
@@ -202,7 +208,7 @@ class Profile:
     @cached_property
     def basics(self) -> DataFrame:
         rows = [(c, r["n_rows"], r["n_present"], r["n_distinct"]) for c, r in self.counted.items()]
-        return C.basics_of(self.df.sparkSession.createDataFrame(rows, "column string, n_rows long, non_null long, distinct_count long"))
+        return C.basics_of(small_frame(self.df.sparkSession, rows, "column string, n_rows long, non_null long, distinct_count long"))
 
     @cached_property
     def moments(self) -> dict[str, dict]:
@@ -299,7 +305,7 @@ class Profile:
             add("Benford Law Anomaly", "warning", f"first digits deviate by {show(r['mad'])} on average", r["column"])
         for r in a["fuzzy"]:
             add("Category Consistency", "warning", f"spellings of one value: {r['values']}", r["column"])
-        return self.df.sparkSession.createDataFrame(out, "ord int, type string, column string, severity string, detail string")
+        return small_frame(self.df.sparkSession, out, "ord int, type string, column string, severity string, detail string")
 
     def insights(self) -> DataFrame:
         """(rank, score, category, text): the best of the candidate statements."""
@@ -316,10 +322,9 @@ class Profile:
         if f["summary"]:
             s = f["summary"]
             add(60 if s["direction"] == "Flat" else 90, "timeseries", f"{s['direction']}; the peak of {show(s['peak_value'])} is in {s['peak_month']}.")
-        for c, rows in list(f["leaders"].items())[:1]:
-            if rows:
-                best = min(rows, key=lambda r: r["rank"])
-                add(75, "category", f"{best['label']} leads {c} with {show(best['pct_of_total'])}% of {self.primary}.")
+        if f["leader"]:
+            best = min(f["leader"], key=lambda r: r["rank"])
+            add(75, "category", f"{best['label']} leads {best['column']} with {show(best['pct_of_total'])}% of {self.primary}.")
         odd = next((r for r in f["numeric"] if r["z_outliers"]), None)
         if odd:
             add(85, "outlier", f"{odd['column']} has {show(odd['z_outliers'])} values far from the rest.")
@@ -329,7 +334,7 @@ class Profile:
         if gappy:
             add(93 if gappy["null_pct"] > 25 else 50, "quality", f"{gappy['column']} lacks {show(gappy['null_pct'])}% of its values.")
         best = sorted(out, key=lambda x: (-x[0], x[1]))[:INSIGHTS]
-        return self.df.sparkSession.createDataFrame([(i + 1, s, c, t) for i, (s, _, c, t) in enumerate(best)], "rank int, score int, category string, text string")
+        return small_frame(self.df.sparkSession, [(i + 1, s, c, t) for i, (s, _, c, t) in enumerate(best)], "rank int, score int, category string, text string")
 
     def stories(self) -> DataFrame:
         """(ord, title, category, severity, text): the state of the data in sentences."""
@@ -362,14 +367,13 @@ class Profile:
         if odd:
             names = ", ".join(r["column"] for r in odd[:4]) + (", ..." if len(odd) > 4 else "")
             add("Outliers detected", "outlier", "warning", f"{show(sum(r['z_outliers'] for r in odd))} values lie beyond three deviations, in {len(odd)} columns with outliers ({names}).")
-        for c, rows in list(f["leaders"].items())[:1]:
-            if rows:
-                best = min(rows, key=lambda r: r["rank"])
-                add("Dominant category", "category", "info", f"In {c}, {best['label']} holds {show(best['pct_of_total'])}% of all {self.primary}.")
+        if f["leader"]:
+            best = min(f["leader"], key=lambda r: r["rank"])
+            add("Dominant category", "category", "info", f"In {best['column']}, {best['label']} holds {show(best['pct_of_total'])}% of all {self.primary}.")
         skewed = next((r for r in f["numeric"] if abs(r["skewness"]) > 1), None)
         if skewed:
             add("Skewed distribution", "distribution", "warning", f"{skewed['column']} leans to the {'right' if skewed['skewness'] > 0 else 'left'} (skewness {show(skewed['skewness'])}); its median says more than its mean.")
-        return self.df.sparkSession.createDataFrame(out, "ord int, title string, category string, severity string, text string")
+        return small_frame(self.df.sparkSession, out, "ord int, title string, category string, severity string, text string")
 
     def ask(self, topic: str) -> list[str]:
         """Lines that answer one of the topics of :data:`TOPICS`."""
@@ -424,7 +428,7 @@ def kpis(p: Profile) -> DataFrame:
     f = p.facts
     last = ("Trend", f["summary"]["direction"]) if f["summary"] else ("Empty cells", show(f["missing"]["missing"]))
     rows = [("Rows", show(f["rows"])), ("Columns", show(len(p.types))), ("Quality score", str(f["score"])), last]
-    return p.df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, name string, value string")
+    return small_frame(p.df.sparkSession, [(i, *r) for i, r in enumerate(rows)], "ord int, name string, value string")
 
 
 def column_details(p: Profile) -> DataFrame:
@@ -441,7 +445,7 @@ def column_details(p: Profile) -> DataFrame:
         else:
             detail = f"{show(b['distinct_count'])} distinct values"
         out.append((i, c, kind, detail + (f", {show(b['null_pct'])}% empty" if b["null_count"] else "")))
-    return p.df.sparkSession.createDataFrame(out, "ord int, column string, type string, detail string")
+    return small_frame(p.df.sparkSession, out, "ord int, column string, type string, detail string")
 
 
 def executive_summary(p: Profile) -> str:
@@ -477,6 +481,6 @@ def profile(df: DataFrame, name: str = "dataset", row_id: str | None = None) ->
     """Count the cells of all columns, find the types from the counts, and make the profile."""
     body = df.drop(row_id) if row_id else df
     columns = C.scalar_columns(body)
-    counts = C.cell_counts(body, columns).persist() if columns else df.sparkSession.createDataFrame([], "column string, value string, n long")
+    counts = C.cell_counts(body, columns).persist() if columns else small_frame(df.sparkSession, [], "column string, value string, n long")
     counted = {r["column"]: r.asDict() for r in C.summaries_of_counts(body, columns, counts).orderBy("ordinal").collect()} if columns else {}
     return Profile(df, {c: r["type"] for c, r in counted.items()}, name, row_id, counts, counted)

@@ -227,3 +227,90 @@ def test_names_and_sizes():
 
     assert P.chart_columns(["S.No", "a", "ID", "b", "a", "serial no"]) == ["a", "b"]
     assert [P.show_bytes(n) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"] and P.show_short(1234) == "1.2K"
+
+
+# ---- profiles ---------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def faulty(spark):
+    """A profile of a table with a fault of every kind."""
+    rows = spark.range(400).selectExpr(
+        "id * 5 AS _row_id", "CAST(id AS DOUBLE) AS step", "CAST(3 AS DOUBLE) AS flat", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 7 END AS gappy", "CASE WHEN id % 4 = 0 THEN 'x' ELSE CAST(id AS STRING) END AS mixed",
+        "CASE WHEN id = 1 THEN 'b' ELSE 'a' END AS near", "CAST(NULL AS STRING) AS nothing", "DATE'2020-01-01' + CAST(id AS INT) AS day", *[f"CAST(id * {i} % 11 AS DOUBLE) AS n{i}" for i in range(1, 9)],
+    )
+    p = profile(rows, "faulty", "_row_id")
+    yield p
+    p.close()
+
+
+def test_lists_of_columns(faulty):
+    assert faulty.lists() == {"all_null": ["nothing"], "high_null": ["gappy"], "mixed_type": ["mixed"], "constant": ["flat"], "near_constant": ["flat", "near"]}
+    assert [(r["column"], r["direction"]) for r in faulty.anomalies["monotonic"]] == [("step", "increasing"), ("flat", "increasing"), ("mixed", "increasing")]
+
+
+def test_heat_map_has_eight_columns(faulty):
+    assert len(faulty.of("numeric")) > 8
+    pairs = {(r["col_a"], r["col_b"]) for r in faulty.heat_map.collect()}
+    assert pairs == {(a, b) for a in faulty.of("numeric")[:8] for b in faulty.of("numeric")[:8]}
+
+
+def test_facts_are_found_once_and_only_when_asked(spark):
+    p = profile(spark.range(50).selectExpr("CAST(id % 5 AS STRING) AS k", "id * 1.5D AS x", "DATE'2020-01-01' + CAST(id AS INT) AS d"), "t")
+    from quarrylens.plans import profile as P
+
+    assert [r["value"] for r in P.kpis(p).orderBy("ord").collect()][:2] == ["50", "3"]
+    assert "pairs" not in p.facts._held and "numeric" not in p.facts._held
+    first = p.facts["numeric"]
+    assert p.facts["numeric"] is first
+    p.close()
+
+
+def test_profile_measures_equal_those_of_the_operators(faulty):
+    from quarrylens.operators import columns as C
+    from quarrylens.operators import quality as Q
+
+    body, names = faulty.body, list(faulty.types)
+    plain = lambda df: sorted(df.collect(), key=lambda r: (r["column"], r.asDict().get("rank", 0)))
+    assert {r["column"]: r["type"] for r in C.infer_types(body).collect()} == faulty.types
+    assert plain(C.column_basics(body, names)) == plain(faulty.basics)
+    assert plain(C.numeric_stats(body, faulty.of("numeric"))) == plain(faulty.numeric)
+    assert plain(C.category_counts(body, faulty.of("categorical"))) == plain(faulty.categories)
+    assert {r["column"] for r in Q.mixed_types(body, names).collect() if r["mixed"]} == set(faulty.facts["mixed"])
+    assert Q.missing_cells(body, names).first()["missing"] == faulty.facts["missing"]["missing"]
+    assert Q.quality_score(faulty.df, faulty.types).first()["score"] == faulty.facts["score"]
+    numeric = faulty.of("numeric")
+    assert {r["column"] for r in Q.suspicious_rounding(body, numeric).collect() if r["suspicious"]} == {r["column"] for r in faulty.anomalies["rounding"]}
+    assert {r["column"] for r in Q.benford(body, numeric).collect() if r["deviates"]} == {r["column"] for r in faulty.anomalies["benford"]}
+
+
+def test_summary_report_and_answers(spark, faulty):
+    from quarrylens.plans import profile as P
+
+    assert P.executive_summary(faulty).startswith(f"faulty holds 400 rows in {len(faulty.types)} columns; its integrity is moderate (score ")
+    text = P.full_report(faulty)
+    assert all(f"## {title}" in text for title in ("Insights", "Schema", "Columns", "Numbers", "Quality")) and "| gappy |" in text
+    told = P.ask_all(faulty, ["quality", "overview", "quality"])
+    assert list(told) == ["quality", "overview"] and told["quality"][-1].startswith("and ") and told["overview"][0].startswith("faulty: 400 rows")
+    with pytest.raises(KeyError):
+        faulty.ask("weather")
+
+
+def test_overview_of_the_newest_dataset(spark):
+    from quarrylens.plans import profile as P
+
+    c = dataset.Catalog(spark, f"shelf{random.randrange(10**9)}")
+    try:
+        assert P.overview(c) is None
+        c.save("old", spark.range(9))
+        c.save("new", spark.range(7).selectExpr("id", "'a' AS k"))
+        assert [r["value"] for r in P.overview(c).orderBy("ord").collect()][:2] == ["7", "2"]
+    finally:
+        c._remove(c.root)
+
+
+def test_profile_of_no_rows_and_no_columns(spark):
+    for df in (spark.range(0).selectExpr("id", "'a' AS k"), spark.range(3).selectExpr("array(id) AS nested")):
+        p = profile(df, "none")
+        assert p.facts["rows"] in (0, 3) and p.stories().count() >= 1 and p.flags().count() >= 0 and p.ask("overview")
+        p.close()

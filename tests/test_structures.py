@@ -50,7 +50,7 @@ def test_trends_by_time_and_without_rows(spark):
         Q.monotonic(df, ["up"], "s")
 
 
-@pytest.mark.parametrize("bits", [3, 16])
+@pytest.mark.parametrize("bits", [3, 20])
 def test_gaps_of_clustered_moments(spark, monkeypatch, bits):
     monkeypatch.setattr(segments, "BITS", bits)
     r = random.Random(bits)
