@@ -15,9 +15,9 @@ Python integers beyond (a score beyond 64 bits is held at the largest long).
 
 Defined results: vectors that are null or have null or non-finite components,
 and rows with a null id, take no part; vectors meet only vectors of their own
-length; a query's candidates are the rows with other ids; several query rows of
-one id count once, with the least of their vectors; ties go to the smaller id; a query without candidates has no
-rows; an empty table gives an empty result.
+length; a query's candidates are all other rows, also those of its id or vector, and
+each query row is answered by itself; ties go to the smaller id; a query without
+candidates has no rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ _LONG = (1 << 63) - 1
 class KDTree:
     """Median splits with tight boxes; nodes are (low, high, start, stop, left, right)."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.points, self.ids, self.nodes = points[order], ids[order], []
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.points, self.ids, self.rows, self.nodes = points[order], ids[order], rows[order], []
         if len(ids):
             self._build(0, len(ids))
 
@@ -56,7 +56,7 @@ class KDTree:
         if stop - start > LEAF and len(width) and width.max() > 0:
             d = int(np.argmax(width))
             order = np.argsort(held[:, d], kind="stable")
-            self.points[start:stop], self.ids[start:stop] = held[order], self.ids[start:stop][order]
+            self.points[start:stop], self.ids[start:stop], self.rows[start:stop] = held[order], self.ids[start:stop][order], self.rows[start:stop][order]
             middle = (start + stop) // 2
             left, right = self._build(start, middle), self._build(middle, stop)
             self.nodes[at] = (low, high, start, stop, left, right)
@@ -68,7 +68,7 @@ class KDTree:
         return np.maximum(q * low, q * high).sum() if len(q) else 0
 
     def search(self, q: np.ndarray, own: int, k: int, least=None) -> list[tuple]:
-        """At most k (score, id), best first; scores below ``least`` may be left out."""
+        """At most k (score, id) of rows other than ``own``, best first; scores below ``least`` may be left out."""
         if not self.nodes:
             return []
         best_score, best_id = np.zeros(0, self.points.dtype), np.zeros(0, np.int64)
@@ -85,7 +85,7 @@ class KDTree:
                         heapq.heappush(heap, (-b, child))
                 continue
             score, ids = self.points[start:stop] @ q, self.ids[start:stop]
-            keep = ids != own
+            keep = self.rows[start:stop] != own
             if least is not None:
                 keep &= score >= least
             best_score, best_id = np.concatenate([best_score, score[keep]]), np.concatenate([best_id, ids[keep]])
@@ -102,22 +102,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 0), np.int64)
 
 
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "query_row long, vec_id long, score long"
 
 
 def _search(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         points, q = _matrix(candidates.column("v")), _matrix(queries.column("qv"))
-        q_ids = queries.column("qid").to_numpy()
+        q_rows = queries.column("qrow").to_numpy()
         least = queries.column("least").to_pylist()
         out: list[tuple] = []
         if len(points) and len(q):
             kind = object if _wide(points, q) else np.float64
-            tree = KDTree(points.astype(kind), candidates.column("id").to_numpy().copy())
-            for own, vector, bound in zip(q_ids.tolist(), q.astype(kind), least):
+            tree = KDTree(points.astype(kind), candidates.column("id").to_numpy().copy(), candidates.column("row").to_numpy().copy())
+            for own, vector, bound in zip(q_rows.tolist(), q.astype(kind), least):
                 out += [(own, i, max(-_LONG, min(_LONG, int(s)))) for s, i in tree.search(vector, own, k, bound)]
         cols = list(zip(*out)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_row", "vec_id", "score"])
 
     return run
 
@@ -132,24 +132,25 @@ def _wide(points: np.ndarray, q: np.ndarray) -> bool:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of integer vectors (id long, v array<bigint>)."""
-    rows = cut(vectors.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v", is_query.alias("q"), F.size("v").alias("d")), "op1-vectors")
+    kept = vectors.where("id IS NOT NULL AND v IS NOT NULL")
+    rows = cut(kept.select(F.monotonically_increasing_id().alias("row"), "id", "v", is_query.alias("q"), F.size("v").alias("d")), "op1-vectors")
     n, asked = rows.agg(F.count("id"), F.count(F.when(F.col("q"), 1))).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
-    candidates = rows.select("id", "v", "d", shard.alias("s"))
-    asked_rows = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    queries = asked_rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("d").alias("qd"), shard.alias("home"), block.alias("qb"))
-    near = queries.select("qid", "qv", "qd", "home", F.lit(None).cast("long").alias("least"))
+    shard, block = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int")
+    candidates = rows.select("row", "id", "v", "d", shard.alias("s"))
+    queries = rows.where("q").select(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("d").alias("qd"), shard.alias("home"), block.alias("qb"))
+    near = queries.select("qrow", "qv", "qd", "home", F.lit(None).cast("long").alias("least"))
     first = candidates.groupBy("d", "s").cogroup(near.groupBy("qd", "home")).applyInArrow(_search(k), _FOUND)
     first = cut(first, "op1-first")
     # The kth score of the own shard, if it had k: the bound that goes to the others.
-    bound = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("least"))
-    bounded = queries.join(bound, queries["qid"] == bound["query_id"], "left")
-    far = bounded.withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("qs <> home").select("qid", "qv", "qd", "qs", "qb", "least")
+    bound = first.groupBy("query_row").agg(F.when(F.count("score") >= k, F.min("score")).alias("least"))
+    bounded = queries.join(bound, queries["qrow"] == bound["query_row"], "left")
+    far = bounded.withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("qs <> home").select("qrow", "qv", "qd", "qs", "qb", "least")
     copies = candidates.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rest = copies.groupBy("d", "s", "b").cogroup(far.groupBy("qd", "qs", "qb")).applyInArrow(_search(k), _FOUND)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a shard
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")  # at most k rows a shard
+    best = first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return best.join(queries.select(F.col("qrow").alias("query_row"), F.col("qid").alias("query_id")), "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, keep: tuple | list = ()) -> DataFrame:

@@ -40,8 +40,10 @@ from .common import small_batches
 #: Share of a page's text beyond which two pages are copies of one another.
 COPIES = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+# Within a tag a quote opens a value only after an equals sign; a quote that stands elsewhere, or is never closed, is as
+# any other character, so the tag ends at the next ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 # Elements of HTML by what they do here.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"}
@@ -170,7 +172,19 @@ def main_lines(lines: list[tuple[str, int]]) -> list[tuple[str, bool]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, by the longest rising run of matches."""
+    """Places of a longest common subsequence: equal beginnings and ends, and between them the longest rising run of matches."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    middle = _rising_matches(a[head : len(a) - tail], b[head : len(b) - tail])
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in middle] + ends
+
+
+def _rising_matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     where: dict[str, list[int]] = defaultdict(list)
     for j, line in enumerate(b):
         where[line].append(j)

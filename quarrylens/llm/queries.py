@@ -118,15 +118,15 @@ def op1_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_kdtree"] = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e)
   WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -149,7 +149,8 @@ def op11_pointer_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op11_pointer_trie"] = rf"""
 WITH raw AS (
-  SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+  SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM raw), {_CRC_TABLE}),
 b AS (SELECT c.*, coalesce(n, 0) AS n FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM raw GROUP BY 1) USING (base)),

@@ -373,8 +373,10 @@ def test_top_k(spark, shard_rows):
     got = _rows(kdtree_search.top_k(df, F.col("id") % 50 == 0, 5, shard_rows, 2), "query_id", "rank", "vec_id", "score")
     expected = []
     usable = [(i, x) for i, x in rows if i is not None and x is not None]
-    for q, x in {i: x for i, x in usable if i % 50 == 0}.items():
-        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in usable if i != q and len(y) == len(x))[:5]
+    for at, (q, x) in enumerate(usable):
+        if q % 50:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for other, (i, y) in enumerate(usable) if other != at and len(y) == len(x))[:5]
         expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     assert got == sorted(expected, key=repr)
 
@@ -391,7 +393,8 @@ def test_top_k_of_repeated_query_ids(spark):
     for parts in (1, 4):
         df = spark.createDataFrame(rows, "id long, v array<bigint>").repartition(parts)
         got = _rows(kdtree_search.top_k(df, F.col("id") == 50, 5), "query_id", "rank", "vec_id", "score")
-        assert got == sorted([(50, 1, 2, 15), (50, 2, 3, 3), (50, 3, 1, 0)], key=repr)  # of [0, 3], the least
+        # Each of the two rows has the other among its candidates.
+        assert got == sorted([(50, 1, 1, 15), (50, 2, 3, 3), (50, 3, 2, 0), (50, 4, 50, 0), (50, 1, 2, 15), (50, 2, 3, 3), (50, 3, 1, 0), (50, 4, 50, 0)], key=repr)
 
 
 def test_integer_vectors(spark):
@@ -399,6 +402,47 @@ def test_integer_vectors(spark):
     assert {r["id"]: r["v"] for r in kdtree_search.integer_vectors(df).collect()} == {1: [128, -1], 2: None, 3: None, 4: None, 5: None}
 
 
+# ---- 2 pages ----------------------------------------------------------------------------------
+
+
+def _read_tags(page):
+    """Texts between tags, by reading character by character: a quote opens a value after an equals sign only, if it is closed."""
+    out, now, i = [], "", 0
+    while i < len(page):
+        if page[i] == "<" and page[i + 1 : i + 2].isalpha() or page[i : i + 2] == "</" and page[i + 2 : i + 3].isalpha():
+            j = i + 1
+            while j < len(page) and page[j] != ">":
+                k = j + 1
+                while page[j] == "=" and k < len(page) and page[k].isspace():
+                    k += 1
+                closed = page.find(page[k], k + 1) if page[j] == "=" and k < len(page) and page[k] in "\"'" else -1
+                j = closed + 1 if closed > 0 else j + 1
+            if j >= len(page):
+                break
+            out, now, i = [*out, now], "", j + 1
+        else:
+            now, i = now + page[i], i + 1
+    return [" ".join(x.split()) for x in [*out, now] if x.strip()]
+
+
+def test_stray_quotes_end_no_page():
+    for page, want in (
+        ('<p>See <a href="x"">link</a> now.</p><p>Two.</p><p>Three.</p>', ["See link now.", "Two.", "Three."]), ("<p class=it's>One</p><p>Two</p>", ["One", "Two"]), ('<p title="a>b">One</p><p id="x>Two</p>', ["One", "Two"]),
+        ("<p data-x = 'a>b' \">One</p>", ["One"]), ("<p>One</p><p class=", ["One"]),
+    ):
+        assert [x for x, _ in page_diff.lines_of(page)] == want
+    r = random.Random(8)
+    for _ in range(3000):
+        page = "".join(r.choice(['<p id="', "<p a='", "<p b=", "<p>", '"', "'", ">", "x", "y z", "=", " "]) for _ in range(r.randrange(14)))
+        if "<p" in page.rpartition(">")[2]:
+            page += ">"
+        assert " ".join(x for x, _ in page_diff.lines_of(page)) == " ".join(_read_tags(page)), page
+
+
+def test_many_equal_lines_are_quick():
+    assert len(page_diff.common_lines(["row"] * 40_000, ["row"] * 39_000)) == 39_000
+
+
 # ---- 4 packing --------------------------------------------------------------------------------
 
 
