@@ -1,7 +1,7 @@
 """Scalar semantics of the profiler, as Column expressions.
 
 A cell is raw text or a native value; whether it is a number or a date is asked
-of each cell. All expressions are built in, so they stay in generated code.
+of each cell. All expressions are built in, so no row leaves the JVM.
 """
 
 from __future__ import annotations

@@ -293,6 +293,12 @@ def outlier_disagreement(stats: DataFrame) -> DataFrame:
     return stats.select("column", "z_outliers", "iqr_outliers", ((most > 0) & (gap > 0.5 * most)).alias("disagree"))
 
 
+def column_sheet(basics: DataFrame, stats: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """What is known of each column side by side: its basics, and its numbers and commonest value where it has them."""
+    sheet = basics.join(F.broadcast(stats.drop("n")), "column", "left")  # a row for each column
+    return sheet.join(F.broadcast(modes.select("column", "mode", "mode_count")), "column", "left") if modes is not None else sheet
+
+
 def primary_column(stats: DataFrame, order: list[str]) -> DataFrame:
     """The column of the largest variance as a one-row frame; of equals the first in ``order``, that of the table."""
     place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("column"))

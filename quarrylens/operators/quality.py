@@ -12,6 +12,7 @@ from ..functions.frames import small_frame
 from ..functions.semantics import (
     CLEAN_NULLS, CURRENCY, SCORE_NULLS, clean_date, clean_number, clean_text, jsround, looks_like_date, looks_like_money, number, present, text_date, text_number,
 )
+from ..sources.shared import written
 from .columns import WIDE, _kind, _per_column, narrow_columns, numeric_columns, scalar_columns, value_counts
 from .segments import before, levels, order_key
 
@@ -25,17 +26,25 @@ FIRST_ROWS, CURRENCY_ROWS = 500, 200
 
 
 def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """``_row_id`` from 0 in the given order, without ordering all rows in one task.
+    """``_row_id`` from 0 in the given order, for rows that come from no file reader.
 
-    Rows are sorted by range; a partition's rows are numbered after the rows of
-    the partitions before it, whose counts are one row each.
+    Rows are sorted by range and written with their place in their range; a range's rows
+    are numbered after those of the ranges before it, whose counts are one row each. So no
+    task orders all rows, and the numbers do not change if part of the work is done again.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    marked = ranged.withColumn("_at", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
-    marked = marked.persist()  # ids and counts must see the same partitions
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return marked.join(F.broadcast(before), "_part").withColumn("_row_id", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    held = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))  # a row for each range
+    return held.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_row_id", F.col("_before") + nth).drop("_part", "_before", "_at")
+
+
+def drop_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The rows in which any of the columns (all scalar ones) holds something."""
+    held = [present(F.col(f"`{c}`"), _kind(df, c)) for c in (columns or scalar_columns(df))]
+    return df.where(reduce(lambda a, b: a | b, held)) if held else df
 
 
 # ---- anomalies --------------------------------------------------------------------------------

@@ -74,15 +74,25 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def month_sums(df: DataFrame, date: str, measure: str) -> DataFrame:
+    """(month, total, n): sums by month; missing numbers count as rows of nothing."""
+    t, raw = moment(F.col(f"`{date}`"), _kind(df, date)), F.col(f"`{measure}`")
+    x = number(raw, _kind(df, measure))
+    rows = df.select(F.date_format(t, "yyyy-MM").alias("month"), x.alias("x"), raw.isNull().alias("missing")).where("month IS NOT NULL AND (x IS NOT NULL OR missing)")
+    return rows.groupBy("month").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 def monthly_series(df: DataFrame, date: str, measure: str) -> DataFrame:
     """(idx, month, value, n, mom_change, trend): sums by month with change on the month before and a fitted line.
 
     Missing numbers count as rows of nothing; months without rows do not appear.
     """
-    t, raw = moment(F.col(f"`{date}`"), _kind(df, date)), F.col(f"`{measure}`")
-    x = number(raw, _kind(df, measure))
-    rows = df.select(F.date_format(t, "yyyy-MM").alias("month"), x.alias("x"), raw.isNull().alias("missing")).where("month IS NOT NULL AND (x IS NOT NULL OR missing)")
-    buckets = rows.groupBy("month").agg(jsround(F.coalesce(F.sum("x"), F.lit(0.0)), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+    return series_of_sums(month_sums(df, date, measure))
+
+
+def series_of_sums(sums: DataFrame) -> DataFrame:
+    """The series from (month, total, n)."""
+    buckets = sums.select("month", jsround(F.col("total"), 2).alias("value"), "n")
     w = Window.orderBy("month")  # one row for each month
     before = F.lag("value").over(w)
     placed = buckets.withColumns({"idx": F.row_number().over(w) - 1, "mom_change": F.when(before != 0, jsround((F.col("value") - before) / F.abs(before) * 100, 2))})

@@ -511,6 +511,14 @@ def fuzzy_duplicates(spark, sf_dir):
     return Q.fuzzy_duplicates(rows, ["brand"])
 
 
+_ZERO = {"nothing": "l_linenumber * 0", "some": "l_linenumber % 2", "gaps": "CASE WHEN l_linenumber > 3 THEN 0 END", "none": "CAST(NULL AS DOUBLE)"}
+
+
+@query(each(f"""SELECT '{c}' AS "column", bool_and({e} = 0) AS all_zero FROM lineitem HAVING count({e}) > 0""" for c, e in _ZERO.items()))
+def all_zero(spark, sf_dir):
+    return Q.all_zero(load(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _ZERO.items()]), list(_ZERO))
+
+
 # ---- quality ----------------------------------------------------------------------------------
 
 
@@ -731,6 +739,50 @@ def quality_score_sparse_ids(spark, sf_dir):
     return Q.quality_score(rows, _SPARSE_TYPES)
 
 
+_HOLES = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE 'note' END AS note FROM orders"
+
+
+@query(f"SELECT * FROM ({_HOLES}) WHERE status <> '' OR price IS NOT NULL OR note <> ''")
+def empty_rows_dropped(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status", "CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_totalprice END AS price", "CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE 'note' END AS note"
+    )
+    return Q.drop_empty_rows(rows)
+
+
+_SHEET = ["p_name", "p_brand", "p_size", "p_retailprice"]
+
+
+@query(
+    f"""SELECT b.*, s.* EXCLUDE ("column", n), m.value AS mode, m.n AS mode_count FROM ({_basics_sql("SELECT * FROM part", _SHEET)}) b
+    LEFT JOIN ({_stats_sql("SELECT * FROM part", ["p_size", "p_retailprice"])}) s ON s."column" = b."column" LEFT JOIN (SELECT * FROM ({_counts_sql("SELECT * FROM part", ["p_brand"])}) WHERE rank = 1) m ON m."column" = b."column\""""
+)
+def column_sheet(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    return C.column_sheet(C.column_basics(part, _SHEET), C.numeric_stats(part, ["p_size", "p_retailprice"]), C.category_modes(part, ["p_brand"]))
+
+
+# ---- streams ----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH b AS (SELECT strftime(ts, '%Y-%m') AS month, {r("coalesce(sum(value), 0)", 2)} AS value, count(*) AS n FROM events GROUP BY 1),
+    i AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS idx, lag(value) OVER (ORDER BY month) AS before FROM b)
+    SELECT CAST(idx AS INTEGER) AS idx, month, value, n, CASE WHEN before <> 0 THEN {r("(value - before) / abs(before) * 100", 2)} END AS mom_change,
+      {r("(SELECT regr_intercept(value, idx) FROM i) + (SELECT regr_slope(value, idx) FROM i) * idx", 2)} AS trend FROM i"""
+)
+def streamed_monthly_series(spark, sf_dir):
+    from ..sources.shared import shared_folder
+    from ..streaming.monthly import keep_monthly, monthly_so_far
+
+    path = shared_folder(spark, "monthly")
+    events = load(spark, sf_dir, "events").select("ts", "value")
+    events.repartition(2).write.parquet(f"{path}/arrived")  # what arrives, file by file
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
+    keep_monthly(stream, "ts", "value", path, availableNow=True).awaitTermination()
+    return monthly_so_far(spark, path)
+
+
 # ---- repair and export ---------------------------------------------------------------------
 
 _BROKEN_HEADER = ["id", "amount", "day", "status"]

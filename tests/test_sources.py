@@ -205,6 +205,20 @@ def test_streaming_totals(spark, tmp_path):
     assert {r["n"] for r in spark.table("totals").collect()} <= set(range(1, 31))
 
 
+def test_monthly_series_of_a_stream_equals_that_of_all_rows(spark, tmp_path):
+    from quarrylens.operators.series import monthly_series
+    from quarrylens.streaming.monthly import keep_monthly, monthly_so_far
+
+    rows = spark.range(900).selectExpr("timestamp_seconds(id * 86400 * 3 % 40000000) AS t", "CASE WHEN id % 5 > 0 THEN id * 0.5D END AS x")
+    put = lambda n: rows.where(f"CAST(x AS INT) % 3 = {n} OR (x IS NULL AND {n} = 2)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: keep_monthly(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "t", "x", str(tmp_path / "kept"), availableNow=True).awaitTermination()
+    put(0), put(1), run()
+    seen = monthly_so_far(spark, str(tmp_path / "kept")).agg(F.sum("n")).first()[0]
+    put(2), run(), run()  # late rows of old months, then nothing new
+    assert seen < 900
+    assert sorted(monthly_so_far(spark, str(tmp_path / "kept")).collect()) == sorted(monthly_series(rows, "t", "x").collect())
+
+
 def test_lines_equal_to_the_header_are_data(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.csv").write_text("x,y\n1,2\nx,y\n3," + "z" * 200_000 + "\n")
