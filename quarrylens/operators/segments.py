@@ -33,13 +33,14 @@ def order_key(df: DataFrame, name: str) -> Column:
     raise ValueError(f"{name}: whole numbers and times order rows, not {kind.simpleString()}; number the rows first")
 
 
-def levels(rows: DataFrame, keys: list[str], merge: Callable[[DataFrame, list[str], str], DataFrame]) -> Iterator[tuple[DataFrame, list[str], str]]:
+def levels(rows: DataFrame, keys: list[str], merge: Callable[[DataFrame, list[str], str], DataFrame], ends: dict | None = None) -> Iterator[tuple[DataFrame, list[str], str]]:
     """(rows, group columns, order column) of each round, from single rows up to one group.
 
     ``keys`` go from the first to the last that decides the order. ``merge`` makes a
-    summary row of each group, with the group columns.
+    summary row of each group, with the group columns. ``ends`` has the least and the
+    greatest of each key, as lo_<key> and hi_<key>, where they are known.
     """
-    ends = rows.agg(*[f(k).alias(f"{n}{k}") for k in keys for n, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    ends = ends or rows.agg(*[f(k).alias(f"{n}{k}") for k in keys for n, f in (("lo_", F.min), ("hi_", F.max))]).first().asDict()
     now = rows
     for i in reversed(range(len(keys))):
         k, low, high = keys[i], ends[f"lo_{keys[i]}"], ends[f"hi_{keys[i]}"]

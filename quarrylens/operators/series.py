@@ -45,7 +45,8 @@ def gap_counts(df: DataFrame, column: str) -> DataFrame:
     rows = times.select("t", F.col("t").alias("first"), F.col("t").alias("last"))
     merge = lambda held, group, at: held.groupBy(*group).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     gaps = times.where("n > 1").groupBy(F.lit(0).cast("long").alias("gap")).agg(F.sum(F.col("n") - 1).alias("n"))
-    for placed, group, at in levels(rows, ["t"], merge):
+    ends = _moments(df, column).agg(F.min(F.unix_millis("t")).alias("lo_t"), F.max(F.unix_millis("t")).alias("hi_t")).first().asDict()
+    for placed, group, at in levels(rows, ["t"], merge, ends):
         between = placed.select((F.col("first") - before(F.col("last"), group, at)).alias("gap")).where("gap IS NOT NULL")
         gaps = gaps.unionByName(between.groupBy("gap").agg(F.count(F.lit(1)).alias("n")))
     return gaps.groupBy("gap").agg(F.sum("n").alias("n"))
@@ -53,8 +54,11 @@ def gap_counts(df: DataFrame, column: str) -> DataFrame:
 
 def date_gaps(df: DataFrame, column: str) -> DataFrame:
     """One row (largest_gap_days, median_gap_days, gap_anomaly), nulls under two moments; the median is exact, by ranks among the counted gaps."""
-    counts = gap_counts(df, column).select(F.lit(column).alias("column"), F.col("gap").cast("double").alias("x"), "n")
-    mid, most = quantiles_of_counts(counts, (0.5, 1.0)).get(column, [None, None])
+    counts = gap_counts(df, column).select(F.lit(column).alias("column"), F.col("gap").cast("double").alias("x"), "n").persist()
+    try:
+        mid, most = quantiles_of_counts(counts, (0.5, 1.0)).get(column, [None, None])
+    finally:
+        counts.unpersist()
     out = small_frame(df.sparkSession, [(most, mid)], "most double, mid double").select((F.col("most") / DAY_MS).alias("most"), (F.col("mid") / DAY_MS).alias("mid"))
     return out.select(jsround(F.col("most"), 1).alias("largest_gap_days"), jsround(F.col("mid"), 1).alias("median_gap_days"), ((F.col("most") > 2 * F.col("mid")) & (F.col("mid") > 0)).alias("gap_anomaly"))
 

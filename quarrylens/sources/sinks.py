@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,19 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
 
 
+def cleaned_name(name: str) -> str:
+    """The name under which the clean rows of a file are exported."""
+    base = re.split(r"[\\/]", name.rstrip("/"))[-1]
+    return re.sub(r"\.[^.]*$", "", base) + "-cleaned.csv"
+
+
+def export_cleaned(df: DataFrame, name: str, folder: str, single_file: bool = False) -> str:
+    """Write clean rows, without their row ids, to ``<base>-cleaned.csv`` in a folder; returns the path."""
+    path = f"{folder.rstrip('/')}/{cleaned_name(name)}"
+    export_csv(df.drop("_row_id"), path, single_file)
+    return path
+
+
 def _table(df: DataFrame, limit: int) -> str:
     rows = [" | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) for r in df.limit(limit).collect()]
     return "\n".join([f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns), *(f"| {r} |" for r in rows)])

@@ -176,6 +176,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert [(r["i"], r["t"]) for r in back] == [("1", 'a "b", c'), ("2", None), ("3", "x")]
 
 
+def test_export_of_clean_rows_by_name(spark, tmp_path):
+    from quarrylens.operators.quality import cleanse
+
+    df = spark.createDataFrame([(0, "$1,200", "x, y"), (1, "N/A", None)], "_row_id long, a string, b string")
+    clean = cleanse(df, {"a": "numeric", "b": "text"}, "_row_id")
+    path = sinks.export_cleaned(clean, "/some/where/sales.2023.csv", str(tmp_path), single_file=True)
+    assert path == f"{tmp_path}/sales.2023-cleaned.csv" and sinks.cleaned_name("plain") == "plain-cleaned.csv"
+    assert [tuple(r) for r in spark.read.csv(path, header=True).collect()] == [("1200.0", "x, y"), (None, None)]
+
+
 def test_profile(spark, tmp_path):
     (tmp_path / "t.csv").write_text(LINES)
     p = profile(dataset.read_dataset(spark, str(tmp_path / "t.csv")), "t", "_row_id")
