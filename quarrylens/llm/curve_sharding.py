@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, forget, numbered
+from .common import cut, forget, numbered, scratch
 
 #: Cells of a column are ``2 ** BITS``.
 BITS = 6
@@ -167,6 +167,8 @@ def assign_documents(documents: DataFrame, columns: tuple[str, ...] = ("source",
     slim = documents.select(
         documents["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[documents[c].alias(f"by_{i}") for i, c in enumerate(columns)]
     )
-    slim = cut(slim, "op12-slim")  # the texts are read once
-    sharded = shard_by_curve(slim, [f"by_{i}" for i in range(len(columns))], ["doc_id", "size", "text_crc32"], shards, bits)
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "cells")
+    with scratch(documents.sparkSession):  # of all tables only the result stays
+        slim = cut(slim, "op12-slim")  # the texts are read once
+        sharded = shard_by_curve(slim, [f"by_{i}" for i in range(len(columns))], ["doc_id", "size", "text_crc32"], shards, bits)
+        out = sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "cells")
+        return cut(out, "op12-shards", keep=True)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, scratch
 from .kdtree_search import _matrix, integer_vectors
 
 #: Dimensions of a codeword, codewords, and the rows that they are fitted on.
@@ -226,38 +226,38 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, k_positive: int = 5, k
 
     Negatives score from ``least_pct`` hundredths of the positive's score to all of it.
     """
-    kept = vectors.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    rows = cut(kept.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "v", F.size("v").alias("d"), is_anchor.alias("a")), "op13-rows")
-    lengths = [(r["d"], r["n"]) for r in rows.groupBy("d").agg(F.count(F.when(F.col("a"), 1)).alias("n")).orderBy("d").collect()]  # a row for each length
-    out = []
-    for dims, asked in lengths:
-        if not asked:
-            continue
-        own = rows.where(F.col("d") == dims)
-        index, words = build_index(own, dims)
-        blocks = max(1, math.ceil(asked * (dims + 4) * 8 / BLOCK_BYTES))
-        for block in range(blocks):
-            asking = own.where(F.col("a") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)).select("row", "id", "label", "v")
-            a_rows, labels, v = _block(asking, dims)
-            if not len(a_rows):
+    out: list[DataFrame] = []
+    with scratch(vectors.sparkSession):  # of all tables only the results stay
+        kept = vectors.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
+        rows = cut(kept.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "v", F.size("v").alias("d"), is_anchor.alias("a")), "op13-rows")
+        lengths = [(r["d"], r["n"]) for r in rows.groupBy("d").agg(F.count(F.when(F.col("a"), 1)).alias("n")).orderBy("d").collect()]  # a row for each length
+        for dims, asked in lengths:
+            if not asked:
                 continue
-            ends = _Anchors(a_rows, labels, v, [[-_LONG]] * len(a_rows), [[_LONG]] * len(a_rows), True, k_positive)
-            positives = _best(index.mapInArrow(_search(ends, words), _FOUND), k_positive)
-            positives = cut(positives.select("anchor_row", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("nth")), "op13-positives")
-            scores: dict[int, list] = {}
-            for r in positives.orderBy("anchor_row", "nth").select("anchor_row", "positive_score").collect():  # k rows for each anchor of the block
-                scores.setdefault(r[0], []).append(r[1])
-            # A window without scores for positives that are missing.
-            high = [(scores.get(r, []) + [-_LONG] * k_positive)[:k_positive] for r in a_rows.tolist()]
-            low = [[-(-least_pct * s // 100) if n < len(scores.get(r, [])) else _LONG for n, s in enumerate(h)] for r, h in zip(a_rows.tolist(), high)]
-            windows = _Anchors(a_rows, labels, v, low, high, False, k_negative)
-            negatives = _best(index.mapInArrow(_search(windows, words), _FOUND), k_negative).withColumn("nth", F.col("slot") + 1)
-            found = negatives.join(positives, ["anchor_row", "nth"]).join(own.where("a").select(F.col("row").alias("anchor_row"), F.col("id").alias("anchor_id")), "anchor_row")
-            found = found.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
-            out.append(cut(found, "op13-found"))
-            forget(positives)
-        forget(index)
-    forget(rows)
+            own = rows.where(F.col("d") == dims)
+            index, words = build_index(own, dims)
+            blocks = max(1, math.ceil(asked * (dims + 4) * 8 / BLOCK_BYTES))
+            for block in range(blocks):
+                asking = own.where(F.col("a") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)).select("row", "id", "label", "v")
+                a_rows, labels, v = _block(asking, dims)
+                if not len(a_rows):
+                    continue
+                ends = _Anchors(a_rows, labels, v, [[-_LONG]] * len(a_rows), [[_LONG]] * len(a_rows), True, k_positive)
+                positives = _best(index.mapInArrow(_search(ends, words), _FOUND), k_positive)
+                positives = cut(positives.select("anchor_row", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("nth")), "op13-positives")
+                scores: dict[int, list] = {}
+                for r in positives.orderBy("anchor_row", "nth").select("anchor_row", "positive_score").collect():  # k rows for each anchor of the block
+                    scores.setdefault(r[0], []).append(r[1])
+                # A window without scores for positives that are missing.
+                high = [(scores.get(r, []) + [-_LONG] * k_positive)[:k_positive] for r in a_rows.tolist()]
+                low = [[-(-least_pct * s // 100) if n < len(scores.get(r, [])) else _LONG for n, s in enumerate(h)] for r, h in zip(a_rows.tolist(), high)]
+                windows = _Anchors(a_rows, labels, v, low, high, False, k_negative)
+                negatives = _best(index.mapInArrow(_search(windows, words), _FOUND), k_negative).withColumn("nth", F.col("slot") + 1)
+                found = negatives.join(positives, ["anchor_row", "nth"]).join(own.where("a").select(F.col("row").alias("anchor_row"), F.col("id").alias("anchor_id")), "anchor_row")
+                found = found.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+                out.append(cut(found, "op13-found", keep=True))
+                forget(positives)
+            forget(index)
     if not out:
         return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     found = out[0]

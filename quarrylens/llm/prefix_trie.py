@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, numbered
+from .common import cut, forget, numbered, scratch
 
 #: Turns whose digests are chained in one group, and conversation ids joined in one text.
 BLOCK, CHUNK = 64, 4096
@@ -170,5 +170,6 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, block: int = BLOCK) -> DataF
 
 def rebuilt_trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """The trie of the rebuilt conversations of a table (conv_id, turn, role, text)."""
-    turns, convs = rebuild(conversations)
-    return prefix_trie(turns, convs, block)
+    with scratch(conversations.sparkSession):  # of all tables only the result stays
+        turns, convs = rebuild(conversations)
+        return cut(prefix_trie(turns, convs, block), "op11-trie", keep=True)
