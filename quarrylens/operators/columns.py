@@ -118,9 +118,11 @@ def summaries_of_counts(df: DataFrame, columns: list[str], counts: DataFrame) ->
         F.sum("n").alias("n_rows"), total(value.isNotNull()).alias("n_present"), total(F.col("is_number")).alias("n_numeric"), total(F.col("is_date")).alias("n_date"), F.count("value").alias("n_distinct"),
         F.countDistinct(F.when(native == "text", F.lower("value"))).alias("n_lower"), F.coalesce(F.max(F.when(value.isNotNull(), F.col("n"))), F.lit(0)).alias("top_count"),
     )
-    named = small_frame(df.sparkSession, [(i, c, _hints_id(c)) for i, c in enumerate(columns)], "ordinal int, column string, id_name boolean")
-    rows = named.join(F.broadcast(found), "column", "left").na.fill(0)  # a row for each column
-    return rows.select("ordinal", "column", type_of().alias("type"), "n_rows", "n_present", "n_numeric", "n_date", "n_distinct", "top_count")
+    held = {r["column"]: r for r in found.collect()}  # a row for each column
+    names = ("n_rows", "n_present", "n_numeric", "n_date", "n_distinct", "n_lower", "top_count")
+    rows = [(i, c, _hints_id(c), *[held[c][n] if c in held else 0 for n in names]) for i, c in enumerate(columns)]
+    schema = "ordinal int, column string, id_name boolean, " + ", ".join(f"{n} long" for n in names)
+    return small_frame(df.sparkSession, rows, schema).select("ordinal", "column", type_of().alias("type"), *[n for n in names if n != "n_lower"])
 
 
 def _native(kind: T.DataType) -> str:

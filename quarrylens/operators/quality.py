@@ -243,15 +243,21 @@ def first_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
 def dirty_cells(df: DataFrame, types: dict[str, str], row_id: str = "_row_id", first: int | None = FIRST_ROWS) -> DataFrame:
     """(column, n_seen, null_tokens, money, not_numeric) over the first rows, or over all with ``first=None``."""
     rows = df if first is None else first_rows(df, row_id, first)
+    columns = list(types)
+    if not columns:
+        return small_frame(df.sparkSession, [], "column string, n_seen long, null_tokens long, money long, not_numeric long")
+    # A cell that spells no number is a column of its own first, so that the tests below read it once.
+    trimmed = [F.trim(F.col(f"`{c}`").cast("string")) for c in columns]
+    texts = rows.select(*[F.when(text_number(t).isNull(), t).alias(f"t{i}") for i, t in enumerate(trimmed)])
 
-    def measures(c: str):
-        t = F.trim(F.col(f"`{c}`").cast("string"))
-        text = F.when(t.isNotNull() & text_number(t).isNull(), t)
+    def measures(name: str):
+        text, numeric = F.col(name), types[columns[int(name[1:])]] == "numeric"
         token, money = F.lower(text).isin(SCORE_NULLS), text.rlike(CURRENCY) & text.rlike(r"\d")
-        wrong = ~token & ~money & (text != "") & F.lit(types.get(c) == "numeric")
+        wrong = ~token & ~money & (text != "") & F.lit(numeric)
         return [F.count(F.lit(1)).alias("n_seen"), F.count(F.when(token, 1)).alias("null_tokens"), F.count(F.when(~token & money, 1)).alias("money"), F.count(F.when(wrong, 1)).alias("not_numeric")]
 
-    return _per_column(rows, list(types), measures).drop("ordinal")
+    found = _per_column(texts, texts.columns, measures)
+    return found.select(F.get(F.lit(columns), F.col("ordinal")).alias("column"), "n_seen", "null_tokens", "money", "not_numeric")
 
 
 # Points that a per cent of missing cells, repeated rows, mixed columns and dirty cells costs.

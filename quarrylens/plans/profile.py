@@ -114,7 +114,7 @@ class Facts:
     def _score(self) -> int:
         p = self._p
         rows, first = (p.df, Q.FIRST_ROWS) if p.row_id else (p.df.limit(Q.FIRST_ROWS), None)
-        dirty = _rows(Q.dirty_cells(rows, p.types, p.row_id or "", first)) if p.types else []
+        dirty = _rows(Q.dirty_cells(rows, p.types, p.row_id or "", first))
         counts = (self["missing"]["missing"], self["missing"]["cells"], self["duplicates"]["duplicates"], self["rows"], len(self["mixed"]), sum(r["null_tokens"] + r["money"] + r["not_numeric"] for r in dirty), max((r["n_seen"] for r in dirty), default=0))
         frame = small_frame(p.df.sparkSession, [counts], "missing long, cells long, duplicates long, n_rows long, mixed long, dirty long, seen long")
         return _first(Q.score_of(frame, max(1, len(p.types))))["score"]
@@ -190,7 +190,9 @@ class Profile:
     @cached_property
     def numbers(self) -> DataFrame:
         """(column, x, n) of the numbers in numeric columns; one number may come in several spellings."""
-        x = F.when(F.col("value") != "NaN", F.coalesce(text_number(F.col("value")), F.col("value").try_cast("boolean").cast("int").cast("double")))
+        value, texts = F.col("value"), [c for c in self.of("numeric") if self.body.schema[c].dataType.simpleString() == "string"]
+        native = F.coalesce(value.try_cast("double"), value.try_cast("boolean").cast("int").cast("double"))  # a native value spells one
+        x = F.when(F.col("column").isin(texts), text_number(value)).when(value != "NaN", native)
         return self.values.where(F.col("column").isin(self.of("numeric"))).select("column", x.alias("x"), "n").where("x IS NOT NULL")
 
     def close(self) -> None:
@@ -250,7 +252,11 @@ class Profile:
 
     @cached_property
     def series(self) -> DataFrame | None:
-        return S.monthly_series(self.body, self.of("date")[0], self.primary) if self.of("date") and self.primary else None
+        if not (self.of("date") and self.primary):
+            return None
+        sums = S.month_sums(self.body, self.of("date")[0], self.primary)
+        months = [tuple(r) for r in sums.select("month", "total", "n").collect()]  # a row for each month
+        return S.series_of_sums(small_frame(self.df.sparkSession, months, "month string, total double, n long"))
 
     @cached_property
     def totals(self) -> dict[str, DataFrame]:
@@ -271,6 +277,7 @@ class Profile:
 
     def flags(self) -> DataFrame:
         """(ord, type, column, severity, detail) in a fixed order of kinds."""
+        # The names of the kinds, by which flags are looked up, and their severities.
         f, a, out = self.facts, self.anomalies, []
         add = lambda kind, severity, detail, column=None: out.append((len(out), kind, column, severity, detail))
         if f["duplicates"]["duplicates"]:
