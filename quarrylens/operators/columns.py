@@ -178,6 +178,8 @@ def narrow_columns(df: DataFrame, columns: list[str], most: int) -> list[str]:
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
     """Exact interpolated quantiles of the numbers of columns; columns without numbers are left out."""
+    if not columns:
+        return {}
     cells = df.select(*[number(F.col(f"`{c}`"), _kind(df, c)).alias(c) for c in columns])
     long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "x").where("x IS NOT NULL")
     return quantiles_of_counts(long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n")), shares)
