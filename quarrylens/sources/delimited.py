@@ -19,7 +19,7 @@ from .numbering import number_rows
 SAMPLE_ROWS, TYPE_SHARE = 30, 0.4
 MEND = 3
 NULLS = ["", "n/a", "na", "null", "none", "-", "--", "missing", "undefined", "nan"]
-DATES = r"(?i)\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[a-z]+ \d{1,2}[\s,]+\d{4}|^\d{1,2} [a-z]{3,9}\.? \d{4}"
+DATES = r"(?i)\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[a-z] \d{1,2}[\s,]+\d{4}|^\d{1,2} [a-z]{3,9}\.? \d{4}"
 HEAD, TAIL = r"^\d{1,4}$", r"^\d{3}([a-zA-Z%]+|\.\d+)?$"
 
 _COMMA = "\x01"
