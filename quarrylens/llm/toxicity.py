@@ -40,6 +40,9 @@ LEAST_Z = 6.0
 SPACE = 1 << 24
 PREFIXES = (4, 5, 6)
 RANK = 6
+#: Penalties that the vectors may get, and the folds of the training rows that choose among them.
+PAIR_L2 = (2.5e-5, 5e-5, 1e-4, 2e-4, 4e-4)
+FOLDS = 4
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -69,54 +72,98 @@ class Machine:
         at[at == len(self.ids)] = 0
         return at[self.ids[at] == found] if len(self.ids) else at[:0]
 
-    def score(self, text: str) -> float:
-        at = self.known(terms(text))
+    def margin(self, at: np.ndarray) -> float:
+        """The score before the logistic function, of terms at these places."""
         v = self.vector[at]
         total = v.sum(axis=0)
-        z = self.base + self.weight[at].sum() + 0.5 * float(total @ total - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.base + float(self.weight[at].sum()) + 0.5 * float(total @ total - (v * v).sum())
 
+    def score(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(self.known(terms(text))), -30, 30))))
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: int = RANK, steps: int = 300, l2: float = 1e-4, seed: int = 7) -> Machine:
-    """Logistic loss by full-batch Adam. rows: places in ``ids`` of each text's terms."""
-    n, m = len(rows), len(ids)
-    rate = float(labels.mean()) if n else 0.0
-    base = float(np.log(np.clip(rate, 1e-6, 1 - 1e-6) / (1 - np.clip(rate, 1e-6, 1 - 1e-6))))
-    if not n or not m or rate in (0.0, 1.0):
-        return Machine(base, ids[:0], np.zeros(0), np.zeros((0, rank)))
+
+def _sums(values: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``values`` that begin at ``at``; zero where ``mask`` says that a run is empty."""
+    out = np.zeros((len(mask), *values.shape[1:]))
+    out[mask] = np.add.reduceat(values, at[mask], axis=0)
+    return out
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray, model: Machine, free: slice, l2: float, steps: int) -> Machine:
+    """Logistic loss by full-batch Adam over the columns ``free`` of (weight, vector), the others held, and the intercept with the weights."""
+    n, m, base = len(rows), len(model.ids), model.base
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
     term = np.concatenate(rows)
+    if not len(term):
+        return model
     order = np.argsort(term, kind="stable")  # for sums by term
     by_term, doc_of = term[order], doc[order]
     term_at = np.searchsorted(by_term, np.arange(m))
     present = np.diff(np.concatenate([term_at, [len(by_term)]])) > 0
     has = np.diff(np.searchsorted(doc, np.arange(n + 1))) > 0
     doc_at = np.searchsorted(doc, np.arange(n))
-
-    def sums(values: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(mask), *values.shape[1:]))
-        out[mask] = np.add.reduceat(values, at[mask], axis=0)
-        return out
-
-    theta = np.concatenate([np.zeros((m, 1)), np.random.default_rng(seed).normal(0, 0.05, (m, rank))], axis=1)
-    first, second = np.zeros((m + 1, rank + 1)), np.zeros((m + 1, rank + 1))
+    theta = np.concatenate([model.weight[:, None], model.vector], axis=1)
+    start, moves_base = theta[:, free].copy(), free.start == 0
+    first, second = np.zeros((m + 1, start.shape[1])), np.zeros((m + 1, start.shape[1]))
     for step in range(1, steps + 1):
         held = theta[term]
-        total = sums(held, doc_at, has)
-        squares = sums(held[:, 1:] ** 2, doc_at, has).sum(axis=1)
+        total = _sums(held, doc_at, has)
+        squares = _sums(held[:, 1:] ** 2, doc_at, has).sum(axis=1)
         z = base + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - squares)
         wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        back = np.ones((len(by_term), rank + 1))
+        back = np.ones((len(by_term), theta.shape[1]))
         back[:, 1:] = total[doc_of, 1:] - theta[by_term, 1:]
-        grad = np.zeros((m + 1, rank + 1))
-        grad[:m] = sums(back * wrong[doc_of, None], term_at, present) + l2 * theta / n**0.5
-        grad[m, 0] = wrong.sum()
+        grad = np.zeros_like(first)
+        grad[:m] = _sums((back * wrong[doc_of, None])[:, free], term_at, present) + l2 * theta[:, free]
+        grad[m, 0] = wrong.sum() if moves_base else 0.0
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-        theta -= move[:m]
-        base -= float(move[m, 0])
-    return Machine(base, ids, theta[:, 0].copy(), theta[:, 1:].copy())
+        theta[:, free] -= move[:m]
+        base -= float(move[m, 0]) if moves_base else 0.0
+    return Machine(base, model.ids, theta[:, 0].copy(), theta[:, 1:].copy())
+
+
+def _with_pairs(rows: list[np.ndarray], labels: np.ndarray, linear: Machine, rank: int, l2: float, steps: int, seed: int) -> Machine:
+    """The vectors fitted to what the weights leave unexplained."""
+    begun = Machine(linear.base, linear.ids, linear.weight, np.random.default_rng(seed).normal(0, 0.05, (len(linear.ids), rank)))
+    return _descend(rows, labels, begun, slice(1, None), l2, steps)
+
+
+def _loss(rows: list[np.ndarray], labels: np.ndarray, model: Machine) -> float:
+    """Summed logistic loss."""
+    z = np.array([model.margin(r) for r in rows])
+    return float(np.logaddexp(0, np.where(labels > 0, -z, z)).sum())
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: int = RANK, steps: int = 300, l2: float = 1e-4, seed: int = 7, fold: np.ndarray | None = None) -> Machine:
+    """Weights first, then the vectors on what they leave. rows: places in ``ids`` of each text's terms.
+
+    The penalty of the vectors is the one of ``PAIR_L2`` with the least loss on folds of these rows that were left out (``fold``
+    has the number of each row's; dealt in turn if None). If none of them beats weights alone there, the vectors are zero.
+    """
+    n, m = len(rows), len(ids)
+    rate = float(labels.mean()) if n else 0.0
+    base = float(np.log(np.clip(rate, 1e-6, 1 - 1e-6) / (1 - np.clip(rate, 1e-6, 1 - 1e-6))))
+    if not n or not m or rate in (0.0, 1.0):
+        return Machine(base, ids[:0], np.zeros(0), np.zeros((0, rank)))
+    bare = Machine(base, ids, np.zeros(m), np.zeros((m, 0)))
+    weights = lambda some: _descend([rows[i] for i in some], labels[some], bare, slice(0, 1), l2 / n**0.5, steps)
+    linear = weights(np.arange(n))
+    if not rank:
+        return linear
+    fold = np.arange(n) % FOLDS if fold is None else fold
+    lost = np.zeros(1 + len(PAIR_L2))
+    for k in range(FOLDS):
+        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(inside) or not len(outside):
+            continue
+        of = lambda some: ([rows[i] for i in some], labels[some])
+        part = weights(inside)
+        tried = [part] + [_with_pairs(*of(inside), part, rank, x, steps, seed) for x in PAIR_L2]
+        lost += [_loss(*of(outside), x) for x in tried]
+    best = int(np.argmin(lost))
+    return _with_pairs(rows, labels, linear, rank, PAIR_L2[best - 1], steps, seed) if best else Machine(linear.base, ids, linear.weight, np.zeros((m, rank)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> Machine:
@@ -135,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
                 found = [terms(t.as_py()) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["y", "terms"])
 
-        rows = cut(sample.mapInArrow(run, "y int, terms array<bigint>"), "op3-terms")
+        # Equal texts have equal terms, so they lie in one fold.
+        rows = cut(sample.mapInArrow(run, "y int, terms array<bigint>").withColumn("fold", F.pmod(F.xxhash64("terms"), F.lit(FOLDS)).cast("int")), "op3-terms")
         n, toxic = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
         if not n or toxic in (0, n):
             return fit([np.zeros(0, int)] * n, np.full(n, float(bool(toxic))), np.zeros(0, np.int64))
@@ -146,10 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
         best = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).select("term")
         ids = np.array(sorted(r[0] for r in best.collect()), np.int64)
         kept = rows.withColumn("terms", F.array_intersect("terms", F.array(*[F.lit(int(i)) for i in ids]).cast("array<bigint>"))) if len(ids) else rows
-        data = kept.toArrow().to_pydict() if len(ids) else {"y": [], "terms": []}
-        order = sorted(range(len(data["y"])), key=lambda i: (data["y"][i], data["terms"][i]))  # the fit does not depend on row order
+        data = kept.toArrow().to_pydict() if len(ids) else {"y": [], "terms": [], "fold": []}
+        order = sorted(range(len(data["y"])), key=lambda i: (data["y"][i], data["terms"][i], data["fold"][i]))  # the fit does not depend on row order
         places = [np.searchsorted(ids, np.array(sorted(data["terms"][i]), np.int64)) for i in order]
-        return fit(places, np.array([data["y"][i] for i in order], float), ids, rank) if len(ids) else fit([np.zeros(0, int)] * n, np.repeat([0.0, 1.0], [n - toxic, toxic]), ids)
+        return fit(places, np.array([data["y"][i] for i in order], float), ids, rank, fold=np.array([data["fold"][i] for i in order])) if len(ids) else fit([np.zeros(0, int)] * n, np.repeat([0.0, 1.0], [n - toxic, toxic]), ids)
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
