@@ -5,17 +5,21 @@ all measures that do not depend on where a value stands: basics, mixed types, qu
 outliers, first digits, round numbers, leading values, spellings. A second scan takes the
 moments of the numeric columns. What is left (duplicate rows, correlations, series, gaps,
 trends) is a scan each, and every measure is taken once, when a sentence first asks for it
-(:class:`Facts`). Sentences are made from the small results. :meth:`Profile.close` frees
-the counts.
+(:class:`Facts`). A section that needs several measures asks for them at once, so that
+their jobs share the cluster instead of waiting for each other (:func:`together`).
+Sentences are made from the small results. :meth:`Profile.close` frees the counts.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from threading import RLock
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import small_frame
@@ -43,6 +47,16 @@ TOPICS = {
 IGNORED = re.compile(r"(s\.?no\.?|id|serial\s*no|uuid)", re.I)
 
 
+#: What the sections ask for at once: facts that sentences are told from, and what flags and answers need.
+TOLD_FACTS = ("score", "basics", "numeric", "pairs", "summary", "leader", "duplicates")
+FLAG_FACTS = ("basics", "numeric", "duplicates")
+FLAG_ANOMALIES = ("rounding", "monotonic", "benford", "fuzzy")
+ANSWER_NEEDS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
+    "overview": (("score",), (), ()), "key-metrics": (("numeric",), (), ()), "trends": (("summary",), (), ("season",)), "correlations": (("pairs",), (), ()),
+    "outliers": (("numeric",), ("benford", "fuzzy"), ()), "quality": (("score", *FLAG_FACTS), FLAG_ANOMALIES, ("gaps",)), "categories": ((), (), ("tops",)), "columns": (("basics",), (), ()),
+}
+
+
 def show(x) -> str:
     """A number with thousands separators and at most three decimals."""
     if x is None:
@@ -78,17 +92,43 @@ def _first(df: DataFrame | None) -> dict | None:
     return next(iter(_rows(df)), None)
 
 
-class Facts:
+def together(spark: SparkSession, asks: list[Callable[[], object]]) -> list:
+    """The results of independent questions, whose jobs run side by side; the first error is raised when all have ended."""
+    if len(asks) < 2:
+        return [ask() for ask in asks]
+    with ThreadPoolExecutor(len(asks)) as pool:
+        asked = [pool.submit(inheritable_thread_target(spark)(ask)) for ask in asks]
+    return [x.result() for x in asked]
+
+
+class Once:
+    """Values that are found once each, whichever thread asks first; others wait for it."""
+
+    def __init__(self):
+        self._held: dict = {}
+        self._locks: dict[str, RLock] = {}
+
+    def get(self, name: str, find: Callable[[], object]):
+        with self._locks.setdefault(name, RLock()):
+            if name not in self._held:
+                self._held[name] = find()
+            return self._held[name]
+
+
+def once(find):
+    """A property of a profile that is found once."""
+    return property(lambda self: self.found.get(find.__name__, lambda: find(self)), doc=find.__doc__)
+
+
+class Facts(Once):
     """The few numbers that sentences are made from, each found when it is first asked for."""
 
     def __init__(self, p: Profile):
+        super().__init__()
         self._p = p
-        self._held: dict = {}
 
     def __getitem__(self, name: str):
-        if name not in self._held:
-            self._held[name] = getattr(self, f"_{name}")()
-        return self._held[name]
+        return self.get(name, getattr(self, f"_{name}"))
 
     def _rows(self) -> int:
         return max((r["n_rows"] for r in self._p.counted.values()), default=0)
@@ -131,7 +171,8 @@ class Facts:
         return [r | {"column": c} for r in _rows(self._p.totals.get(c))]
 
     def _leaders(self) -> dict:
-        return {c: _rows(t) for c, t in self._p.totals.items()}
+        totals = self._p.totals
+        return dict(zip(totals, together(self._p.df.sparkSession, [lambda t=t: _rows(t) for t in totals.values()])))
 
 
 class Anomalies(Facts):
@@ -174,11 +215,17 @@ class Profile:
     row_id: str | None = None
     counts: DataFrame | None = None  # (column, value, n) of all cells, kept until close()
     counted: dict[str, dict] | None = None
+    found: Once = field(default_factory=Once, repr=False, compare=False)
+
+    def gather(self, facts: tuple[str, ...] = (), anomalies: tuple[str, ...] = (), sections: tuple[str, ...] = ()) -> None:
+        """Find several measures at once."""
+        asks = [lambda n=n: self.facts[n] for n in facts] + [lambda n=n: self.anomalies[n] for n in anomalies] + [lambda n=n: getattr(self, n) for n in sections]
+        together(self.df.sparkSession, asks)
 
     def of(self, kind: str) -> list[str]:
         return [c for c, t in self.types.items() if t == kind]
 
-    @cached_property
+    @once
     def body(self) -> DataFrame:
         return self.df.select(*[F.col(f"`{c}`") for c in self.types])
 
@@ -187,7 +234,7 @@ class Profile:
         """(column, value, n) of the cells that hold something."""
         return self.counts.where("value IS NOT NULL")
 
-    @cached_property
+    @once
     def numbers(self) -> DataFrame:
         """(column, x, n) of the numbers in numeric columns; one number may come in several spellings."""
         value, texts = F.col("value"), [c for c in self.of("numeric") if self.body.schema[c].dataType.simpleString() == "string"]
@@ -199,42 +246,46 @@ class Profile:
         """Free what the profile holds."""
         self.counts.unpersist()
 
-    @cached_property
+    @once
     def facts(self) -> Facts:
         return Facts(self)
 
-    @cached_property
+    @once
     def anomalies(self) -> Anomalies:
         return Anomalies(self)
 
-    @cached_property
+    @once
     def basics(self) -> DataFrame:
         rows = [(c, r["n_rows"], r["n_present"], r["n_distinct"]) for c, r in self.counted.items()]
         return C.basics_of(small_frame(self.df.sparkSession, rows, "column string, n_rows long, non_null long, distinct_count long"))
 
-    @cached_property
+    @once
     def moments(self) -> dict[str, dict]:
         """n, sum, mean, extremes and deviation of the numeric columns, from one scan."""
         return {r["column"]: r for r in _rows(C._moments(self.body, self.of("numeric"), False))} if self.of("numeric") else {}
 
-    @cached_property
+    @once
     def numeric(self) -> DataFrame:
         return C.numeric_stats_of_counts(self.body, self.of("numeric"), self.numbers, self.moments)
 
-    @cached_property
+    @once
     def categories(self) -> DataFrame | None:
         return C.categories_of_counts(self.values.where(F.col("column").isin(self.of("categorical")))) if self.of("categorical") else None
 
-    @cached_property
+    @once
+    def tops(self) -> list[dict]:
+        return _rows(self.categories)
+
+    @once
     def texts(self) -> DataFrame | None:
         held = [c for c in self.of("text") if self.body.schema[c].dataType.simpleString() == "string"]
         return C.text_stats(self.body, held) if held else None
 
-    @cached_property
+    @once
     def histograms(self) -> DataFrame | None:
         return C.histogram(self.body, self.of("numeric")) if self.of("numeric") else None
 
-    @cached_property
+    @once
     def correlations(self) -> DataFrame:
         return S.correlations(self.body, self.of("numeric"))
 
@@ -244,13 +295,13 @@ class Profile:
         shown = self.of("numeric")[:HEAT_COLUMNS]
         return S.correlation_matrix(self.body, shown) if len(shown) > 1 else None
 
-    @cached_property
+    @once
     def primary(self) -> str | None:
         """The numeric column of the largest variance, the first of equals, of those with two numbers."""
         spread = {c: C.half_up(r["sd"] ** 2, 4) for c, r in self.moments.items() if r["n"] >= 2}
         return max(spread, key=lambda c: (spread[c], -self.of("numeric").index(c))) if spread else None
 
-    @cached_property
+    @once
     def series(self) -> DataFrame | None:
         if not (self.of("date") and self.primary):
             return None
@@ -258,13 +309,19 @@ class Profile:
         months = [tuple(r) for r in sums.select("month", "total", "n").collect()]  # a row for each month
         return S.series_of_sums(small_frame(self.df.sparkSession, months, "month string, total double, n long"))
 
-    @cached_property
+    @once
+    def season(self) -> dict | None:
+        return _first(S.seasonality(self.series)) if self.series is not None else None
+
+    @once
     def totals(self) -> dict[str, DataFrame]:
         return {c: C.category_totals(self.body, c, self.primary) for c in self.of("categorical")[:CATEGORIES]} if self.primary else {}
 
-    @cached_property
+    @once
     def gaps(self) -> dict[str, dict]:
-        return {c: g for c in self.of("date") if (g := _first(S.date_gaps(self.body, c)))}
+        days = self.of("date")
+        found = together(self.df.sparkSession, [lambda c=c: _first(S.date_gaps(self.body, c)) for c in days])
+        return {c: g for c, g in zip(days, found) if g}
 
     def lists(self) -> dict[str, list[str]]:
         """The columns by what is wrong with them."""
@@ -277,6 +334,7 @@ class Profile:
 
     def flags(self) -> DataFrame:
         """(ord, type, column, severity, detail) in a fixed order of kinds."""
+        self.gather(FLAG_FACTS, FLAG_ANOMALIES, ("gaps",))
         # The names of the kinds, by which flags are looked up, and their severities.
         f, a, out = self.facts, self.anomalies, []
         add = lambda kind, severity, detail, column=None: out.append((len(out), kind, column, severity, detail))
@@ -316,6 +374,7 @@ class Profile:
 
     def insights(self) -> DataFrame:
         """(rank, score, category, text): the best of the candidate statements."""
+        self.gather(TOLD_FACTS)
         f, out = self.facts, []
         add = lambda score, category, text: out.append((score, len(out), category, text))
         add(100, "overview", f"{show(f['rows'])} rows by {len(self.types)} columns; quality score {f['score']} of 100.")
@@ -345,6 +404,7 @@ class Profile:
 
     def stories(self) -> DataFrame:
         """(ord, title, category, severity, text): the state of the data in sentences."""
+        self.gather(TOLD_FACTS)
         f, out = self.facts, []
         add = lambda title, category, severity, text: out.append((len(out), title, category, severity, text))
         score = f["score"]
@@ -399,7 +459,7 @@ class Profile:
             if not s:
                 return ["A date column and a numeric column are needed for trends."]
             lines = [f"{self.primary} by month of {self.of('date')[0]}: {s['direction']} (slope {show(s['slope'])}) over {s['periods']} months.", f"Peak {show(s['peak_value'])} in {s['peak_month']}, trough {show(s['trough_value'])} in {s['trough_month']}."]
-            season = _first(S.seasonality(self.series))
+            season = self.season
             return lines + ([f"{season['top_month']} is {show(season['excess_pct'])}% above {season['bottom_month']}."] if season else [])
         if topic == "correlations":
             return [f"{p['col_a']} and {p['col_b']}: r = {p['r']:.2f}, {p['strength'].lower()}" for p in f["pairs"][:5]] or ["Two numeric columns are needed for correlations."]
@@ -411,7 +471,7 @@ class Profile:
             flags = [f"[{r['severity']}] {r['type']}" + (f" in {r['column']}" if r["column"] else "") + f": {r['detail']}" for r in self.flags().orderBy("ord").collect()]
             return [f"Quality score: {f['score']} of 100."] + (flags[:8] + ([f"and {len(flags) - 8} more"] if len(flags) > 8 else []) or ["No issues were found."])
         if topic == "categories":
-            tops = _rows(self.categories)
+            tops = self.tops
             lines = [f"{c}: " + ", ".join(f"{r['value']} ({show(r['pct'])}%)" for r in sorted((r for r in tops if r["column"] == c), key=lambda r: r["rank"])[:3]) for c in self.of("categorical")[:CATEGORIES]]
             return lines or ["There are no categorical columns."]
         if topic == "columns":
@@ -422,6 +482,8 @@ class Profile:
 
 def ask_all(p: Profile, topics: list[str]) -> dict[str, list[str]]:
     """Answers to topics, each asked once, in the order of the first asking."""
+    needs = [ANSWER_NEEDS[t] for t in dict.fromkeys(topics)]
+    p.gather(*(tuple(dict.fromkeys(n for need in needs for n in need[i])) for i in range(3)))
     return {t: p.ask(t) for t in dict.fromkeys(topics)}
 
 
@@ -432,6 +494,7 @@ def charts(p: Profile) -> list[str]:
 
 def kpis(p: Profile) -> DataFrame:
     """(ord, name, value): rows, columns, score, and the trend, or empty cells where there is none."""
+    p.gather(("score", "summary"))
     f = p.facts
     last = ("Trend", f["summary"]["direction"]) if f["summary"] else ("Empty cells", show(f["missing"]["missing"]))
     rows = [("Rows", show(f["rows"])), ("Columns", show(len(p.types))), ("Quality score", str(f["score"])), last]
@@ -440,8 +503,9 @@ def kpis(p: Profile) -> DataFrame:
 
 def column_details(p: Profile) -> DataFrame:
     """(ord, column, type, detail): what matters of each column by its type."""
+    p.gather(("numeric", "basics"), sections=("tops",))
     stats = {r["column"]: r for r in p.facts["numeric"]}
-    tops = {r["column"]: r for r in _rows(p.categories) if r["rank"] == 1}
+    tops = {r["column"]: r for r in p.tops if r["rank"] == 1}
     out = []
     for i, (c, kind) in enumerate(p.types.items()):
         b = p.facts["basics"][c]

@@ -338,3 +338,29 @@ def test_profile_of_no_rows_and_no_columns(spark):
         p = profile(df, "none")
         assert p.facts["rows"] in (0, 3) and p.stories().count() >= 1 and p.flags().count() >= 0 and p.ask("overview")
         p.close()
+
+
+def test_measures_are_found_once_by_many_threads(spark):
+    import time
+
+    from quarrylens.plans.profile import Once, together
+
+    once, found = Once(), []
+
+    def find():
+        time.sleep(0.05)
+        found.append(1)
+        return len(found)
+
+    assert together(spark, [lambda: once.get("x", find)] * 8) == [1] * 8 and together(spark, []) == []
+    ended = []
+
+    def fail():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        together(spark, [fail, lambda: (time.sleep(0.05), ended.append(1))])
+    assert ended == [1]
+    with pytest.raises(ValueError):
+        once.get("y", fail)
+    assert once.get("y", lambda: 2) == 2  # an error is not kept
