@@ -41,8 +41,8 @@ SPACE = 1 << 24
 PREFIXES = (4, 5, 6)
 RANK = 6
 #: Penalties that the vectors may get, and the folds of the training rows that choose among them.
-PAIR_L2 = (2.5e-5, 5e-5, 1e-4, 2e-4, 4e-4)
-FOLDS = 4
+PAIR_L2 = (1e-4, 2e-4, 4e-4)
+FOLDS = 2
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -89,8 +89,11 @@ def _sums(values: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def _descend(rows: list[np.ndarray], labels: np.ndarray, model: Machine, free: slice, l2: float, steps: int) -> Machine:
-    """Logistic loss by full-batch Adam over the columns ``free`` of (weight, vector), the others held, and the intercept with the weights."""
+def _descend(rows: list[np.ndarray], labels: np.ndarray, model: Machine, free: slice, l2: float, steps: int, of: int | None = None) -> Machine:
+    """Logistic loss by full-batch Adam over the columns ``free`` of (weight, vector), the others held, and the intercept with the weights.
+
+    The loss is the mean over ``of`` rows, where others have no part in the gradient (all, if None).
+    """
     n, m, base = len(rows), len(model.ids), model.base
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
     term = np.concatenate(rows)
@@ -110,7 +113,7 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, model: Machine, free: s
         total = _sums(held, doc_at, has)
         squares = _sums(held[:, 1:] ** 2, doc_at, has).sum(axis=1)
         z = base + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - squares)
-        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
+        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / (of or n)
         back = np.ones((len(by_term), theta.shape[1]))
         back[:, 1:] = total[doc_of, 1:] - theta[by_term, 1:]
         grad = np.zeros_like(first)
@@ -125,9 +128,12 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, model: Machine, free: s
 
 
 def _with_pairs(rows: list[np.ndarray], labels: np.ndarray, linear: Machine, rank: int, l2: float, steps: int, seed: int) -> Machine:
-    """The vectors fitted to what the weights leave unexplained."""
-    begun = Machine(linear.base, linear.ids, linear.weight, np.random.default_rng(seed).normal(0, 0.05, (len(linear.ids), rank)))
-    return _descend(rows, labels, begun, slice(1, None), l2, steps)
+    """The vectors fitted to what the weights leave unexplained; rows of under two terms have no pairs."""
+    paired = [i for i, r in enumerate(rows) if len(r) > 1]
+    vector = np.random.default_rng(seed).normal(0, 0.05, (len(linear.ids), rank))
+    vector[np.setdiff1d(np.arange(len(vector)), np.concatenate([rows[i] for i in paired] or [np.zeros(0, int)]))] = 0.0
+    begun = Machine(linear.base, linear.ids, linear.weight, vector)
+    return _descend([rows[i] for i in paired], labels[paired], begun, slice(1, None), l2, steps, len(rows)) if paired else begun
 
 
 def _loss(rows: list[np.ndarray], labels: np.ndarray, model: Machine) -> float:
