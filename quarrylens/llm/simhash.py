@@ -67,7 +67,7 @@ BANDS, BAND_ROWS = 32, 5
 #: Bits (of 128, one of each of as many min-hashes) at which sets are verified: at similarity 0.8 some 13 differ, with a deviation of 3.4.
 SEARCH_BITS = 34
 #: Bits (of 1,920, twelve of each of 160 min-hashes) at which members of crowded buckets are verified: at similarity 0.8 some 192 differ, with a deviation of 32.
-SEARCH_WIDE = 384
+SEARCH_WIDE = 288
 #: Bits that are kept of each min-hash, five to an integer.
 LANE = 12
 #: Members of a bucket that a task compares all with all; the growth of the number of centres of a larger one.
