@@ -22,16 +22,16 @@ whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of
 fingerprint bits, too many for Golay keys at any bearable number of them. So a
 set is searched by bands of its min-hashes, ``BANDS`` keys of ``BAND_ROWS`` each;
 two sets of one bucket are verified if their sizes allow the similarity and their
-min-hashes do: one bit of each of 128 differs in ``SEARCH_BITS`` at most, and in
-crowded buckets ``SEARCH_WIDE`` of twelve bits of each of 160. Texts are one only if their
-shingle sets are equal (by a hash of 128 bits).
-
-A bucket of up to ``FEW`` sets is compared within a task. Any larger one is met
-by joins: some of its members are centres, which meet all members of other groups
-whose hash is larger; verified links make groups; then there are ``STEP`` times as
-many centres, until a bucket is of one group or every member has been a centre.
-So no task holds a bucket, a group of copies makes some rows for each of its
-members, and any two members of a bucket have met or are of one group. In the
+min-hashes do: one bit of each of 128 differs in ``SEARCH_BITS`` at most. Texts are
+one only if their shingle sets are equal (by a hash of 128 bits).
+
+A bucket of up to ``FEW`` sets is compared within a task. In any larger one a
+member, its centre, first meets all others by a join; verified links make groups. The
+members outside of a bucket's largest group are then compared with all others in
+blocks of ``BLOCK``, two blocks in a task, by the bits of their shingles. So no task
+holds a bucket, pairs are no rows, a bucket of one group is done, and any two members
+of a bucket have been compared or are of one group. The comparisons of sets that are
+nearly, but not quite, similar still grow with the square of their number. In the
 result, rows with a null id have no name to be dropped by and stay, and rows that
 share the smallest id of a group all stay.
 """
@@ -66,12 +66,14 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Bits (of 128, one of each of as many min-hashes) at which sets are verified: at similarity 0.8 some 13 differ, with a deviation of 3.4.
 SEARCH_BITS = 34
-#: Bits (of 1,920, twelve of each of 160 min-hashes) at which members of crowded buckets are verified: at similarity 0.8 some 192 differ, with a deviation of 32.
+#: Bits (of 1,920, twelve of each of 160 min-hashes) at which a member and the first centre are verified: at similarity 0.8 some 192 differ, with a deviation of 32. Blocks do without.
 SEARCH_WIDE = 288
 #: Bits that are kept of each min-hash, five to an integer.
 LANE = 12
 #: Members of a bucket that a task compares all with all; the growth of the number of centres of a larger one.
 FEW, STEP = 8, 16
+#: Members of a block of a crowded bucket, or fewer if they have so many shingles; shingles whose bits are compared at once, a multiple of 64.
+BLOCK, SHINGLES, WIDTH = 256, 1 << 20, 1 << 15
 
 
 def _majority(text: bytes, words: int, digest, size: int) -> bytes:
@@ -360,6 +362,84 @@ def _meetings(rows: DataFrame, low: int, high: int) -> DataFrame:
     return met.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c_h1").alias("b1"), F.col("c_h2").alias("b2")).distinct()
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal cell, of batches dealt and sorted by it, a cell at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            cell = batch.column("cell").to_numpy()
+            for at, size in zip(*(x.tolist() for x in _starts(cell))):
+                if held and held[-1].column("cell")[0].as_py() != cell[at]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(at, size))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the sets x and y share, of each pair: bits of the shingles that repeat, some at a time."""
+    found, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, repeats = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), times > 1
+    place = (np.cumsum(repeats) - 1)[at]
+    owner, place = owner[repeats[at]], place[repeats[at]]
+    common, shared = np.zeros(len(x), np.int64), int(repeats.sum())
+    for low in range(0, shared, WIDTH):
+        bits = np.zeros((len(sets), min(WIDTH, -(-(shared - low) // 64) * 64)), bool)
+        mine = (place >= low) & (place < low + WIDTH)
+        bits[owner[mine], place[mine] - low] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(0, len(x), 4096):
+            some = slice(i, i + 4096)
+            common[some] += np.bitwise_count(words[x[some]] & words[y[some]]).sum(axis=1, dtype=np.int64)
+    return common
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within a cell, of members of different groups whose first common band is the cell's: as many as span them."""
+    for t in _cells(batches):
+        band, block, n, g1, g2 = (t.column(c).to_numpy() for c in ("band", "block", "n", "g1", "g2"))
+        h, f = (np.stack([t.column(c).to_numpy() for c in v], axis=1) for v in (("h1", "h2"), ("f1", "f2")))
+        lanes = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), BANDS)
+        x, y = np.triu_indices(len(n), 1)
+        if block.min() != block.max():  # each of two blocks meets itself in a cell of its own
+            across = block[x] != block[y]
+            x, y = x[across], y[across]
+        keep = ((g1[x] != g1[y]) | (g2[x] != g2[y])) & _near(n, f, x, y)
+        x, y = x[keep], y[keep]
+        keep = (lanes[x] == lanes[y]).argmax(axis=1) == band[x]  # they agree in that one at least
+        x, y = x[keep], y[keep]
+        if len(x):
+            who, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            s = t.column("s")
+            common = _common([s[i].values.to_numpy() for i in who.tolist()], at[: len(x)], at[len(x) :])
+            similar = common >= SIMILARITY * (n[x].astype(np.int64) + n[y] - common)
+            label = _local_components(len(n), x[similar], y[similar])
+            moved = np.flatnonzero(label != np.arange(len(n)))
+            ends = np.concatenate([h[moved], h[label[moved]]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, i]) for i in range(4)], _PAIR)
+
+
+def _crowded_links(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2): links between members of a bucket that are of different groups, rows as for :func:`_meetings`.
+
+    The members outside of a bucket's largest group are dealt into blocks of some
+    ``BLOCK``, and so are those within. A block of the others meets every block, one
+    within meets those of the others; two blocks that meet are a cell. A bucket of
+    one group has no others, so none of it is dealt.
+    """
+    counts = rows.groupBy("key", "g1", "g2").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("held"))
+    most = counts.groupBy("key").agg(F.max(F.struct("own", "held", "g1", "g2")).alias("most"), F.sum("own").alias("size"), F.sum("held").alias("all"))
+    others, within = (f"ceil(greatest(({n}) / {BLOCK}, ({s}) / {SHINGLES}))" for n, s in (("size - most.own", "all - most.held"), ("most.own", "most.held")))
+    plan = most.where("size > most.own").selectExpr("key", "most.g1 AS m1", "most.g2 AS m2", f"{others} AS others", f"{within} AS within")
+    inside = (F.col("g1") == F.col("m1")) & (F.col("g2") == F.col("m2"))
+    placed = rows.drop("size").join(plan, "key").join(shingles.select("h1", "h2", "s"), ["h1", "h2"]).withColumn("block", F.when(inside, F.col("others") + F.pmod("at", "within")).otherwise(F.pmod("at", "others")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("within")) - 1)
+    dealt = placed.withColumn("other", F.explode(meets)).withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    columns = ("cell", "band", "block", "h1", "h2", "n", "f1", "f2", "bands", "g1", "g2", "s")
+    return dealt.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a1 long, a2 long, b1 long, b2 long")
+
+
 def _shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, id, s): the shingles of the sets of ``asked`` (h1, h2, id)."""
     small_batches(docs.sparkSession)
@@ -390,6 +470,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return links.where(F.col("n") >= SIMILARITY * (F.col("of") - F.col("n"))).select("a", "b")
 
 
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the group of each set: g1, g2."""
+    known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
+    return rows.join(known, ["h1", "h2"], "left").withColumns({"g1": F.coalesce("g1", "h1"), "g2": F.coalesce("g2", "h2")})
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with those that links (a, b) connect made one."""
+    if links.isEmpty():
+        return groups
+    return connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
+
+
 def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, bands."""
     keys = sets.select(F.posexplode("bands").alias("band", "lanes"), "h1", "h2", "n", "f1", "f2")
@@ -406,28 +499,20 @@ def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str
     asked = cut(sets.select("h1", "h2", "id").join(asked, ["h1", "h2"]), "op7-asked")
     shingles = _shingle_sets(docs, asked, id_col, text_col)
     groups = connected_components(_verified(pairs.distinct(), shingles), "op7-similar")
-    most = crowded.agg(F.max("size")).first()[0] or 0
-    low, high, held = 0, 1, []
+    if crowded.isEmpty():
+        return groups
     rows = crowded.join(sets.select("h1", "h2", "bands"), ["h1", "h2"]).withColumn("at", F.xxhash64("h1", "h2", "key"))
-    while low < most:
-        known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
-        rows = rows.join(known, ["h1", "h2"], "left").withColumns({"g1": F.coalesce("g1", "h1"), "g2": F.coalesce("g2", "h2")})
-        # Buckets of one group are done, and so are those whose members have all been centres.
-        mixed = rows.groupBy("key").agg(F.min("g1").alias("x1"), F.max("g1").alias("y1"), F.min("g2").alias("x2"), F.max("g2").alias("y2")).where("x1 <> y1 OR x2 <> y2").select("key")
-        before, held = held, cut(rows.where(F.col("size") > low).join(mixed, "key"), "op7-crowded", "lz4")
-        forget(*before[:1])
-        rows, held = held, [held]
-        if rows.isEmpty():
-            break
-        met = cut(_meetings(rows, low, high), "op7-met", "lz4")
-        links = cut(_verified(met, shingles), "op7-links")
-        forget(met)
-        if not links.isEmpty():
-            groups = connected_components(groups.selectExpr("node AS a", "component AS b").unionByName(links), "op7-similar")
-        free_shuffles(docs.sparkSession)
-        rows = rows.drop("g1", "g2")
-        low, high = high, high * STEP
-    return groups
+    # First a member of each bucket, in place 0, meets all others: where copies are many, this leaves few groups.
+    rows = cut(_grouped(rows, groups), "op7-crowded", "lz4")
+    met = cut(_meetings(rows, 0, 1), "op7-met", "lz4")
+    groups = _joined(groups, cut(_verified(met, shingles), "op7-links"))
+    before, rows = rows, cut(_grouped(rows.drop("g1", "g2"), groups), "op7-crowded", "lz4")
+    forget(before, met)
+    free_shuffles(docs.sparkSession)
+    named = shingles.select("h1", "h2", F.struct("id", "h1", "h2").alias("node"))
+    links = cut(_crowded_links(rows, shingles), "op7-cells")
+    links = links.join(named.toDF("a1", "a2", "a"), ["a1", "a2"]).join(named.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
+    return _joined(groups, links)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

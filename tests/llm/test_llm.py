@@ -179,6 +179,35 @@ def test_members_of_crowded_buckets_meet(spark, similar):
     assert len(met) == len(set(met)) == (n - 1 if similar else n * (n - 1) // 2)
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_crowded_pairs_are_no_rows(spark, monkeypatch, block):
+    """A bucket of sets that are nearly, but seldom quite, similar: all are compared, few become rows."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in r.sample(range(300), r.choice([1, 4, 6, 7])):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    sizes, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, sets: sizes.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    got = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    expected = brute.similar_components(rows, 5, 0.8)
+    assert got == set(expected) and 10 < len(got) < 80
+    assert sum(sizes) < 8 * len(rows)
+
+
+@pytest.mark.parametrize("width", [64, 1 << 15])
+def test_common_shingles(monkeypatch, width):
+    monkeypatch.setattr(simhash, "WIDTH", width)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 900, n)) for n in (0, 1, 50, 300, 700, 700)]
+    x, y = np.triu_indices(len(sets), 1)
+    assert simhash._common(sets, x, y).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+
+
 def test_differing_bits(spark):
     rng = np.random.default_rng(4)
     rows, expected = [], []
