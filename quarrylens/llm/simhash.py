@@ -18,9 +18,11 @@ only if no id in the component is known); repeated rows give repeated rows.
 
 :func:`keep_one` removes near copies by what their texts share: links are pairs
 whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of
-``SIMILARITY`` or more, counted exactly. Such sets differ in some 19 of 128
-fingerprint bits, too many for Golay keys at any bearable number of them. So a
-set is searched by bands of its min-hashes, ``BANDS`` keys of ``BAND_ROWS`` each;
+``SIMILARITY`` or more, counted exactly. Sets whose fingerprints link by Golay keys are
+verified as they span: texts may share a fingerprint and little else, such as a
+line that repeats. Sets at the bound of similarity differ in too many bits of a fingerprint
+(some 19 of 128) for Golay keys at any bearable number of them. These are
+found beside by bands of min-hashes, ``BANDS`` keys of ``BAND_ROWS`` each;
 two sets of one bucket are verified if their sizes allow the similarity and their
 min-hashes do: one bit of each of 128 differs in ``SEARCH_BITS`` at most. Texts are
 one only if their shingle sets are equal (by a hash of 128 bits).
@@ -213,14 +215,18 @@ def _link_buckets(max_bits: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root): fingerprints that link to others, with a common root for each component."""
+def golay_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links that span the fingerprints of each bucket of equal Golay keys."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the segments are made for at most two differing bits")
     distinct = fps.select("fp").distinct()
     keys = distinct.mapInArrow(_emit_keys, "key long, fp long")
-    edges = keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_buckets(max_bits), "a long, b long")
-    return connected_components(edges, "op7-edges").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_buckets(max_bits), "a long, b long")
+
+
+def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): fingerprints that link to others, with a common root for each component."""
+    return connected_components(golay_links(fps, max_bits), "op7-edges").select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -470,6 +476,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return links.where(F.col("n") >= SIMILARITY * (F.col("of") - F.col("n"))).select("a", "b")
 
 
+def _golay_pairs(sets: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2): pairs to verify that span the sets whose SimHashes link by Golay keys. sets: h1, h2, fp.
+
+    Of the sets of one fingerprint the least meets all others and, for all of them, that
+    of a linked fingerprint.
+    """
+    least = cut(sets.groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("own")), "op7-least")
+    same = sets.join(least, "fp").where((F.col("h1") != F.col("own.h1")) | (F.col("h2") != F.col("own.h2")))
+    links = golay_links(least).distinct().join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return same.selectExpr("h1 AS a1", "h2 AS a2", "own.h1 AS b1", "own.h2 AS b2").unionByName(links.selectExpr("x.h1 AS a1", "x.h2 AS a2", "y.h1 AS b1", "y.h2 AS b2"))
+
+
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the group of each set: g1, g2."""
     known = groups.select("node.h1", "node.h2", F.col("component.h1").alias("g1"), F.col("component.h2").alias("g2"))
@@ -484,7 +502,7 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, bands."""
+    """(node, component) of sets that are near copies, as (id, h1, h2). sets: h1, h2, id, n, f1, f2, bands, fp."""
     keys = sets.select(F.posexplode("bands").alias("band", "lanes"), "h1", "h2", "n", "f1", "f2")
     keys = keys.select(F.xxhash64("band", "lanes").alias("key"), "band", "h1", "h2", "n", "f1", "f2")
     # Written first, so that the join can split a key that very many sets share.
@@ -492,7 +510,8 @@ def _similar_groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str
     sized = cut(keys.join(sizes, "key"), "op7-sized", "lz4")
     forget(sizes)
     dealt = sized.where(F.col("size") <= FEW).select(*_BUCKET).repartition("key").sortWithinPartitions("key")
-    pairs = cut(dealt.mapInArrow(_bucket_pairs, "a1 long, a2 long, b1 long, b2 long"), "op7-pairs")
+    near = dealt.mapInArrow(_bucket_pairs, "a1 long, a2 long, b1 long, b2 long")
+    pairs = cut(_golay_pairs(sets).unionByName(near), "op7-pairs")
     crowded = sized.where(F.col("size") > FEW)
     members = crowded.select("h1", "h2")
     asked = pairs.selectExpr("a1 AS h1", "a2 AS h2").unionByName(pairs.selectExpr("b1 AS h1", "b2 AS h2")).unionByName(members).distinct()
@@ -527,12 +546,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             names, bands = [set_name(s) for s in shingles], [band_keys(s) for s in shingles]
             halves = [pa.array([x[i] for x in v], pa.int64()) for v, i in ((names, 0), (names, 1), (bands, 1), (bands, 2))]
             sizes, lanes = pa.array([len(s) for s in shingles], pa.int32()), pa.array([x[0] for x in bands], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], sizes, *halves[2:], lanes], ["id", "h1", "h2", "n", "f1", "f2", "bands"])
+            fps = pa.array([fingerprint(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], sizes, *halves[2:], lanes, fps], ["id", "h1", "h2", "n", "f1", "f2", "bands", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).cast("binary").alias("t"))
-    held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long, bands array<bigint>"), "op7-wide")
+    held = cut(rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, n int, f1 long, f2 long, bands array<bigint>, fp long"), "op7-wide")
     with scratch(docs.sparkSession):
-        first = [F.first(x).alias(x) for x in ("n", "f1", "f2", "bands")]
+        first = [*(F.first(x).alias(x) for x in ("n", "f1", "f2", "bands")), F.min("fp").alias("fp")]
         sets = cut(held.where("id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *first), "op7-sets")
         groups = _similar_groups(docs, sets, id_col, text_col).select("node.h1", "node.h2", F.col("component.id").alias("root"))
         rooted = sets.join(groups, ["h1", "h2"], "left").select("h1", "h2", "id", "rows", F.coalesce("root", "id").alias("keep"))

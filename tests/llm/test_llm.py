@@ -199,6 +199,19 @@ def test_crowded_pairs_are_no_rows(spark, monkeypatch, block):
     assert sum(sizes) < 8 * len(rows)
 
 
+def test_keep_one_finds_fingerprints_by_golay_keys(spark, monkeypatch):
+    """Texts at most two bits apart are found without the bands, those that share a fingerprint only are kept."""
+    monkeypatch.setattr(simhash, "_bucket_pairs", lambda batches: iter(()))
+    base, line = [f"w{i}" for i in range(900)], [f"line{i}" for i in range(7)]
+    rows = [(i, " ".join(base[:450] + [f"x{i}"] * (i > 0) + base[450:])) for i in range(5)]
+    rows += [(10 + i, " ".join(line * 60 + [f"u{i}x{k}" for k in range(100)])) for i in range(3)]
+    fps = [brute.fingerprint(t) for _, t in rows]
+    expected = brute.components([i for i, _ in rows], fps)
+    assert expected[0] in expected[1:5] and len(set(expected[5:])) == 1
+    got = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == set(expected[:5]) | {10, 11, 12}
+
+
 @pytest.mark.parametrize("width", [64, 1 << 15])
 def test_common_shingles(monkeypatch, width):
     monkeypatch.setattr(simhash, "WIDTH", width)
